@@ -1,0 +1,22 @@
+"""Join helpers that keep a skewed side spread out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def small_side_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+                    max_rows: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
+    """Join a big side, whose keys may be few and hot, to a metadata-sized side.
+
+    The small side is counted first (never beyond max_rows + 1). Within the bound it is broadcast; beyond it
+    the small side is repeated over ``salts`` and the big side spread over the same salts by row content.
+    """
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
