@@ -221,7 +221,7 @@ def freshness_gate(df: DataFrame, now, contract_version: str, default_max_age: i
     expected_sha256, target, expected_target, action.
     """
     t = F.lit(now).cast("timestamp") if not isinstance(now, Column) else now
-    age = F.unix_micros(t) - F.unix_micros("observed_at")
+    age = F.unix_micros(t) - F.unix_micros(F.col("observed_at").cast("timestamp"))
     reasons = flags(
         (~F.col("contract_version").eqNullSafe(F.lit(contract_version)), "CONTRACT_DENIED"),
         (~F.col("compatibility").eqNullSafe(F.lit("compatible")), "INCOMPATIBLE"),

@@ -72,7 +72,7 @@ def main(argv):
             df = q[name](spark, sf)
             res = compare(df, con, o[name]) if name in o else f"rows-only {df.count()}"
         except Exception as ex:  # noqa: BLE001
-            res = "FAIL " + str(ex)[:1500]
+            res = "FAIL " + str(ex)[:400]
         flag = "" if res.startswith("ok") or res.startswith("rows-only") else "  <<<<<<"
         bad += bool(flag)
         print(f"{name:42s} {time.time()-t:6.2f}s {res}{flag}", flush=True)
