@@ -17,7 +17,7 @@ SEP = "\u001f"
 NULL = "\u0000null"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc_batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
