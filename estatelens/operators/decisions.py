@@ -137,12 +137,16 @@ def needs_probe(domain, labels, noise) -> Column:
     return (c(domain) == UNKNOWN_DOMAIN) | F.array_contains(c(labels), "grain_conflict") | F.array_contains(c(labels), "corruption_signal") | (c(noise) >= 0.4)
 
 
+def _matching(items: str, pattern: str) -> Column:
+    return F.filter(items, lambda x: x.rlike(pattern))
+
+
 def choose_probe(df: DataFrame, labels: str = "labels", summaries: str = "summaries") -> DataFrame:
     """M6. Probe kind by anomaly priority and the summaries that may answer it."""
     kind, sig = None, None
     for label, probe, pat in PROBES:
         hit = F.array_contains(labels, label)
-        s = F.filter(summaries, lambda x, p=pat: x.rlike(p))
+        s = _matching(summaries, pat)
         kind = F.when(hit, probe) if kind is None else kind.when(hit, probe)
         sig = F.when(hit, s) if sig is None else sig.when(hit, s)
     return df.withColumn("probe_kind", kind.otherwise("domain_alias_lookup")).withColumn("probe_signals", sig.otherwise(F.col(summaries)))

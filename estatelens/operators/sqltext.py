@@ -132,7 +132,7 @@ def sql_table_refs(df: DataFrame, sql_col: str, id_cols: list[str]) -> DataFrame
     refs = F.array_distinct(F.transform(lists, lambda x: F.regexp_replace(x, r"\s", "")))
     parts = F.size(F.filter(F.split(bare, ";"), lambda x: F.length(F.trim(x)) > 0))
     gap = F.when(F.col(sql_col).rlike(DYNAMIC), "DYNAMIC_SQL_BLIND_SPOT").when(
-        ~F.col(sql_col).rlike(r"(?i)^\s*SELECT\b") | (parts != 1) | (F.size(refs) == 0), "UNSUPPORTED_SYNTAX_BLIND_SPOT")
+        ~F.col(sql_col).rlike(r"(?i)^\s*SELECT\b") | (parts != 1) | (F.size(refs) == 0) | bare.rlike(r"'|/\*"), "UNSUPPORTED_SYNTAX_BLIND_SPOT")
     d = df.select(*id_cols, gap.alias("gap_state"), refs.alias("_r"))
     rows = F.when(F.col("gap_state").isNull(), F.col("_r")).otherwise(F.array(F.lit(None).cast("string")))
     d = d.select(*id_cols, "gap_state", F.explode(rows).alias("ref"))
