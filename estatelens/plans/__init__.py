@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["profiling_plans", "relationship_plans", "catalog_plans", "history_plans", "decision_plans", "collector_plans", "stream_plans"]
+MODULES = ["profiling_plans", "relationship_plans", "catalog_plans", "history_plans", "decision_plans", "collector_plans", "stream_plans", "sink_plans"]
 
 
 def _registries():
