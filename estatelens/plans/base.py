@@ -13,6 +13,12 @@ def load(spark: SparkSession, sf: str, *names: str):
     return dfs[0] if len(dfs) == 1 else dfs
 
 
+def typed(sql: str, casts: dict[str, str]) -> str:
+    """The same SQL with the declared types of some columns: type -> column names."""
+    parts = [f"CAST({c} AS {t}) AS {c}" for t, names in casts.items() for c in names.split()]
+    return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql})" if parts else sql
+
+
 class Registry:
     def __init__(self):
         self.queries, self.oracles = {}, {}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.collectors import COLLECTORS, collect, conform
-from .base import Registry
+from .base import Registry, typed
 from .estate import _COL, portable
 
 R = Registry()
@@ -239,8 +239,40 @@ EXPECT = {
 }
 
 
+CASTS = {  # types of oracle columns that are all null, or that the SQL computes narrower than declared
+    "mssql_preflight_identity": {"VARCHAR": "container_name"},
+    "mssql_structure_columns": {"VARCHAR": "identity_generation identity_options"},
+    "mssql_structure_indexes": {"VARCHAR": "column_expression", "BIGINT": "partition_count"},
+    "mssql_structure_sequences": {"BIGINT": "cache_size"},
+    "mssql_stored_dependencies": {"VARCHAR": "target_server_or_link_name"},
+    "oracle_preflight_identity": {"VARCHAR": "engine_edition", "INTEGER": "compatibility_level"},
+    "oracle_structure_columns": {"VARCHAR": "data_type_schema identity_seed identity_increment"},
+    "oracle_structure_comments": {"INTEGER": "comment_length"},
+    "oracle_structure_constraints": {"VARCHAR": "update_rule"},
+    "oracle_structure_indexes": {"VARCHAR": "filter_expression", "BIGINT": "partition_count"},
+    "oracle_structure_sequences": {"INTEGER": "numeric_precision numeric_scale", "VARCHAR": "start_value", "BIGINT": "cache_size"},
+    "oracle_structure_synonyms": {"VARCHAR": "target_catalog_name"},
+    "oracle_structure_partitions": {"BIGINT": "partition_count subpartition_count blocks_estimate"},
+    "oracle_structure_lobs": {"BIGINT": "chunk retention"},
+    "oracle_structure_tablespaces": {"BIGINT": "block_size", "VARCHAR": "status contents logging extent_management allocation_type segment_space_management"},
+    "oracle_statistics_tables": {"VARCHAR": "partition_name subpartition_name", "BIGINT": "avg_row_len sample_size"},
+    "oracle_statistics_indexes": {"VARCHAR": "partition_name subpartition_name", "BIGINT": "distinct_keys clustering_factor sample_size"},
+    "oracle_size_segments": {"BIGINT": "bytes extents"},
+    "oracle_stored_objects": {"VARCHAR": "created_at last_ddl_time"},
+    "oracle_stored_arguments": {"VARCHAR": "type_owner type_name type_subname"},
+    "oracle_stored_errors": {"BIGINT": "sequence position message_number", "INTEGER": "error_text_length"},
+    "oracle_stored_dependencies": {"VARCHAR": "target_db_link_name"},
+    "oracle_operations_scheduler": {"VARCHAR": "last_start_at", "BIGINT": "failure_count"},
+    "oracle_operations_db_links": {"VARCHAR": "created_at"},
+    "postgresql_preflight_identity": {"VARCHAR": "container_name"},
+    "postgresql_structure_constraints": {"INTEGER": "ordinal_position"},
+}
+
+
 def _bind(qid):
-    @R.add("collect_" + qid.replace(".", "_"), EXPECT[qid])
+    name = qid.replace(".", "_")
+
+    @R.add("collect_" + name, typed(EXPECT[qid], CASTS.get(name, {})))
     def run(spark, sf):
         by = ["source_id"] if qid.endswith((".identity", ".rights")) else []
         return collect(qid, landed(spark, sf, qid.split(".")[0]), by)

@@ -183,7 +183,7 @@ def tier_scores(spark, sf):
     return t.withColumn("incumbent_exact", F.round("incumbent_exact", 6)).withColumn("candidate_exact", F.round("candidate_exact", 6))
 
 
-@R.add("acceptance", _CS + ", " + _TIER + """ SELECT incumbent_points, candidate_points, easy_regression, round(hard_gain, 6) AS hard_gain, round(red, 6) AS ambiguity_reduction, 0.2 AS additional_probe_rate, NOT easy_regression AND (hard_gain >= 0.2 OR red >= 0.3) AS accepted
+@R.add("acceptance", _CS + ", " + _TIER + """ SELECT incumbent_points, candidate_points, easy_regression, round(hard_gain, 6) AS hard_gain, round(red, 6) AS ambiguity_reduction, 0.2::DOUBLE AS additional_probe_rate, NOT easy_regression AND (hard_gain >= 0.2 OR red >= 0.3) AS accepted
    FROM (SELECT CAST(sum(incumbent_points) AS BIGINT) AS incumbent_points, CAST(sum(candidate_points) AS BIGINT) AS candidate_points, bool_or(candidate_exact < incumbent_exact) FILTER (WHERE tier = 'easy') AS easy_regression,
      max(candidate_exact - incumbent_exact) FILTER (WHERE tier = 'hard') AS hard_gain, (sum(incumbent_points) - sum(candidate_points)) / sum(incumbent_points) AS red FROM t)""")
 def acceptance(spark, sf):
@@ -191,7 +191,7 @@ def acceptance(spark, sf):
     return a.withColumn("hard_gain", F.round("hard_gain", 6)).withColumn("ambiguity_reduction", F.round("ambiguity_reduction", 6))
 
 
-@R.add("discovery_ambiguity", "SELECT user_id, CASE WHEN k > 0 THEN 0 ELSE 2 END + CASE WHEN r > 0 THEN 0 ELSE 1 END + CASE WHEN b > 0 THEN 1 ELSE 0 END AS ambiguity_points FROM (SELECT user_id, count(*) FILTER (WHERE value > 70 AND event_type = 'view') AS k, "
+@R.add("discovery_ambiguity", "SELECT user_id, CAST(CASE WHEN k > 0 THEN 0 ELSE 2 END + CASE WHEN r > 0 THEN 0 ELSE 1 END + CASE WHEN b > 0 THEN 1 ELSE 0 END AS BIGINT) AS ambiguity_points FROM (SELECT user_id, count(*) FILTER (WHERE value > 70 AND event_type = 'view') AS k, "
        "count(*) FILTER (WHERE value > 80 AND event_type = 'click') AS r, count(*) FILTER (WHERE value < 1) AS b FROM events GROUP BY 1)")
 def discovery_ambiguity(spark, sf):
     e = load(spark, sf, "events").groupBy("user_id").agg(
@@ -238,7 +238,7 @@ STMT = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_partkey % 14
 
 @R.add("sql_audit", "WITH s AS (" + STMT.format(lineitem="lineitem") + """) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
    ['ALLOWED','WILDCARD_DENIED','SELECT_ONLY_DENIED','ALLOWED','ROW_SOURCE_DENIED','MULTI_STATEMENT_DENIED','ALLOWED','LEXICAL_INVALID','CATALOG_SOURCE_MISSING','ALLOWED','MUTATION_DENIED','SELECT_ONLY_DENIED','LEXICAL_INVALID','SOURCE_BOUNDARY_DENIED'][k + 1] AS verdict,
-   CASE k WHEN 0 THEN 'SYS.COLUMNS,SYS.OBJECTS' WHEN 3 THEN 'SYS.TABLES' WHEN 4 THEN 'DBO.ORDERS_' || l_orderkey WHEN 6 THEN 'SYS.INDEXES' WHEN 9 THEN 'SYS.SCHEMAS' END AS sources, CASE WHEN k = 6 THEN 1 ELSE 0 END AS derived_sources FROM s WHERE k IN (0, 3, 4, 6, 9)
+   CASE k WHEN 0 THEN 'SYS.COLUMNS,SYS.OBJECTS' WHEN 3 THEN 'SYS.TABLES' WHEN 4 THEN 'DBO.ORDERS_' || l_orderkey WHEN 6 THEN 'SYS.INDEXES' WHEN 9 THEN 'SYS.SCHEMAS' END AS sources, CAST(CASE WHEN k = 6 THEN 1 ELSE 0 END AS BIGINT) AS derived_sources FROM s WHERE k IN (0, 3, 4, 6, 9)
    UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
    ['ALLOWED','WILDCARD_DENIED','SELECT_ONLY_DENIED','ALLOWED','ROW_SOURCE_DENIED','MULTI_STATEMENT_DENIED','ALLOWED','LEXICAL_INVALID','CATALOG_SOURCE_MISSING','ALLOWED','MUTATION_DENIED','SELECT_ONLY_DENIED','LEXICAL_INVALID','SOURCE_BOUNDARY_DENIED'][k + 1], NULL, 0 FROM s WHERE k NOT IN (0, 3, 4, 6, 9)""")
 def sql_audit(spark, sf):

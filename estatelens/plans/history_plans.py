@@ -42,7 +42,7 @@ def structural_drift(spark, sf):
     return D.structural_drift(b, a, ["o_custkey", "o_orderkey"])
 
 
-@R.add("drift_accounting", _SC + f"""SELECT *, 0 AS unexplained_changes, CASE WHEN added + removed + changed = 0 THEN 'UNCHANGED' ELSE 'DRIFT' END AS status FROM (SELECT o_custkey,
+@R.add("drift_accounting", _SC + f"""SELECT *, 0::BIGINT AS unexplained_changes, CASE WHEN added + removed + changed = 0 THEN 'UNCHANGED' ELSE 'DRIFT' END AS status FROM (SELECT o_custkey,
    count(*) FILTER (WHERE change = 'ADDED') AS added, count(*) FILTER (WHERE change = 'REMOVED') AS removed, count(*) FILTER (WHERE change = 'CHANGED') AS changed,
    count(*) FILTER (WHERE change = 'UNCHANGED') AS unchanged, count(before_sha256) AS baseline_objects, count(after_sha256) AS current_objects FROM {_DRIFT} GROUP BY 1)""")
 def drift_accounting(spark, sf):

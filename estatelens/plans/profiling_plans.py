@@ -217,7 +217,7 @@ def anomalies(spark, sf):
     return _found(spark, sf)
 
 
-@R.add("anomaly_causes", _ANOMALY + """ SELECT anomaly_type || ' may affect KPI trust or process performance' AS hypothesis, 0.45 AS confidence,
+@R.add("anomaly_causes", _ANOMALY + """ SELECT anomaly_type || ' may affect KPI trust or process performance' AS hypothesis, 0.45::DOUBLE AS confidence,
     'requires-targeted-domain-test' AS status, evidence FROM (SELECT * FROM found
     ORDER BY relationship IS NOT NULL, table_name NULLS FIRST, column_name NULLS FIRST, anomaly_type, relationship NULLS FIRST LIMIT 12)""")
 def anomaly_causes(spark, sf):

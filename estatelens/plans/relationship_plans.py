@@ -126,7 +126,7 @@ LINK_TEXTS = {  # a customer is a database; the tables of its orders are named a
   l AS (SELECT scope, table_name, column_name, regexp_replace(regexp_replace(regexp_replace(lower(column_name), '_id$', ''), 'ies$', 'y'), 's$', '') AS stem
     FROM il_columns WHERE regexp_matches(lower(column_name), '_id$'))
   SELECT 'inferred_key_name' AS kind, l.scope, l.table_name AS from_table, l.column_name AS from_column, t.table_name AS to_table, 'id' AS to_column,
-   0.65 AS confidence, 'name-pattern:' || l.column_name AS evidence FROM l JOIN t ON l.scope = t.scope AND l.table_name <> t.table_name AND t.k AND (stem = ts OR ends_with(ts, stem))
+   0.65::DOUBLE AS confidence, 'name-pattern:' || l.column_name AS evidence FROM l JOIN t ON l.scope = t.scope AND l.table_name <> t.table_name AND t.k AND (stem = ts OR ends_with(ts, stem))
   WHERE NOT EXISTS (SELECT 1 FROM il_declared d WHERE d.scope = l.scope AND d.from_table = l.table_name AND d.from_column = l.column_name AND d.to_table = t.table_name AND d.to_column = 'id')""")
 def inferred_links(spark, sf):
     return J.inferred_links(portable(spark, sf, LINK_TEXTS["il_columns"]), portable(spark, sf, LINK_TEXTS["il_declared"]))
