@@ -20,3 +20,12 @@ def small_side_join(big: DataFrame, small: DataFrame, on: list[str], how: str =
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the session has cores, spread over them before work that is heavy per row.
+
+    A table of many files already fills the cluster and is left alone: no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_text, bps, c, flags, int_div, lit_null, spark_family
+from ..session import cut_lineage
 
 HASHED_FROM = 64  # longer values take part in distinct counts by their SHA-256
 
@@ -62,6 +63,12 @@ def value_histogram(df: DataFrame, cols: list[str], shorten: bool = True) -> Dat
     return long.groupBy("column_name", "value_key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def numeric_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, v double, n) of numeric columns, with no text in between; for quantiles."""
+    wide = df.select(*[F.when(F.col(x) == 0, F.lit(0.0)).otherwise(F.col(x).cast("double")).alias(x) for x in cols])
+    return wide.unpivot([], cols, "column_name", "v").filter("v is not null").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def profile_table(df: DataFrame, cols: list[str] | None = None, distinct: str = "exact", key_slack: float = 0.1) -> DataFrame:
     """A7. Every column of a table in one pass, one row per column.
 
@@ -176,39 +183,46 @@ def rank_index(p, n: Column) -> Column:
     return F.floor((n - 1) * F.lit(float(p))).cast("long")
 
 
-def _range_of(value: Column, cuts: Column, coarse: int, fine: int) -> Column:
-    """How many of the sorted cut points are <= value: a coarse search, then one slice."""
-    marks = F.transform(F.sequence(F.lit(1), F.lit(coarse)), lambda i: F.element_at(cuts, (i * fine).cast("int")))
-    at = F.size(F.filter(marks, lambda x: x <= value))
-    rest = F.slice(cuts, at * fine + 1, F.lit(fine))
-    return at * fine + F.size(F.filter(rest, lambda x: x <= value))
+def _at_or_below(value: Column, cuts: str) -> Column:
+    """How many of a short sorted array of cut points are <= value."""
+    return F.size(F.filter(cuts, lambda x: x <= value))
 
 
 def histogram_quantiles(hist: DataFrame, keys: list[str], value: str, n: str, wanted: dict, rounds: int = 1,
-                        coarse: int = 32, fine: int = 32) -> DataFrame:
+                        coarse: int = 32, fine: int = 32, few_keys: bool = True) -> DataFrame:
     """W10. Exact rank-picked quantiles of a (keys, value, n) histogram.
 
     A round cuts a key's values into coarse*fine ranges at sketch quantiles, sums the ranges, and keeps only the
     range that covers each wanted rank. The closing window sees about one range of distinct values of a key;
     ``rounds=2`` cuts the surviving ranges once more, for histograms of more than about 1e9 values a key. The
-    sketch decides speed only, never the answer. The histogram feeds three branches whose shuffle is reused.
+    sketch decides speed only, never the answer. The histogram feeds several branches, so it is checkpointed once
+    instead of being scanned and shuffled again for each.
+
+    Cut points reach the rows in two short arrays, coarse then fine. With ``few_keys`` the keys are columns of a
+    table, so the per-key tables (at most coarse rows a key) are broadcast and the histogram is not shuffled again.
     """
-    h = hist.select(*keys, F.col(value).alias("_v"), F.col(n).cast("long").alias("_n"))
+    hint = F.broadcast if few_keys else (lambda d: d)
+    h = cut_lineage(hist.select(*keys, F.col(value).alias("_v"), F.col(n).cast("long").alias("_n")))
     total = h.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     targets = total.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(name).alias("_q"), rank_index(p, F.col("_total")).alias("_rank")) for name, p in wanted.items()])))
     m = coarse * fine
-    points = F.array(*[F.lit(i / (m + 1)) for i in range(1, m + 1)])
+    points = F.array(*[F.lit(i / m) for i in range(1, m)])
 
     def narrow(play, scope, goal):
         cuts = play.groupBy(*scope).agg(F.percentile_approx("_v", points, F.lit(10000)).alias("_cuts"))
-        play = play.join(cuts, scope).withColumn("_b", _range_of(F.col("_v"), F.col("_cuts"), coarse, fine)).drop("_cuts")
+        marks = F.transform(F.sequence(F.lit(1), F.lit(coarse - 1)), lambda i: F.element_at("_cuts", (i * fine).cast("int")))
+        rest = F.transform(F.sequence(F.lit(0), F.lit(coarse - 1)), lambda i: F.slice("_cuts", i * fine + 1, F.lit(fine - 1)))
+        outer = cuts.select(*scope, marks.alias("_marks"))
+        inner = cuts.select(*scope, F.posexplode(rest).alias("_c", "_rest"))
+        play = play.join(hint(outer), scope).withColumn("_c", _at_or_below(F.col("_v"), "_marks")).drop("_marks")
+        play = play.join(hint(inner), [*scope, "_c"]).withColumn("_b", F.col("_c") * fine + _at_or_below(F.col("_v"), "_rest")).drop("_rest", "_c")
         before = Window.partitionBy(*scope).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         ranges = play.groupBy(*scope, "_b").agg(F.sum("_n").alias("_bn")).withColumn(
             "_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-        hit = ranges.join(goal, scope).filter((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_bn")))
+        hit = ranges.join(hint(goal), scope).filter((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_bn")))
         hit = hit.withColumn("_rank", F.col("_rank") - F.col("_off")).drop("_off", "_bn")
-        return play.join(hit, [*scope, "_b"]).drop("_b")
+        return play.join(hint(hit), [*scope, "_b"]).drop("_b")
 
     scope = keys + ["_q"]
     play = narrow(h, keys, targets)
@@ -229,7 +243,7 @@ def sample_profile(df: DataFrame, cols: list[str] | None = None, n: int | None =
     src = first_rows(df, n, order) if n else df
     cols = cols or src.columns
     fam = {x: spark_family(src.schema[x].dataType) for x in cols}
-    hist = value_histogram(src, cols)
+    hist = cut_lineage(value_histogram(src, cols))
     base = hist.groupBy("column_name").agg(
         F.sum("n").alias("sampled"),
         F.coalesce(F.sum(F.when(F.col("value_key").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),

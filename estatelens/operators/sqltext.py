@@ -47,7 +47,7 @@ DYNAMIC = r"(?i)\b(?:sp_executesql|EXEC(?:UTE)?\s*\(|EXECUTE\s+IMMEDIATE)\b"
 
 @F.pandas_udf(T.StringType())
 def _unnest_comments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Blank out nested block comments; an unclosed one leaves its opening mark in place."""
+    """Blank out nested block comments; an unclosed one swallows the rest and leaves its opening mark."""
     import re
     skip = re.compile(r"'(?:[^']|'')*'|--[^\n]*|\"(?:[^\"]|\"\")*\"|\[(?:[^\]]|\]\])*\]|/\*")
     mark = re.compile(r"/\*|\*/")
@@ -66,7 +66,7 @@ def _unnest_comments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 depth += 1 if k.group() == "/*" else -1
                 pos = k.end()
             if depth:
-                return "".join(out) + t[at:]
+                return "".join(out) + t[at:m.start()] + " /* "
             out.append(t[at:m.start()] + " ")
             at = pos
         return "".join(out) + t[at:]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..functions.joins import spread
 from ..operators import catalog as C
 from ..operators import coverage as V
 from ..operators import evidence as E
@@ -39,7 +40,7 @@ def content_hash(spark, sf):
 @R.add("text_hash", "SELECT doc_id, sha256('v1' || chr(31) || 'text=' || nfc_normalize(regexp_replace(text, '\\r\\n?', chr(10), 'g'))) AS object_sha256 FROM documents")
 def text_hash(spark, sf):
     """Whole document texts, NFC and LF folded."""
-    return H.with_hash(load(spark, sf, "documents"), ["text"]).select("doc_id", "object_sha256")
+    return H.with_hash(spread(load(spark, sf, "documents")), ["text"]).select("doc_id", "object_sha256")
 
 
 _FOLD = """, l0 AS (SELECT k, h AS p, h || ':' || count(*) AS v, count(*) AS n FROM rows_ GROUP BY k, h),
@@ -465,12 +466,12 @@ def _flag_sql(col):
 
 @R.add("disclosure_documents", f"SELECT doc_id, {_flag_sql('text')} AS text_flags FROM documents")
 def disclosure_documents(spark, sf):
-    return U.disclosure_scan(load(spark, sf, "documents"), ["text"]).select("doc_id", F.array_join("text_flags", ",").alias("text_flags"))
+    return U.disclosure_scan(spread(load(spark, sf, "documents")), ["text"]).select("doc_id", F.array_join("text_flags", ",").alias("text_flags"))
 
 
 @R.add("disclosure_pages", f"SELECT page_id, {_flag_sql('url')} AS url_flags, {_flag_sql('html')} AS html_flags FROM pages")
 def disclosure_pages(spark, sf):
-    return U.disclosure_scan(load(spark, sf, "pages"), ["url", "html"]).select(
+    return U.disclosure_scan(spread(load(spark, sf, "pages")), ["url", "html"]).select(
         "page_id", F.array_join("url_flags", ",").alias("url_flags"), F.array_join("html_flags", ",").alias("html_flags"))
 
 
@@ -491,7 +492,7 @@ def _route_sql(col, rules, default, lower=False):
 @R.add("intent_routing", f"""SELECT conv_id, turn, {_route_sql('text', U.INTENT_RULES, None)} AS family, nullif(regexp_extract(text, '{U.OBJECT_MENTION}', 1), '') AS mentioned_object,
     {_route_sql('text', U.TASK_RULES, 'extraction', True)} AS task_class FROM conversations""")
 def intent_routing(spark, sf):
-    return U.route_intent(load(spark, sf, "conversations"), "text").select("conv_id", "turn", "family", "mentioned_object", "task_class")
+    return U.route_intent(spread(load(spark, sf, "conversations")), "text").select("conv_id", "turn", "family", "mentioned_object", "task_class")
 
 
 _FP = """SELECT event_id, CASE WHEN value < 20 THEN 'v0' ELSE 'v1' END AS contract_version, CASE WHEN value > 80 THEN 'unknown' ELSE 'compatible' END AS compatibility, ts AS observed_at,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.joins import spread
 from ..operators import catalog as C
 from ..operators import coverage as V
 from ..operators import decisions as K
@@ -242,7 +243,7 @@ STMT = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_partkey % 14
    UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
    ['ALLOWED','WILDCARD_DENIED','SELECT_ONLY_DENIED','ALLOWED','ROW_SOURCE_DENIED','MULTI_STATEMENT_DENIED','ALLOWED','LEXICAL_INVALID','CATALOG_SOURCE_MISSING','ALLOWED','MUTATION_DENIED','SELECT_ONLY_DENIED','LEXICAL_INVALID','SOURCE_BOUNDARY_DENIED'][k + 1], NULL, 0 FROM s WHERE k NOT IN (0, 3, 4, 6, 9)""")
 def sql_audit(spark, sf):
-    a = S.audit_sql(portable(spark, sf, STMT), "statement")
+    a = S.audit_sql(spread(portable(spark, sf, STMT)), "statement")
     keep = F.col("k").isin(0, 3, 4, 6, 9)
     return a.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "verdict", F.when(keep, F.array_join("sources", ",")).alias("sources"), "derived_sources")
 
@@ -250,7 +251,7 @@ def sql_audit(spark, sf):
 @R.add("sql_audit_documents", """SELECT doc_id, CASE WHEN regexp_matches(text, '[''"\\[]|/\\*') THEN 'QUOTED' WHEN NOT regexp_matches(text, '(?i)^[^A-Za-z_0-9().,;*]*select([^A-Za-z0-9_$#]|$)') THEN 'SELECT_ONLY_DENIED' ELSE 'SELECT' END AS outcome FROM documents""")
 def sql_audit_documents(spark, sf):
     """Whole documents as a statement log: prose is never a SELECT; texts with quote marks are told apart."""
-    d = load(spark, sf, "documents").withColumn("engine", F.lit("oracle"))
+    d = spread(load(spark, sf, "documents")).withColumn("engine", F.lit("oracle"))
     a = S.audit_sql(d, "text")
     return a.select("doc_id", F.when(F.col("text").rlike("""['"\\[]|/\\*"""), "QUOTED").when(F.col("verdict") == "SELECT_ONLY_DENIED", F.col("verdict")).otherwise("SELECT").alias("outcome"))
 
@@ -260,4 +261,4 @@ def sql_audit_documents(spark, sf):
    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN ref IS NOT NULL THEN NULL WHEN k = 11 THEN 'DYNAMIC_SQL_BLIND_SPOT' ELSE 'UNSUPPORTED_SYNTAX_BLIND_SPOT' END AS gap_state, split_part(ref, '.', 1) AS target_schema_name,
      split_part(ref, '.', 2) AS target_object_name, CASE WHEN ref IS NOT NULL THEN 'INFERRED_PARSER' END AS proof_state FROM u""")
 def sql_table_refs(spark, sf):
-    return S.sql_table_refs(portable(spark, sf, STMT), "statement", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+    return S.sql_table_refs(spread(portable(spark, sf, STMT)), "statement", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])

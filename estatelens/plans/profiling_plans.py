@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bps
 from ..operators import profiling as P
 from .base import Registry, items_text, load, stringify
 
@@ -152,8 +151,7 @@ def _q_sql(table, cols, as_name=None):
 
 @R.add("rank_quantiles", _q_sql("lineitem", ["l_extendedprice", "l_quantity", "l_discount"]))
 def rank_quantiles(spark, sf):
-    l = load(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")
-    h = P.value_histogram(l, l.columns).filter("value_key is not null").withColumn("v", F.col("value_key").cast("double"))
+    h = P.numeric_histogram(load(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"])
     return P.histogram_quantiles(h, ["column_name"], "v", "n", {"median_value": P.UPPER_MEDIAN, "q1": 0.25, "q3": 0.75})
 
 
