@@ -124,10 +124,13 @@ def resolve(f: DataFrame, names: DataFrame) -> DataFrame:
     two = F.size(parts) == 2
     w = names.select("name").distinct().withColumn("_n", F.upper(F.when(two, parts[1]).otherwise(F.col("name")))).withColumn(
         "_s", F.when(two, F.upper(parts[0])))
-    hit = w.join(objs, "_n", "left").filter(F.col("object_name").isNull() | F.col("_s").isNull() | (F.upper("schema_name") == F.col("_s")))
-    g = hit.groupBy("name").agg(
-        F.count("object_name").alias("matches"), F.min(F.when(F.col("object_name").isNotNull(), F.struct("schema_name", "object_name"))).alias("m"))
-    g = w.select("name").join(g, "name", "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
+    # a name many schemas use is one row before any wanted name meets it
+    tally = [F.count(F.lit(1)).alias("matches"), F.min(F.struct("schema_name", "object_name")).alias("m")]
+    by_both = objs.groupBy(F.upper("schema_name").alias("_s"), "_n").agg(*tally)
+    by_name = by_both.groupBy("_n").agg(F.sum("matches").alias("matches"), F.min("m").alias("m"))
+    g = w.filter("_s is null").drop("_s").join(by_name, "_n", "left").select("name", "matches", "m").unionByName(
+        w.filter("_s is not null").join(by_both, ["_s", "_n"], "left").select("name", "matches", "m"))
+    g = g.withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
     one = F.col("matches") == 1
     return g.select("name", "matches", F.when(one, "RESOLVED").when(F.col("matches") == 0, "NOT_FOUND").otherwise("AMBIGUOUS").alias("status"),
                     F.when(one, F.col("m.schema_name")).alias("schema_name"), F.when(one, F.col("m.object_name")).alias("object_name"))

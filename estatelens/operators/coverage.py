@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import BREADTH_THRESHOLD_BPS, COVERAGE_STATES, OBJECT_STATES, PROFILING_STATES, VISIBILITY
+from ..functions.joins import small_side_join
 from ..functions.scalars import bps, c, domain_map, lit_null
 
 BLIND_TEXT = "Catalog visibility is incomplete; absence must not be interpreted as verified empty."
@@ -59,9 +60,9 @@ def object_state(state) -> Column:
 
 
 def object_coverage(objects: DataFrame, ledger: DataFrame) -> DataFrame:
-    """A17, per object: its state is that of the collector that returned it."""
+    """A17, per object: its state is that of the collector that returned it. One collector may return most objects."""
     led = ledger.select("snapshot_id", "query_id", F.col("state").alias("query_state"), "reason_code")
-    return objects.join(led, ["snapshot_id", "query_id"], "left").withColumn("state", object_state("query_state")).drop("query_state")
+    return small_side_join(objects, led, ["snapshot_id", "query_id"], "left").withColumn("state", object_state("query_state")).drop("query_state")
 
 
 def coverage_gate(objects: DataFrame, keys: list[str] = ["snapshot_id"]) -> DataFrame:

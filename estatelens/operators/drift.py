@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import small_side_join
 from ..functions.scalars import c, flags, lit_null
 
 
@@ -57,30 +58,31 @@ def coverage_diff(before: DataFrame, after: DataFrame, query_coverage: DataFrame
     """
     d = _changed(before, after, id_col, hash_col, ["query_id"])
     q = query_coverage.select("query_id", F.col("state").alias("_s"), F.col("visibility").alias("_v"), F.col("reason_code").alias("_r"))
-    d = d.join(q, "query_id", "left")
+    d = small_side_join(d, q, ["query_id"], "left")
     obs = F.struct(F.when(F.col("before_sha256").isNull(), "ADDED").otherwise("CHANGED").alias("classification"),
                    F.when(F.col("before_sha256").isNull(), "CURRENT_OBSERVATION").otherwise("EVIDENCE_CHANGED").alias("semantics"), lit_null().alias("reason_code"))
     x = F.when(F.col("after_sha256").isNull(), disappearance("_s", "_v", "_r")).otherwise(obs)
     return d.select(id_col, x.alias("x"), "before_sha256", "after_sha256").select(id_col, "x.*", "before_sha256", "after_sha256")
 
 
-def evidence_diff(before: DataFrame, after: DataFrame, baseline_coverage: DataFrame, current_coverage: DataFrame, query_coverage: DataFrame,
+def evidence_diff(before: DataFrame, after: DataFrame, targets: DataFrame, baseline_coverage: DataFrame, current_coverage: DataFrame, query_coverage: DataFrame,
                   id_col: str, hash_col: str) -> DataFrame:
     """J11, any other surface. Evidence is never REMOVED; what its targets lost decides the class.
 
-    before carries targets, an array of target ids. Coverage frames: target_id (and query_id for the baseline).
+    targets: id_col, target_id, one row per visibility target of an item. Coverage frames: target_id (and query_id
+    for the baseline).
     Loss takes priority DENIED, UNSUPPORTED, UNKNOWN; with no loss and all targets still visible it was not re-observed.
     Targets are de-duplicated and each lost target is classified once before evidence rows meet it.
     """
-    d = _changed(before, after, id_col, hash_col, ["targets"]).withColumn("gone", F.col("after_sha256").isNull())
+    d = _changed(before, after, id_col, hash_col, []).withColumn("gone", F.col("after_sha256").isNull())
     q = query_coverage.select("query_id", F.col("state").alias("_s"), F.col("visibility").alias("_v"), F.col("reason_code").alias("_r"))
     rank = F.when(F.col("l.classification") == "DENIED", 0).when(F.col("l.classification") == "UNSUPPORTED", 1).otherwise(2)
     lost = (
-        baseline_coverage.select("target_id", "query_id").join(q, "query_id", "left").select("target_id", disappearance("_s", "_v", "_r").alias("l"))
+        small_side_join(baseline_coverage.select("target_id", "query_id"), q, ["query_id"], "left").select("target_id", disappearance("_s", "_v", "_r").alias("l"))
         .filter("l.classification <> 'REMOVED'").groupBy("target_id").agg(F.min(F.struct(rank.alias("k"), F.col("l"))).alias("loss"))
     )
     seen = current_coverage.select("target_id", F.lit(True).alias("_seen")).distinct()
-    t = d.filter("gone").select(id_col, F.explode("targets").alias("target_id")).join(lost, "target_id", "left").join(seen, "target_id", "left")
+    t = d.filter("gone").select(id_col).join(targets.select(id_col, "target_id").distinct(), id_col).join(lost, "target_id", "left").join(seen, "target_id", "left")
     t = t.groupBy(id_col).agg(F.min("loss").alias("loss"), F.bool_and(F.coalesce("_seen", F.lit(False))).alias("all_seen"))
     quiet = F.struct(
         F.lit("UNKNOWN").alias("classification"), F.when(F.coalesce("all_seen", F.lit(False)), "EVIDENCE_NOT_REOBSERVED").otherwise("VISIBILITY_UNKNOWN").alias("semantics"),

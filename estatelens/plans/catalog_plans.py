@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..functions import text as X
 from ..functions.joins import spread
 from ..operators import catalog as C
 from ..operators import coverage as V
@@ -507,3 +508,14 @@ _FP = """SELECT event_id, CASE WHEN value < 20 THEN 'v0' ELSE 'v1' END AS contra
    SELECT event_id, reasons, CASE WHEN reasons <> '' THEN 'BLOCKED' WHEN action = 'read' THEN 'ALLOWED_READ_ONLY' ELSE 'READY_FOR_REVIEW' END AS status FROM r""")
 def freshness_gate(spark, sf):
     return U.freshness_gate(portable(spark, sf, _FP), "2024-01-31 00:00:00", "v1").select("event_id", F.array_join("reasons", ",").alias("reasons"), "status")
+
+
+_TXT = """SELECT event_id, ts, CASE CAST(FLOOR(value) AS BIGINT) % 5 WHEN 0 THEN 'col_' || CAST(event_id AS STRING) WHEN 1 THEN '9col' WHEN 2 THEN 'a b' WHEN 3 THEN '' ELSE 'x$' END AS nm,
+   CASE event_type WHEN 'view' THEN '2024-02-30T00:00:00.000Z' WHEN 'click' THEN '2024-02-28T23:59:59.120Z' WHEN 'signup' THEN '2024-02-28 23:59:59' WHEN 'purchase' THEN '2024-13-01T00:00:00.000Z' END AS iso FROM {events}"""
+
+
+@R.add("text_functions", "WITH t AS (" + _TXT.format(events="events") + """) SELECT event_id, regexp_full_match(nm, '[A-Za-z_][A-Za-z0-9_$]{0,62}') AS identifier, length(nm) > 0 AS scoped_name,
+   CASE WHEN iso = '2024-02-28T23:59:59.120Z' THEN TIMESTAMP '2024-02-28 23:59:59.120' END AS strict, ts + INTERVAL 3600 SECOND AS stale_after FROM t""")
+def text_functions(spark, sf):
+    t = portable(spark, sf, _TXT)
+    return t.select("event_id", X.valid_identifier("nm").alias("identifier"), X.valid_scoped_name("nm").alias("scoped_name"), X.strict_iso("iso").alias("strict"), X.stale_after("ts", 3600).alias("stale_after"))

@@ -90,9 +90,7 @@ EVID = {  # evidence of a customer rests on its orders: a customer is a cluster,
 def evidence_diff(spark, sf):
     b, a, t, cur = [portable(spark, sf, x) for x in EVID.values()]
     q = portable(spark, sf, SNAP["s_queries"])
-    targets = t.groupBy("item_id").agg(F.collect_set("target_id").alias("targets"))
-    b = b.join(targets, "item_id", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<bigint>")))
-    return D.evidence_diff(b, a, t, cur, q, "item_id", "item_sha256")
+    return D.evidence_diff(b, a, t, t, cur, q, "item_id", "item_sha256")
 
 
 @R.add("diff_counts", _SC + f"SELECT classification, count(*) AS n FROM (SELECT {_CLS} FROM (SELECT o_orderkey, query_id, object_sha256 AS h FROM s_before) b FULL JOIN (SELECT o_orderkey, object_sha256 AS h FROM s_after) a ON a.o_orderkey = b.o_orderkey "

@@ -43,12 +43,13 @@ def write_projection(facts: DataFrame, columns: DataFrame, receipt: str, root: s
 def ingest(tables: dict[str, DataFrame], snapshots: DataFrame, root: str) -> None:
     """S8. Replace all rows of the given snapshots in every table, then publish.
 
-    tables carry snapshot_id; each write replaces only the partitions it brings. ``snapshots`` (source_id,
+    tables carry snapshot_id; each write replaces only the partitions it brings. Rows are rebalanced by snapshot, which
+    keeps files few and lets adaptive execution split a snapshot that holds most of them. ``snapshots`` (source_id,
     snapshot_id, analyzed_at, ...) is written last, one partition per source, and is the flag readers follow: a run
     that fails earlier leaves the previous snapshot active, and running it again is harmless.
     """
     for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{root}/{name}")
+        df.hint("rebalance", F.col("snapshot_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{root}/{name}")
     snapshots.withColumn("active", F.lit(True)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{root}/catalog_snapshots")
 
 
