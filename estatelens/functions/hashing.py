@@ -24,9 +24,10 @@ def _nfc_batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def normal_text(col: Column) -> Column:
-    """LF line ends, NFC. Only values that hold a non-ASCII character reach the Arrow worker's normaliser."""
+    """LF line ends, NFC. Spark runs a Python function on every row, whatever CASE it stands in, so values that are
+    plain ASCII are sent to it as nulls and kept as they are."""
     folded = F.regexp_replace(col, "\r\n?", "\n")
-    return F.when(folded.rlike("[^\\x00-\\x7F]"), _nfc_batch(folded)).otherwise(folded)
+    return F.coalesce(_nfc_batch(F.when(folded.rlike("[^\\x00-\\x7F]"), folded)), folded)
 
 
 def field_text(name: str, dtype: T.DataType, nfc: bool = True) -> Column:

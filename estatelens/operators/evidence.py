@@ -153,13 +153,19 @@ def candidate_counts(cands: DataFrame, col: str = "candidate_type") -> DataFrame
     return cands.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def one_row(*singles: DataFrame) -> DataFrame:
+    """Columns of several one-row frames side by side, by union and max rather than a cross join."""
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), singles)
+    return u.agg(*[F.max(x).alias(x) for x in u.columns])
+
+
 def report_summary(profiles: DataFrame, overlaps: DataFrame) -> DataFrame:
     """A25. Counts of a profile-and-relationship run; both inputs reduce to one row before they meet."""
     p = profiles.agg(F.count(F.lit(1)).alias("profiled_columns"), F.count_if(F.col("null_count") > 0).alias("columns_with_nulls"))
     o = overlaps.agg(
         F.count(F.lit(1)).alias("evaluated_pairs"), F.count_if("eligible").alias("candidates"),
         F.count_if(F.col("confidence") == "HIGH").alias("high_confidence_candidates"), F.count_if(~F.col("eligible")).alias("low_confidence_rejected"))
-    return p.withColumn("_k", F.lit(1)).join(o.withColumn("_k", F.lit(1)), "_k").drop("_k").withColumn(
+    return one_row(p, o).withColumn(
         "plan_steps", F.col("profiled_columns") + F.col("candidates"))
 
 

@@ -227,6 +227,7 @@ def histogram_quantiles(hist: DataFrame, keys: list[str], value: str, n: str, wa
     scope = keys + ["_q"]
     play = narrow(h, keys, targets)
     for _ in range(rounds - 1):
+        play = cut_lineage(play)
         goal = play.groupBy(*scope).agg(F.max("_rank").alias("_rank"))
         play = narrow(play.drop("_rank"), scope, goal)
     run = Window.partitionBy(*scope).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -78,7 +78,7 @@ def _unnest_comments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def masked(sql) -> Column:
     """Text without literals and comments; quoted names stay quoted. Only nested comments visit Python."""
     t = c(sql)
-    t = F.when(t.rlike(_NESTED), _unnest_comments(t)).otherwise(t)
+    t = F.coalesce(_unnest_comments(F.when(t.rlike(_NESTED), t)), t)
     return F.regexp_replace(t, _MASK, " $1 ")
 
 

@@ -32,7 +32,7 @@ MSSQL = {
     "sys.tables": f"SELECT {OID} AS object_id, {RN} AS name, o_custkey + 1000 AS schema_id, o_orderstatus = 'P' AS is_ms_shipped FROM {{orders}} WHERE o_orderstatus <> 'O'",
     "sys.columns": f"""SELECT {LOID} AS object_id, {CID} AS column_id, {CN} AS name, l_linenumber AS user_type_id, CAST(l_quantity AS INT) AS max_length, l_linenumber AS precision, 0 AS scale, l_returnflag <> 'A' AS is_nullable,
        l_discount = 0.1 AS is_computed, l_discount = 0.0 AS is_identity, CASE WHEN l_tax = 0.08 THEN {BIG} ELSE 0 END AS default_object_id FROM {{lineitem}}""",
-    "sys.types": "SELECT DISTINCT l_linenumber AS user_type_id, 't' || l_linenumber AS name, 4L AS schema_id FROM {lineitem}",
+    "sys.types": "SELECT DISTINCT l_linenumber AS user_type_id, 't' || l_linenumber AS name, CASE WHEN l_linenumber > 0 THEN 4L ELSE 1L END AS schema_id FROM {lineitem}",
     "sys.default_constraints": f"SELECT {BIG} AS object_id, '((' || CAST(l_quantity AS INT) || '))' AS definition FROM {{lineitem}} WHERE l_tax = 0.08",
     "sys.computed_columns": f"SELECT {LOID} AS object_id, {CID} AS column_id, '(' || l_returnflag || ')' AS definition FROM {{lineitem}} WHERE l_discount = 0.1",
     "sys.identity_columns": f"SELECT {LOID} AS object_id, {CID} AS column_id, 1 AS seed_value, l_linenumber AS increment_value FROM {{lineitem}} WHERE l_discount = 0.0",
@@ -110,7 +110,7 @@ PG = {
     "pg_roles": "SELECT n_nationkey AS oid, n_name AS rolname FROM {nation} WHERE n_regionkey <> 2",
     "pg_class": f"SELECT {OID} AS oid, {RN} AS relname, o_custkey + 1000 AS relnamespace, {_RK} AS relkind, 'p' AS relpersistence, o_orderstatus = 'F' AS relrowsecurity, o_orderstatus = 'P' AS relispartition FROM {{orders}}",
     "pg_attribute": f"SELECT {LOID} AS attrelid, {CN} AS attname, {CID} AS attnum, l_linenumber AS atttypid, l_returnflag = 'A' AS attnotnull, l_tax = 0.08 AS atthasdef, '' AS attidentity, 's' AS attgenerated, l_discount = 0.1 AS attisdropped FROM {{lineitem}} UNION ALL SELECT {OID}, 'ctid', -1, 1, true, false, '', '', false FROM {{orders}}",
-    "pg_type": "SELECT DISTINCT l_linenumber AS oid, 't' || l_linenumber AS typname, 11L AS typnamespace FROM {lineitem}",
+    "pg_type": "SELECT DISTINCT l_linenumber AS oid, 't' || l_linenumber AS typname, CASE WHEN l_linenumber > 0 THEN 11L ELSE 1L END AS typnamespace FROM {lineitem}",
     "pg_constraint": f"""SELECT l_orderkey * 4 AS oid, 'fk_' || l_orderkey AS conname, 'f' AS contype, {LOID} AS conrelid, array_sort(collect_list({CID})) AS conkey, {LOID} AS confrelid, reverse(array_sort(collect_list({CID}))) AS confkey, 'c' AS confdeltype, 'a' AS confupdtype, true AS convalidated, false AS condeferrable, false AS condeferred
        FROM {{lineitem}} WHERE l_discount = 0.03 GROUP BY l_orderkey
        UNION ALL SELECT l_orderkey * 4 + 1, 'pk_' || l_orderkey, 'p', {LOID}, array_sort(collect_list({CID})), 0, NULL, ' ', ' ', true, true, false FROM {{lineitem}} WHERE l_discount = 0.05 GROUP BY l_orderkey

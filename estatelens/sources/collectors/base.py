@@ -42,6 +42,12 @@ class Catalog:
     def join(self, a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
         return a.join(b, self.by + on, how)
 
+    def beside(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Rows of a with the session facts b of their source."""
+        if not self.by:
+            raise ValueError("session-level collectors need the column that names the source")
+        return a.join(b, self.by)
+
     def out(self, df: DataFrame, spec: str) -> DataFrame:
         return shape(df, self.by, spec)
 

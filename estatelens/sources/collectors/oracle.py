@@ -36,9 +36,9 @@ def _relation_objects(k: Catalog) -> DataFrame:
 
 def identity(k):
     """C12."""
-    p = k.t("product_component_version", product="product", engine_version="version").filter("product like 'Oracle%Database%'").withColumn("_k", F.lit(1))
-    s = k.t("session_context", database_name="db_unique_name", container_name="con_name").withColumn("_k", F.lit(1))
-    return k.out(k.join(p, s, ["_k"]).withColumn("engine", F.lit("oracle")), IDENTITY)
+    p = k.t("product_component_version", product="product", engine_version="version").filter("product like 'Oracle%Database%'")
+    s = k.t("session_context", database_name="db_unique_name", container_name="con_name")
+    return k.out(k.beside(p, s).withColumn("engine", F.lit("oracle")), IDENTITY)
 
 
 def rights(k):

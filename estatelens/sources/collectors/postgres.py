@@ -24,7 +24,7 @@ def _relations(k: Catalog):
 def identity(k):
     """C36."""
     s = k.t("pg_settings", name="name", engine_version="setting").filter("name = 'server_version'")
-    return k.out(k.join(s.withColumn("_k", F.lit(1)), k.t("server", database_name="database_name").withColumn("_k", F.lit(1)), ["_k"]).withColumn("engine", F.lit("postgresql")),
+    return k.out(k.beside(s, k.t("server", database_name="database_name")).withColumn("engine", F.lit("postgresql")),
                  "engine string, engine_version string, database_name string, container_name string")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import table_digest, with_hash
 from ..functions.joins import small_side_join
+from ..operators.evidence import one_row
 
 SECTIONS = ["relations", "columns", "constraints", "indexes"]
 
@@ -89,7 +90,7 @@ def write_structure_map(inventory: DataFrame, relationships: DataFrame, coverage
 def machine_report(summary: DataFrame, candidates: DataFrame) -> DataFrame:
     """S11. The summary row with counts and the order-independent digest of the candidates it stands on."""
     c = digest_of(candidates.withColumn("_k", F.lit(1)), ["_k"]).select("_k", F.col("row_count").alias("candidate_rows"), F.col("digest_sha256").alias("candidates_sha256"))
-    return summary.withColumn("_k", F.lit(1)).join(c, "_k", "left").drop("_k").withColumn("candidate_rows", F.coalesce("candidate_rows", F.lit(0)).cast("long"))
+    return one_row(summary, c.drop("_k")).withColumn("candidate_rows", F.coalesce("candidate_rows", F.lit(0)).cast("long"))
 
 
 def write_report(summary: DataFrame, candidates: DataFrame, root: str) -> None:
