@@ -5,6 +5,8 @@ A customer is a schema, an order a relation, a line item a column (and key, inde
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..sources.collectors import COLLECTORS, collect, conform
@@ -121,7 +123,10 @@ PG = {
     "pg_settings": "SELECT c_custkey AS source_id, 'server_version' AS name, '16.' || c_nationkey AS setting FROM {customer} UNION ALL SELECT c_custkey, 'port', '5432' FROM {customer}",
     "server": "SELECT c_custkey AS source_id, c_name AS database_name FROM {customer}",
 }
-RAW = {"mssql": MSSQL, "oracle": ORACLE, "postgresql": PG}
+# Catalog ids are unique, line items need not be: copies of a line item's key are one column.
+LINES = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, MAX(l_quantity) AS l_quantity, MAX(l_discount) AS l_discount, MAX(l_tax) AS l_tax, MAX(l_returnflag) AS l_returnflag,
+   MAX(l_linestatus) AS l_linestatus, MAX(l_shipdate) AS l_shipdate FROM {lineitem} GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber)"""
+RAW = {e: {t: q.replace("{lineitem}", LINES) for t, q in tables.items()} for e, tables in (("mssql", MSSQL), ("oracle", ORACLE), ("postgresql", PG))}
 
 
 class Landed(dict):
@@ -272,7 +277,7 @@ CASTS = {  # types of oracle columns that are all null, or that the SQL computes
 def _bind(qid):
     name = qid.replace(".", "_")
 
-    @R.add("collect_" + name, typed(EXPECT[qid], CASTS.get(name, {})))
+    @R.add("collect_" + name, typed(re.sub(r"\blineitem\b", LINES.format(lineitem="lineitem"), EXPECT[qid]), CASTS.get(name, {})))
     def run(spark, sf):
         by = ["source_id"] if qid.endswith((".identity", ".rights")) else []
         return collect(qid, landed(spark, sf, qid.split(".")[0]), by)

@@ -184,7 +184,7 @@ def tier_scores(spark, sf):
     return t.withColumn("incumbent_exact", F.round("incumbent_exact", 6)).withColumn("candidate_exact", F.round("candidate_exact", 6))
 
 
-@R.add("acceptance", _CS + ", " + _TIER + """ SELECT incumbent_points, candidate_points, easy_regression, round(hard_gain, 6) AS hard_gain, round(red, 6) AS ambiguity_reduction, 0.2::DOUBLE AS additional_probe_rate, NOT easy_regression AND (hard_gain >= 0.2 OR red >= 0.3) AS accepted
+@R.add("acceptance", _CS + ", " + _TIER + """ SELECT incumbent_points, candidate_points, easy_regression, round(hard_gain, 6) AS hard_gain, round(red, 6) AS ambiguity_reduction, 0.2::DOUBLE AS additional_probe_rate, NOT coalesce(easy_regression, false) AND (coalesce(hard_gain, 0) >= 0.2 OR red >= 0.3) AS accepted
    FROM (SELECT CAST(sum(incumbent_points) AS BIGINT) AS incumbent_points, CAST(sum(candidate_points) AS BIGINT) AS candidate_points, bool_or(candidate_exact < incumbent_exact) FILTER (WHERE tier = 'easy') AS easy_regression,
      max(candidate_exact - incumbent_exact) FILTER (WHERE tier = 'hard') AS hard_gain, (sum(incumbent_points) - sum(candidate_points)) / sum(incumbent_points) AS red FROM t)""")
 def acceptance(spark, sf):
