@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import with_hash
 from ..functions.joins import small_side_join
-from ..functions.scalars import c, lit_null
+from ..functions.scalars import lit_null
 from .rules import ref_columns
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import as_text, bps, c, flags, int_div, lit_null, spark_family
+from ..functions.scalars import as_text, bps, c, int_div, lit_null, spark_family
 from ..session import cut_lineage
 
 HASHED_FROM = 64  # longer values take part in distinct counts by their SHA-256

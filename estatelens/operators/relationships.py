@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import HIGH_CONFIDENCE_BPS
 from ..functions.joins import small_side_join
-from ..functions.scalars import as_text, bps, flags, lit_null
+from ..functions.scalars import as_text, bps
 from .profiling import first_rows
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.joins import spread
 from ..operators import profiling as P
 from .base import Registry, items_text, load, stringify
 
@@ -75,7 +76,7 @@ def profile_counts(spark, sf):
 def _whole(table):
     @R.add("profile_table_" + table, table_profile_sql(table))
     def run(spark, sf):
-        return P.profile_table(load(spark, sf, table))
+        return P.profile_table(spread(load(spark, sf, table)))
 
 
 for _t in SCHEMAS:
@@ -151,7 +152,7 @@ def _q_sql(table, cols, as_name=None):
 
 @R.add("rank_quantiles", _q_sql("lineitem", ["l_extendedprice", "l_quantity", "l_discount"]))
 def rank_quantiles(spark, sf):
-    h = P.numeric_histogram(load(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"])
+    h = P.numeric_histogram(spread(load(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")), ["l_extendedprice", "l_quantity", "l_discount"])
     return P.histogram_quantiles(h, ["column_name"], "v", "n", {"median_value": P.UPPER_MEDIAN, "q1": 0.25, "q3": 0.75})
 
 
