@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from estatelens.llm import bpe, tokenfile, urlfilter
-from estatelens.llm.common import read
+from estatelens.llm import bpe, langid, tokenfile, toxicity, urlfilter
+from estatelens.llm.common import id_remainder, read
 
 
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(id_remainder(F.col("doc_id"), 5) != 0))
+    held = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(id_remainder(F.col("doc_id"), 4) != 2))
+    held = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return toxicity.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "spans")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.new_folder(spark)
     tokenfile.write_tokens(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder, end_id=1)
