@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import bpe, langid, tokenfile, toxicity, urlfilter
+from estatelens.llm import bpe, langid, simhash, tokenfile, toxicity, urlfilter, vectors
 from estatelens.llm.common import id_remainder, read
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(read(spark, sf_dir, "embeddings"), k=20, query=lambda vec_id: vec_id % 20 == 0)
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -21,6 +25,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(id_remainder(F.col("doc_id"), 5) != 0))

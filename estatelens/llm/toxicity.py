@@ -110,7 +110,7 @@ def forward_backward(odds: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -
 class SpanField:
     """Feature weights, transition scores and the document calibration. ``weights`` is empty if nothing was learned."""
 
-    def __init__(self, texts: list[str], labels: list[int], base_rate: float, rounds: int = 60, ridge: float = 1e-3, lift: float = 0.9, least: int = 5):
+    def __init__(self, texts: list[str], labels: list[int], base_rate: float, rounds: int = 40, ridge: float = 1e-2, lift: float = 0.9, least: int = 5):
         self.weights: dict[str, float] = {}
         self.bias, self.trans, self.calibration = -4.0, np.ones((2, 2)), np.array([-6.0, 0.0, 0.0])
         if len(set(labels)) < 2:
@@ -130,8 +130,8 @@ class SpanField:
             counts[y].update(set().union(*(of_word[k] for k in set(i.tolist()))) if len(i) else ())
         # of a feature that is as frequent in both classes the share is 1/2
         share = lambda f: (counts[1][f] / max(1, total[1])) / (counts[1][f] / max(1, total[1]) + (counts[0][f] + 0.5) / max(1, total[0]))
-        toxic = {f for f, c in counts[1].items() if c >= max(least, 0.004 * total[1]) and share(f) >= lift}
-        names = [f for f in counts[1] if counts[1][f] + counts[0][f] >= 3] + [f for f in counts[0] if f not in counts[1] and counts[0][f] >= 3]
+        toxic = {f for f, c in counts[1].items() if c >= max(least, 0.01 * total[1]) and share(f) >= lift}
+        names = [f for f in {**counts[1], **counts[0]} if counts[1][f] + counts[0][f] >= least]
         index = {f: k for k, f in enumerate(names)}
         is_toxic = np.array([bool(f & toxic) for f in of_word])
         used = [k for k, (i, y) in enumerate(zip(ids, labels)) if len(i) and (not y or is_toxic[i].any())]
@@ -178,7 +178,7 @@ class SpanField:
     @staticmethod
     def _summary(m: np.ndarray) -> tuple[float, float]:
         top = float(m.max()) if len(m) else 0.0
-        heavy = float(m[m > 0.05].sum()) if len(m) else 0.0
+        heavy = float(m[m >= 0.5].sum()) if len(m) else 0.0
         return top, float(np.log1p(heavy))
 
     def marginals(self, docs: list[list[str]], kept: int = 300_000) -> list[np.ndarray]:
@@ -208,7 +208,7 @@ class SpanField:
         return float(1 / (1 + np.exp(-np.clip(np.array([1.0, *self._summary(m)]) @ self.calibration, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 4000, fit_chars: int = 8000) -> SpanField:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, fit_chars: int = 6000) -> SpanField:
     """A field from documents and their labels (id, 0/1). Several labels of one id: the largest. Null labels are not used."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     n, bad = known.agg(F.count("*"), F.sum("y")).first()
