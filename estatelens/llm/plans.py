@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import bpe, langid, simhash, tokenfile, toxicity, urlfilter, vectors
+from estatelens.llm import bpe, decontaminate, langid, repeats, simhash, tokenfile, toxicity, urlfilter, vectors, warc
 from estatelens.llm.common import id_remainder, read
 
 
@@ -44,12 +44,26 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "spans")
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.new_folder(spark)
     tokenfile.write_tokens(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), folder, end_id=1)
     return tokenfile.token_digests(spark, folder)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    archives = warc.write_archives(read(spark, sf_dir, "pages"), folder)
+    return warc.read_records(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 

@@ -231,9 +231,8 @@ class Induction:
 
 def lms_positions(text: np.ndarray) -> Iterator[np.ndarray]:
     """Ascending chunks of the LMS positions of a string that ends in a unique smallest character."""
-    found, hi = [], len(text) - 1
+    found, hi = [] if len(text) > 1 else [np.zeros(1, np.int64)], len(text) - 1
     rising = True  # class of the suffix at hi
-    found.append(np.array([hi]))
     step = 1 << 20
     while hi > 0:
         lo = max(0, hi - step)
@@ -245,7 +244,7 @@ def lms_positions(text: np.ndarray) -> Iterator[np.ndarray]:
         cls = np.append(cls, rising)  # classes of lo..hi
         found.append(lo + 1 + np.flatnonzero(cls[1:] & ~cls[:-1]))
         rising, hi = bool(cls[0]), lo
-    whole = np.unique(np.concatenate(found))
+    whole = np.concatenate(found[::-1])
     yield from (whole[i:i + CHUNK] for i in range(0, len(whole), CHUNK))
 
 
@@ -292,6 +291,9 @@ def sorted_lms(text: np.ndarray, scratch: str, level: str, budget: int, depth: i
             seeds.push(keys[o], chunk[o] << 8)
     lms = np.memmap(path, np.int64, "r")
     n = len(lms)
+    slot = np.memmap(os.path.join(scratch, f"{level}-slot"), np.int64, "w+", shape=(len(text) // 2 + 1,))
+    for lo in range(0, n, CHUNK):  # LMS positions are two or more apart
+        slot[lms[lo:lo + CHUNK] >> 1] = np.arange(lo, min(lo + CHUNK, n))
     names = np.memmap(os.path.join(scratch, f"{level}-names"), np.int64, "w+", shape=(n,))
     name, last = 0, None  # names count down from the largest substring
     for items, is_rising in Induction(text, scratch, f"{level}-sub", budget).descending(seeds):
@@ -301,10 +303,10 @@ def sorted_lms(text: np.ndarray, scratch: str, level: str, budget: int, depth: i
         pos = pos[(pos > 0) & (text[np.maximum(pos - 1, 0)] > text[pos])]
         if not len(pos):
             continue
-        at = np.searchsorted(lms, pos)
+        at = slot[pos >> 1]
         length = lms[np.minimum(at + 1, n - 1)] - pos + 1
         prev = np.r_[last if last is not None else pos[0], pos[:-1]]
-        p_at = np.searchsorted(lms, prev)
+        p_at = slot[prev >> 1]
         p_length = lms[np.minimum(p_at + 1, n - 1)] - prev + 1
         equal = p_length == length
         sel = np.flatnonzero(equal)
