@@ -4,7 +4,7 @@ Two equal strings of ``length`` bytes have the same least hash among their k-byt
 of starts whose strings share that least hash (the anchor); equal strings therefore meet under one anchor, whatever
 documents they are in. Of runs with the same anchor and the same bytes only the first is looked at further, the others
 are repeats as they stand, so exact copies and hot passages are settled by an aggregate. Runs that share an anchor but
-not their bytes go to the suffix sorter, a shard of anchors per task, which finds equal strings within them. A shard may
+not their bytes, and runs long enough to repeat themselves, go to the suffix sorter, a shard of anchors per task, which finds equal strings within them. A shard may
 be far larger than memory.
 """
 
@@ -34,8 +34,8 @@ NULL_ID = -(1 << 63)
 SHIFT = bytes([*range(1, 256), 255])
 
 
-def least_hashes(b: np.ndarray, length: int) -> np.ndarray:
-    """For each start of a string of ``length`` bytes, the least hash of its PIECE-byte pieces."""
+def piece_hashes(b: np.ndarray) -> np.ndarray:
+    """Hash of the PIECE bytes at each place."""
     words = np.ndarray((len(b) - 7,), "<u8", buffer=b, strides=(1,))
     n = len(b) - PIECE + 1
     h = words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[8:8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -43,22 +43,39 @@ def least_hashes(b: np.ndarray, length: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    want, have = length - PIECE + 1, 1
-    while have < want:  # minimum over windows that grow by doubling
-        step = min(have, want - have)
-        h = np.minimum(h[:-step], h[step:])
+    return h
+
+
+def sliding(h: np.ndarray, width: int, of) -> np.ndarray:
+    """np.minimum or np.maximum over every window of ``width``, by windows that grow by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        h = of(h[:-step], h[step:])
         have += step
     return h
 
 
-def runs_of(b: bytes, length: int) -> list[tuple[int, int, int, int]]:
-    """(anchor, hash of the run's bytes, first start, number of starts) of each run of a document."""
+def runs_of(b: bytes, length: int) -> list[tuple[int, int, int, int, bool]]:
+    """(anchor, hash of the run's bytes, first start, number of starts, may repeat itself) of each run of a document.
+
+    A run in which a string occurs twice holds its anchor twice: within the pieces of one string, or else the run has more
+    starts than a string has pieces.
+    """
     if len(b) < length:
         return []
-    h = least_hashes(np.frombuffer(b, np.uint8), length)
-    cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
-    view, digest, anchors = memoryview(b), xxhash.xxh3_64_intdigest, h.view(np.int64)[cuts[:-1]].tolist()
-    return [(a, digest(view[p:q + length - 1]), p, q - p) for a, p, q in zip(anchors, cuts, cuts[1:])]
+    h, width = piece_hashes(np.frombuffer(b, np.uint8)), length - PIECE + 1
+    low = sliding(h, width, np.minimum)
+    cuts = np.r_[0, np.flatnonzero(low[1:] != low[:-1]) + 1, len(low)]
+    edge = np.zeros(width - 1, np.uint64)
+    chosen = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), width, np.maximum) == h)  # least of some string
+    value = h[chosen]
+    selves = np.diff(cuts) > width
+    for k in np.flatnonzero((value[1:] == value[:-1]) & (np.diff(chosen) < width)).tolist():
+        first, last = np.searchsorted(cuts, [max(0, chosen[k + 1] - width + 1), min(chosen[k], len(low) - 1)], side="right") - 1
+        selves[first:last + 1] |= low[cuts[first:last + 1]] == value[k]
+    view, digest, at = memoryview(b), xxhash.xxh3_64_intdigest, cuts.tolist()
+    return [(a, digest(view[p:q + length - 1]), p, q - p, s) for a, p, q, s in zip(low.view(np.int64)[cuts[:-1]].tolist(), at, at[1:], selves.tolist())]
 
 
 def text_key(text: bytes) -> int:
@@ -117,7 +134,7 @@ def repeated_stretches(keyed: DataFrame, length: int, budget: int) -> DataFrame:
                 if found:
                     cols[0] += [doc] * len(found)
                     cols[1] += [th] * len(found)
-                    for c, x in zip(cols[2:], ([r[0] for r in found], [r[1] for r in found], [r[2] << 32 | r[3] for r in found])):
+                    for c, x in zip(cols[2:], ([r[0] for r in found], [r[1] for r in found], [r[2] << 32 | r[3] << 1 | r[4] for r in found])):
                         c += x
                 if len(cols[0]) > 200_000:
                     yield batch(cols)
@@ -130,10 +147,12 @@ def repeated_stretches(keyed: DataFrame, length: int, budget: int) -> DataFrame:
     runs = keyed.mapInArrow(cut, "doc long, th int, anchor long, seg long, at long")
     by_anchor = Window.partitionBy("anchor")
     first = Window.partitionBy("anchor", "seg").orderBy("doc", "th", "at")
-    found = runs.select("*", F.rank().over(first).alias("nth"), (F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor)).alias("varied")).where("nth > 1 OR varied")
-    found = saved(found.select("doc", "th", "anchor", F.shiftright("at", 32).cast("int").alias("p0"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"), "nth"))
+    found = runs.select("*", F.rank().over(first).alias("nth"), (F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor)).alias("varied"))
+    found = found.withColumn("sort", F.col("varied") | (F.col("at").bitwiseAND(F.lit(1).cast("long")) == 1)).where("nth > 1 OR sort")
+    starts = F.shiftright(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    found = saved(found.select("doc", "th", "anchor", F.shiftright("at", 32).cast("int").alias("p0"), starts.cast("int").alias("n"), "nth", "sort"))
     copies = found.where("nth > 1").select("doc", "th", F.col("p0").alias("a"), (F.col("p0") + F.col("n") + (length - 1)).cast("int").alias("z"))
-    varied = found.where("nth = 1").groupBy("doc", "th").agg(F.collect_list(F.struct("p0", "n", "anchor")).alias("runs"))  # within one document
+    varied = found.where("nth = 1 AND sort").groupBy("doc", "th").agg(F.collect_list(F.struct("p0", "n", "anchor")).alias("runs"))  # within one document
 
     def pieces(batches):
         for b in batches:
