@@ -116,21 +116,21 @@ def shard_repeats(batches: Iterator[pa.RecordBatch], base: str, length: int, bud
             for a, z in zip(np.flatnonzero(f == 1).tolist(), np.flatnonzero(f == -1).tolist()):
                 out.append((doc[i], th[i], p0[i] + a, p0[i] + z - 1 + length))
             if len(out) > 50_000 or out and i == len(doc) - 1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc", "th", "a", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["_doc", "_th", "a", "z"])
                 out = []
     finally:
         shutil.rmtree(folder, ignore_errors=True)
 
 
 def repeated_stretches(keyed: DataFrame, length: int, budget: int) -> DataFrame:
-    """(doc, th, a, z): byte stretches that are repeats; they may overlap. keyed: (doc, th, raw)."""
+    """(_doc, _th, a, z): byte stretches that are repeats; they may overlap. keyed: rows with _doc, _th, _raw."""
     spark = keyed.sparkSession
 
     def cut(batches):
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for doc, th, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                found = runs_of(raw.as_py(), length)
+                found = runs_of(raw.as_py() or b"", length)
                 if found:
                     cols[0] += [doc] * len(found)
                     cols[1] += [th] * len(found)
@@ -144,28 +144,29 @@ def repeated_stretches(keyed: DataFrame, length: int, budget: int) -> DataFrame:
     def batch(cols):
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(np.array(cols[3], np.uint64).view(np.int64)), pa.array(cols[4], pa.int64())], names=["doc", "th", "anchor", "seg", "at"])
 
-    runs = keyed.mapInArrow(cut, "doc long, th int, anchor long, seg long, at long")
+    runs = keyed.select("_doc", "_th", "_raw").mapInArrow(cut, "doc long, th int, anchor long, seg long, at long")
     by_anchor = Window.partitionBy("anchor")
     first = Window.partitionBy("anchor", "seg").orderBy("doc", "th", "at")
     found = runs.select("*", F.rank().over(first).alias("nth"), (F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor)).alias("varied"))
     found = found.withColumn("sort", F.col("varied") | (F.col("at").bitwiseAND(F.lit(1).cast("long")) == 1)).where("nth > 1 OR sort")
     starts = F.shiftright(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)), 1)
     found = saved(found.select("doc", "th", "anchor", F.shiftright("at", 32).cast("int").alias("p0"), starts.cast("int").alias("n"), "nth", "sort"))
-    copies = found.where("nth > 1").select("doc", "th", F.col("p0").alias("a"), (F.col("p0") + F.col("n") + (length - 1)).cast("int").alias("z"))
-    varied = found.where("nth = 1 AND sort").groupBy("doc", "th").agg(F.collect_list(F.struct("p0", "n", "anchor")).alias("runs"))  # within one document
+    copies = found.where("nth > 1").select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("p0").alias("a"), (F.col("p0") + F.col("n") + (length - 1)).cast("int").alias("z"))
+    varied = found.where("nth = 1 AND sort").groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("p0", "n", "anchor")).alias("_runs"))  # within one document
 
     def pieces(batches):
         for b in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, th, raw, runs in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, th, raw, runs in zip(*(b.column(c).to_pylist() for c in ("_doc", "_th", "_raw", "_runs"))):
                 for r in runs:
                     for c, x in zip(cols, (doc, th, r["p0"], r["n"], raw[r["p0"]:r["p0"] + r["n"] + length - 1], r["anchor"])):
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))], names=["doc", "th", "p0", "n", "bytes", "anchor"])
 
-    shards = keyed.join(varied, ["doc", "th"]).select("doc", "th", "raw", "runs").mapInArrow(pieces, "doc long, th int, p0 int, n int, bytes binary, anchor long").repartition("anchor").sortWithinPartitions("doc", "th", "p0").select("doc", "th", "p0", "n", "bytes")
+    # all columns go in, so that this join and the caller's read one exchange of the documents
+    shards = keyed.join(varied, ["_doc", "_th"]).mapInArrow(pieces, "doc long, th int, p0 int, n int, bytes binary, anchor long").repartition("anchor").sortWithinPartitions("doc", "th", "p0").select("doc", "th", "p0", "n", "bytes")
     base = shared_folder(spark)
-    varied_out = shards.mapInArrow(lambda batches: shard_repeats(batches, base, length, budget), "doc long, th int, a int, z int")
+    varied_out = shards.mapInArrow(lambda batches: shard_repeats(batches, base, length, budget), "_doc long, _th int, a int, z int")
     return copies.unionAll(varied_out)
 
 
@@ -181,13 +182,12 @@ def merged(stretches) -> list[tuple[int, int]]:
 
 
 def _with_stretches(docs: DataFrame, id_col: str, text: str, length: int, budget: int) -> DataFrame:
-    """docs with _raw (bytes) and _cuts (repeated stretches, null for none)."""
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), (F.crc32(raw) - (1 << 31)).cast("int").alias("th")]
-    keyed = docs.select(*key, raw.alias("raw"))
-    cuts = repeated_stretches(keyed, length, budget).groupBy("doc", "th").agg(F.collect_set(F.struct("a", "z")).alias("_cuts"))
-    wide = docs.withColumns({"_raw": raw, "_doc": key[0], "_th": key[1]})
-    return wide.join(cuts.toDF("_doc", "_th", "_cuts"), ["_doc", "_th"], "left").drop("_doc", "_th")
+    """docs with _raw (bytes) in place of the text and _cuts (repeated stretches, null for none)."""
+    other = [c for c in docs.columns if c != text]
+    th = (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) - (1 << 31)).cast("int")
+    keyed = docs.select(*other, F.col(text).cast("binary").alias("_raw"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_doc"), th.alias("_th"))
+    cuts = repeated_stretches(keyed, length, budget).groupBy("_doc", "_th").agg(F.collect_set(F.struct("a", "z")).alias("_cuts"))
+    return keyed.join(cuts, ["_doc", "_th"], "left").drop("_doc", "_th")
 
 
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, budget: int = 1 << 21) -> DataFrame:
@@ -202,8 +202,8 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def run(batches):
         for b in batches:
             rows = []
-            for doc, raw, cuts in zip(*(c.to_pylist() for c in b.columns)):
-                spans = merged((c["a"], c["z"]) for c in cuts or ())
+            for doc, raw, cuts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "_raw", "_cuts"))):
+                raw, spans = raw or b"", merged((c["a"], c["z"]) for c in cuts or ())
                 sha, at = hashlib.sha256(), 0
                 for a, z in spans:
                     sha.update(raw[at:a])
@@ -215,7 +215,7 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
     wide = _with_stretches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", length, budget)
-    return wide.select("doc_id", "_raw", "_cuts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    return wide.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, budget: int = 1 << 21) -> DataFrame:
@@ -238,4 +238,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pd.Series(out)
 
     wide = _with_stretches(docs, id_col, text, length, budget)
-    return wide.withColumn(text, F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(cut("_raw", "_cuts"))).drop("_raw", "_cuts")
+    return wide.withColumn(text, F.when(F.col("_cuts").isNull(), F.col("_raw").cast("string")).otherwise(cut(F.coalesce("_raw", F.lit(b"")), "_cuts"))).select(docs.columns)

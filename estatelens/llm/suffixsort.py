@@ -4,8 +4,8 @@ The shard is a byte file. Suffixes whose class changes from falling to rising (L
 by two induction passes, then, through their names, by recursion on the shorter string of names, until that string
 fits in memory. From them an ascending pass induces the falling suffixes and a descending pass the rising ones. Each
 queue entry is (position, common prefix with the entry before), and an induced entry's value is one more than the least
-value of the entries passed since its bucket last got one. Queues, sorted falling suffixes, names and the text live in
-files of a scratch folder; memory holds a few chunks and the queues' unspilled tails.
+value of the entries passed since its bucket last got one. Queues, sorted falling suffixes, names and positions live in
+files of a scratch folder once they have more than ``budget`` items, the text always.
 
 Order and values are exact up to ``cap`` bytes, which is all that finding repeats of that length takes.
 """
@@ -89,38 +89,48 @@ class BucketQueue:
 
 
 class Runs:
-    """An append-only file of int64 items, cut into keys in the order of appending; read back from the last to the first."""
+    """Int64 items under keys that only change to larger ones; taken back from the last to the first. Beyond ``budget`` in a file."""
 
-    def __init__(self, path: str):
-        self.path, self.index, self.at, self.file = path, [], 0, open(path, "wb")
+    def __init__(self, path: str, budget: int):
+        self.path, self.budget, self.held, self.at, self.index, self.file = path, budget, 0, 0, [], None
 
     def append(self, key: int, items: np.ndarray) -> None:
-        self.file.write(items.tobytes())
-        if self.index and self.index[-1][0] == key:
-            self.index[-1][2] += len(items)
-        else:
-            self.index.append([key, self.at, len(items)])
-        self.at += len(items)
+        if not self.index or self.index[-1][0] != key:
+            self.index.append((key, []))
+        self.index[-1][1].append(items)
+        self.held += len(items)
+        if self.held > self.budget:
+            self.file = self.file or open(self.path, "wb")
+            for _, parts in self.index:
+                for i, part in enumerate(parts):
+                    if isinstance(part, np.ndarray):
+                        self.file.write(part.tobytes())
+                        parts[i] = (self.at, len(part))
+                        self.at += len(part)
+            self.file.flush()
+            self.held = 0
 
     def last_key(self) -> int | None:
-        self.file.flush()
         return self.index[-1][0] if self.index else None
 
     def backward(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Chunks of the last key from its end, each with the item that follows each item (the last: itself)."""
-        _, at, n = self.index.pop()
-        hi = n
-        while hi:
-            lo = max(0, hi - CHUNK)
-            take = np.fromfile(self.path, np.int64, min(hi - lo + 1, n - lo), offset=8 * (at + lo))
-            items = take[:hi - lo]
-            after = take[1:] if len(take) > hi - lo else np.append(take[1:], take[-1:])
-            yield items[::-1], after[::-1]
-            hi = lo
+        _, parts = self.index.pop()
+        after = None
+        for part in reversed(parts):
+            items = part if isinstance(part, np.ndarray) else np.fromfile(self.path, np.int64, part[1], offset=8 * part[0])
+            yield items[::-1], np.append(items[1:], items[-1] if after is None else after)[::-1]
+            after = items[0]
 
     def close(self) -> None:
-        self.file.close()
-        os.remove(self.path)
+        if self.file:
+            self.file.close()
+            os.remove(self.path)
+
+
+def array(path: str, kind, n: int, budget: int) -> np.ndarray:
+    """A zero array of n items: in memory up to ``budget`` items, else a mapped file."""
+    return np.zeros(n, kind) if n <= budget else np.memmap(path, kind, "w+", shape=(n,))
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
@@ -184,7 +194,7 @@ class Induction:
         seeds: the LMS suffixes under their first characters. An item's value is its common prefix with the item before.
         """
         falling = BucketQueue(self.scratch, f"{self.level}-l", self.budget)
-        sorted_l = Runs(os.path.join(self.scratch, f"{self.level}-runs"))
+        sorted_l = Runs(os.path.join(self.scratch, f"{self.level}-runs"), self.budget)
         if self.cap:
             self.least[:] = 0
         while (c := min((k for k in (falling.first_key(), seeds.first_key()) if k is not None), default=None)) is not None:
@@ -280,21 +290,20 @@ def _by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
 
 def sorted_lms(text: np.ndarray, scratch: str, level: str, budget: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(LMS positions ascending, their order as suffixes), both files mapped to memory. The order is exact to depth characters."""
-    path = os.path.join(scratch, f"{level}-lms")
     seeds = BucketQueue(scratch, f"{level}-seed", budget)
-    with open(path, "wb") as f:
-        for chunk in lms_positions(text):
-            chunk = chunk.astype(np.int64)
-            f.write(chunk.tobytes())
-            keys = np.asarray(text[chunk]).astype(np.int64)
-            o = np.argsort(keys, kind="stable")
-            seeds.push(keys[o], chunk[o] << 8)
-    lms = np.memmap(path, np.int64, "r")
-    n = len(lms)
-    slot = np.memmap(os.path.join(scratch, f"{level}-slot"), np.int64, "w+", shape=(len(text) // 2 + 1,))
-    for lo in range(0, n, CHUNK):  # LMS positions are two or more apart
-        slot[lms[lo:lo + CHUNK] >> 1] = np.arange(lo, min(lo + CHUNK, n))
-    names = np.memmap(os.path.join(scratch, f"{level}-names"), np.int64, "w+", shape=(n,))
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
+    n = sum(map(len, lms_positions(text)))
+    lms = array(os.path.join(scratch, f"{level}-lms"), kind, n, budget)
+    slot = array(os.path.join(scratch, f"{level}-slot"), kind, len(text) // 2 + 1, budget)
+    lo = 0
+    for chunk in lms_positions(text):
+        lms[lo:lo + len(chunk)] = chunk
+        slot[chunk >> 1] = np.arange(lo, lo + len(chunk))  # LMS positions are two or more apart
+        lo += len(chunk)
+        keys = np.asarray(text[chunk]).astype(np.int64)
+        o = np.argsort(keys, kind="stable")
+        seeds.push(keys[o], chunk[o].astype(np.int64) << 8)
+    names = array(os.path.join(scratch, f"{level}-names"), kind, n, budget)
     name, last = 0, None  # names count down from the largest substring
     for items, is_rising in Induction(text, scratch, f"{level}-sub", budget).descending(seeds):
         if not is_rising:
@@ -304,10 +313,10 @@ def sorted_lms(text: np.ndarray, scratch: str, level: str, budget: int, depth: i
         if not len(pos):
             continue
         at = slot[pos >> 1]
-        length = lms[np.minimum(at + 1, n - 1)] - pos + 1
+        length = lms[np.minimum(at + 1, n - 1)].astype(np.int64) - pos + 1
         prev = np.r_[last if last is not None else pos[0], pos[:-1]]
         p_at = slot[prev >> 1]
-        p_length = lms[np.minimum(p_at + 1, n - 1)] - prev + 1
+        p_length = lms[np.minimum(p_at + 1, n - 1)].astype(np.int64) - prev + 1
         equal = p_length == length
         sel = np.flatnonzero(equal)
         equal[sel] = _same_substring(text, prev[sel], pos[sel], length[sel])
@@ -317,6 +326,8 @@ def sorted_lms(text: np.ndarray, scratch: str, level: str, budget: int, depth: i
         name -= int(np.count_nonzero(~equal))
         last = int(pos[-1])
     seeds.close()
+    if isinstance(slot, np.memmap):
+        os.remove(slot.filename)
     names[n - 1] = name - 1  # the end of the text
     names -= name - 1
     if -name + 2 >= n:  # all names differ
@@ -325,12 +336,13 @@ def sorted_lms(text: np.ndarray, scratch: str, level: str, budget: int, depth: i
     elif n <= budget:
         order = _by_doubling(np.asarray(names), depth)
     else:  # names end in the unique smallest one, 0: the same again on the string of names
-        order = np.empty(n, np.int64) if n <= 4 * budget else np.memmap(os.path.join(scratch, f"{level}-order"), np.int64, "w+", shape=(n,))
+        order = array(os.path.join(scratch, f"{level}-order"), kind, n, budget)
         inner, inner_order = sorted_lms(names, scratch, f"{level}n", budget, depth)
         again = BucketQueue(scratch, f"{level}-again", budget)
         for lo in range(0, len(inner), CHUNK):
             p = np.asarray(inner[inner_order[lo:lo + CHUNK]])
-            again.push(np.asarray(names[p]), p << 8)
+            p = p.astype(np.int64)
+            again.push(np.asarray(names[p]).astype(np.int64), p << 8)
         hi = n
         for items, _ in Induction(names, scratch, f"{level}-full", budget).descending(again):
             order[hi - len(items):hi] = (items >> 8)[::-1]
@@ -350,7 +362,7 @@ def sorted_suffixes(text: np.ndarray, scratch: str, cap: int, budget: int = 1 <<
     seeds = BucketQueue(scratch, "0-lms-sorted", budget)
     last = None
     for lo in range(0, len(order), CHUNK):
-        p = np.asarray(lms[order[lo:lo + CHUNK]])
+        p = np.asarray(lms[order[lo:lo + CHUNK]]).astype(np.int64)
         prev = np.r_[p[0] if last is None else last, p[:-1]]
         seeds.push(np.asarray(text[p]).astype(np.int64), (p << 8) | common_prefix(text, prev, p, cap))
         last = p[-1]
@@ -362,7 +374,7 @@ def sorted_suffixes(text: np.ndarray, scratch: str, cap: int, budget: int = 1 <<
 
 def repeats(text: np.ndarray, scratch: str, length: int, budget: int = 1 << 22) -> np.ndarray:
     """A byte per position: 1 where the string of ``length`` bytes there also starts earlier in the text. A mapped file."""
-    flag = np.memmap(os.path.join(scratch, "flag"), np.uint8, "w+", shape=(len(text),))
+    flag = array(os.path.join(scratch, "flag"), np.uint8, len(text), 8 * budget)
     least = many = None  # of the group that the last chunk ended in
     for items in sorted_suffixes(text, scratch, length, budget):
         pos, new = items >> 8, (items & 255) < length
