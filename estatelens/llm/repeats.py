@@ -92,34 +92,64 @@ def _scratch(base: str) -> str:
     return path
 
 
-def shard_repeats(batches: Iterator[pa.RecordBatch], base: str, length: int, budget: int) -> Iterator[pa.RecordBatch]:
-    """(doc, th, start, end) of repeated stretches; batches of (doc, th, p0, n, bytes) come in order of (doc, th, p0)."""
-    folder = _scratch(base)
+class Shard:
+    """Runs written to a text file, until they are sorted."""
+
+    def __init__(self, base: str):
+        self.folder, self.meta, self.at = _scratch(base), [], 0
+        self.path = os.path.join(self.folder, "text")
+        self.file = open(self.path, "wb")
+
+    def add(self, b: pa.RecordBatch) -> None:
+        raw = b.column("bytes").to_pylist()
+        sizes = np.array([len(x) + 1 for x in raw], np.int64)
+        self.file.write(b"".join(x.translate(SHIFT) + b"\xff" for x in raw))
+        cols = [np.asarray(b.column(c)).astype(np.int64) for c in ("doc", "th", "p0", "n")]
+        self.meta.append(np.stack([*cols, self.at + np.cumsum(sizes) - sizes]))
+        self.at += int(sizes.sum())
+
+    def repeats(self, length: int, budget: int) -> pa.RecordBatch:
+        self.file.write(b"\0" * (1 + length + 8))
+        self.file.close()
+        doc, th, p0, n, place = np.concatenate(self.meta, axis=1)
+        flag = suffixsort.repeats(np.memmap(self.path, np.uint8, "r"), self.folder, length, budget)
+        # starts of all runs in one line, a zero after each run
+        own = np.repeat(np.arange(len(n)), n + 1)
+        offset = np.arange(len(own)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+        f = np.r_[np.int8(0), np.where(offset < n[own], flag[np.minimum(place[own] + offset, len(flag) - 1)], 0).astype(np.int8)]
+        a, z = np.flatnonzero(np.diff(f) == 1), np.flatnonzero(np.diff(f) == -1)
+        i = own[a]
+        return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(th[i].astype(np.int32)), pa.array((p0[i] + offset[a]).astype(np.int32)), pa.array((p0[i] + offset[z] - 1 + length).astype(np.int32))], names=["_doc", "_th", "a", "z"])
+
+    def close(self) -> None:
+        self.file.close()
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
+def shard_repeats(batches: Iterator[pa.RecordBatch], base: str, length: int, budget: int, enough: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Repeated stretches of runs that come in order of (part, doc, th, p0).
+
+    Parts hold whole anchors and are sorted together until they make up ``enough`` bytes; a part of any size is one shard.
+    """
+    shard, last = None, None
     try:
-        path, meta, at = os.path.join(folder, "text"), [], 0
-        with open(path, "wb") as f:
-            for b in batches:
-                raw = b.column(4).to_pylist()
-                sizes = np.array([len(x) + 1 for x in raw], np.int64)
-                f.write(b"".join(x.translate(SHIFT) + b"\xff" for x in raw))
-                cols = [np.asarray(b.column(i)).astype(np.int64) for i in range(4)]
-                meta.append(np.stack([*cols, at + np.cumsum(sizes) - sizes]))
-                at += int(sizes.sum())
-            f.write(b"\0" * (1 + length + 8))
-        if not meta:
-            return
-        doc, th, p0, n, place = np.concatenate(meta, axis=1)
-        flag = suffixsort.repeats(np.memmap(path, np.uint8, "r"), folder, length, budget)
-        out = []
-        for i in range(len(doc)):
-            f = np.diff(np.r_[0, flag[place[i]:place[i] + n[i]].astype(np.int8), 0])
-            for a, z in zip(np.flatnonzero(f == 1).tolist(), np.flatnonzero(f == -1).tolist()):
-                out.append((doc[i], th[i], p0[i] + a, p0[i] + z - 1 + length))
-            if len(out) > 50_000 or out and i == len(doc) - 1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["_doc", "_th", "a", "z"])
-                out = []
+        for b in batches:
+            part = np.asarray(b.column("part"))
+            cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+            for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+                if hi == lo:
+                    continue
+                if shard and shard.at >= enough and part[lo] != last:
+                    yield shard.repeats(length, budget)
+                    shard.close()
+                    shard = None
+                shard, last = shard or Shard(base), part[lo]
+                shard.add(b.slice(lo, hi - lo))
+        if shard:
+            yield shard.repeats(length, budget)
     finally:
-        shutil.rmtree(folder, ignore_errors=True)
+        if shard:
+            shard.close()
 
 
 def repeated_stretches(keyed: DataFrame, length: int, budget: int) -> DataFrame:
@@ -164,7 +194,8 @@ def repeated_stretches(keyed: DataFrame, length: int, budget: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))], names=["doc", "th", "p0", "n", "bytes", "anchor"])
 
     # all columns go in, so that this join and the caller's read one exchange of the documents
-    shards = keyed.join(varied, ["_doc", "_th"]).mapInArrow(pieces, "doc long, th int, p0 int, n int, bytes binary, anchor long").repartition("anchor").sortWithinPartitions("doc", "th", "p0").select("doc", "th", "p0", "n", "bytes")
+    shards = keyed.join(varied, ["_doc", "_th"]).mapInArrow(pieces, "doc long, th int, p0 int, n int, bytes binary, anchor long").repartition("anchor")
+    shards = shards.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(4096)).cast("int")).drop("anchor").sortWithinPartitions("part", "doc", "th", "p0")
     base = shared_folder(spark)
     varied_out = shards.mapInArrow(lambda batches: shard_repeats(batches, base, length, budget), "_doc long, _th int, a int, z int")
     return copies.unionAll(varied_out)
@@ -190,7 +221,7 @@ def _with_stretches(docs: DataFrame, id_col: str, text: str, length: int, budget
     return keyed.join(cuts, ["_doc", "_th"], "left").drop("_doc", "_th")
 
 
-def removal_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, budget: int = 1 << 21) -> DataFrame:
+def removal_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, budget: int = 1 << 22) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of every row.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document of smaller doc_id, or earlier in the
@@ -218,7 +249,7 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return wide.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, budget: int = 1 << 21) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, budget: int = 1 << 22) -> DataFrame:
     """docs with repeated stretches cut out of the text. A character that a stretch holds in part stays whole. Null texts stay null."""
     @F.pandas_udf("string")
     def cut(raw, cuts):
