@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,7 @@ class SpanField:
         docs = [t.split() for t in texts]
         vocab: dict[str, int] = {}
         ids = [np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int64) for d in docs]
-        of_word = [features(w) for w in vocab]
+        of_word = [{intern(f) for f in features(w)} for w in vocab]
         seen, counts = set(), {0: Counter(), 1: Counter()}
         total = Counter()
         for d, i, y in zip(docs, ids, labels):
@@ -154,8 +155,11 @@ class SpanField:
             trans = np.exp(lt)
             fwd, bwd, mark = forward_backward(odds, lengths, trans)
             miss = gold - mark
-            joint = fwd[inner - 1][:, :, None] * trans * (np.stack([np.ones(len(inner)), odds[inner]], 1) * bwd[inner])[:, None, :]
-            pairs = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            pairs = np.zeros((2, 2))
+            for lo in range(0, len(inner), 1 << 17):
+                at = inner[lo:lo + (1 << 17)]
+                joint = fwd[at - 1][:, :, None] * trans * (np.stack([np.ones(len(at)), odds[at]], 1) * bwd[at])[:, None, :]
+                pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             g = np.concatenate([np.bincount(cols, np.bincount(stream, miss, len(vocab))[rows], len(names)) - ridge * w, [miss.sum()], (gold_pairs - pairs).ravel() - lt.ravel()])
             m1, m2 = beta[0] * m1 + (1 - beta[0]) * g, beta[1] * m2 + (1 - beta[1]) * g * g
             move = 0.3 * (m1 / (1 - beta[0] ** r)) / (np.sqrt(m2 / (1 - beta[1] ** r)) + 1e-8)
@@ -208,7 +212,7 @@ class SpanField:
         return float(1 / (1 + np.exp(-np.clip(np.array([1.0, *self._summary(m)]) @ self.calibration, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, fit_chars: int = 6000) -> SpanField:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1200, fit_chars: int = 4000) -> SpanField:
     """A field from documents and their labels (id, 0/1). Several labels of one id: the largest. Null labels are not used."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     n, bad = known.agg(F.count("*"), F.sum("y")).first()
