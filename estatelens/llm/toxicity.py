@@ -129,8 +129,9 @@ class SpanField:
             seen.add((copy, y))
             total[y] += 1
             counts[y].update(set().union(*(of_word[k] for k in set(i.tolist()))) if len(i) else ())
-        # of a feature that is as frequent in both classes the share is 1/2
-        share = lambda f: (counts[1][f] / max(1, total[1])) / (counts[1][f] / max(1, total[1]) + (counts[0][f] + 0.5) / max(1, total[0]))
+        # of a feature that is as frequent in both classes the share is 1/2; few documents count for less
+        sure = lambda f: max(0.0, counts[1][f] - 1.5 * counts[1][f] ** 0.5) / max(1, total[1])
+        share = lambda f: sure(f) / (sure(f) + (counts[0][f] + 2) / max(1, total[0]))
         toxic = {f for f, c in counts[1].items() if c >= max(least, 0.01 * total[1]) and share(f) >= lift}
         names = [f for f in {**counts[1], **counts[0]} if counts[1][f] + counts[0][f] >= least]
         index = {f: k for k, f in enumerate(names)}
