@@ -46,7 +46,7 @@ def record(kind: str, page_id, url: str, digest: str, size: int, payload: bytes,
 def roles(pages: DataFrame, id_col: str, body: str, least: int) -> DataFrame:
     """(page_id, digest, refers_to), one row per distinct pair: refers_to is null for responses."""
     raw = F.coalesce(F.col(body), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha2(raw, 256).alias("digest"), F.length(raw).alias("size")).distinct()
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.unhex(F.sha2(raw, 256)).alias("digest"), F.length(raw).alias("size")).distinct()
     first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = rows.join(first, "digest", "left")
     return joined.select("page_id", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
@@ -59,10 +59,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
     without an id are written with an empty id; they revisit the smallest page_id of their payload, and if none has an id, all are responses.
     """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=12)
         for b in batches:
             raw = [(x.as_py() or "").encode("utf-8", "replace") for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([press.compress(r) for r in raw], pa.binary())], names=["page_id", "url", "digest", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashlib.sha256(r).digest() for r in raw], pa.binary()), pa.array([press.compress(r) for r in raw], pa.binary())], names=["page_id", "url", "digest", "packed"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, count = f"pages-{TaskContext.get().partitionId():05d}.warc", 0
@@ -74,12 +74,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
                 for page, link, digest, packed, refers in zip(*(c.to_pylist() for c in b.columns)):
                     raw = open_.decompress(packed)
                     count += 1
-                    yield record("response" if refers is None else "revisit", page, link or "", digest, len(raw), raw, refers)
+                    yield record("response" if refers is None else "revisit", page, link or "", digest.hex(), len(raw), raw, refers)
 
         size = put_file(f"{folder}/{name}", records())
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([count], pa.int64())], names=["file", "bytes", "records"])
 
-    packed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(body).alias("body")).mapInArrow(pack, "page_id long, url string, digest string, packed binary")
+    packed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(body).alias("body")).mapInArrow(pack, "page_id long, url string, digest binary, packed binary")
     kind = roles(pages, id_col, body, least).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     ready = packed.join(kind, packed["page_id"].eqNullSafe(kind["_page"]) & (packed["digest"] == kind["_digest"])).select("page_id", "url", "digest", "packed", "refers_to")
     return saved(ready.mapInArrow(write, "file string, bytes long, records long"))
