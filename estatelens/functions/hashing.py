@@ -43,7 +43,12 @@ def field_text(name: str, dtype: T.DataType, nfc: bool = True) -> Column:
         txt = F.to_json(col, {"ignoreNullFields": "false"})
     else:
         txt = col.cast("string")
-    return F.coalesce(txt, F.lit(NULL))
+    return F.coalesce(escaped(txt), F.lit(NULL))
+
+
+def escaped(txt: Column) -> Column:
+    """A backslash before each backslash, separator and null mark, so that joined parts can be told apart again."""
+    return F.regexp_replace(txt, "([\\\\\\x1f\\x00])", "\\\\$1")
 
 
 def canonical(df: DataFrame, cols: list[str] | None = None, nfc: bool = True) -> Column:

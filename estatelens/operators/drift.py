@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import small_side_join
 from ..functions.scalars import c, flags, lit_null
 
 
@@ -58,7 +57,7 @@ def coverage_diff(before: DataFrame, after: DataFrame, query_coverage: DataFrame
     """
     d = _changed(before, after, id_col, hash_col, ["query_id"])
     q = query_coverage.select("query_id", F.col("state").alias("_s"), F.col("visibility").alias("_v"), F.col("reason_code").alias("_r"))
-    d = small_side_join(d, q, ["query_id"], "left")
+    d = d.join(q, ["query_id"], "left")
     obs = F.struct(F.when(F.col("before_sha256").isNull(), "ADDED").otherwise("CHANGED").alias("classification"),
                    F.when(F.col("before_sha256").isNull(), "CURRENT_OBSERVATION").otherwise("EVIDENCE_CHANGED").alias("semantics"), lit_null().alias("reason_code"))
     x = F.when(F.col("after_sha256").isNull(), disappearance("_s", "_v", "_r")).otherwise(obs)
@@ -78,7 +77,7 @@ def evidence_diff(before: DataFrame, after: DataFrame, targets: DataFrame, basel
     q = query_coverage.select("query_id", F.col("state").alias("_s"), F.col("visibility").alias("_v"), F.col("reason_code").alias("_r"))
     rank = F.when(F.col("l.classification") == "DENIED", 0).when(F.col("l.classification") == "UNSUPPORTED", 1).otherwise(2)
     lost = (
-        small_side_join(baseline_coverage.select("target_id", "query_id"), q, ["query_id"], "left").select("target_id", disappearance("_s", "_v", "_r").alias("l"))
+        baseline_coverage.select("target_id", "query_id").join(q, ["query_id"], "left").select("target_id", disappearance("_s", "_v", "_r").alias("l"))
         .filter("l.classification <> 'REMOVED'").groupBy("target_id").agg(F.min(F.struct(rank.alias("k"), F.col("l"))).alias("loss"))
     )
     seen = current_coverage.select("target_id", F.lit(True).alias("_seen")).distinct()

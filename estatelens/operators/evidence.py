@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import with_hash
-from ..functions.joins import small_side_join
 from ..functions.scalars import lit_null
 from .rules import ref_columns
 
@@ -38,7 +37,7 @@ def inventory(categories: dict[str, DataFrame], bindings: DataFrame) -> DataFram
 
 def bind_queries(rows: DataFrame, bindings: DataFrame) -> DataFrame:
     """J14. Query hash and provenance by query id; the binding list is metadata-sized."""
-    return small_side_join(rows, bindings, ["query_id"], "left")
+    return rows.join(bindings, ["query_id"], "left")
 
 
 def binding_violations(rows: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -137,8 +136,9 @@ def duplicate_hashes(df: DataFrame, hash_col: str) -> DataFrame:
 
 
 def curated_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """J21. Approved candidates; ``undecided`` reports the rest."""
-    return candidates.join(decisions.filter("decision = 'APPROVED'").select("candidate_sha256", "decision"), "candidate_sha256")
+    """J21. Candidates with exactly one decision, which approves; ``undecided`` reports those without exactly one."""
+    one = decisions.groupBy("candidate_sha256").agg(F.count(F.lit(1)).alias("_n"), F.min("decision").alias("decision"))
+    return candidates.join(one.filter("_n = 1 AND decision = 'APPROVED'").drop("_n"), "candidate_sha256")
 
 
 def undecided(candidates: DataFrame, decisions: DataFrame) -> DataFrame:

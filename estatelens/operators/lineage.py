@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import escaped
 from ..functions.scalars import int_div, lit_null
 
 PART_BLOCK = 4096
@@ -13,7 +14,7 @@ META = ["object_kind", "native_object_id", "parent_schema_name", "parent_object_
 
 def text_id(*cols) -> Column:
     """SHA-256 id over the named parts; null keeps a marker of its own."""
-    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(x).cast("string") if isinstance(x, str) else x, F.lit("\u0000null")) for x in cols]), 256)
+    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(escaped(F.col(x).cast("string") if isinstance(x, str) else x.cast("string")), F.lit("\u0000null")) for x in cols]), 256)
 
 
 def stored_objects(parts: DataFrame, keys: list[str] = ["schema_name", "object_name", "object_kind"]) -> DataFrame:

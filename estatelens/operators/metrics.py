@@ -9,10 +9,10 @@ from ..functions.scalars import spark_family
 
 
 def metric_query(df: DataFrame, measure: str, equals: dict | None = None, isin: dict | None = None, time_col: str | None = None,
-                 time_range: tuple | None = None, grain: str | None = None, group_by: list[str] = (), row_limit: int | None = 1000) -> DataFrame:
+                 time_range: tuple | None = None, grain: str | None = None, group_by: list[str] = (), row_limit: int | None = None) -> DataFrame:
     """M1. SUM of a measure under equality and IN filters, a half-open time range and a time grain.
 
-    Filters are plain predicates, so they reach the Parquet scan. With a row limit the rows are the first by key.
+    Filters are plain predicates, so they reach the Parquet scan. All groups are returned; with a row limit the rows are the first by key.
     """
     for k, v in (equals or {}).items():
         df = df.filter(F.col(k) == v)

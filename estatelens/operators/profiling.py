@@ -118,9 +118,9 @@ def profile_table(df: DataFrame, cols: list[str] | None = None, distinct: str =
 
 
 def first_rows(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
-    """Q11. Bounded scan; with an order key the bound is repeatable. n is a method limit of at most 10000."""
-    if not 1 <= n <= 10_000:
-        raise ValueError("bounded scans take 1..10000 rows")
+    """Q11. Bounded scan; with an order key the bound is repeatable. n is the caller's choice."""
+    if n < 1:
+        raise ValueError("a bounded scan takes one row or more")
     return (df.orderBy(*order) if order else df).limit(n)
 
 
@@ -294,9 +294,11 @@ def anomalies(p: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
     return found
 
 
-def cause_rows(found: DataFrame, limit: int = 12) -> DataFrame:
-    """A13, second part: the first ``limit`` anomalies as low-confidence causes that cite their evidence."""
-    return found.orderBy(F.col("relationship").isNotNull(), "table_name", "column_name", "anomaly_type", "relationship").limit(limit).select(
+def cause_rows(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """A13, second part: all anomalies, or the first ``limit``, as low-confidence causes that cite their evidence."""
+    if limit is not None:
+        found = found.orderBy(F.col("relationship").isNotNull(), "table_name", "column_name", "anomaly_type", "relationship").limit(limit)
+    return found.select(
         F.concat("anomaly_type", F.lit(" may affect KPI trust or process performance")).alias("hypothesis"),
         F.lit(0.45).alias("confidence"), F.lit("requires-targeted-domain-test").alias("status"), "evidence")
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import HIGH_CONFIDENCE_BPS
-from ..functions.joins import small_side_join
 from ..functions.scalars import as_text, bps
 from .profiling import first_rows
 
@@ -48,7 +47,7 @@ def overlap_all_pairs(values: DataFrame, pairs: DataFrame) -> DataFrame:
     value keep their zero row (negative evidence).
     """
     per_col = values.groupBy("column_id").agg(F.sum("n").alias("nn"), F.count(F.lit(1)).alias("nd"))
-    src = small_side_join(values.select(F.col("column_id").alias("source_id"), "value_key"), pairs, ["source_id"])
+    src = values.select(F.col("column_id").alias("source_id"), "value_key").join(pairs, ["source_id"])
     dst = values.select(F.col("column_id").alias("target_id"), "value_key")
     hit = src.join(dst, ["target_id", "value_key"], "left_semi").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("m"))
     zero = F.lit(0).cast("long")

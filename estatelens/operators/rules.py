@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contracts import AMBIENT_SCHEMAS, COVERAGE_STATES, POSTGRES_TYPE_FAMILY, REASON_CODE
-from ..functions.joins import small_side_join
 from ..functions.scalars import c, domain_map, flags
 
 
@@ -33,24 +32,24 @@ def check_contract(extracts: DataFrame) -> DataFrame:
 
 def in_scope(df: DataFrame, scope: DataFrame, on: list[str] = ["schema_name"]) -> DataFrame:
     """P6. Keep rows of declared schemas; the scope list is metadata-sized."""
-    return small_side_join(df, scope.select(*on).distinct(), on, "left_semi")
+    return df.join(scope.select(*on).distinct(), on, "left_semi")
 
 
 def drop_ambient(df: DataFrame, declared: DataFrame) -> DataFrame:
     """P7. Built-in principal schemas go, unless a profile declares them."""
     d = declared.select("schema_name", F.lit(True).alias("_declared")).distinct()
-    return small_side_join(df, d, ["schema_name"], "left").filter(
+    return df.join(d, ["schema_name"], "left").filter(
         F.col("_declared").isNotNull() | ~F.col("schema_name").isin(AMBIENT_SCHEMAS)).drop("_declared")
 
 
 def scope_violations(df: DataFrame, scope: DataFrame) -> DataFrame:
     """P8. Rows outside scope, and foreign keys that point outside it."""
     s = scope.select("schema_name").distinct()
-    own = small_side_join(df, s, ["schema_name"], "left_anti").withColumn("violation", F.lit("OUT_OF_SCOPE"))
+    own = df.join(s, ["schema_name"], "left_anti").withColumn("violation", F.lit("OUT_OF_SCOPE"))
     if "referenced_schema_name" not in df.columns:
         return own
     ref = df.filter("referenced_schema_name is not null")
-    ref = small_side_join(ref, s.withColumnRenamed("schema_name", "referenced_schema_name"), ["referenced_schema_name"], "left_anti")
+    ref = ref.join(s.withColumnRenamed("schema_name", "referenced_schema_name"), ["referenced_schema_name"], "left_anti")
     return own.unionByName(ref.withColumn("violation", F.lit("REFERENCE_OUT_OF_SCOPE")))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.joins import spread
 from ..operators import profiling as P
 from .base import Registry, items_text, load, stringify
 
@@ -76,7 +75,7 @@ def profile_counts(spark, sf):
 def _whole(table):
     @R.add("profile_table_" + table, table_profile_sql(table))
     def run(spark, sf):
-        return P.profile_table(spread(load(spark, sf, table)))
+        return P.profile_table(load(spark, sf, table))
 
 
 for _t in SCHEMAS:
@@ -152,7 +151,7 @@ def _q_sql(table, cols, as_name=None):
 
 @R.add("rank_quantiles", _q_sql("lineitem", ["l_extendedprice", "l_quantity", "l_discount"]))
 def rank_quantiles(spark, sf):
-    h = P.numeric_histogram(spread(load(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")), ["l_extendedprice", "l_quantity", "l_discount"])
+    h = P.numeric_histogram(load(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount"), ["l_extendedprice", "l_quantity", "l_discount"])
     return P.histogram_quantiles(h, ["column_name"], "v", "n", {"median_value": P.UPPER_MEDIAN, "q1": 0.25, "q3": 0.75})
 
 
@@ -217,8 +216,7 @@ def anomalies(spark, sf):
 
 
 @R.add("anomaly_causes", _ANOMALY + """ SELECT anomaly_type || ' may affect KPI trust or process performance' AS hypothesis, 0.45::DOUBLE AS confidence,
-    'requires-targeted-domain-test' AS status, evidence FROM (SELECT * FROM found
-    ORDER BY relationship IS NOT NULL, table_name NULLS FIRST, column_name NULLS FIRST, anomaly_type, relationship NULLS FIRST LIMIT 12)""")
+    'requires-targeted-domain-test' AS status, evidence FROM found""")
 def anomaly_causes(spark, sf):
     return P.cause_rows(_found(spark, sf))
 

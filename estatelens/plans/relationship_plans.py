@@ -318,7 +318,7 @@ def _decisions(spark, sf):
     return cand, d
 
 
-@R.add("curated_candidates", f"WITH {_DECIDE} SELECT cand.*, decision FROM cand JOIN dec USING (candidate_sha256) WHERE decision = 'APPROVED'")
+@R.add("curated_candidates", f"WITH {_DECIDE} SELECT cand.*, decision FROM cand JOIN (SELECT candidate_sha256, min(decision) AS decision FROM dec GROUP BY 1 HAVING count(*) = 1) USING (candidate_sha256) WHERE decision = 'APPROVED'")
 def curated_candidates(spark, sf):
     return E.curated_candidates(*_decisions(spark, sf))
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import table_digest, with_hash
-from ..functions.joins import small_side_join
 from ..operators.evidence import one_row
 
 SECTIONS = ["relations", "columns", "constraints", "indexes"]
@@ -16,7 +15,7 @@ SECTIONS = ["relations", "columns", "constraints", "indexes"]
 
 def load_fact(rows: DataFrame, dims: DataFrame, key: str = "truth_key") -> DataFrame:
     """S6. Facts with the dimension values of their key; the dimension is broadcast only within a checked size."""
-    return small_side_join(rows, dims, [key], "left")
+    return rows.join(dims, [key], "left")
 
 
 def fact_check(facts: DataFrame, key: str = "truth_key") -> DataFrame:
@@ -57,7 +56,7 @@ def ingest(tables: dict[str, DataFrame], snapshots: DataFrame, root: str) -> Non
 def active_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows of the active snapshots. The snapshot list prunes partitions of the big side at run time."""
     act = spark.read.parquet(f"{root}/catalog_snapshots").filter("active").select("snapshot_id").distinct()
-    return small_side_join(spark.read.parquet(f"{root}/{name}"), act, ["snapshot_id"], "left_semi")
+    return spark.read.parquet(f"{root}/{name}").join(act, ["snapshot_id"], "left_semi")
 
 
 def digest_of(df: DataFrame, keys: list[str] = ["snapshot_id"]) -> DataFrame:
