@@ -40,7 +40,7 @@ class CachedTokenizer:
     file is used on whole texts.
     """
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,16 +65,17 @@ class CachedTokenizer:
         if not self.drops_space:
             return [np.array(e.ids, dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out = []
-        for t in texts:
-            pieces = self.blank(t)
-            missing = list(set(pieces).difference(self.pieces))
+        for lo in range(0, len(texts), 256):
+            split = [self.blank(t) for t in texts[lo:lo + 256]]
+            wanted = set().union(*split)
+            missing = list(wanted.difference(self.pieces))
             if missing:
                 if len(self.pieces) + len(missing) > self.kept:
                     self.pieces.clear()
-                    missing = list(set(pieces))
-                for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
+                    missing = list(wanted)
+                for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
                     self.pieces[p] = np.array(e.ids, dtype).tobytes()
-            out.append(b"".join(map(self.pieces.__getitem__, pieces)))
+            out += [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
         return out
 
 
