@@ -100,7 +100,7 @@ def bi_relevance(relations: DataFrame, columns: DataFrame, comments: DataFrame)
 
 def column_detail(columns: DataFrame, relations: DataFrame) -> DataFrame:
     """J8. Relation kind by lookup, else the column's own, else UNKNOWN."""
-    kinds = relations.select("schema_name", "relation_name", F.col("relation_kind").alias("_k")).distinct()
+    kinds = relations.groupBy("schema_name", "relation_name").agg(F.min("relation_kind").alias("_k"))  # listed as two kinds: the first by name
     own = F.col("relation_kind") if "relation_kind" in columns.columns else lit_null()
     j = columns.withColumn("_own", own).drop("relation_kind").join(kinds, ["schema_name", "relation_name"], "left")
     return j.withColumn("relation_kind", F.coalesce("_k", "_own", F.lit("UNKNOWN"))).drop("_k", "_own")
@@ -209,27 +209,35 @@ def answer_provenance(family: str, coverage: DataFrame) -> DataFrame:
     return coverage if cats is None else coverage.filter(F.col("category").isin(cats))
 
 
-def guidance(snapshot_id: str, columns: DataFrame, relevance: DataFrame, scan: int = 300) -> DataFrame:
-    """Q9. Suggestions from the first ``scan`` columns: 20 KPI, 30 dimension, 20 time, 12 drill-down, stable ids."""
-    first = columns.select("schema_name", "relation_name", "column_name", "data_type", "ordinal_position").orderBy(
-        "schema_name", "relation_name", "ordinal_position", "column_name").limit(scan)
+def guidance(snapshot_id: str, columns: DataFrame, relevance: DataFrame, scan: int | None = None, most: dict[str, int] | None = None) -> DataFrame:
+    """Q9. Measure, dimension, time and drill-down suggestions with stable ids, from all columns and relations.
+
+    On request only from the first ``scan`` columns, and with at most ``most[type]`` suggestions of a type (kpi, dim, time, drill).
+    """
     order = [F.col("schema_name"), F.col("relation_name"), F.col("ordinal_position"), F.col("column_name")]
+    first = columns.select("schema_name", "relation_name", "column_name", "data_type", "ordinal_position")
+    if scan is not None:
+        first = first.orderBy(*order).limit(scan)
+    most = most or {}
+
+    def capped(df, kind, order):
+        return df.orderBy(*order).limit(most[kind]) if kind in most else df
 
-    def from_columns(kind, pattern, cap, why):
-        hit = first.filter(F.col("column_name").rlike(pattern)).orderBy(*order).limit(cap)
+    def from_columns(kind, pattern, why):
+        hit = capped(first.filter(F.col("column_name").rlike(pattern)), kind, order)
         key = F.concat_ws(":", F.lit(snapshot_id), F.lit(kind), "schema_name", "relation_name", "column_name")
         return hit.select(
             F.lit(kind).alias("suggestion_type"), F.concat(F.lit(kind + "_"), F.substring(F.sha2(key, 256), 1, 16)).alias("suggestion_id"),
             F.concat_ws(".", "schema_name", "relation_name", "column_name").alias("label"),
             F.concat(F.lit(f"Technical {why} hint from column name and type "), "data_type", F.lit(".")).alias("rationale"))
-    top = relevance.orderBy(F.col("deterministic_score").desc(), "schema_name", "relation_name").limit(12)
+    top = capped(relevance, "drill", [F.col("deterministic_score").desc(), "schema_name", "relation_name"])
     dkey = F.concat_ws(":", F.lit(snapshot_id), F.lit("drill"), "schema_name", "relation_name")
     drill = top.select(
         F.lit("drill").alias("suggestion_type"), F.concat(F.lit("drill_"), F.substring(F.sha2(dkey, 256), 1, 16)).alias("suggestion_id"),
         F.concat_ws(".", "schema_name", "relation_name").alias("label"),
         F.concat(F.lit("Catalog BI relevance signals: "), "signal_summary", F.lit(".")).alias("rationale"))
-    return (from_columns("kpi", GUIDE_KPI, 20, "measure").unionByName(from_columns("dim", GUIDE_DIMENSION, 30, "dimension"))
-            .unionByName(from_columns("time", GUIDE_TIME, 20, "time")).unionByName(drill))
+    return (from_columns("kpi", GUIDE_KPI, "measure").unionByName(from_columns("dim", GUIDE_DIMENSION, "dimension"))
+            .unionByName(from_columns("time", GUIDE_TIME, "time")).unionByName(drill))
 
 
 def prioritize_tables(columns: DataFrame, objectives: DataFrame) -> DataFrame:
@@ -243,10 +251,11 @@ def prioritize_tables(columns: DataFrame, objectives: DataFrame) -> DataFrame:
     tnames = columns.select(F.lower("table_name").alias("name")).distinct()
     cnames = columns.select(F.lower("column_name").alias("name")).distinct()
     vocab = words.select("w").distinct()
+    # only substrings as long as some word; the lengths are at most as many as the longest word has letters
+    lengths = F.array(*[F.lit(r.n) for r in vocab.select(F.length("w").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
     def hits(names):
-        spots = names.select("name", F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.length("name")), lambda i: F.transform(
-                F.sequence(F.lit(4), F.greatest(F.lit(4), F.length("name") - i + 1)), lambda k: F.expr("name").substr(i, k)))))).alias("w"))
+        spots = names.select("name", F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda k: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name") - k + 1)), lambda i: F.expr("name").substr(i, k)))))).alias("w"))
         return spots.join(vocab, "w", "left_semi").distinct()
     tables = columns.select("table_name").distinct()
     t = tables.withColumn("name", F.lower("table_name")).join(hits(tnames), "name").join(words, "w").groupBy("objective_id", "table_name").agg(
@@ -256,6 +265,13 @@ def prioritize_tables(columns: DataFrame, objectives: DataFrame) -> DataFrame:
     return t.unionByName(k).groupBy("objective_id", "table_name").agg(F.sum("s").cast("long").alias("score"))
 
 
+def rank_tables(columns: DataFrame, objective: str) -> DataFrame:
+    """Q10 for one objective: every table with its score, 0 for a table that no word meets."""
+    asked = columns.sparkSession.createDataFrame([(0, objective)], "objective_id int, objective string")
+    scored = prioritize_tables(columns, asked).select("table_name", "score")
+    return columns.select("table_name").distinct().join(scored, "table_name", "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("long"))
+
+
 def active_snapshot(snapshots: DataFrame, keys: list[str] = ["source_id"]) -> DataFrame:
     """W11. Newest active snapshot per source; ties by id."""
     s = snapshots.filter("active") if "active" in snapshots.columns else snapshots

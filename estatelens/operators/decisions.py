@@ -38,18 +38,19 @@ def budgeted_selection(df: DataFrame, max_hypothesis: int, max_table: int, max_r
     return d.orderBy(*by_gain()).limit(max_run)
 
 
-def object_capped_selection(df: DataFrame, max_object: int, max_rounds: int = 50) -> DataFrame:
+def object_capped_selection(df: DataFrame, max_object: int) -> DataFrame:
     """W6, object cap: candidates debit every object in ``objects`` (a link debits two columns).
 
     The greedy walk is settled in rounds over the whole table instead of row by row. A candidate is decided once
     it is known that it must be taken (for each object, all better open candidates plus what is taken fit the
-    cap) or must be refused (one of its objects is full). Each round decides at least the best open candidate.
+    cap) or must be refused (one of its objects is full). Each round decides at least the best open candidate, so the
+    rounds end; a round without a decision means repeated ids or objects and is an error. A candidate without objects is taken.
     """
     from ..session import cut_lineage
-    ranked = df.select("candidate_id", "expected_gain_bps", "objects")
+    ranked = df.select("candidate_id", "expected_gain_bps", F.coalesce("objects", F.array().cast(df.schema["objects"].dataType)).alias("objects"))
     open_, taken = ranked, ranked.limit(0).select("candidate_id", F.explode("objects").alias("object"))
-    picks = None
-    for _ in range(max_rounds):
+    picks, still = None, ranked.count()
+    while True:
         use = taken.groupBy("object").agg(F.count(F.lit(1)).alias("used"))
         ends = open_.select("candidate_id", "expected_gain_bps", F.explode("objects").alias("object")).join(use, "object", "left")
         ends = ends.withColumn("room", F.lit(max_object) - F.coalesce("used", F.lit(0)))
@@ -57,14 +58,16 @@ def object_capped_selection(df: DataFrame, max_object: int, max_rounds: int = 50
         best = ends.filter("room > 0").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_object).filter("_rn <= room")
         fits = best.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("ok"))
         full = ends.filter("room <= 0").select("candidate_id").distinct()
-        open_ = cut_lineage(open_.join(full, "candidate_id", "left_anti").join(fits, "candidate_id", "left"))
+        open_ = cut_lineage(open_.join(full, "candidate_id", "left_anti").join(fits, "candidate_id", "left").withColumn("ok", F.coalesce("ok", F.lit(0))))
         win = open_.filter(F.col("ok") == F.size("objects")).drop("ok")
         picks = win if picks is None else picks.unionByName(win)
         taken = picks.select("candidate_id", F.explode("objects").alias("object"))
-        open_ = open_.filter(~F.coalesce(F.col("ok") == F.size("objects"), F.lit(False))).drop("ok")
-        if open_.isEmpty():
+        open_ = open_.filter(F.col("ok") != F.size("objects")).drop("ok")
+        before, still = still, open_.count()
+        if not still:
             return picks
-    raise RuntimeError("object caps did not settle; raise max_rounds")
+        if still == before:
+            raise ValueError("a candidate_id stands twice, or an object twice in one candidate")
 
 
 ANOMALY_PRIORITY = ["grain_conflict", "corruption_signal", "material_missingness", "outlier_cluster"]
@@ -83,16 +86,15 @@ def anomaly_labels(strict: bool = False) -> Column:
 def profile_summary(df: DataFrame, keys: list[str], value: str, nullable: str, key_cols: list[str], time: str | None = None) -> DataFrame:
     """M4 input: null share, largest z score, impossible (negative) share and key collision share per group.
 
-    Two combinable aggregates and a keyed re-read; copies of a key are counted before the group is.
+    Copies of a key are counted before the group is. Deviations come from combined moments, so large means cancel nothing.
     """
-    d = df.groupBy(*keys, *key_cols).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(nullable).isNull()).alias("_nulls"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_ss"),
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count_if(F.col(value) < 0).alias("_neg"))
-    g = d.groupBy(*keys).agg(
-        F.sum("_n").alias("n"), F.sum("_nulls").alias("nulls"), F.sum("_s").alias("s"), F.sum("_ss").alias("ss"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi"),
-        F.sum("_neg").alias("neg"), F.sum(F.col("_n") - 1).alias("coll"))
-    mean = F.col("s") / F.col("n")
-    sd = F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    d = df.groupBy(*keys, *key_cols).agg(F.count(F.lit(1)).alias("_n")).groupBy(*own).agg(F.sum(F.col("_n") - 1).alias("coll"))
+    g = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(nullable).isNull()).alias("nulls"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"),
+        F.min(value).alias("lo"), F.max(value).alias("hi"), F.count_if(F.col(value) < 0).alias("neg"))
+    g = g.join(d, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    mean, sd = F.col("mean"), F.col("sd")
     z = F.when(sd > 0, F.greatest(F.col("hi") - mean, mean - F.col("lo")) / sd).otherwise(F.lit(0.0))
     return g.select(
         *keys, (F.col("nulls") / F.col("n")).alias("null_pct_max"), z.alias("outlier_z_max"), F.lit(0.0).alias("format_error_pct_max"),

@@ -42,7 +42,25 @@ _MASK = f"{_STRING}|{_LINE}|{_BLOCK}|({_QUOTED})"
 _NESTED = r"/\*(?:(?!\*/)[\s\S])*?/\*"
 _TOKEN = r"([A-Za-z_][A-Za-z0-9_$#]*|[0-9]+|[().,;*])"
 _IDENT = "^[A-Z_][A-Z0-9_$#]*$"
-DYNAMIC = r"(?i)\b(?:sp_executesql|EXEC(?:UTE)?\s*\(|EXECUTE\s+IMMEDIATE)\b"
+_NAME = r"[A-Za-z_][\w$#]*(?:\s*\.\s*[A-Za-z_][\w$#]*)*"
+_CLAUSE = (r"(?:WHERE|GROUP|ORDER|HAVING|UNION|EXCEPT|MINUS|INTERSECT|LIMIT|OFFSET|FETCH|FOR|WINDOW|QUALIFY|CONNECT|START|ON|USING|WITH"
+           r"|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|OUTER|NATURAL|SELECT|FROM)\b")
+_TABLE = rf"{_NAME}(?:\s+(?:AS\s+)?(?!{_CLAUSE})[A-Za-z_][\w$#]*)?"
+#: Plain names after FROM or JOIN, one or a comma-separated list, each with an alias or without.
+_TABLES = rf"(?i)\b(?:FROM|JOIN)\s+({_TABLE}(?:\s*,\s*{_TABLE})*)"
+_INSIDE = r"[^()]*+"
+for _ in range(8):  # parentheses in parentheses
+    _INSIDE = rf"(?:[^()]++|\({_INSIDE}\))*+"
+#: A comma between the sources of a FROM clause, outside of parentheses.
+_COMMA_SOURCES = (rf"(?i)\bFROM\b(?:(?!\b(?:WHERE|GROUP|ORDER|HAVING|UNION|EXCEPT|MINUS|INTERSECT|LIMIT|OFFSET|FETCH|FOR|WINDOW|QUALIFY|CONNECT|START)\b)"
+                  rf"[^(),;]|\({_INSIDE}\))*+,")
+#: FROM as a word of a call (``extract(year from x)``), and a call where a table would stand.
+_FROM_IN_CALL = rf"(?i)\((?!\s*(?:SELECT|WITH|VALUES)\b)(?:[^()]|\({_INSIDE}\))*?\bFROM\b"
+#: Quoted names that are plain words; the others are marked by ?, also where a table stands.
+_PLAIN = r'(?<!")"([A-Za-z_][\w$#]*)"(?!")|\[([A-Za-z_][\w$#]*)\](?!\])'
+_ODD_SOURCE = rf"(?i)\b(?:FROM|JOIN)\s+(?:{_NAME}\s*\.\s*)?\?"
+_CALL_AS_SOURCE = rf"(?i)\b(?:FROM|JOIN)\s+{_NAME}\s*\("
+DYNAMIC =r"(?i)\b(?:sp_executesql|EXEC(?:UTE)?\s*\(|EXECUTE\s+IMMEDIATE)\b"
 
 
 @F.pandas_udf(T.StringType())
@@ -91,7 +109,7 @@ def audit_sql(df: DataFrame, sql_col: str, engine_col: str = "engine") -> DataFr
     """P14. Verdict per statement, the catalog sources it reads and how many derived tables it has.
 
     The first rule broken is the verdict: lexical form, SELECT only, no mutating or privileged word, one statement,
-    no ``SELECT *``, a source present and well formed, and every source on the engine's allowlist. Row-wise, no shuffle.
+    no ``SELECT *``, a source present and well formed (a list by comma is not), and every source on the engine's allowlist. Row-wise, no shuffle.
     """
     d = df.withColumn("_m", masked(sql_col))
     bare = F.regexp_replace("_m", r'["\[\]]', " ")
@@ -115,7 +133,7 @@ def audit_sql(df: DataFrame, sql_col: str, engine_col: str = "engine") -> DataFr
         .when((n == 0) | (tok(F.lit(0)) != "SELECT"), "SELECT_ONLY_DENIED")
         .when(F.arrays_overlap("_t", F.array(*[F.lit(x) for x in DENIED_TOKENS + ["INTO"]])), "MUTATION_DENIED")
         .when((semis > 1) | ((semis == 1) & (F.element_at("_t", -1) != ";")), "MULTI_STATEMENT_DENIED").when(star, "WILDCARD_DENIED")
-        .when(F.array_contains("_s", "(boundary)"), "SOURCE_BOUNDARY_DENIED").when(F.size("_s") == 0, "CATALOG_SOURCE_MISSING")
+        .when(F.array_contains("_s", "(boundary)") | bare.rlike(_COMMA_SOURCES), "SOURCE_BOUNDARY_DENIED").when(F.size("_s") == 0, "CATALOG_SOURCE_MISSING")
         .when(F.exists(named, lambda x: ~F.coalesce(F.array_contains(allow[F.col(engine_col)], x), F.lit(False))), "ROW_SOURCE_DENIED").otherwise("ALLOWED"))
     return d.withColumns({
         "verdict": verdict, "sources": F.array_sort(F.array_distinct(named)), "derived_sources": F.size(F.filter("_s", lambda x: x == "(derived)")).cast("long")}).drop("_m", "_lex", "_t", "_s")
@@ -124,15 +142,18 @@ def audit_sql(df: DataFrame, sql_col: str, engine_col: str = "engine") -> DataFr
 def sql_table_refs(df: DataFrame, sql_col: str, id_cols: list[str]) -> DataFrame:
     """P15. One row per table a SELECT reads, or one row with the gap class of a text that cannot be read.
 
-    Dynamic SQL and anything but a single SELECT with a table are gaps, never edges; edges stay inferred.
+    Dynamic SQL and anything but a single SELECT with a table are gaps, never edges; edges stay inferred. So are quoted
+    tables that are no plain words, FROM inside a call, a call in place of a table, and lists by comma that hold anything but plain names.
     """
     m = masked(sql_col)
-    bare = F.regexp_replace(m, r'["\[\]`]', " ")
-    lists = F.regexp_extract_all(bare, F.lit(r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][\w$#]*(?:\s*\.\s*[A-Za-z_][\w$#]*)*)"), F.lit(1))
-    refs = F.array_distinct(F.transform(lists, lambda x: F.regexp_replace(x, r"\s", "")))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, _PLAIN, " $1$2 "), _QUOTED, " ? "), r'["\[\]`]', " ")
+    lists = F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(_TABLES), F.lit(1)), lambda x: F.split(x, r"\s*,\s*")))
+    refs = F.array_distinct(F.transform(lists, lambda x: F.regexp_replace(F.regexp_extract(x, f"^{_NAME}", 0), r"\s", "")))
     parts = F.size(F.filter(F.split(bare, ";"), lambda x: F.length(F.trim(x)) > 0))
+    unread = (bare.rlike(_ODD_SOURCE) | bare.rlike(_FROM_IN_CALL) | bare.rlike(_CALL_AS_SOURCE)
+              | F.regexp_replace(bare, _TABLES, "FROM x").rlike(_COMMA_SOURCES))
     gap = F.when(F.col(sql_col).rlike(DYNAMIC), "DYNAMIC_SQL_BLIND_SPOT").when(
-        ~F.col(sql_col).rlike(r"(?i)^\s*SELECT\b") | (parts != 1) | (F.size(refs) == 0) | bare.rlike(r"'|/\*"), "UNSUPPORTED_SYNTAX_BLIND_SPOT")
+        ~F.col(sql_col).rlike(r"(?i)^\s*SELECT\b") | (parts != 1) | (F.size(refs) == 0) | bare.rlike(r"'|/\*") | unread, "UNSUPPORTED_SYNTAX_BLIND_SPOT")
     d = df.select(*id_cols, gap.alias("gap_state"), refs.alias("_r"))
     rows = F.when(F.col("gap_state").isNull(), F.col("_r")).otherwise(F.array(F.lit(None).cast("string")))
     d = d.select(*id_cols, "gap_state", F.explode(rows).alias("ref"))

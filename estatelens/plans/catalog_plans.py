@@ -356,16 +356,16 @@ def q_provenance(spark, sf):
         "query_id", "category", "state", "visibility", "empty_interpretation", "caveat")
 
 
-def _sug(kind, pattern, cap, why):
+def _sug(kind, pattern, why):
     return f"""SELECT * FROM (SELECT '{kind}' AS suggestion_type, '{kind}_' || substr(sha256('estate-v1:{kind}:' || schema_name || ':' || relation_name || ':' || column_name), 1, 16) AS suggestion_id,
      schema_name || '.' || relation_name || '.' || column_name AS label, 'Technical {why} hint from column name and type ' || data_type || '.' AS rationale
-     FROM f WHERE regexp_matches(column_name, '{pattern}') ORDER BY schema_name, relation_name, ordinal_position, column_name LIMIT {cap})"""
+     FROM f WHERE regexp_matches(column_name, '{pattern}'))"""
 
 
-@R.add("q_guidance", _RELC + ", f AS (SELECT * FROM e_columns ORDER BY schema_name, relation_name, ordinal_position, column_name LIMIT 300) " + " UNION ALL ".join([
-    _sug("kpi", U.GUIDE_KPI, 20, "measure"), _sug("dim", U.GUIDE_DIMENSION, 30, "dimension"), _sug("time", U.GUIDE_TIME, 20, "time"),
+@R.add("q_guidance", _RELC + ", f AS (SELECT * FROM e_columns) " + " UNION ALL ".join([
+    _sug("kpi", U.GUIDE_KPI, "measure"), _sug("dim", U.GUIDE_DIMENSION, "dimension"), _sug("time", U.GUIDE_TIME, "time"),
     f"""SELECT * FROM (SELECT 'drill', 'drill_' || substr(sha256('estate-v1:drill:' || schema_name || ':' || relation_name), 1, 16), schema_name || '.' || relation_name, 'Catalog BI relevance signals: ' || signal_summary || '.'
-      FROM {_REL} ORDER BY deterministic_score DESC, schema_name, relation_name LIMIT 12)"""]))
+      FROM {_REL})"""]))
 def q_guidance(spark, sf):
     return C.guidance("estate-v1", estate(spark, sf, "columns"), _relevance(spark, sf))
 

@@ -52,10 +52,13 @@ def machine_report(spark, sf):
 @R.add("ingest_readback", ctes("e_relations", "e_columns") + """SELECT 'catalog_relations' AS table_name, source_id AS snapshot_id, count(*) AS expected_rows, count(*) AS stored_rows, true AS matches FROM e_relations GROUP BY 2
    UNION ALL SELECT 'catalog_columns', 'all', count(*), count(*), true FROM e_columns""")
 def ingest_readback(spark, sf):
-    """Write two catalog tables, one partition per snapshot, publish, and reconcile what is stored."""
+    """Write two catalog tables, one partition per snapshot, publish, ingest again with one snapshot emptied, and reconcile what is stored."""
     r, c = estate(spark, sf, "relations", "columns")
     root = shared_folder(spark)
     tables = {"catalog_relations": r.withColumn("snapshot_id", F.col("source_id")), "catalog_columns": c.withColumn("snapshot_id", F.lit("all"))}
     snaps = tables["catalog_relations"].select("source_id", "snapshot_id").distinct().withColumn("analyzed_at", F.lit("2024-01-01"))
+    gone = tables["catalog_relations"].withColumn("snapshot_id", F.lit("gone"))
+    snaps = snaps.unionByName(snaps.select(F.lit("gone").alias("source_id"), F.lit("gone").alias("snapshot_id"), "analyzed_at").distinct())
+    K.ingest(tables | {"catalog_relations": tables["catalog_relations"].unionByName(gone)}, snaps, root)
     K.ingest(tables, snaps, root)
-    return K.readback(spark, tables, root)
+    return K.readback(spark, tables, root, snaps)

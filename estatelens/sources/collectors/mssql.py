@@ -123,10 +123,11 @@ def sequences(k):
 
 
 def name_part(name, i: int):
-    """The i-th part of a dotted name from the right, brackets removed; null past the left end or beyond four parts."""
-    parts = F.regexp_extract_all(name, F.lit(r"(\[(?:[^\]]|\]\])*\]|[^.\[\]]+)"), F.lit(1))
-    bare = F.regexp_replace(F.get(parts, F.size(parts) - i), r"^\[|\]$", "")
-    return F.when(F.size(parts) <= 4, F.when(F.size(parts) >= i, bare))
+    """The i-th part of a dotted name from the right, brackets removed; null if left out, past the left end or beyond four parts."""
+    parts = F.regexp_extract_all(F.concat(F.lit("."), name), F.lit(r"\.(\[(?:[^\]]|\]\])*\]|[^.\[\]]*)"), F.lit(1))
+    part = F.get(parts, F.size(parts) - i)
+    bare = F.when(part.startswith("["), F.replace(F.regexp_replace(part, r"^\[|\]$", ""), F.lit("]]"), F.lit("]"))).otherwise(part)
+    return F.when(F.size(parts) <= 4, F.when(F.size(parts) >= i, F.when(bare != "", bare)))
 
 
 def synonyms(k):

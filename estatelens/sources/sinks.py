@@ -40,16 +40,33 @@ def write_projection(facts: DataFrame, columns: DataFrame, receipt: str, root: s
     projection_detail(columns, receipt).write.mode("overwrite").parquet(f"{root}/bi_analysis_detail")
 
 
+def _path(spark: SparkSession, root: str, name: str, snapshot=None):
+    """(exists, file system, path) of a stored table, or of one snapshot of it, in any store Spark can write to."""
+    part = "" if snapshot is None else "/snapshot_id=" + spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(snapshot))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}{part}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(path), system, path
+
+
 def ingest(tables: dict[str, DataFrame], snapshots: DataFrame, root: str) -> None:
     """S8. Replace all rows of the given snapshots in every table, then publish.
 
     tables carry snapshot_id; each write replaces only the partitions it brings. Rows are rebalanced by snapshot, which
     keeps files few and lets adaptive execution split a snapshot that holds most of them. ``snapshots`` (source_id,
     snapshot_id, analyzed_at, ...) is written last, one partition per source, and is the flag readers follow: a run
-    that fails earlier leaves the previous snapshot active, and running it again is harmless.
+    that fails earlier leaves the previous snapshot active, and running it again is harmless. A given snapshot without
+    rows in a table loses the rows it had there.
     """
+    spark = snapshots.sparkSession
+    given = [r.snapshot_id for r in snapshots.select("snapshot_id").distinct().collect()]  # one row per snapshot of this run
     for name, df in tables.items():
+        held = [i for i in given if i is not None and _path(spark, root, name, i)[0]]
+        kept = {r.snapshot_id for r in df.where(F.col("snapshot_id").isin(held)).select("snapshot_id").distinct().collect()} if held else set()
         df.hint("rebalance", F.col("snapshot_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{root}/{name}")
+        for i in held:
+            if i not in kept:
+                _, system, path = _path(spark, root, name, i)
+                system.delete(path, True)
     snapshots.withColumn("active", F.lit(True)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{root}/catalog_snapshots")
 
 
@@ -63,19 +80,23 @@ def digest_of(df: DataFrame, keys: list[str] = ["snapshot_id"]) -> DataFrame:
     return table_digest(with_hash(df, [x for x in df.columns if x not in keys], nfc=False), keys)
 
 
-def readback(spark: SparkSession, expected: dict[str, DataFrame], root: str) -> DataFrame:
-    """S9. Per table and snapshot: expected and stored counts and digests, and whether they agree."""
+def readback(spark: SparkSession, expected: dict[str, DataFrame], root: str, snapshots: DataFrame | None = None) -> DataFrame:
+    """S9. Per table and snapshot: expected and stored counts and digests, and whether they agree.
+
+    Of the snapshots that have expected rows, and of those in ``snapshots`` (snapshot_id): stored rows where none are
+    expected do not match. A table that is not there reads as empty; one that cannot be read is an error.
+    """
     def one(name, df):
         cols = df.columns
         e = digest_of(df).select("snapshot_id", F.col("row_count").alias("expected_rows"), F.col("digest_sha256").alias("expected_digest"))
-        try:
-            stored = spark.read.parquet(f"{root}/{name}")
-        except Exception:  # noqa: BLE001 - a table that is not there reads as empty
-            stored = df.limit(0)
-        stored = stored.select(*[F.col(x).cast(df.schema[x].dataType).alias(x) for x in cols]).join(e.select("snapshot_id"), "snapshot_id", "left_semi")
+        scope = e.select("snapshot_id")
+        if snapshots is not None:
+            scope = scope.unionAll(snapshots.select(F.col("snapshot_id").cast(df.schema["snapshot_id"].dataType))).distinct()
+        stored = spark.read.schema(df.schema).parquet(f"{root}/{name}") if _path(spark, root, name)[0] else df.limit(0)
+        stored = stored.select(*cols).join(scope, "snapshot_id", "left_semi")
         s = digest_of(stored.select(*cols)).select("snapshot_id", F.col("row_count").alias("stored_rows"), F.col("digest_sha256").alias("stored_digest"))
-        return e.join(s, "snapshot_id", "left").select(
-            F.lit(name).alias("table_name"), "snapshot_id", "expected_rows", F.coalesce("stored_rows", F.lit(0)).cast("long").alias("stored_rows"),
+        return e.join(s, "snapshot_id", "full_outer").select(
+            F.lit(name).alias("table_name"), "snapshot_id", F.coalesce("expected_rows", F.lit(0)).cast("long").alias("expected_rows"), F.coalesce("stored_rows", F.lit(0)).cast("long").alias("stored_rows"),
             F.col("expected_digest").eqNullSafe(F.col("stored_digest")).alias("matches"))
     return reduce(DataFrame.unionByName, [one(n, d) for n, d in expected.items()])
 
