@@ -1,4 +1,8 @@
-"""Catalog overviews and the fixed question families."""
+"""Catalog overviews and the fixed question families.
+
+``keys`` names the columns that tell databases and snapshots apart (such as source_id, snapshot_id; never null). They lead
+every group and join and come first in the result, so that equal names in two databases never meet.
+"""
 
 from __future__ import annotations
 
@@ -18,33 +22,33 @@ def upper_key(df: DataFrame, schema="schema_name", name="relation_name") -> Data
     return df.withColumn("_schema", F.upper(F.coalesce(F.col(schema), F.lit("")))).withColumn("_object", F.upper(F.coalesce(F.col(name), F.lit(""))))
 
 
-def per_object(df: DataFrame, out: str, schema="schema_name", name="relation_name", extra: list[Column] = ()) -> DataFrame:
-    return upper_key(df, schema, name).groupBy(*KEY).agg(F.count(F.lit(1)).alias(out), *extra)
+def per_object(df: DataFrame, out: str, schema="schema_name", name="relation_name", extra: list[Column] = (), keys: list[str] = ()) -> DataFrame:
+    return upper_key(df, schema, name).groupBy(*keys, *KEY).agg(F.count(F.lit(1)).alias(out), *extra)
 
 
-def latest_per_object(df: DataFrame, cols: list[str], recent: str | Column, schema="schema_name", name="relation_name") -> DataFrame:
+def latest_per_object(df: DataFrame, cols: list[str], recent: str | Column, schema="schema_name", name="relation_name", keys: list[str] = ()) -> DataFrame:
     """One row per object where a source repeats it: the most recent, ties by content."""
     row = F.struct(*cols)
     tie = F.struct(c(recent).isNotNull().alias("k"), c(recent).alias("r"), F.xxhash64(*cols).alias("h"))
-    return upper_key(df, schema, name).groupBy(*KEY).agg(F.max_by(row, tie).alias("_row")).select(*KEY, "_row.*")
+    return upper_key(df, schema, name).groupBy(*keys, *KEY).agg(F.max_by(row, tie).alias("_row")).select(*keys, *KEY, "_row.*")
 
 
-def facts(categories: dict[str, DataFrame]) -> DataFrame:
+def facts(categories: dict[str, DataFrame], keys: list[str] = ()) -> DataFrame:
     """All categories as one long table: reference, kind, query id and a JSON detail."""
     def one(cat, df):
         kinds = [F.col(k) for k in ("object_kind", "relation_kind", "constraint_kind", "index_kind") if k in df.columns]
         qid = F.col("query_id") if "query_id" in df.columns else F.lit(cat)
-        names = sorted(x for x in df.columns if x != "query_id")
-        return df.select(*ref_columns(df, cat), F.coalesce(*kinds, lit_null()).alias("object_kind"), qid.alias("query_id"),
+        names = sorted(x for x in df.columns if x != "query_id" and x not in keys)
+        return df.select(*keys, *ref_columns(df, cat), F.coalesce(*kinds, lit_null()).alias("object_kind"), qid.alias("query_id"),
                          F.to_json(F.struct(*names)).alias("detail_json"))
     return reduce(DataFrame.unionByName, [one(k, d) for k, d in categories.items()])
 
 
-def schema_overview(f: DataFrame) -> DataFrame:
+def schema_overview(f: DataFrame, keys: list[str] = ()) -> DataFrame:
     """A19. One aggregate over the fact table; a status other than VALID counts as invalid."""
     cat = F.col("category")
     status = F.get_json_object("detail_json", "$.status")
-    return f.groupBy("schema_name").agg(
+    return f.groupBy(*keys, "schema_name").agg(
         F.count_if(cat == "relations").alias("relation_count"), F.count_if(cat == "columns").alias("column_count"),
         F.count_if(cat == "stored-objects").alias("stored_object_count"),
         F.count_if((cat == "stored-objects") & F.coalesce(status != "VALID", F.lit(False))).alias("invalid_object_count"),
@@ -52,98 +56,99 @@ def schema_overview(f: DataFrame) -> DataFrame:
 
 
 def table_capacity(relations: DataFrame, columns: DataFrame, constraints: DataFrame, indexes: DataFrame,
-                   statistics: DataFrame, sizes: DataFrame) -> DataFrame:
+                   statistics: DataFrame, sizes: DataFrame, keys: list[str] = ()) -> DataFrame:
     """A20 with J9. Counts are pre-aggregated per object; unknown bytes stay null.
 
     Every side is one row per object before it is joined, so no key repeats on the right.
     """
-    st = latest_per_object(statistics, ["num_rows_estimate", "last_analyzed", "stale_stats", "row_count_semantics"], "last_analyzed")
-    sz = latest_per_object(sizes, ["bytes", "blocks", "size_semantics"], "bytes", name="segment_name")
+    on = [*keys, *KEY]
+    st = latest_per_object(statistics, ["num_rows_estimate", "last_analyzed", "stale_stats", "row_count_semantics"], "last_analyzed", keys=keys)
+    sz = latest_per_object(sizes, ["bytes", "blocks", "size_semantics"], "bytes", name="segment_name", keys=keys)
     out = upper_key(relations)
     for df, name in ((columns, "column_count"), (constraints, "constraint_count"), (indexes, "index_count")):
-        out = out.join(per_object(df, name), KEY, "left")
-    return out.join(st, KEY, "left").join(sz, KEY, "left").select(
-        "schema_name", "relation_name", "relation_kind",
+        out = out.join(per_object(df, name, keys=keys), on, "left")
+    return out.join(st, on, "left").join(sz, on, "left").select(
+        *keys, "schema_name", "relation_name", "relation_kind",
         *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("column_count", "constraint_count", "index_count")],
         "num_rows_estimate", "last_analyzed", "stale_stats", "bytes", "blocks", "size_semantics", "row_count_semantics")
 
 
-def code_dependencies(objects: DataFrame, arguments: DataFrame, errors: DataFrame, deps: DataFrame) -> DataFrame:
+def code_dependencies(objects: DataFrame, arguments: DataFrame, errors: DataFrame, deps: DataFrame, keys: list[str] = ()) -> DataFrame:
     """A21. Both ends of the edge list are counted separately."""
     out = upper_key(objects, name="object_name")
     sides = [
-        per_object(arguments, "signature_count", name="object_name"), per_object(errors, "compile_issue_count", name="object_name"),
-        per_object(deps, "depends_on_count", "source_schema_name", "source_object_name"),
-        per_object(deps, "used_by_count", "target_schema_name", "target_object_name")]
+        per_object(arguments, "signature_count", name="object_name", keys=keys), per_object(errors, "compile_issue_count", name="object_name", keys=keys),
+        per_object(deps, "depends_on_count", "source_schema_name", "source_object_name", keys=keys),
+        per_object(deps, "used_by_count", "target_schema_name", "target_object_name", keys=keys)]
     for s in sides:
-        out = out.join(s, KEY, "left")
+        out = out.join(s, [*keys, *KEY], "left")
     return out.select(
-        "schema_name", "object_name", "object_kind", "status",
+        *keys, "schema_name", "object_name", "object_kind", "status",
         *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("signature_count", "compile_issue_count", "depends_on_count", "used_by_count")],
         "source_line_count", "source_hash_sha256")
 
 
-def bi_relevance(relations: DataFrame, columns: DataFrame, comments: DataFrame) -> DataFrame:
+def bi_relevance(relations: DataFrame, columns: DataFrame, comments: DataFrame, keys: list[str] = ()) -> DataFrame:
     """A23. Five signals per relation; relations without any are left out."""
-    n = F.col("column_name")
-    cols = upper_key(columns).groupBy(*KEY).agg(
+    n, on = F.col("column_name"), [*keys, *KEY]
+    cols = upper_key(columns).groupBy(*on).agg(
         F.bool_or(n.rlike(TIME_HINT)).alias("_t"), F.bool_or(n.rlike(MEASURE_HINT)).alias("_m"), F.bool_or(n.rlike(DIMENSION_HINT)).alias("_d"))
-    com = upper_key(comments).select(*KEY, F.lit(True).alias("_c")).distinct()
-    j = upper_key(relations).join(cols, KEY, "left").join(com, KEY, "left")
+    com = upper_key(comments).select(*on, F.lit(True).alias("_c")).distinct()
+    j = upper_key(relations).join(cols, on, "left").join(com, on, "left")
     signals = F.array_compact(F.array(
         F.when(F.col("_c"), "comment_metadata_present"), F.when(F.col("_d"), "dimension_hint_column"), F.when(F.col("_m"), "measure_hint_column"),
         F.when(F.col("relation_kind").isin("TABLE", "MATERIALIZED_VIEW"), "persisted_relation"), F.when(F.col("_t"), "time_column")))
     return j.withColumn("_s", signals).filter(F.size("_s") > 0).select(
-        "schema_name", "relation_name", "relation_kind", F.size("_s").cast("long").alias("deterministic_score"),
+        *keys, "schema_name", "relation_name", "relation_kind", F.size("_s").cast("long").alias("deterministic_score"),
         F.array_join("_s", ", ").alias("signal_summary"), F.lit("DETERMINISTIC_TECHNICAL_CANDIDATE").alias("candidate_label"))
 
 
-def column_detail(columns: DataFrame, relations: DataFrame) -> DataFrame:
+def column_detail(columns: DataFrame, relations: DataFrame, keys: list[str] = ()) -> DataFrame:
     """J8. Relation kind by lookup, else the column's own, else UNKNOWN."""
-    kinds = relations.groupBy("schema_name", "relation_name").agg(F.min("relation_kind").alias("_k"))  # listed as two kinds: the first by name
+    kinds = relations.groupBy(*keys, "schema_name", "relation_name").agg(F.min("relation_kind").alias("_k"))  # listed as two kinds: the first by name
     own = F.col("relation_kind") if "relation_kind" in columns.columns else lit_null()
-    j = columns.withColumn("_own", own).drop("relation_kind").join(kinds, ["schema_name", "relation_name"], "left")
+    j = columns.withColumn("_own", own).drop("relation_kind").join(kinds, [*keys, "schema_name", "relation_name"], "left")
     return j.withColumn("relation_kind", F.coalesce("_k", "_own", F.lit("UNKNOWN"))).drop("_k", "_own")
 
 
-def object_dependencies(deps: DataFrame, objects: DataFrame) -> DataFrame:
+def object_dependencies(deps: DataFrame, objects: DataFrame, keys: list[str] = ()) -> DataFrame:
     """J18. Edges of each wanted object (schema_name, object_name), in both directions."""
-    o = objects.select("schema_name", "object_name").distinct()
+    o = objects.select(*keys, "schema_name", "object_name").distinct()
     def side(direction, end):
-        keyed = o.select(F.col("schema_name").alias(f"{end}_schema_name"), F.col("object_name").alias(f"{end}_object_name"))
-        return deps.join(keyed, [f"{end}_schema_name", f"{end}_object_name"], "left_semi").withColumn("direction", F.lit(direction))
+        keyed = o.select(*keys, F.col("schema_name").alias(f"{end}_schema_name"), F.col("object_name").alias(f"{end}_object_name"))
+        return deps.join(keyed, [*keys, f"{end}_schema_name", f"{end}_object_name"], "left_semi").withColumn("direction", F.lit(direction))
     return side("DEPENDS_ON", "source").unionByName(side("USED_BY", "target"))
 
 
-def resolve(f: DataFrame, names: DataFrame) -> DataFrame:
-    """P18. Names, with or without a schema, against the catalog: RESOLVED, AMBIGUOUS or NOT_FOUND."""
+def resolve(f: DataFrame, names: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """P18. Names, with or without a schema, against the catalog: RESOLVED, AMBIGUOUS or NOT_FOUND. Both sides carry ``keys``."""
     objs = f.filter(F.col("category").isin("relations", "stored-objects", "sequences", "synonyms")).select(
-        "schema_name", "object_name", F.upper("object_name").alias("_n")).distinct()
+        *keys, "schema_name", "object_name", F.upper("object_name").alias("_n")).distinct()
     parts = F.split("name", r"\.")
     two = F.size(parts) == 2
-    w = names.select("name").distinct().withColumn("_n", F.upper(F.when(two, parts[1]).otherwise(F.col("name")))).withColumn(
+    w = names.select(*keys, "name").distinct().withColumn("_n", F.upper(F.when(two, parts[1]).otherwise(F.col("name")))).withColumn(
         "_s", F.when(two, F.upper(parts[0])))
     # a name many schemas use is one row before any wanted name meets it
     tally = [F.count(F.lit(1)).alias("matches"), F.min(F.struct("schema_name", "object_name")).alias("m")]
-    by_both = objs.groupBy(F.upper("schema_name").alias("_s"), "_n").agg(*tally)
-    by_name = by_both.groupBy("_n").agg(F.sum("matches").alias("matches"), F.min("m").alias("m"))
-    g = w.filter("_s is null").drop("_s").join(by_name, "_n", "left").select("name", "matches", "m").unionByName(
-        w.filter("_s is not null").join(by_both, ["_s", "_n"], "left").select("name", "matches", "m"))
+    by_both = objs.groupBy(*keys, F.upper("schema_name").alias("_s"), "_n").agg(*tally)
+    by_name = by_both.groupBy(*keys, "_n").agg(F.sum("matches").alias("matches"), F.min("m").alias("m"))
+    g = w.filter("_s is null").drop("_s").join(by_name, [*keys, "_n"], "left").select(*keys, "name", "matches", "m").unionByName(
+        w.filter("_s is not null").join(by_both, [*keys, "_s", "_n"], "left").select(*keys, "name", "matches", "m"))
     g = g.withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
     one = F.col("matches") == 1
-    return g.select("name", "matches", F.when(one, "RESOLVED").when(F.col("matches") == 0, "NOT_FOUND").otherwise("AMBIGUOUS").alias("status"),
+    return g.select(*keys, "name", "matches", F.when(one, "RESOLVED").when(F.col("matches") == 0, "NOT_FOUND").otherwise("AMBIGUOUS").alias("status"),
                     F.when(one, F.col("m.schema_name")).alias("schema_name"), F.when(one, F.col("m.object_name")).alias("object_name"))
 
 
-def search(f: DataFrame, term: str, schemas: list[str] | None = None, limit: int = 20) -> DataFrame:
+def search(f: DataFrame, term: str, schemas: list[str] | None = None, limit: int = 20, keys: list[str] = ()) -> DataFrame:
     """P17. Literal, case-insensitive search (ASCII letters) of names and detail, ordered, first ``limit`` hits."""
     if len(term) < 2 or limit < 1:
         raise ValueError("search takes a term of two characters or more and a positive limit")
     t = F.lower(F.lit(term))
     src = f if schemas is None else f.filter(F.col("schema_name").isin(schemas))
     hit = reduce(Column.__or__, [F.coalesce(F.lower(x).contains(t), F.lit(False)) for x in ("object_name", "relation_name", "column_name", "detail_json")])
-    return src.filter(hit).select("category", "schema_name", "relation_name", "object_name", "object_kind", "column_name", "query_id").orderBy(
-        "schema_name", F.col("relation_name").asc_nulls_first(), F.col("object_name").asc_nulls_first(), F.col("column_name").asc_nulls_first(),
+    return src.filter(hit).select(*keys, "category", "schema_name", "relation_name", "object_name", "object_kind", "column_name", "query_id").orderBy(
+        *keys, "schema_name", F.col("relation_name").asc_nulls_first(), F.col("object_name").asc_nulls_first(), F.col("column_name").asc_nulls_first(),
         "category", F.col("object_kind").asc_nulls_first()).limit(limit)
 
 
@@ -159,13 +164,17 @@ def _scoped(df, schemas):
     return df if schemas is None else df.filter(F.col("schema_name").isin(schemas))
 
 
-def answer(family: str, tables: dict[str, DataFrame], schemas: list[str] | None = None, limit: int = 20, objects: DataFrame | None = None) -> DataFrame:
+def answer(family: str, tables: dict[str, DataFrame], schemas: list[str] | None = None, limit: int = 20, objects: DataFrame | None = None,
+           scope: dict[str, str] | None = None) -> DataFrame:
     """Q1-Q8. One fixed question family over the overview tables; ``limit`` is the answer's row budget, of any size.
 
     tables: capacity (A20), overview (A19), deps, facts, coverage (A22), relevance (A23).
+    ``scope`` gives the key values (source_id, snapshot_id) of the one database that is asked, where the tables hold several.
     """
     if limit < 1:
         raise ValueError("an answer holds one row or more")
+    for key, value in (scope or {}).items():
+        tables = {k: t.filter(F.col(key) == value) for k, t in tables.items()}
     if family == "largest_tables":
         return _scoped(tables["capacity"], schemas).select(
             "schema_name", "relation_name", "relation_kind", "bytes", "blocks", "num_rows_estimate", "size_semantics", "row_count_semantics").orderBy(

@@ -98,28 +98,29 @@ def relationship_status(inferred: Column) -> Column:
     return F.when(inferred, "PROPOSAL_ONLY").otherwise("COUNTEREVIDENCE_ONLY")
 
 
-def candidate_pairs(profiled: DataFrame, constraints: DataFrame) -> DataFrame:
+def candidate_pairs(profiled: DataFrame, constraints: DataFrame, keys: list[str] = ()) -> DataFrame:
     """J4. Profiled columns against single-column PK / UNIQUE targets of the same name and native type.
 
     profiled: schema_name, relation_name, column_name, native_type. constraints: one row per constraint column.
     Both ends must be profiled; a column is not paired with itself; declared foreign keys are left out.
+    ``keys`` (such as source_id) tell databases apart: only columns of one database are paired.
     """
     cols = ["schema_name", "relation_name", "column_name"]
     single = (
         constraints.filter(F.col("constraint_kind").isin("PRIMARY_KEY", "UNIQUE"))
-        .groupBy("schema_name", "relation_name", "constraint_name", "constraint_kind")
+        .groupBy(*keys, "schema_name", "relation_name", "constraint_name", "constraint_kind")
         .agg(F.count(F.lit(1)).alias("n"), F.max("column_name").alias("column_name")).filter("n = 1 and column_name is not null").drop("n")
     )
-    tgt = single.join(profiled, cols).select(
-        *[F.col(x).alias("target_" + x) for x in cols if x != "column_name"], "column_name", "native_type", "constraint_kind", "constraint_name")
-    src = profiled.select(F.col("schema_name").alias("source_schema_name"), F.col("relation_name").alias("source_relation_name"), "column_name", "native_type")
-    fk = constraints.filter("constraint_kind = 'FOREIGN_KEY'").select(
+    tgt = single.join(profiled, [*keys, *cols]).select(
+        *keys, *[F.col(x).alias("target_" + x) for x in cols if x != "column_name"], "column_name", "native_type", "constraint_kind", "constraint_name")
+    src = profiled.select(*keys, F.col("schema_name").alias("source_schema_name"), F.col("relation_name").alias("source_relation_name"), "column_name", "native_type")
+    fk = constraints.filter("constraint_kind = 'FOREIGN_KEY'").select(*keys,
         F.col("schema_name").alias("source_schema_name"), F.col("relation_name").alias("source_relation_name"), "column_name",
         F.col("referenced_schema_name").alias("target_schema_name"), F.col("referenced_relation_name").alias("target_relation_name"),
         F.col("referenced_column_name").alias("_ref")).filter(F.col("_ref") == F.col("column_name")).drop("_ref")
-    pairs = src.join(tgt, ["column_name", "native_type"]).filter(
+    pairs = src.join(tgt, [*keys, "column_name", "native_type"]).filter(
         (F.col("source_schema_name") != F.col("target_schema_name")) | (F.col("source_relation_name") != F.col("target_relation_name")))
-    return pairs.join(fk, ["source_schema_name", "source_relation_name", "target_schema_name", "target_relation_name", "column_name"], "left_anti")
+    return pairs.join(fk, [*keys, "source_schema_name", "source_relation_name", "target_schema_name", "target_relation_name", "column_name"], "left_anti")
 
 
 def _stem(name: Column) -> Column:

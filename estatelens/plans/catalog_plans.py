@@ -11,7 +11,7 @@ from ..operators import coverage as V
 from ..operators import evidence as E
 from ..operators import rules as U
 from .base import Registry, load
-from .estate import ctes, estate, portable
+from .estate import SOURCES, ctes, each_source, estate, one_source, portable, sources
 
 R = Registry()
 
@@ -402,10 +402,13 @@ _NAMES = """SELECT DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN 'sch_' |
    WHEN o_orderpriority = '2-HIGH' THEN 't_' || CAST(o_orderkey AS STRING) WHEN o_orderpriority = '3-MEDIUM' THEN 'sch_x.t_' || CAST(o_orderkey AS STRING) ELSE 'arg_' || CAST(o_custkey AS STRING) END AS name FROM {orders}"""
 
 
-@R.add("q_resolve", ctes("e_relations", "e_stored") + ", w AS (" + _NAMES.format(orders="orders") + """), o AS (SELECT schema_name, relation_name AS object_name FROM e_relations UNION SELECT schema_name, object_name FROM e_stored),
+_RESOLVE = ", w AS (" + _NAMES.format(orders="orders") + """), o AS (SELECT schema_name, relation_name AS object_name FROM e_relations UNION SELECT schema_name, object_name FROM e_stored),
    p AS (SELECT name, CASE WHEN contains(name, '.') THEN upper(split_part(name, '.', 1)) END AS s, upper(CASE WHEN contains(name, '.') THEN split_part(name, '.', 2) ELSE name END) AS n FROM w),
    g AS (SELECT name, count(o.object_name) AS matches, max(o.schema_name) AS sn, max(o.object_name) AS onm FROM p LEFT JOIN o ON upper(o.object_name) = n AND (s IS NULL OR upper(o.schema_name) = s) GROUP BY 1)
-   SELECT name, matches, CASE WHEN matches = 1 THEN 'RESOLVED' WHEN matches = 0 THEN 'NOT_FOUND' ELSE 'AMBIGUOUS' END AS status, CASE WHEN matches = 1 THEN sn END AS schema_name, CASE WHEN matches = 1 THEN onm END AS object_name FROM g""")
+   SELECT name, matches, CASE WHEN matches = 1 THEN 'RESOLVED' WHEN matches = 0 THEN 'NOT_FOUND' ELSE 'AMBIGUOUS' END AS status, CASE WHEN matches = 1 THEN sn END AS schema_name, CASE WHEN matches = 1 THEN onm END AS object_name FROM g"""
+
+
+@R.add("q_resolve", ctes("e_relations", "e_stored") + _RESOLVE)
 def q_resolve(spark, sf):
     return C.resolve(_facts(spark, sf), portable(spark, sf, _NAMES))
 
@@ -458,6 +461,64 @@ def stored_summary(spark, sf):
     return E.stored_summary(s, ["schema_name"])
 
 
+# --- several databases with equal names ----------------------------------------------------------------------
+_BY = ["source_id"]
+_OV_NAMES = ["e_relations", "e_columns", "e_stored", "e_errors", "e_comments", "e_arguments"]
+_CAP_NAMES = ["e_relations", "e_columns", "e_constraints", "e_indexes", "e_statistics", "e_sizes"]
+
+
+def _source_facts(spark, sf):
+    return C.facts(dict(zip(CATS.values(), sources(spark, sf, *CATS))), keys=_BY)
+
+
+def _source_capacity(spark, sf):
+    return C.table_capacity(*sources(spark, sf, *[n[2:] for n in _CAP_NAMES]), keys=_BY)
+
+
+@R.add("sources_schema_overview", each_source("SELECT * FROM " + _OV, *_OV_NAMES))
+def sources_schema_overview(spark, sf):
+    return C.schema_overview(_source_facts(spark, sf), keys=_BY)
+
+
+@R.add("sources_table_capacity", each_source("SELECT * FROM " + _CAP, *_CAP_NAMES))
+def sources_table_capacity(spark, sf):
+    return _source_capacity(spark, sf)
+
+
+@R.add("sources_code_dependencies", each_source(_COD, "e_stored", "e_arguments", "e_errors", "e_dependencies"))
+def sources_code_dependencies(spark, sf):
+    return C.code_dependencies(*sources(spark, sf, "stored", "arguments", "errors", "dependencies"), keys=_BY)
+
+
+@R.add("sources_bi_relevance", each_source("SELECT * FROM " + _REL, "e_relations", "e_columns", "e_comments"))
+def sources_bi_relevance(spark, sf):
+    return C.bi_relevance(*sources(spark, sf, "relations", "columns", "comments"), keys=_BY)
+
+
+@R.add("sources_column_detail", each_source("""SELECT schema_name, relation_name, column_name, ordinal_position, data_type, is_nullable,
+    coalesce((SELECT max(relation_kind) FROM e_relations r WHERE r.schema_name = c.schema_name AND r.relation_name = c.relation_name), 'UNKNOWN') AS relation_kind FROM e_columns c""", "e_columns", "e_relations"))
+def sources_column_detail(spark, sf):
+    return C.column_detail(*sources(spark, sf, "columns", "relations"), keys=_BY)
+
+
+@R.add("sources_object_dependencies", each_source(f"SELECT * FROM {_DEPS}", "e_dependencies"))
+def sources_object_dependencies(spark, sf):
+    want = _want(spark, sf).select("*", F.explode(F.array(*[F.lit(s) for s in SOURCES])).alias("source_id"))
+    return C.object_dependencies(sources(spark, sf, "dependencies")[0], want, keys=_BY)
+
+
+@R.add("sources_resolve", each_source(_RESOLVE, "e_relations", "e_stored"))
+def sources_resolve(spark, sf):
+    names = portable(spark, sf, _NAMES).select("*", F.explode(F.array(*[F.lit(s) for s in SOURCES])).alias("source_id"))
+    return C.resolve(_source_facts(spark, sf), names, keys=_BY)
+
+
+@R.add("sources_largest_tables", one_source("DB_B", *_CAP_NAMES) + f"""SELECT schema_name, relation_name, relation_kind, bytes, blocks, num_rows_estimate, size_semantics, row_count_semantics FROM {_CAP}
+   ORDER BY bytes DESC NULLS LAST, num_rows_estimate DESC NULLS LAST, schema_name, relation_name LIMIT 100""")
+def sources_largest_tables(spark, sf):
+    return C.answer("largest_tables", {"capacity": _source_capacity(spark, sf)}, limit=100, scope={"source_id": "DB_B"})
+
+
 # --- text rules ---------------------------------------------------------------------------------------------
 def _flag_sql(col):
     rules = [(U.SECRET_VALUE, "SECRET_VALUE"), (U.CONNECTION, "CONNECTION_STRING"), (U.RAW_SQL, "RAW_SQL"), (U.DENIED_TEXT, "DENIED_TEXT"), (U.CONTROL, "CONTROL_CHARACTER")]

@@ -11,6 +11,7 @@ import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SCH = "'SCH_' || CAST(o_custkey AS STRING)"
 _REL = "'T_' || CAST(o_orderkey AS STRING)"
@@ -87,3 +88,28 @@ def duck(text: str) -> str:
 def ctes(*names: str, texts: dict | None = None) -> str:
     src = {**ESTATE, **(texts or {})}
     return "WITH " + ", ".join(f"{n} AS ({duck(src[n])})" for n in names) + " "
+
+
+SOURCES = {"DB_A": lambda name: "TRUE", "DB_B": lambda name: {"e_columns": "ordinal_position <= 2", "e_dependencies": "source_schema_name < 'SCH_5'"}.get(name, "schema_name < 'SCH_5'")}
+
+
+def _held(name: str, source: str) -> str:
+    return f"SELECT * FROM ({ESTATE[name]}) AS held WHERE {SOURCES[source](name)}"
+
+
+def sources(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
+    """Tables of two databases with the same schema and object names, told apart by source_id; the second holds less."""
+    def both(name):
+        a, b = [portable(spark, sf, _held(name, s)).withColumn("source_id", F.lit(s)) for s in SOURCES]
+        return a.unionByName(b)
+    return [both("e_" + n) for n in names]
+
+
+def one_source(source: str, *names: str) -> str:
+    """CTEs of one of the two databases alone."""
+    return ctes(*names, texts={n: _held(n, source) for n in names})
+
+
+def each_source(body: str, *names: str) -> str:
+    """The same SQL over each database alone: what an operator must give if it never mixes them."""
+    return " UNION ALL ".join(f"SELECT '{s}' AS source_id, * FROM ({one_source(s, *names)}{body})" for s in SOURCES)

@@ -373,9 +373,11 @@ def lineage_blind_spots(spark, sf):
 
 _PC = ", " + ctes("p_before", "p_after", "e_columns", texts=PARTS)[5:]
 _APP = """(SELECT schema_name || '.' || relation_name || '.' || column_name AS candidate_id, schema_name, relation_name, column_name FROM e_columns WHERE data_type IN ('numeric', 'int4'))"""
+#: Edges of the two snapshots: some on one side only, by the first digit of their hash, most on both.
+_SIDES = f"""(SELECT * FROM {_LIN} WHERE evidence_sha256 NOT LIKE '0%' UNION SELECT * FROM {_LIN} WHERE evidence_sha256 NOT LIKE '1%')"""
 _IMP = f"""(SELECT candidate_id, target_schema_name, target_object_name, target_column_name, impact_class, source_object_id, evidence_sha256 FROM (SELECT a.candidate_id, a.schema_name AS target_schema_name, a.relation_name AS target_object_name, a.column_name AS target_column_name,
    CASE WHEN r.target_column_name IS NOT NULL THEN 'AFFECTED_NATIVE_COLUMN' ELSE 'POTENTIALLY_AFFECTED_NATIVE_OBJECT' END AS impact_class, source_object_id, evidence_sha256,
-   row_number() OVER (PARTITION BY candidate_id ORDER BY r.target_column_name IS NULL, source_object_id, evidence_sha256) AS k FROM {_LIN} r JOIN {_APP} a ON a.schema_name = r.target_schema_name AND a.relation_name = r.target_object_name
+   row_number() OVER (PARTITION BY candidate_id ORDER BY r.target_column_name IS NULL, source_object_id, evidence_sha256) AS k FROM {_SIDES} r JOIN {_APP} a ON a.schema_name = r.target_schema_name AND a.relation_name = r.target_object_name
    AND (r.target_column_name IS NULL OR r.target_column_name = a.column_name) WHERE source_object_id IN (SELECT object_id FROM {_CHG})) WHERE k = 1)"""
 
 
@@ -383,7 +385,8 @@ def _impact(spark, sf):
     cols = estate(spark, sf, "columns").filter("data_type in ('numeric', 'int4')")
     app = cols.select(F.concat_ws(".", "schema_name", "relation_name", "column_name").alias("candidate_id"), "schema_name", "relation_name", "column_name")
     lin = _lineage(spark, sf)
-    return N.impact(_changes(spark, sf), lin, lin.limit(0), app)
+    before, after = lin.filter("evidence_sha256 not like '0%'"), lin.filter("evidence_sha256 not like '1%'")
+    return N.impact(_changes(spark, sf), before, after, app)
 
 
 @R.add("impact", _EC + _PC + " SELECT * FROM " + _IMP)

@@ -6,6 +6,7 @@ from estatelens.operators import catalog as C
 from estatelens.operators import decisions as D
 from estatelens.operators import evidence as E
 from estatelens.operators import graph as G
+from estatelens.operators import relationships as L
 from estatelens.operators import sqltext as S
 from estatelens.sources import sinks as K
 from estatelens.sources.collectors.mssql import name_part
@@ -90,3 +91,22 @@ def test_chain_of_levels(spark):
     nodes = spark.range(n).select(F.col("id").alias("node"))
     got = G.dependency_levels(nodes, spark.range(1, n).select(F.col("id").alias("node"), (F.col("id") - 1).alias("needs")))
     assert rows(got.select("node", "level")) == sorted(((i, i) for i in range(n)), key=repr)
+
+
+def test_equal_names_in_two_databases_stay_apart(spark):
+    rel = spark.createDataFrame([("x", "s", "r", "TABLE"), ("y", "s", "r", "VIEW")], "source_id string, schema_name string, relation_name string, relation_kind string")
+    col = spark.createDataFrame([("x", "s", "r", "a"), ("x", "s", "r", "b"), ("y", "s", "r", "a")], "source_id string, schema_name string, relation_name string, column_name string")
+    f, by = C.facts({"relations": rel, "columns": col}, keys=["source_id"]), ["source_id"]
+    assert rows(C.schema_overview(f, by).select("source_id", "relation_count", "column_count")) == [("x", 1, 2), ("y", 1, 1)]
+    assert rows(C.column_detail(col, rel, by).select("source_id", "column_name", "relation_kind")) == [("x", "a", "TABLE"), ("x", "b", "TABLE"), ("y", "a", "VIEW")]
+    names = spark.createDataFrame([("x", "r"), ("y", "r"), ("z", "r")], "source_id string, name string")
+    assert rows(C.resolve(f, names, by).select("source_id", "status")) == [("x", "RESOLVED"), ("y", "RESOLVED"), ("z", "NOT_FOUND")]
+    assert rows(C.search(f, "b!", keys=by)) == [] and [r.source_id for r in C.search(f, "view", keys=by).collect()] == ["y"]
+
+
+def test_candidate_pairs_of_one_database(spark):
+    prof = spark.createDataFrame([("x", "s", "a", "id", "int"), ("x", "s", "b", "id", "int"), ("y", "s", "b", "id", "int")], "source_id string, schema_name string, relation_name string, column_name string, native_type string")
+    con = spark.createDataFrame([("x", "s", "a", "k", "PRIMARY_KEY", "id"), ("y", "s", "b", "k", "PRIMARY_KEY", "id")], "source_id string, schema_name string, relation_name string, constraint_name string, constraint_kind string, column_name string")
+    con = con.selectExpr("*", "cast(null as string) referenced_schema_name", "cast(null as string) referenced_relation_name", "cast(null as string) referenced_column_name")
+    got = L.candidate_pairs(prof, con, keys=["source_id"])
+    assert rows(got.select("source_id", "source_relation_name", "target_relation_name")) == [("x", "b", "a")]
