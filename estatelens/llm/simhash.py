@@ -88,6 +88,8 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[n
         while len(rows):
             new = near[rows] & left_b
             cols = np.flatnonzero(new.any(axis=0))
+            if not len(cols):  # rows without a column that is new: the tree is whole
+                break
             out_a.append(rows[new[:, cols].argmax(axis=0)])
             out_b.append(cols)
             left_b[cols] = False
