@@ -42,14 +42,19 @@ def fingerprint_of(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long. One pass over whole texts, no shuffle."""
+    """(doc_id, fp, th): fp is the fingerprint's bits as a signed long, th a hash of the text. One pass over whole texts, no shuffle."""
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint_of(x.as_py(), words) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], names=["doc_id", "fp", "th"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("th")).mapInArrow(run, f"doc_id {kind}, fp long, th long")
+
+
+def text_hash(text: str) -> Column:
+    """Tells apart texts that share a doc_id. A null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def counts_key(fp: Column) -> Column:
@@ -134,6 +139,13 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = 2048) -> DataFrame:
     return pairs.select("a", "b", one.cast("int").alias("same")).repartition(F.xxhash64("own", "own_part", "key", "part")).mapInArrow(run, "a long, b long")
 
 
+def grouped(fps: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(fp, first, label) of each distinct fp: its smallest doc_id and the smallest fp of its component."""
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    label = components(links(distinct, radius, tile))
+    return distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, tile: int = 2048) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that links of at most ``radius`` bits reach.
 
@@ -142,20 +154,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Extra columns are ignored, an empty table gives an empty result.
     """
     fps = saved(fingerprints(docs, id_col, text, words))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    label = components(links(distinct, radius, tile))
-    joined = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    joined = grouped(fps, radius, tile)
     lowest = joined.groupBy("label").agg(F.min("first").alias("component_id"))
     ids = joined.join(lowest, "label").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one row per component: that of the smallest doc_id (of a repeated id, the row least by its text's hash)."""
+def one_per_group(docs: DataFrame, rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """docs with one row per label: that of the smallest doc_id, null ids last (of equal ids, the text least by hash). rows: (doc_id, th, label) of every row."""
     from pyspark.sql import Window
-    found = near_duplicates(docs, id_col, text, words, radius)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fp").groupBy("fp", "_id").agg(F.lit(1).alias("_one"))
-    stay = stay.groupBy("_id").agg(F.min("fp").alias("_fp"))
-    rows = docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "inner")
-    order = Window.partitionBy("_id").orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_id", "_fp")
+    stay = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.th").alias("_stay"))
+    keyed = docs.withColumn("_th", text_hash(text))
+    kept = keyed.join(stay, keyed[id_col].eqNullSafe(stay["_id"]) & (keyed["_th"] == stay["_stay"]))
+    order = Window.partitionBy("_id", "_th").orderBy("_th")  # of rows that repeat id and text, one
+    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_id", "_th", "_stay")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, tile: int = 2048) -> DataFrame:
+    """docs with one row per component, also where doc_ids are null or repeated."""
+    fps = saved(fingerprints(docs, id_col, text, words))
+    return one_per_group(docs, fps.join(grouped(fps, radius, tile), "fp").select("doc_id", "th", "label"), id_col, text)

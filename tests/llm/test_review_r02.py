@@ -13,3 +13,12 @@ def test_full_block_of_two_tiles(shape):
         new = {e for i, j in zip(x.tolist(), y.tolist()) for e in (("a", i), ("b", j)) if {("a", i), ("b", j)} & seen}
         grew, seen = bool(new - seen), seen | new
     assert len(seen) == sum(shape) and len(x) <= sum(shape)
+
+
+def test_one_row_per_group_of_null_and_repeated_ids(spark):
+    from estatelens.llm.simhash import deduplicated
+    rng = np.random.default_rng(1)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (1, text[2]), (2, text[3]), (2, text[4]), (2, text[4]), (4, text[5]), (3, text[5]), (None, None), (5, "")]
+    kept = deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, text[0]), (None, text[1]), (1, text[2]), (2, text[3]), (2, text[4]), (3, text[5]), (5, "")], key=str)
