@@ -22,3 +22,40 @@ def test_one_row_per_group_of_null_and_repeated_ids(spark):
     rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (1, text[2]), (2, text[3]), (2, text[4]), (2, text[4]), (4, text[5]), (3, text[5]), (None, None), (5, "")]
     kept = deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(None, text[0]), (None, text[1]), (1, text[2]), (2, text[3]), (2, text[4]), (3, text[5]), (5, "")], key=str)
+
+
+def _brute_groups(texts, words=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9 and label[i] != label[j]:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def test_pipeline_drops_near_copies_as_brute_force(spark):
+    import corpus_pipeline
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    licence = word(30)
+    texts = [None, "", "one", "One", "a b c", "a b c d e"]
+    for n in (20, 60, 150, 400):
+        for family in range(3):
+            base = word(n) + licence
+            texts.append(" ".join(base))
+            for share in (0.0, 0.01, 0.02, 0.03, 0.04, 0.05):  # similarity from 1 down to some 0.6, and chains of copies of copies
+                copy = list(base)
+                for at in rng.integers(0, n, round(share * n)):
+                    copy[at] = word(1)[0]
+                texts.append(" ".join(copy))
+                base = copy if family else base
+    texts += [" ".join(word(8) + licence) for _ in range(6)] + [" ".join(licence)]
+    label = _brute_groups(texts)
+    assert 20 < len(set(label)) < len(texts) - 20
+    rows = [(i, t, None, "s", 0) for i, t in enumerate(texts)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
