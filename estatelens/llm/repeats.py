@@ -177,8 +177,9 @@ def repeated_stretches(keyed: DataFrame, length: int, budget: int) -> DataFrame:
     runs = keyed.select("_doc", "_th", "_raw").mapInArrow(cut, "doc long, th int, anchor long, seg long, at long")
     by_anchor = Window.partitionBy("anchor")
     first = Window.partitionBy("anchor", "seg").orderBy("doc", "th", "at")
+    runs = runs.withColumn("same", F.lag(F.struct("doc", "th", "at")).over(first).eqNullSafe(F.struct("doc", "th", "at")))  # rows that repeat id and text are one document
     found = runs.select("*", F.rank().over(first).alias("nth"), (F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor)).alias("varied"))
-    found = found.withColumn("sort", F.col("varied") | (F.col("at").bitwiseAND(F.lit(1).cast("long")) == 1)).where("nth > 1 OR sort")
+    found = found.withColumn("sort", F.col("varied") | (F.col("at").bitwiseAND(F.lit(1).cast("long")) == 1)).where("NOT same AND (nth > 1 OR sort)")
     starts = F.shiftright(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)), 1)
     found = saved(found.select("doc", "th", "anchor", F.shiftright("at", 32).cast("int").alias("p0"), starts.cast("int").alias("n"), "nth", "sort"))
     copies = found.where("nth > 1").select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("p0").alias("a"), (F.col("p0") + F.col("n") + (length - 1)).cast("int").alias("z"))
@@ -194,7 +195,7 @@ def repeated_stretches(keyed: DataFrame, length: int, budget: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))], names=["doc", "th", "p0", "n", "bytes", "anchor"])
 
     # all columns go in, so that this join and the caller's read one exchange of the documents
-    shards = keyed.join(varied, ["_doc", "_th"]).mapInArrow(pieces, "doc long, th int, p0 int, n int, bytes binary, anchor long").repartition("anchor")
+    shards = keyed.join(varied, ["_doc", "_th"]).dropDuplicates(["_doc", "_th"]).mapInArrow(pieces, "doc long, th int, p0 int, n int, bytes binary, anchor long").repartition("anchor")
     shards = shards.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(4096)).cast("int")).drop("anchor").sortWithinPartitions("part", "doc", "th", "p0")
     base = shared_folder(spark)
     varied_out = shards.mapInArrow(lambda batches: shard_repeats(batches, base, length, budget), "_doc long, _th int, a int, z int")

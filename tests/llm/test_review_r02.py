@@ -59,3 +59,16 @@ def test_pipeline_drops_near_copies_as_brute_force(spark):
     rows = [(i, t, None, "s", 0) for i, t in enumerate(texts)]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
+def test_repeated_row_that_comes_first_keeps_its_text(spark):
+    from estatelens.llm.repeats import removal_digests
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage = word(20)
+    varied, other, selves = f"{word(30)} {passage} {word(30)}", f"{word(30)} {passage} {word(30)}", "x" * 700
+    once = [(1, varied), (2, other), (3, selves), (None, word(40) + " y" * 300)]
+    answer = lambda rows: {tuple(r) for r in removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()}
+    alone = answer(once)
+    assert {r[0]: r[2] for r in alone}[1] == 0 and {r[0]: r[2] for r in alone}[3] == 699 and {r[0]: r[2] for r in alone}[2] > 0
+    assert answer(once + once[:1] + 2 * once[2:]) == alone
