@@ -28,6 +28,8 @@ from estatelens.session import shared_folder
 MAGIC = b"WARC/1.1\r\n"
 #: Fixed by the format: the profile of a revisit whose payload is the same.
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+BLANK = b"\r\n\r\n"
+#: Bytes read at once for a head; heads may be longer.
 HEAD = 1 << 16
 
 
@@ -99,10 +101,17 @@ def _parse(head: bytes) -> tuple[int, dict[str, str]] | None:
     return (end + 4, fields) if fields.get("content-length", "").isdigit() else None
 
 
-def _successor(data: bytes, at: int) -> int | None:
-    """Where the record after the one at ``at`` must start, relative to data."""
-    got = _parse(data[at:at + HEAD])
-    return None if got is None else at + got[0] + int(got[1]["content-length"]) + 4
+def _head_end(f, data: bytes, at: int, left: int) -> tuple[bytes, int]:
+    """(data, where the blank line after ``at`` starts, -1 if there is none): reads on, up to ``left`` bytes, until the line is there."""
+    end = data.find(BLANK, at)
+    while end < 0 and left > 0:
+        seen = len(data)
+        data += f.read(min(max(HEAD, seen - at), left))
+        left -= len(data) - seen
+        if len(data) == seen:
+            break
+        end = data.find(BLANK, max(at, seen - len(BLANK) + 1))
+    return data, end
 
 
 def ranges(archives: DataFrame, block: int) -> DataFrame:
@@ -115,7 +124,8 @@ def ranges(archives: DataFrame, block: int) -> DataFrame:
 def boundaries(archives: DataFrame, folder: str, block: int = 4 << 20) -> DataFrame:
     """(file, block, lo, hi, entry): for each byte range, the first record of the file's chain that starts in it.
 
-    Ranges in which no record of the chain starts have no row.
+    Ranges in which no record of the chain starts have no row. A chain that does not end at the size of its file, or has not
+    as many records as archives says (if it has such a column), raises an error.
     """
     parts = ranges(archives, block)
 
@@ -126,18 +136,23 @@ def boundaries(archives: DataFrame, folder: str, block: int = 4 << 20) -> DataFr
                 with system.open_input_file(path) as f:
                     f.seek(lo)
                     data = f.read(min(hi + HEAD, size) - lo)
-                found, at = [], data.find(MAGIC)
-                while 0 <= at < hi - lo:
-                    nxt = _successor(data, at)
-                    if nxt is not None and lo + nxt <= size:
-                        found.append((lo + at, lo + nxt))
-                    at = data.find(MAGIC, at + 1)
-                leave = {}  # where the chain through a candidate leaves the range
+                    found, at, end = [], data.find(MAGIC), -1
+                    while 0 <= at < hi - lo:
+                        if end < at:
+                            data, end = _head_end(f, data, at, size - lo - len(data))
+                            end = len(data) if end < 0 else end
+                        got = _parse(data[at:end + len(BLANK)])
+                        nxt = None if got is None else at + got[0] + int(got[1]["content-length"]) + 4
+                        if nxt is not None and lo + nxt <= size:
+                            found.append((lo + at, lo + nxt))
+                        at = data.find(MAGIC, at + 1)
+                leave = {}  # where the chain through a candidate leaves the range, after how many records
                 for at, nxt in reversed(found):
-                    leave[at] = leave.get(nxt, nxt) if nxt < hi else nxt
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([k] * len(found), pa.int64()), pa.array([a for a, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array([leave[a] for a, _ in found], pa.int64())], names=["file", "block", "at", "successor", "leave"])
+                    to, n = leave.get(nxt, (nxt, 0)) if nxt < hi else (nxt, 0)
+                    leave[at] = to, n + 1
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([k] * len(found), pa.int64()), pa.array([a for a, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array([leave[a][0] for a, _ in found], pa.int64()), pa.array([leave[a][1] for a, _ in found], pa.int64())], names=["file", "block", "at", "successor", "leave", "steps"])
 
-    found = saved(parts.mapInArrow(candidates, "file string, block long, at long, successor long, leave long"))
+    found = saved(parts.mapInArrow(candidates, "file string, block long, at long, successor long, leave long, steps long"))
     jump = found.select("file", "at", F.col("leave").alias("to"))
     reached = found.where("at = 0").select("file", "at")
     n = -1
@@ -149,7 +164,16 @@ def boundaries(archives: DataFrame, folder: str, block: int = 4 << 20) -> DataFr
             break
         n = now
         jump = saved(jump.join(jump.select("file", F.col("at").alias("to"), F.col("to").alias("far")), ["file", "to"]).select("file", "at", F.col("far").alias("to")))
-    entry = reached.join(found.select("file", "at", "block"), ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("entry"))
+    ends = archives.where("bytes > 0").select("file", F.col("bytes").alias("at"))
+    broken = ends.join(reached, ["file", "at"], "left_anti").first()
+    if broken:
+        raise ValueError(f"{broken['file']}: the chain of records does not end at {broken['at']}")
+    entry = saved(reached.join(found.select("file", "at", "block", "steps"), ["file", "at"]).groupBy("file", "block").agg(F.min(F.struct("at", "steps")).alias("e")).select("file", "block", F.col("e.at").alias("entry"), F.col("e.steps").alias("steps")))
+    if "records" in archives.columns:
+        counts = entry.groupBy("file").agg(F.sum("steps").alias("found"))
+        broken = archives.join(counts, "file", "left").where("records <> coalesce(found, 0)").first()
+        if broken:
+            raise ValueError(f"{broken['file']}: {broken['found']} of {broken['records']} records in the chain")
     return parts.join(entry, ["file", "block"]).select("file", "bytes", "block", "lo", "hi", "entry")
 
 
@@ -171,7 +195,8 @@ def read_records(archives: DataFrame, folder: str, block: int = 4 << 20) -> Data
                     while base + at < hi:
                         if len(data) - at < HEAD and base + len(data) < size:
                             data, base, at = data[at:] + f.read(HEAD), base + at, 0
-                        got = _parse(data[at:at + HEAD])
+                        data, end = _head_end(f, data, at, size - base - len(data))
+                        got = _parse(data[at:end + len(BLANK)]) if end >= 0 else None
                         if got is None:
                             raise ValueError(f"{name}: no record at {base + at}")
                         start, fields = at + got[0], got[1]

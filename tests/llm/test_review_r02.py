@@ -72,3 +72,21 @@ def test_repeated_row_that_comes_first_keeps_its_text(spark):
     alone = answer(once)
     assert {r[0]: r[2] for r in alone}[1] == 0 and {r[0]: r[2] for r in alone}[3] == 699 and {r[0]: r[2] for r in alone}[2] > 0
     assert answer(once + once[:1] + 2 * once[2:]) == alone
+
+
+def test_heads_of_any_length_and_broken_chains(spark, tmp_path):
+    from estatelens.llm import warc
+    rows = [(i, "http://a/" + "u" * (300_000 if i % 3 == 0 else 10), f"<p>{i}</p>" * 50) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = str(tmp_path / "w")
+    archives = warc.write_archives(pages, folder)
+    for block in (1 << 14, 1 << 20):
+        got = warc.read_records(archives, folder, block).select("page_id", "url", F.decode("payload", "utf-8")).collect()
+        assert sorted(map(tuple, got)) == rows
+    with pytest.raises(ValueError, match="records in the chain"):
+        warc.boundaries(archives.withColumn("records", F.col("records") + 1), folder)
+    name, size = archives.where("bytes > 0").select("file", "bytes").first()
+    with open(f"{folder}/{name}", "ab") as f:
+        f.write(b"x" * 50)
+    with pytest.raises(ValueError, match="does not end"):
+        warc.boundaries(archives.withColumn("bytes", F.when(F.col("bytes") > 0, F.col("bytes") + 50).otherwise(0)), folder)
