@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import bpe, decontaminate, langid, repeats, simhash, tokenfile, toxicity, urlfilter, vectors, warc
+from estatelens.llm import bpe, decontaminate, langid, licenses, prefixtrie, repeats, simhash, spelling, tokenfile, toxicity, urlfilter, vectors, warc
 from estatelens.llm.common import id_remainder, read
 
 
@@ -68,6 +68,18 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_nodes(read(spark, sf_dir, "conversations"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read(spark, sf_dir, "documents"))
+
+
 def _strength(level: str, least: float = 1.0, most: float = 100.0) -> str:
     return f"""(SELECT coalesce(CASE WHEN ss > v1 THEN least(greatest((vn - ss) / (ss - v1), {least}), {most}) END, {most}) FROM (
         SELECT sum(n * (bad / n - mean) * (bad / n - mean)) AS ss, sum(n * mean * (1 - mean)) AS vn, sum(mean * (1 - mean)) AS v1 FROM {level} WHERE n > 0))"""
