@@ -7,6 +7,9 @@ or the list of block summaries of a key, not the key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +47,20 @@ def with_previous(df: DataFrame, keys: list[str], seq: str, cols: list[str], pre
     """Columns of the entry numbered seq-1, by an equi-join on (keys, seq): no key is ever gathered whole."""
     prev = df.select(*keys, (F.col(seq) + 1).alias(seq), *[F.col(x).alias(prefix + x) for x in cols])
     return df.join(prev, [*keys, seq], "left")
+
+
+def complete_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 65_536) -> Iterator[pd.DataFrame]:
+    """Sorted batches cut anew so that no group of ``keys`` is split; each piece has about ``rows`` rows or one group."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) < rows:
+            continue
+        df = pd.concat(held, ignore_index=True)
+        last = (df[keys] == df[keys].iloc[-1]).all(axis=1).to_numpy()
+        cut = len(df) - int(last[::-1].argmin()) if not last.all() else 0
+        if cut:
+            yield df.iloc[:cut].reset_index(drop=True)
+        held = [df.iloc[cut:]]
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)

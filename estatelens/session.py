@@ -53,3 +53,41 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     return tempfile.mkdtemp(prefix="estatelens-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job of ours has written and no longer reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Tables of one job in a shared folder: lineage cuts that survive a lost executor and go when the job is done.
+
+    ``with Scratch(spark) as s: t = s.keep(df)``. What ``keep(..., outlives=True)`` wrote is left for the caller, whose
+    result reads it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, shared_folder(spark), {}
+
+    def keep(self, df: DataFrame, outlives: bool = False) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        if not outlives:
+            self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if path := self.paths.pop(id(t), None):
+                remove(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths.values():
+            remove(self.spark, path)
+        self.paths = {}
