@@ -109,9 +109,59 @@ def op10_sql() -> str:
     FROM judged JOIN h USING (host)"""
 
 
+# crc32 of UTF-8 bytes, bytewise: the table comes from its polynomial by rule
+_CRC = """list_transform(range(0, 256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))"""
+
+
+def _crc32(text: str, table: str) -> str:
+    digits = f"hex(encode({text}))"
+    bytes_ = f"list_transform(range(0, length({digits}) // 2), lambda i: CAST('0x' || substr({digits}, 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP6_SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM d"""
+
+
+def op11_sql() -> str:
+    return f"""
+    WITH k AS (SELECT {_CRC} AS crc), t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS r, coalesce(text, '') AS x
+      FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY pos) AS s FROM t GROUP BY c),
+    h AS (SELECT c, s, {_crc32('CAST(c AS VARCHAR)', 'k.crc')} % 9 AS h FROM own, k),
+    built AS (SELECT h.c, list_concat(coalesce(b.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN own b ON b.c = h.c - h.c % 5),
+    p AS (SELECT c, len(s) AS n, d, s[1:d] AS p, CASE WHEN d > 0 THEN strlen(s[d].x) ELSE 0 END AS size FROM built, unnest(range(0, len(s) + 1)) u(d)),
+    nodes AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, max(size) AS size, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM p GROUP BY p, d),
+    kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY ALL),
+    tree AS (SELECT nodes.*, coalesce(kids, 0) AS kids FROM nodes LEFT JOIN kids USING (p, d)),
+    sub AS (SELECT p[1:a] AS p, a AS d, count(*) FILTER (WHERE kids = 0) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens FROM tree, unnest(range(0, d + 1)) u(a) GROUP BY ALL)
+    SELECT t.conv_id, t.d AS depth, u.conv_id AS parent_conv_id, t.n_convs, t.kids AS n_children, n_leaves, saved_tokens, t.ends_sha256
+    FROM tree t JOIN sub USING (p, d) LEFT JOIN nodes u ON u.d = t.d - 1 AND u.p = t.p[1:t.d - 1]"""
+
+
+def op12_sql() -> str:
+    return f"""
+    WITH RECURSIVE k AS MATERIALIZED (SELECT {_CRC} AS crc),
+    runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+    c AS (SELECT doc_id, w, count(*) AS n FROM runs GROUP BY ALL),
+    h AS (SELECT w, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w", 'k.crc')} AS h FROM c, k),
+    v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h)
+      GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+    cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM v, unnest(range(0, length(word))) u(i)),
+    near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON v.word = cut.rest UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON v.word = cut.rest),
+    best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+    f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+    up(word, last) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.last WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, up.last AS root, f.n, f.n_near, f.form_n FROM f JOIN up USING (word) JOIN f g ON g.word = up.last WHERE g.form IS NULL"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name != "op10_sql"}
+    return {name: f for name, f in globals().items() if name.startswith("op") and not name.endswith("_sql")}
 
 
 def oracles() -> dict[str, str]:
-    return {"op10_url_reputation": op10_sql()}
+    return {"op6_warc": OP6_SQL, "op10_url_reputation": op10_sql(), "op11_prefix_trie": op11_sql(), "op12_spelling": op12_sql()}
