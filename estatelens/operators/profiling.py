@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_text, bps, c, int_div, lit_null, spark_family
-from ..session import cut_lineage
-
-HASHED_FROM = 64  # longer values take part in distinct counts by their SHA-256
-
+from ..session import Scratch, cut_lineage
+from .typed_values import UPPER_MEDIAN, distinct_counts, histogram, is_value, order_key, picked_ranks, quantile_texts
 
 def _counts(col: str) -> list[Column]:
     x = F.col(col)
@@ -36,44 +34,22 @@ def profile(df: DataFrame, col: str, family: str) -> DataFrame:
 
 
 def profile_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A6. Filtered-aggregate counts of several columns in one scan, one row per column."""
-    one = df.select(*cols).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(F.col(x).isNull()).alias("_n_" + x) for x in cols],
-        *[F.countDistinct(x).alias("_d_" + x) for x in cols],
-    )
-    rows = F.array(*[
-        F.struct(F.lit(x).alias("column_name"), F.col("_rows").alias("row_count"),
-                 F.col("_n_" + x).alias("null_count"), F.col("_d_" + x).alias("distinct_count"))
-        for x in cols
-    ])
-    return one.select(F.inline(rows))
-
-
-def value_histogram(df: DataFrame, cols: list[str], shorten: bool = True) -> DataFrame:
-    """(column_name, value_key, n) for all columns at once; copies are combined before the shuffle."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def key(x):
-        t = as_text(x, types[x])
-        return F.when(F.length(t) > HASHED_FROM, F.concat(F.lit("sha256:"), F.sha2(t, 256))).otherwise(t) if shorten else t
-
-    wide = df.select(*[key(x).alias(x) for x in cols])
-    long = wide.unpivot([], cols, "column_name", "value_key")
-    return long.groupBy("column_name", "value_key").agg(F.count(F.lit(1)).alias("n"))
+    """A6. Row, null and distinct counts of several columns, one row per column.
 
-
-def numeric_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column_name, v double, n) of numeric columns, with no text in between; for quantiles."""
-    wide = df.select(*[F.when(F.col(x) == 0, F.lit(0.0)).otherwise(F.col(x).cast("double")).alias(x) for x in cols])
-    return wide.unpivot([], cols, "column_name", "v").filter("v is not null").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    Counts come from one wide aggregate; distinct values of all columns meet in one shuffle of 128-bit keys, without
+    text and without a copy of each row per column and count.
+    """
+    one = df.select(*cols).agg(F.count(F.lit(1)).alias("_rows"), *[F.count(x).alias(f"_c{i}") for i, x in enumerate(cols)])
+    base = one.select(F.inline(F.array(*[
+        F.struct(F.lit(x).alias("column_name"), F.col("_rows").alias("row_count"), (F.col("_rows") - F.col(f"_c{i}")).alias("null_count")) for i, x in enumerate(cols)])))
+    return base.join(distinct_counts(df, cols), "column_name", "left").select("column_name", "row_count", "null_count", F.coalesce("distinct_count", F.lit(0)).cast("long").alias("distinct_count"))
 
 
 def profile_table(df: DataFrame, cols: list[str] | None = None, distinct: str = "exact", key_slack: float = 0.1) -> DataFrame:
     """A7. Every column of a table in one pass, one row per column.
 
-    Counts and extrema come from one wide aggregate over one scan. Distinct counts: ``exact`` uses the shared
-    histogram (one shuffle for all columns), ``approx`` the sketch of the wide aggregate, ``screened`` the exact
+    Counts and extrema come from one wide aggregate over one scan. Distinct counts: ``exact`` uses one
+    shuffle of 128-bit keys for all columns, ``approx`` the sketch of the wide aggregate, ``screened`` the exact
     path only for columns whose sketch is within ``key_slack`` of the non-null count (possible keys).
     """
     cols = cols or df.columns
@@ -109,27 +85,31 @@ def profile_table(df: DataFrame, cols: list[str] | None = None, distinct: str =
 
     base = wide.select(F.inline(F.array(*[entry(i, x) for i, x in enumerate(cols)])))
     if todo:
-        hist = value_histogram(df, todo).groupBy("column_name").agg(F.count("value_key").alias("_exact"))
-        base = base.join(F.broadcast(hist), "column_name", "left")  # one row per column of one table
+        found = distinct_counts(df, todo).withColumnRenamed("distinct_count", "_exact")
+        base = base.join(found, "column_name", "left")
+        if distinct == "exact":  # a table without rows has no distinct value
+            base = base.withColumn("_exact", F.coalesce("_exact", F.lit(0)))
     else:
         base = base.withColumn("_exact", lit_null("long"))
     return base.withColumn("distinct_count", F.coalesce("_exact", "_approx").cast("long")).withColumn(
         "distinct_exact", F.col("_exact").isNotNull()).drop("_exact", "_approx")
 
 
-def first_rows(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
-    """Q11. Bounded scan; with an order key the bound is repeatable. n is the caller's choice."""
+def first_rows(df: DataFrame, n: int | None, order: list[str] | None = None) -> DataFrame:
+    """Q11. Bounded scan; with an order key the bound is repeatable. n is the caller's choice, all rows without it."""
+    if n is None:
+        return df
     if n < 1:
         raise ValueError("a bounded scan takes one row or more")
     return (df.orderBy(*order) if order else df).limit(n)
 
 
-def column_summary(df: DataFrame, col: str, n: int, order: list[str] | None = None) -> DataFrame:
+def column_summary(df: DataFrame, col: str, n: int | None = None, order: list[str] | None = None) -> DataFrame:
     """A8."""
     return first_rows(df, n, order).agg(*_counts(col))
 
 
-def temporal_coverage(df: DataFrame, col: str, n: int, order: list[str] | None = None) -> DataFrame:
+def temporal_coverage(df: DataFrame, col: str, n: int | None = None, order: list[str] | None = None) -> DataFrame:
     """A9. Null when the bounded scope is empty; the freshness maximum repeats the maximum."""
     def iso_text(x):
         return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSS")
@@ -138,7 +118,7 @@ def temporal_coverage(df: DataFrame, col: str, n: int, order: list[str] | None =
         iso_text(F.max(col)).alias("freshness_maximum"))
 
 
-def quality_indicators(df: DataFrame, col: str, n: int, order: list[str] | None = None) -> DataFrame:
+def quality_indicators(df: DataFrame, col: str, n: int | None = None, order: list[str] | None = None) -> DataFrame:
     """A10. Same counts as A8, read as quality evidence."""
     return column_summary(df, col, n, order)
 
@@ -173,9 +153,6 @@ def profile_violations(p: DataFrame) -> DataFrame:
 
 # --- rank quantiles -----------------------------------------------------------------------------------
 
-UPPER_MEDIAN = "median"
-
-
 def rank_index(p, n: Column) -> Column:
     """0-based rank: the upper median is n div 2, quantile p is floor((n-1)*p)."""
     if p == UPPER_MEDIAN:
@@ -189,7 +166,7 @@ def _at_or_below(value: Column, cuts: str) -> Column:
 
 
 def histogram_quantiles(hist: DataFrame, keys: list[str], value: str, n: str, wanted: dict, rounds: int = 1,
-                        coarse: int = 32, fine: int = 32, few_keys: bool = True) -> DataFrame:
+                        coarse: int = 32, fine: int = 32) -> DataFrame:
     """W10. Exact rank-picked quantiles of a (keys, value, n) histogram.
 
     A round cuts a key's values into coarse*fine ranges at sketch quantiles, sums the ranges, and keeps only the
@@ -198,10 +175,9 @@ def histogram_quantiles(hist: DataFrame, keys: list[str], value: str, n: str, wa
     sketch decides speed only, never the answer. The histogram feeds several branches, so it is checkpointed once
     instead of being scanned and shuffled again for each.
 
-    Cut points reach the rows in two short arrays, coarse then fine. With ``few_keys`` the keys are columns of a
-    table, so the per-key tables (at most coarse rows a key) are broadcast and the histogram is not shuffled again.
+    Cut points reach the rows in two short arrays, coarse then fine; how they are joined is left to adaptive execution.
+    Values keep their type, so the answer is as exact as it; ``typed_values`` takes columns of several types at once.
     """
-    hint = F.broadcast if few_keys else (lambda d: d)
     h = cut_lineage(hist.select(*keys, F.col(value).alias("_v"), F.col(n).cast("long").alias("_n")))
     total = h.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     targets = total.select(*keys, F.inline(F.array(*[
@@ -215,14 +191,14 @@ def histogram_quantiles(hist: DataFrame, keys: list[str], value: str, n: str, wa
         rest = F.transform(F.sequence(F.lit(0), F.lit(coarse - 1)), lambda i: F.slice("_cuts", i * fine + 1, F.lit(fine - 1)))
         outer = cuts.select(*scope, marks.alias("_marks"))
         inner = cuts.select(*scope, F.posexplode(rest).alias("_c", "_rest"))
-        play = play.join(hint(outer), scope).withColumn("_c", _at_or_below(F.col("_v"), "_marks")).drop("_marks")
-        play = play.join(hint(inner), [*scope, "_c"]).withColumn("_b", F.col("_c") * fine + _at_or_below(F.col("_v"), "_rest")).drop("_rest", "_c")
+        play = play.join(outer, scope).withColumn("_c", _at_or_below(F.col("_v"), "_marks")).drop("_marks")
+        play = play.join(inner, [*scope, "_c"]).withColumn("_b", F.col("_c") * fine + _at_or_below(F.col("_v"), "_rest")).drop("_rest", "_c")
         before = Window.partitionBy(*scope).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         ranges = play.groupBy(*scope, "_b").agg(F.sum("_n").alias("_bn")).withColumn(
             "_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-        hit = ranges.join(hint(goal), scope).filter((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_bn")))
+        hit = ranges.join(goal, scope).filter((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_bn")))
         hit = hit.withColumn("_rank", F.col("_rank") - F.col("_off")).drop("_off", "_bn")
-        return play.join(hint(hit), [*scope, "_b"]).drop("_b")
+        return play.join(hit, [*scope, "_b"]).drop("_b")
 
     scope = keys + ["_q"]
     play = narrow(h, keys, targets)
@@ -239,29 +215,35 @@ def histogram_quantiles(hist: DataFrame, keys: list[str], value: str, n: str, wa
 def sample_profile(df: DataFrame, cols: list[str] | None = None, n: int | None = None, order: list[str] | None = None) -> DataFrame:
     """A12. Sample counts, duplicates beyond the first, and for numbers min, max, upper median, q1, q3.
 
-    Without ``n`` the sample is the whole table.
+    Numbers come as doubles (min_value, max_value, median_value, q1, q3) for rules that compare them, and as exact text
+    (the same names with ``_exact``), which keeps integers above 2**53 and wide decimals apart. Without ``n`` the
+    sample is the whole table. One histogram of typed values, kept once, feeds everything.
     """
     src = first_rows(df, n, order) if n else df
     cols = cols or src.columns
     fam = {x: spark_family(src.schema[x].dataType) for x in cols}
-    hist = cut_lineage(value_histogram(src, cols))
-    base = hist.groupBy("column_name").agg(
-        F.sum("n").alias("sampled"),
-        F.coalesce(F.sum(F.when(F.col("value_key").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count("value_key").alias("distinct_sampled"),
-        F.coalesce(F.sum(F.when(F.col("value_key").isNotNull(), F.col("n") - 1)), F.lit(0)).alias("duplicate_sampled"))
-    kinds = F.create_map(*[y for x in cols for y in (F.lit(x), F.lit(fam[x]))])
-    base = base.withColumn("type_family", kinds[F.col("column_name")])
     nums = [x for x in cols if fam[x] == "NUMERIC"]
-    if not nums:
-        for x in ("min_value", "max_value", "median_value", "q1", "q3"):
-            base = base.withColumn(x, lit_null("double"))
-        return base
-    nh = hist.filter(F.col("column_name").isin(nums) & F.col("value_key").isNotNull()).select(
-        "column_name", F.col("value_key").cast("double").alias("v"), "n")
-    q = histogram_quantiles(nh, ["column_name"], "v", "n", {"median_value": UPPER_MEDIAN, "q1": 0.25, "q3": 0.75})
-    ends = nh.groupBy("column_name").agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"))
-    return base.join(F.broadcast(ends.join(q, "column_name")), "column_name", "left")  # one row per column
+    wanted = {"median_value": UPPER_MEDIAN, "q1": 0.25, "q3": 0.75}
+    with Scratch(df.sparkSession) as scratch:
+        hist = scratch.keep(histogram(src, cols).withColumn("_v", is_value()).withColumn("_k", order_key()))
+        base = hist.groupBy("column_name").agg(
+            F.sum("n").alias("sampled"), F.coalesce(F.sum(F.when(~F.col("_v"), F.col("n"))), F.lit(0)).alias("nulls"), F.count_if("_v").alias("distinct_sampled"),
+            F.coalesce(F.sum(F.when(F.col("_v"), F.col("n") - 1)), F.lit(0)).alias("duplicate_sampled"))
+        kinds = F.create_map(*[y for x in cols for y in (F.lit(x), F.lit(fam[x]))])
+        base = base.withColumn("type_family", kinds[F.col("column_name")])
+        names = ["min_value", "max_value", *wanted]
+        if not nums:
+            for x in names:
+                base = base.withColumn(x, lit_null("double")).withColumn(x + "_exact", lit_null())
+            return scratch.keep(base, outlives=True)
+        values = hist.where("_v and _k is not null").drop("_v")
+        row = F.struct("l", "f", "t")
+        ends = values.groupBy("column_name").agg(F.min_by(row, "_k").alias("lo"), F.max_by(row, "_k").alias("hi"))
+        ends = ends.select("column_name", F.inline(F.array(F.struct(F.lit("min_value").alias("q"), F.col("lo").alias("v")), F.struct(F.lit("max_value").alias("q"), F.col("hi").alias("v"))))).select("column_name", "q", "v.*")
+        picked = picked_ranks(scratch, values, wanted).unionByName(ends)
+        exact = quantile_texts(picked, src, nums, dict.fromkeys(names))
+        exact = exact.select("column_name", *[F.col(x).cast("double").alias(x) for x in names], *[F.col(x).alias(x + "_exact") for x in names])
+        return scratch.keep(base.join(exact, "column_name", "left"), outlives=True)
 
 
 CODE_LIKE = "(?i)(email|code|number|reference|serial)"  # fixed pattern: names whose duplicates matter
@@ -270,8 +252,8 @@ CODE_LIKE = "(?i)(email|code|number|reference|serial)"  # fixed pattern: names w
 def anomalies(p: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
     """A13. One row per anomaly; ``p`` carries table_name next to the A12 columns.
 
-    ``orphans`` (relationship, is_orphan, evidence) adds failed link tests. The first 12 of the ordered list
-    become cause rows for review at fixed low confidence (``cause_confidence``).
+    ``orphans`` (relationship, is_orphan, evidence) adds failed link tests. ``cause_rows`` turns
+    anomalies into causes for review at fixed low confidence.
     """
     iqr = F.col("q3") - F.col("q1")
     def item(t, sev):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profiling as P
+from ..operators import typed_values as V
 from .base import Registry, items_text, load, stringify
 
 R = Registry()
@@ -91,10 +92,10 @@ def profile_table_screened(spark, sf):
 
 
 @R.add("column_summary", f"""SELECT count(*) AS row_count, count(*) - count(p) AS null_count, count(DISTINCT p) AS distinct_count
-    FROM (SELECT {_PRIO} AS p FROM orders ORDER BY o_orderkey LIMIT 10000)""")
+    FROM (SELECT {_PRIO} AS p FROM orders)""")
 def column_summary(spark, sf):
     o = load(spark, sf, "orders").withColumn("p", F.expr(_PRIO))
-    return P.column_summary(o, "p", 10_000, ["o_orderkey"])
+    return P.column_summary(o, "p")
 
 
 _MS = "%Y-%m-%dT%H:%M:%S.%g"
@@ -102,15 +103,15 @@ _MS = "%Y-%m-%dT%H:%M:%S.%g"
 
 @R.add("temporal_coverage", f"""SELECT count(*) AS row_count, count(*) - count(o_orderdate) AS null_count,
     count(DISTINCT o_orderdate) AS distinct_count, strftime(min(o_orderdate), '{_MS}') AS minimum, strftime(max(o_orderdate), '{_MS}') AS maximum,
-    strftime(max(o_orderdate), '{_MS}') AS freshness_maximum FROM (SELECT o_orderdate FROM orders ORDER BY o_orderkey LIMIT 10000)""")
+    strftime(max(o_orderdate), '{_MS}') AS freshness_maximum FROM orders""")
 def temporal_coverage(spark, sf):
-    return P.temporal_coverage(load(spark, sf, "orders"), "o_orderdate", 10_000, ["o_orderkey"])
+    return P.temporal_coverage(load(spark, sf, "orders"), "o_orderdate")
 
 
 @R.add("quality_indicators", """SELECT count(*) AS row_count, count(*) - count(o_custkey) AS null_count, count(DISTINCT o_custkey) AS distinct_count
-    FROM (SELECT o_custkey FROM orders ORDER BY o_orderkey LIMIT 10000)""")
+    FROM orders""")
 def quality_indicators(spark, sf):
-    return P.quality_indicators(load(spark, sf, "orders"), "o_custkey", 10_000, ["o_orderkey"])
+    return P.quality_indicators(load(spark, sf, "orders"), "o_custkey")
 
 
 _QM = """, m AS (SELECT *, row_count - null_count AS non_null_count, row_count - null_count - distinct_count AS duplicate_count FROM p)
@@ -141,18 +142,35 @@ def temporal_completeness(spark, sf):
     return P.temporal_completeness(P.profile(l, "l_shipdate", "TEMPORAL")).select("column_name", "null_count", "row_count", "null_rate_bps")
 
 
-def _q_sql(table, cols, as_name=None):
-    return " UNION ALL ".join(
-        f"""SELECT '{x}' AS column_name, max(v) FILTER (WHERE r = n // 2) AS median_value,
-        max(v) FILTER (WHERE r = CAST(floor((n - 1) * 0.25) AS BIGINT)) AS q1, max(v) FILTER (WHERE r = CAST(floor((n - 1) * 0.75) AS BIGINT)) AS q3
-        FROM (SELECT CAST({x} AS DOUBLE) AS v, row_number() OVER (ORDER BY {x}) - 1 AS r, count(*) OVER () AS n FROM {table} WHERE {x} IS NOT NULL)"""
-        for x in cols)
+def _q_sql(table, cols, exact=False):
+    rank = {"median_value": "n // 2", "q1": "CAST(floor((n - 1) * 0.25) AS BIGINT)", "q3": "CAST(floor((n - 1) * 0.75) AS BIGINT)"}
+    pick = ", ".join(f"CAST(max(v) FILTER (WHERE r = {r}) AS DOUBLE) AS {q}" + (f", CAST(max(v) FILTER (WHERE r = {r}) AS VARCHAR) AS {q}_exact" if exact else "") for q, r in rank.items())
+    return " UNION ALL ".join(f"""SELECT '{x}' AS column_name, {pick}
+        FROM (SELECT {x} AS v, row_number() OVER (ORDER BY {x}) - 1 AS r, count(*) OVER () AS n FROM {table} WHERE {x} IS NOT NULL)""" for x in cols)
+
+
+_WANTED = {"median_value": P.UPPER_MEDIAN, "q1": 0.25, "q3": 0.75}
 
 
 @R.add("rank_quantiles", _q_sql("lineitem", ["l_extendedprice", "l_quantity", "l_discount"]))
 def rank_quantiles(spark, sf):
-    h = P.numeric_histogram(load(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount"), ["l_extendedprice", "l_quantity", "l_discount"])
-    return P.histogram_quantiles(h, ["column_name"], "v", "n", {"median_value": P.UPPER_MEDIAN, "q1": 0.25, "q3": 0.75})
+    q = V.exact_quantiles(load(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"], _WANTED)
+    return q.select("column_name", *[F.col(x).cast("double").alias(x) for x in _WANTED])
+
+
+_BIG = {"big_long": "CASE WHEN l_linenumber % 2 = 0 THEN 9007199254740992 + l_orderkey ELSE -9007199254740992 - l_partkey END",
+        "wide_decimal": "CAST(concat(CASE WHEN l_linenumber % 3 = 0 THEN '-' ELSE '' END, CAST(l_orderkey AS STRING), '12345678901234567890.', lpad(CAST(l_partkey AS STRING), 8, '0')) AS DECIMAL(38, 8))",
+        "small_decimal": "CAST(l_discount - 0.05 AS DECIMAL(9, 4))"}
+
+
+@R.add("rank_quantiles_exact", " UNION ALL ".join(
+    f"""SELECT '{x}' AS column_name, CAST(max(v) FILTER (WHERE r = n // 2) AS VARCHAR) AS median_value,
+    CAST(max(v) FILTER (WHERE r = CAST(floor((n - 1) * 0.25) AS BIGINT)) AS VARCHAR) AS q1, CAST(max(v) FILTER (WHERE r = CAST(floor((n - 1) * 0.75) AS BIGINT)) AS VARCHAR) AS q3
+    FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r, count(*) OVER () AS n FROM (SELECT {e.replace('STRING', 'VARCHAR')} AS v FROM lineitem) WHERE v IS NOT NULL)""" for x, e in _BIG.items()))
+def rank_quantiles_exact(spark, sf):
+    """Integers above 2**53, decimals of more than 30 digits, small decimals, as exact text; narrowed in several rounds."""
+    wide = load(spark, sf, "lineitem").select(*[F.expr(e).alias(x) for x, e in _BIG.items()])
+    return V.exact_quantiles(wide, list(_BIG), _WANTED, digits=2, closing=100)
 
 
 @R.add("rank_quantiles_two_rounds", _q_sql("orders", ["o_totalprice"]))
@@ -172,10 +190,10 @@ def _sample_cte(table):
         f"""SELECT '{x}' AS column_name, sum(n) AS sampled, coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS nulls, count(v) AS distinct_sampled,
         coalesce(sum(n - 1) FILTER (WHERE v IS NOT NULL), 0) AS duplicate_sampled, '{'NUMERIC' if x in nums else 'TEXT'}' AS type_family
         FROM (SELECT {x} AS v, count(*) AS n FROM {table} GROUP BY 1)""" for x in nums + texts)
-    ends = " UNION ALL ".join(f"SELECT '{x}' AS column_name, CAST(min({x}) AS DOUBLE) AS min_value, CAST(max({x}) AS DOUBLE) AS max_value FROM {table}" for x in nums)
+    ends = " UNION ALL ".join(f"SELECT '{x}' AS column_name, CAST(min({x}) AS DOUBLE) AS min_value, CAST(max({x}) AS DOUBLE) AS max_value, CAST(min({x}) AS VARCHAR) AS min_value_exact, CAST(max({x}) AS VARCHAR) AS max_value_exact FROM {table}" for x in nums)
     return f"""(SELECT b.column_name, CAST(sampled AS BIGINT) AS sampled, CAST(nulls AS BIGINT) AS nulls, distinct_sampled,
-      CAST(duplicate_sampled AS BIGINT) AS duplicate_sampled, type_family, min_value, max_value, median_value, q1, q3
-      FROM ({base}) b LEFT JOIN ({ends}) e USING (column_name) LEFT JOIN ({_q_sql(table, nums)}) q USING (column_name))"""
+      CAST(duplicate_sampled AS BIGINT) AS duplicate_sampled, type_family, min_value, max_value, median_value, q1, q3, min_value_exact, max_value_exact, median_value_exact, q1_exact, q3_exact
+      FROM ({base}) b LEFT JOIN ({ends}) e USING (column_name) LEFT JOIN ({_q_sql(table, nums, True)}) q USING (column_name))"""
 
 
 def _sample(table):
