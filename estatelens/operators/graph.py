@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
-from ..session import cut_lineage
+from ..session import Scratch, cut_lineage
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -67,30 +67,75 @@ def with_confidence(df: DataFrame, support: str = "support", counter: str = "cou
     return df.withColumn("lower_bps", lo.cast("long")).withColumn("upper_bps", F.greatest(F.col("lower_bps"), F.least(F.col("lower_bps") + 3000, F.lit(10000))).cast("long"))
 
 
+def _shortcuts(scratch: Scratch, p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pointers (node, t, a, b), level(node) = max(a, level(t) + b), followed to where no pointer starts; and the nodes of
+    pointers that never end, which lead into a cycle. Pointers are doubled, so rounds are the logarithm of the longest run."""
+    size, span, moved = p.count(), 1, 1
+    while moved and span <= size:
+        n = p.select(F.col("node").alias("t"), F.col("t").alias("t2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        j = p.join(n, "t", "left")
+        on = F.col("t2").isNotNull()
+        q = scratch.keep(j.select("node", F.coalesce("t2", "t").alias("t"), F.when(on, F.greatest("a", F.col("a2") + F.col("b"))).otherwise(F.col("a")).alias("a"), F.when(on, F.col("b") + F.col("b2")).otherwise(F.col("b")).alias("b"), on.alias("_on")))
+        moved = q.where("_on").limit(1).count()
+        scratch.drop(p)
+        p, span = q, span * 2
+    p = p.select("node", "t", "a", "b")
+    starts = p.select(F.col("node").alias("t"))
+    return p.join(starts, "t", "left_anti"), p.join(starts, "t", "left_semi").select("node")
+
+
 def dependency_levels(nodes: DataFrame, depends: DataFrame) -> DataFrame:
     """G2. Level of each node (0 needs nothing known); a node on or behind a cycle has no level.
 
-    nodes: node. depends: node, needs. Each round peels all nodes whose needs are placed; rounds equal the longest
-    chain. Needs that are not nodes are dangling, see ``dangling_needs``, and do not block.
+    nodes: node. depends: node, needs. A table holds each open node's number of open needs and the level that its placed needs
+    ask for; placing nodes lowers the numbers. A node with one open need is a pointer to it: runs of pointers are doubled to
+    their ends and set aside, edges into them go to the ends, and they get their levels when the ends have theirs. So
+    a chain takes rounds by the logarithm of its length, and so does a cycle; only a run of nodes that keep two open needs
+    each takes a round per node. Tables of past rounds are removed. Needs that are not nodes are dangling, see
+    ``dangling_needs``, and do not block.
     """
-    known = nodes.select("node").distinct()
-    e = depends.filter("node <> needs").distinct().join(known.select(F.col("node").alias("needs")), "needs", "left_semi")
-    e = cut_lineage(e.join(known, "node", "left_semi").select("node", "needs"))
-    left, placed = cut_lineage(known), None
-    for level in count():
-        ready = left.join(e.select("node").distinct(), "node", "left_anti")
-        ready = cut_lineage(ready)
-        if ready.isEmpty():
-            break
-        row = ready.withColumn("level", F.lit(level))
-        placed = row if placed is None else placed.unionByName(row)
-        if level % 50 == 49:  # one branch instead of fifty
-            placed = cut_lineage(placed)
-        left = cut_lineage(left.join(ready, "node", "left_anti"))
-        e = cut_lineage(e.join(ready.select(F.col("node").alias("needs")), "needs", "left_anti").select("node", "needs"))
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    out = rest if placed is None else placed.unionByName(rest)
-    return out.withColumn("status", F.when(F.col("level").isNull(), "CYCLE").otherwise("ORDERED"))
+    with Scratch(nodes.sparkSession) as scratch:
+        known = scratch.keep(nodes.select("node").where("node is not null").distinct())
+        e = depends.filter("node <> needs").select("node", "needs").distinct().join(known.select(F.col("node").alias("needs")), "needs", "left_semi").join(known, "node", "left_semi")
+        zero = F.lit(0).cast("long")
+        e = scratch.keep(e.select("node", "needs", zero.alias("a"), F.lit(1).cast("long").alias("b")))
+        open_ = scratch.keep(known.join(e.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node", "left").select("node", F.coalesce("n", zero).alias("n"), zero.alias("best")))
+        placed, aside = [], []
+        while True:
+            found = open_.agg(F.count_if(F.col("n") == 0), F.count_if(F.col("n") == 1)).first()
+            if not found[0] and not found[1]:
+                break
+            ready = open_.where("n = 0").select("node", F.col("best").alias("level"))
+            single = scratch.keep(open_.where("n = 1").join(e, "node").select("node", F.col("needs").alias("t"), F.greatest("a", "best").alias("a"), "b"))
+            ends, endless = _shortcuts(scratch, single) if found[1] else (single, single.select("node"))
+            ends = scratch.keep(ends)
+            at = ends.join(ready.select(F.col("node").alias("t"), "level"), "t", "left")
+            now = scratch.keep(ready.unionByName(at.where("level is not null").select("node", F.greatest("a", F.col("level") + F.col("b")).alias("level"))))
+            later = scratch.keep(at.where("level is null").select("node", "t", "a", "b"))
+            placed.append(now)
+            aside.append(later)
+            rest = open_.where("n > 1")
+            x = e.join(rest.select("node"), "node", "left_semi").join(now.withColumnRenamed("node", "needs"), "needs", "left")
+            x = scratch.keep(x.join(later.select(F.col("node").alias("needs"), "t", F.col("a").alias("a2"), F.col("b").alias("b2")), "needs", "left"))
+            asks = x.where("level is not null").groupBy("node").agg(F.max(F.greatest("a", F.col("level") + F.col("b"))).alias("asked"))
+            moved = F.col("t").isNotNull()
+            edges = x.where("level is null").groupBy("node", F.coalesce("t", "needs").alias("needs")).agg(
+                F.max(F.when(moved, F.greatest("a", F.col("a2") + F.col("b"))).otherwise(F.col("a"))).alias("a"), F.max(F.when(moved, F.col("b") + F.col("b2")).otherwise(F.col("b"))).alias("b"))
+            edges = scratch.keep(edges)
+            counts = edges.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+            new = scratch.keep(rest.join(asks, "node", "left").join(counts, "node", "left").select("node", F.coalesce("m", zero).alias("n"), F.greatest("best", F.coalesce("asked", zero)).alias("best")))
+            scratch.drop(open_, e, x, ends, single)
+            open_, e = new, edges
+            if len(placed) > 16:  # one table instead of many
+                old, placed = placed, [scratch.keep(reduce(DataFrame.unionByName, placed))]
+                scratch.drop(*old)
+        levels = reduce(DataFrame.unionByName, placed) if placed else known.limit(0).withColumn("level", zero)
+        for later in reversed(aside):  # ends of a round were placed or set aside in a later one
+            if not later.isEmpty():
+                got = later.join(levels.withColumnRenamed("node", "t"), "t").select("node", F.greatest("a", F.col("level") + F.col("b")).alias("level"))
+                levels = scratch.keep(levels.unionByName(got))
+        out = known.join(levels.withColumn("level", F.col("level").cast("int")), "node", "left")
+        return scratch.keep(out.withColumn("status", F.when(F.col("level").isNull(), "CYCLE").otherwise("ORDERED")), outlives=True)
 
 
 def dangling_needs(nodes: DataFrame, depends: DataFrame) -> DataFrame:

@@ -69,25 +69,24 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.paths = spark, shared_folder(spark), {}
+        self.spark, self.folder = spark, shared_folder(spark)
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, outlives: bool = False) -> DataFrame:
         path = f"{self.folder}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         if not outlives:
-            self.paths[id(out)] = path
+            self.kept.append((out, path))
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            if path := self.paths.pop(id(t), None):
-                remove(self.spark, path)
+        for path in [p for d, p in self.kept if any(d is t for t in tables)]:
+            remove(self.spark, path)
+        self.kept = [(d, p) for d, p in self.kept if not any(d is t for t in tables)]
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *error) -> None:
-        for path in self.paths.values():
-            remove(self.spark, path)
-        self.paths = {}
+        self.drop(*[d for d, _ in self.kept])
