@@ -43,6 +43,17 @@ def blocked_last(df: DataFrame, keys: list[str], order: str, block: Column, valu
     )
 
 
+def blocked_sums(df: DataFrame, keys: list[str], order: str, block: Column, sums: dict[str, str]) -> DataFrame:
+    """Running sums up to and with each row by ``order``: {column: name of its sum}."""
+    b = df.withColumn("_blk", block)
+    totals = b.groupBy(*keys, "_blk").agg(*[F.sum(x).alias("_t_" + x) for x in sums])
+    prior = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_blk", *[F.coalesce(F.sum("_t_" + x).over(prior), F.lit(0)).alias("_c_" + x) for x in sums])
+    inner = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = b.withColumns({"_o_" + x: F.sum(x).over(inner) for x in sums}).join(carry, [*keys, "_blk"])
+    return own.withColumns({out: (F.col("_o_" + x) + F.col("_c_" + x)).cast("long") for x, out in sums.items()}).drop("_blk", *["_o_" + x for x in sums], *["_c_" + x for x in sums])
+
+
 def with_previous(df: DataFrame, keys: list[str], seq: str, cols: list[str], prefix: str = "prev_") -> DataFrame:
     """Columns of the entry numbered seq-1, by an equi-join on (keys, seq): no key is ever gathered whole."""
     prev = df.select(*keys, (F.col(seq) + 1).alias(seq), *[F.col(x).alias(prefix + x) for x in cols])

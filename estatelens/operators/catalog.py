@@ -55,6 +55,30 @@ def schema_overview(f: DataFrame, keys: list[str] = ()) -> DataFrame:
         F.count_if(cat == "stored-errors").alias("compile_issue_count"))
 
 
+def schema_summary(categories: dict[str, DataFrame], coverage: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """A19. The schema overview straight from the categories, with what its scope could not see.
+
+    Every schema that the ``schemas`` category or any other row names has a row. denied_unknown_count: extracts of the scope
+    (``keys``) that were denied, timed out, failed or are partial; all_complete: whether there is none and every extract
+    succeeded. Only schema names and status travel, no detail.
+    """
+    def one(cat, df):
+        status = F.col("status").cast("string") if "status" in df.columns else lit_null()
+        return df.where("schema_name is not null").select(*keys, "schema_name", F.lit(cat).alias("category"), status.alias("status"))
+
+    cat = F.col("category")
+    rows = reduce(DataFrame.unionByName, [one(k, d) for k, d in categories.items()])
+    g = rows.groupBy(*keys, "schema_name").agg(
+        F.count_if(cat == "relations").alias("relation_count"), F.count_if(cat == "columns").alias("column_count"), F.count_if(cat == "stored-objects").alias("stored_object_count"),
+        F.count_if((cat == "stored-objects") & F.coalesce(F.col("status") != "VALID", F.lit(False))).alias("invalid_object_count"), F.count_if(cat == "stored-errors").alias("compile_issue_count"))
+    dark = coverage.groupBy(*keys).agg(F.count_if(F.col("state").isin(*STATE_RANK)).alias("denied_unknown_count"), F.bool_and(F.col("state") == "SUCCEEDED").alias("all_complete"))
+    on = list(keys) or ["_all"]
+    if not keys:  # one row for all
+        g, dark = g.withColumn("_all", F.lit(0)), dark.withColumn("_all", F.lit(0))
+    g = g.join(dark, on, "left").drop("_all")
+    return g.withColumn("denied_unknown_count", F.coalesce("denied_unknown_count", F.lit(0)).cast("long")).withColumn("all_complete", F.coalesce("all_complete", F.lit(False)))
+
+
 def table_capacity(relations: DataFrame, columns: DataFrame, constraints: DataFrame, indexes: DataFrame,
                    statistics: DataFrame, sizes: DataFrame, keys: list[str] = ()) -> DataFrame:
     """A20 with J9. Counts are pre-aggregated per object; unknown bytes stay null.
@@ -140,16 +164,17 @@ def resolve(f: DataFrame, names: DataFrame, keys: list[str] = ()) -> DataFrame:
                     F.when(one, F.col("m.schema_name")).alias("schema_name"), F.when(one, F.col("m.object_name")).alias("object_name"))
 
 
-def search(f: DataFrame, term: str, schemas: list[str] | None = None, limit: int = 20, keys: list[str] = ()) -> DataFrame:
-    """P17. Literal, case-insensitive search (ASCII letters) of names and detail, ordered, first ``limit`` hits."""
-    if len(term) < 2 or limit < 1:
+def search(f: DataFrame, term: str, schemas: list[str] | None = None, limit: int | None = None, keys: list[str] = ()) -> DataFrame:
+    """P17. Literal, case-insensitive search (ASCII letters) of names and detail, ordered: all hits, or the first ``limit``."""
+    if len(term) < 2 or (limit is not None and limit < 1):
         raise ValueError("search takes a term of two characters or more and a positive limit")
     t = F.lower(F.lit(term))
     src = f if schemas is None else f.filter(F.col("schema_name").isin(schemas))
     hit = reduce(Column.__or__, [F.coalesce(F.lower(x).contains(t), F.lit(False)) for x in ("object_name", "relation_name", "column_name", "detail_json")])
-    return src.filter(hit).select(*keys, "category", "schema_name", "relation_name", "object_name", "object_kind", "column_name", "query_id").orderBy(
+    hits = src.filter(hit).select(*keys, "category", "schema_name", "relation_name", "object_name", "object_kind", "column_name", "query_id").orderBy(
         *keys, "schema_name", F.col("relation_name").asc_nulls_first(), F.col("object_name").asc_nulls_first(), F.col("column_name").asc_nulls_first(),
-        "category", F.col("object_kind").asc_nulls_first()).limit(limit)
+        "category", F.col("object_kind").asc_nulls_first())
+    return hits if limit is None else hits.limit(limit)
 
 
 def canonical_order(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,43 +189,50 @@ def _scoped(df, schemas):
     return df if schemas is None else df.filter(F.col("schema_name").isin(schemas))
 
 
-def answer(family: str, tables: dict[str, DataFrame], schemas: list[str] | None = None, limit: int = 20, objects: DataFrame | None = None,
+def answer(family: str, tables: dict[str, DataFrame], schemas: list[str] | None = None, limit: int | None = None, objects: DataFrame | None = None,
            scope: dict[str, str] | None = None) -> DataFrame:
-    """Q1-Q8. One fixed question family over the overview tables; ``limit`` is the answer's row budget, of any size.
+    """Q1-Q8. One fixed question family over the overview tables.
+
+    All rows, in the family's order, or the first ``limit`` of them for a top-k report.
 
     tables: capacity (A20), overview (A19), deps, facts, coverage (A22), relevance (A23).
     ``scope`` gives the key values (source_id, snapshot_id) of the one database that is asked, where the tables hold several.
     """
-    if limit < 1:
+    if limit is not None and limit < 1:
         raise ValueError("an answer holds one row or more")
+    found = _answer(family, tables, schemas, objects, scope)
+    return found if limit is None else found.limit(limit)
+
+
+def _answer(family: str, tables: dict[str, DataFrame], schemas: list[str] | None, objects: DataFrame | None, scope: dict[str, str] | None) -> DataFrame:
     for key, value in (scope or {}).items():
         tables = {k: t.filter(F.col(key) == value) for k, t in tables.items()}
     if family == "largest_tables":
         return _scoped(tables["capacity"], schemas).select(
             "schema_name", "relation_name", "relation_kind", "bytes", "blocks", "num_rows_estimate", "size_semantics", "row_count_semantics").orderBy(
-            F.col("bytes").desc_nulls_last(), F.col("num_rows_estimate").desc_nulls_last(), "schema_name", "relation_name").limit(limit)
+            F.col("bytes").desc_nulls_last(), F.col("num_rows_estimate").desc_nulls_last(), "schema_name", "relation_name")
     if family == "row_estimates_freshness":
         return _scoped(tables["capacity"], schemas).select(
             "schema_name", "relation_name", "relation_kind", "num_rows_estimate", "last_analyzed", "stale_stats", "row_count_semantics").orderBy(
-            F.col("last_analyzed").asc_nulls_last(), "schema_name", "relation_name").limit(limit)
+            F.col("last_analyzed").asc_nulls_last(), "schema_name", "relation_name")
     if family == "object_inventory_validity":
-        return _scoped(tables["overview"], schemas).orderBy("schema_name").limit(limit)
+        return _scoped(tables["overview"], schemas).orderBy("schema_name")
     if family == "dependencies":
         return object_dependencies(tables["deps"], objects).orderBy(
-            "direction", "source_schema_name", "source_object_name", "target_schema_name", "target_object_name", "native_dependency_kind").limit(limit)
+            "direction", "source_schema_name", "source_object_name", "target_schema_name", "target_object_name", "native_dependency_kind")
     if family == "stored_logic_signatures":
         f = _scoped(tables["facts"], schemas).filter(F.col("category").isin("stored-objects", "stored-arguments", "stored-errors"))
         if objects is not None:
             f = f.join(objects.select("schema_name", "object_name").distinct(), ["schema_name", "object_name"], "left_semi")
-        return f.orderBy("schema_name", "object_name", "category", F.col("column_name").asc_nulls_first(), "detail_json").limit(limit)
+        return f.orderBy("schema_name", "object_name", "category", F.col("column_name").asc_nulls_first(), "detail_json")
     if family == "scheduler_mv_refresh":
         return _scoped(tables["facts"], schemas).filter("query_id like '%.operations.scheduler' or query_id like '%.structure.mview_refresh'").orderBy(
-            "schema_name", F.col("relation_name").asc_nulls_first(), "object_name", "detail_json").limit(limit)
+            "schema_name", F.col("relation_name").asc_nulls_first(), "object_name", "detail_json")
     if family == "coverage_blind_spots":
         rank = F.coalesce(*[F.when(F.col("state") == s, r) for s, r in STATE_RANK.items()], F.lit(4))
-        return tables["coverage"].orderBy(rank, "query_id").limit(limit)
+        return tables["coverage"].orderBy(rank, "query_id")
     if family == "bi_relevance_candidates":
-        return _scoped(tables["relevance"], schemas).orderBy(F.col("deterministic_score").desc(), "schema_name", "relation_name").limit(limit)
+        return _scoped(tables["relevance"], schemas).orderBy(F.col("deterministic_score").desc(), "schema_name", "relation_name")
     raise ValueError("unsupported question family: " + family)
 
 

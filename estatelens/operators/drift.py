@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..contracts import TARGET
 from ..functions.scalars import c, flags, lit_null
 
 
@@ -92,6 +95,42 @@ def evidence_diff(before: DataFrame, after: DataFrame, targets: DataFrame, basel
     return d.join(t, id_col, "left").select(id_col, x.alias("x"), "before_sha256", "after_sha256").select(id_col, "x.*", "before_sha256", "after_sha256")
 
 
+SURFACES = ["coverage", "profiles", "relationships", "hypotheses", "roles", "clusters"]
+
+
+def target_key(table_only: bool = False) -> Column:
+    """Text that names a target (fields of contracts.TARGET); with ``table_only`` the table that holds it."""
+    names = [f.name for f in TARGET.fields]
+    shown = {"kind": F.lit("TABLE"), "schema_name": F.col("schema_name"), "relation_name": F.col("relation_name")} if table_only else {n: F.col(n) for n in names}
+    return F.concat_ws("\u001f", *[F.coalesce(shown[n].cast("string"), F.lit("\u0000")) if n in shown else F.lit("\u0000") for n in names])
+
+
+def covered_targets(entries: DataFrame) -> DataFrame:
+    """(target_id, query_id) that coverage entries speak for: each entry's own target and the table that holds it, so a
+    table is visible through any of its columns and loses visibility with any of them."""
+    both = F.array_distinct(F.array(target_key(), target_key(table_only=True)))
+    return entries.select(F.explode(both).alias("target_id"), "query_id").distinct()
+
+
+def surface_diff(before: dict[str, DataFrame], after: dict[str, DataFrame], targets: DataFrame, baseline_entries: DataFrame, current_entries: DataFrame, query_coverage: DataFrame) -> DataFrame:
+    """J11. All surfaces in one result: surface, id, classification, semantics, reason_code, before_sha256, after_sha256.
+
+    before, after: surface -> (id, sha256), the coverage surface with query_id. targets: surface, id and the fields of
+    contracts.TARGET, the visibility targets of the items. Coverage entries: TARGET fields and query_id. All surfaces but
+    coverage go through one job; an item is its surface and id. A surface that a side lacks is empty there.
+    """
+    def side(frames):
+        return reduce(DataFrame.unionByName, [d.select(F.struct(F.lit(s).alias("surface"), F.col("id").cast("string").alias("id")).alias("item"), "sha256") for s, d in frames.items() if s != "coverage"])
+
+    keyed = targets.select(F.struct("surface", F.col("id").cast("string").alias("id")).alias("item"), target_key().alias("target_id"))
+    rest = evidence_diff(side(before), side(after), keyed, covered_targets(baseline_entries), covered_targets(current_entries), query_coverage, "item", "sha256")
+    out = rest.select("item.surface", "item.id", "classification", "semantics", "reason_code", "before_sha256", "after_sha256")
+    if "coverage" in before and "coverage" in after:
+        own = coverage_diff(before["coverage"], after["coverage"], query_coverage, "id", "sha256")
+        out = out.unionByName(own.select(F.lit("coverage").alias("surface"), F.col("id").cast("string").alias("id"), "classification", "semantics", "reason_code", "before_sha256", "after_sha256"))
+    return out
+
+
 def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
 

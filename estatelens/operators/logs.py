@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import JOURNAL_START, JOURNAL_TRANSITIONS
 from ..functions.scalars import c, flags, int_div
-from ..functions.scans import blocked_last, with_previous
+from ..functions.scans import blocked_last, blocked_sums, with_previous
 
 BLOCK = 65_536  # entries of one log scanned together
 
@@ -113,6 +113,58 @@ def hypothesis_ledger(events: DataFrame, max_no_gain: int = 2, max_counter: int
         "status": status, "terminal_reason": reason}).drop("_start", "prev_signal")
 
 
+def hypothesis_references(events: DataFrame, key: str = "hypothesis_id", seq: str = "seq") -> DataFrame:
+    """W5. What a hypothesis rests on: (key, role, ref, first_seq, times), one row per distinct reference.
+
+    events: key, seq, result_state, signal, evidence_refs array<string>, source_receipt. Roles: SUPPORTS and COUNTERS for evidence
+    of such signals, RECEIPT for every event's receipt, CONTRADICTION for the receipts of counterevidence. Dark results
+    (unknown, timeout, ...) bring a receipt and no evidence. References are rows, so a hypothesis may have any number.
+    """
+    lit = F.col("result_state").isin("SUCCEEDED", "PARTIAL")
+    counters = lit & (F.col("signal") == "COUNTERS")
+    pair = lambda role, ref: F.struct(F.lit(role).alias("role"), ref.alias("ref"))
+    receipt = F.col("source_receipt")
+    refs = F.coalesce(F.when(lit & F.col("signal").isin("SUPPORTS", "COUNTERS"), F.transform(F.col("evidence_refs"), lambda r: F.struct(F.col("signal").alias("role"), r.alias("ref")))), F.array().cast("array<struct<role:string,ref:string>>"))
+    rows = F.concat(refs, F.array_compact(F.array(F.when(receipt.isNotNull(), pair("RECEIPT", receipt)), F.when(counters & receipt.isNotNull(), pair("CONTRADICTION", receipt)))))
+    each = events.select(key, seq, F.explode(rows).alias("r")).select(key, seq, "r.role", "r.ref").where("ref is not null")
+    return each.groupBy(key, "role", "ref").agg(F.min(seq).alias("first_seq"), F.count(F.lit(1)).alias("times"))
+
+
+def evidence_ledger(events: DataFrame, max_no_gain: int = 2, max_counter: int = 2, key: str = "hypothesis_id", seq: str = "seq") -> DataFrame:
+    """W5. ``hypothesis_ledger`` with what each hypothesis rests on after each outcome, up to its first stop.
+
+    Adds supporting_refs, counter_refs and receipts (distinct references so far), contradictions (counterevidence events so
+    far) and keeps lower_bps and upper_bps, the bounds that the outcome sets. Nothing follows a stop: later rows are left out.
+    A distinct reference counts where it is first seen, so running counts are sums of first sights, scanned in blocks.
+    """
+    ledger = hypothesis_ledger(events, max_no_gain, max_counter, key, seq)
+    stop = ledger.where("status = 'STOPPED'").groupBy(key).agg(F.min(seq).alias("_stop"))
+    kept = ledger.join(stop, key, "left").where(F.col("_stop").isNull() | (F.col(seq) <= F.col("_stop"))).drop("_stop")
+    first = hypothesis_references(kept, key, seq).groupBy(key, F.col("first_seq").alias(seq)).agg(
+        F.count_if(F.col("role") == "SUPPORTS").alias("_s"), F.count_if(F.col("role") == "COUNTERS").alias("_c"), F.count_if(F.col("role") == "RECEIPT").alias("_r"))
+    against = F.col("result_state").isin("SUCCEEDED", "PARTIAL") & (F.col("signal") == "COUNTERS")
+    j = kept.join(first, [key, seq], "left").withColumns({x: F.coalesce(x, F.lit(0)) for x in ("_s", "_c", "_r")}).withColumn("_x", F.coalesce(against, F.lit(False)).cast("long"))
+    out = blocked_sums(j, [key], seq, seq_block(seq), {"_s": "supporting_refs", "_c": "counter_refs", "_r": "receipts", "_x": "contradictions"})
+    return out.drop("_s", "_c", "_r", "_x")
+
+
+def probe_dispositions(requests: DataFrame, receipts: DataFrame, authorized: DataFrame) -> DataFrame:
+    """What becomes of each probe request: REUSED_SUCCESS where an identical probe has succeeded, SUPPRESSED_DUPLICATE where it
+    was authorized before or stands earlier among the requests, else AUTHORIZED.
+
+    requests: probe_key, ordinal. receipts: probe_key, result_state, receipt_sha256. authorized: probe_key. The receipt of
+    a key is its succeeded one, else any; all sides are one row per key before they meet, so a hot key is no hot join.
+    """
+    good = F.col("result_state") == "SUCCEEDED"
+    r = receipts.groupBy("probe_key").agg(F.min(F.struct(F.when(good, 0).otherwise(1).alias("k"), "receipt_sha256")).alias("m"))
+    seen = authorized.select("probe_key").distinct().withColumn("_seen", F.lit(True))
+    first = requests.groupBy("probe_key").agg(F.min("ordinal").alias("_first"))
+    keyed = first.join(r, "probe_key", "left").join(seen, "probe_key", "left")
+    j = requests.select("probe_key", "ordinal").join(keyed, "probe_key")
+    what = F.when(F.col("m.k") == 0, "REUSED_SUCCESS").when(F.col("_seen") | (F.col("ordinal") > F.col("_first")), "SUPPRESSED_DUPLICATE").otherwise("AUTHORIZED")
+    return j.select("probe_key", "ordinal", what.alias("disposition"), F.when(what != "AUTHORIZED", F.col("m.receipt_sha256")).alias("receipt_sha256"))
+
+
 def hypothesis_final(ledger: DataFrame, key: str = "hypothesis_id", seq: str = "seq") -> DataFrame:
     """W5. Row of the first stop if a hypothesis stopped, else of its last outcome: nothing follows a stop."""
     row = F.struct("status", "terminal_reason", "consecutive_no_gain", "consecutive_counterevidence", seq)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import HIGH_CONFIDENCE_BPS
@@ -98,6 +98,55 @@ def relationship_status(inferred: Column) -> Column:
     return F.when(inferred, "PROPOSAL_ONLY").otherwise("COUNTEREVIDENCE_ONLY")
 
 
+SKETCH = 256  # least value hashes that a column's sketch holds
+
+
+def value_sketches(values: DataFrame, id_cols: list[str] = ("column_id",), k: int = SKETCH) -> DataFrame:
+    """id_cols, lo, hi, n_distinct, hashes, whole: one row per column of distinct values (id_cols, value_key).
+
+    lo and hi by text order, hashes the ``k`` least 64-bit value hashes, whole if these are all. Ranges and hashes of parts
+    of a column merge (least, greatest, the k least of both); only k hashes per task and column are shuffled.
+    """
+    ids = list(id_cols)
+    v = values.select(*ids, "value_key", F.xxhash64("value_key").alias("_h"))
+    wide = v.groupBy(*ids).agg(F.min("value_key").alias("lo"), F.max("value_key").alias("hi"), F.count(F.lit(1)).alias("n_distinct"))
+    least = v.select(*ids, "_h", F.row_number().over(Window.partitionBy(*ids).orderBy("_h")).alias("_n")).where(F.col("_n") <= k)
+    bottom = least.groupBy(*ids).agg(F.sort_array(F.collect_list("_h")).alias("hashes"))
+    return wide.join(bottom, ids).withColumn("whole", F.col("n_distinct") <= k)
+
+
+def inclusion_refuted(src: str = "s", dst: str = "d") -> Column:
+    """Why not all values of src can be in dst, from sketches in struct columns; null if that stays possible.
+
+    Each reason is a proof: a least or greatest value outside the other's range, more distinct values than the other has, or a
+    hash of src that dst's sketch would hold if dst had the value.
+    """
+    s, d = (lambda x: F.col(f"{src}.{x}")), (lambda x: F.col(f"{dst}.{x}"))
+    limit = F.element_at(d("hashes"), -1)
+    known = F.filter(s("hashes"), lambda h: d("whole") | (h <= limit))
+    return (F.when((s("lo") < d("lo")) | (s("hi") > d("hi")), "OUT_OF_RANGE").when(s("n_distinct") > d("n_distinct"), "MORE_DISTINCT_VALUES")
+            .when(F.size(F.array_except(known, d("hashes"))) > 0, "VALUE_MISSING"))
+
+
+def refute_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """J4. pairs (source_id, target_id) with refuted_by, from sketches (column_id, ...). A column without values is included
+    anywhere, and includes only such a column (NO_VALUES)."""
+    body = F.struct("lo", "hi", "n_distinct", "hashes", "whole")
+    s = sketches.select(F.col("column_id").alias("source_id"), body.alias("s"))
+    d = sketches.select(F.col("column_id").alias("target_id"), body.alias("d"))
+    j = pairs.join(s, "source_id", "left").join(d, "target_id", "left")
+    why = F.when(F.col("s").isNull(), F.lit(None).cast("string")).when(F.col("d").isNull(), "NO_VALUES").otherwise(inclusion_refuted())
+    return j.withColumn("refuted_by", why).drop("s", "d")
+
+
+def inclusions(values: DataFrame, pairs: DataFrame, k: int = SKETCH) -> DataFrame:
+    """J4 with J2. pairs with refuted_by and included: only pairs that no sketch refutes have their values compared."""
+    judged = refute_pairs(pairs, value_sketches(values, k=k))
+    left = judged.where("refuted_by is null").select("source_id", "target_id")
+    full = overlap_all_pairs(values, left).select("source_id", "target_id", (F.col("matched_distinct_count") == F.col("source_distinct_count")).alias("_all"))
+    return judged.join(full, ["source_id", "target_id"], "left").withColumn("included", F.coalesce("_all", F.lit(False))).drop("_all")
+
+
 def candidate_pairs(profiled: DataFrame, constraints: DataFrame, keys: list[str] = ()) -> DataFrame:
     """J4. Profiled columns against single-column PK / UNIQUE targets of the same name and native type.
 

@@ -10,6 +10,7 @@ from ..operators import catalog as C
 from ..operators import coverage as V
 from ..operators import evidence as E
 from ..operators import rules as U
+from ..operators.disclosure import disclosure_walk as walk
 from .base import Registry, load
 from .estate import SOURCES, ctes, each_source, estate, one_source, portable, sources
 
@@ -208,6 +209,12 @@ _OV = """(SELECT schema_name, CAST(sum(r) AS BIGINT) AS relation_count, CAST(sum
 _OVC = ctes("e_relations", "e_columns", "e_stored", "e_errors", "e_comments", "e_arguments")
 
 
+@R.add("schema_summary", _OVC[:-1] + ", " + ctes("e_extracts")[5:] + f"""SELECT *, (SELECT count(*) FILTER (WHERE state IN ('DENIED', 'TIMEOUT', 'ERROR', 'PARTIAL')) FROM e_extracts) AS denied_unknown_count,
+    (SELECT bool_and(state = 'SUCCEEDED') FROM e_extracts) AS all_complete FROM {_OV}""")
+def schema_summary(spark, sf):
+    return C.schema_summary({v: estate(spark, sf, k) for k, v in CATS.items()}, estate(spark, sf, "extracts"))
+
+
 @R.add("schema_overview", _OVC + "SELECT * FROM " + _OV)
 def schema_overview(spark, sf):
     return C.schema_overview(_facts(spark, sf))
@@ -298,9 +305,9 @@ def q_row_estimates_freshness(spark, sf):
     return C.answer("row_estimates_freshness", {"capacity": _capacity(spark, sf)}, limit=100)
 
 
-@R.add("q_object_inventory_validity", _OVC + f"SELECT * FROM {_OV} ORDER BY schema_name LIMIT 100")
+@R.add("q_object_inventory_validity", _OVC + f"SELECT * FROM {_OV} ORDER BY schema_name")
 def q_object_inventory_validity(spark, sf):
-    return C.answer("object_inventory_validity", {"overview": C.schema_overview(_facts(spark, sf))}, limit=100)
+    return C.answer("object_inventory_validity", {"overview": C.schema_overview(_facts(spark, sf))})
 
 
 _WANT = "(SELECT DISTINCT 'SCH_' || p_partkey AS schema_name, 'P_' || p_partkey AS object_name FROM part WHERE p_size = 50)"
@@ -318,15 +325,15 @@ def object_dependencies(spark, sf):
 
 
 @R.add("q_dependencies", ctes("e_dependencies") + f"""SELECT direction, source_object_name, target_object_name FROM {_DEPS}
-   ORDER BY direction, source_schema_name, source_object_name, target_schema_name, target_object_name, native_dependency_kind LIMIT 100""")
+   ORDER BY direction, source_schema_name, source_object_name, target_schema_name, target_object_name, native_dependency_kind""")
 def q_dependencies(spark, sf):
-    return C.answer("dependencies", {"deps": estate(spark, sf, "dependencies")}, limit=100, objects=_want(spark, sf)).select("direction", "source_object_name", "target_object_name")
+    return C.answer("dependencies", {"deps": estate(spark, sf, "dependencies")}, objects=_want(spark, sf)).select("direction", "source_object_name", "target_object_name")
 
 
 @R.add("q_stored_logic_signatures", ctes("e_stored", "e_arguments", "e_errors") + """SELECT category, schema_name, object_name FROM (SELECT 'stored-objects' AS category, schema_name, object_name FROM e_stored
-   UNION ALL SELECT 'stored-arguments', schema_name, argument_name FROM e_arguments UNION ALL SELECT 'stored-errors', schema_name, object_name FROM e_errors) ORDER BY schema_name, object_name, category LIMIT 100""")
+   UNION ALL SELECT 'stored-arguments', schema_name, argument_name FROM e_arguments UNION ALL SELECT 'stored-errors', schema_name, object_name FROM e_errors) ORDER BY schema_name, object_name, category""")
 def q_stored_logic_signatures(spark, sf):
-    return C.answer("stored_logic_signatures", {"facts": _facts(spark, sf)}, limit=100).select("category", "schema_name", "object_name")
+    return C.answer("stored_logic_signatures", {"facts": _facts(spark, sf)}).select("category", "schema_name", "object_name")
 
 
 _OPS = """SELECT CASE event_type WHEN 'error' THEN 'oracle.operations.scheduler' WHEN 'view' THEN 'oracle.structure.mview_refresh' ELSE 'oracle.operations.db_links' END AS query_id,
@@ -334,15 +341,15 @@ _OPS = """SELECT CASE event_type WHEN 'error' THEN 'oracle.operations.scheduler'
 
 
 @R.add("q_scheduler_mv_refresh", "WITH o AS (" + _OPS.format(events="events") + """) SELECT query_id, schema_name, object_name FROM o WHERE query_id LIKE '%.operations.scheduler' OR query_id LIKE '%.structure.mview_refresh'
-   ORDER BY schema_name, object_name LIMIT 100""")
+   ORDER BY schema_name, object_name""")
 def q_scheduler_mv_refresh(spark, sf):
-    return C.answer("scheduler_mv_refresh", {"facts": C.facts({"operations": portable(spark, sf, _OPS)})}, limit=100).select("query_id", "schema_name", "object_name")
+    return C.answer("scheduler_mv_refresh", {"facts": C.facts({"operations": portable(spark, sf, _OPS)})}).select("query_id", "schema_name", "object_name")
 
 
 @R.add("q_coverage_blind_spots", ctes("e_extracts") + f"""SELECT *, {_VIS}, {_CAV} FROM e_extracts
-   ORDER BY CASE state WHEN 'DENIED' THEN 0 WHEN 'TIMEOUT' THEN 1 WHEN 'ERROR' THEN 2 WHEN 'PARTIAL' THEN 3 ELSE 4 END, query_id LIMIT 100""")
+   ORDER BY CASE state WHEN 'DENIED' THEN 0 WHEN 'TIMEOUT' THEN 1 WHEN 'ERROR' THEN 2 WHEN 'PARTIAL' THEN 3 ELSE 4 END, query_id""")
 def q_coverage_blind_spots(spark, sf):
-    return C.answer("coverage_blind_spots", {"coverage": V.coverage_rows(estate(spark, sf, "extracts"))}, limit=100)
+    return C.answer("coverage_blind_spots", {"coverage": V.coverage_rows(estate(spark, sf, "extracts"))})
 
 
 @R.add("q_bi_relevance_candidates", _RELC + f"SELECT * FROM {_REL} ORDER BY deterministic_score DESC, schema_name, relation_name LIMIT 100")
@@ -393,9 +400,9 @@ _HIT = """(SELECT 'relations' AS category, schema_name, relation_name, relation_
    SELECT 'comments', schema_name, relation_name, column_name, NULL, column_name, 'comments' FROM e_comments WHERE contains(lower(column_name), 'amount_1'))"""
 
 
-@R.add("q_search", _OVC + f"SELECT * FROM {_HIT} ORDER BY schema_name, relation_name NULLS FIRST, object_name NULLS FIRST, column_name NULLS FIRST, category LIMIT 100")
+@R.add("q_search", _OVC + f"SELECT * FROM {_HIT} ORDER BY schema_name, relation_name NULLS FIRST, object_name NULLS FIRST, column_name NULLS FIRST, category")
 def q_search(spark, sf):
-    return C.search(_facts(spark, sf), "AMOUNT_1", limit=100)
+    return C.search(_facts(spark, sf), "AMOUNT_1")
 
 
 _NAMES = """SELECT DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN 'sch_' || CAST(o_custkey AS STRING) || '.t_' || CAST(o_orderkey AS STRING)
@@ -539,6 +546,24 @@ def disclosure_pages(spark, sf):
 _KEYS = """SELECT event_id, '{"' || CASE event_type WHEN 'view' THEN 'apiKey' WHEN 'click' THEN 'records' WHEN 'signup' THEN 'raw_sql' WHEN 'purchase' THEN 'Sample Value' ELSE 'token' END || '": 1, "k": 2}' AS body FROM {events}"""
 
 
+_B, _E = "chr(123)", "chr(125)"
+_NEST = f"""SELECT event_id, {_B} || '"a": ' || {_B} || '"' || CASE event_type WHEN 'view' THEN 'apiKey' WHEN 'click' THEN 'records' ELSE 'fine' END || '": [' || {_B} || '"'
+   || CASE user_id % 3 WHEN 0 THEN 'password' WHEN 1 THEN 'note' ELSE 'raw_sql' END || '": "' || CASE WHEN value < 5 THEN 'select a from b' WHEN value < 8 THEN '' ELSE 'plain' END || '"' || {_E}
+   || ', 7, null, "' || CASE WHEN value > 60 THEN 'delete from t' ELSE 'x' END || '"]' || {_E} || ', "list": [["x", ' || {_B} || '"' || CASE user_id % 4 WHEN 0 THEN 'dsn' ELSE 'ok' END || '": 1' || {_E} || ']]'
+   || CASE WHEN event_type = 'error' THEN '' ELSE {_E} END AS body FROM {{events}}"""
+
+
+@R.add("disclosure_walk", "WITH d AS (" + _NEST.format(events="events") + f"""), t AS (SELECT d.event_id, j.fullkey AS path, CASE WHEN ends_with(j.fullkey, ']') THEN NULL ELSE j.key END AS k, j.type, CASE WHEN j.type = 'VARCHAR' THEN j.atom ->> '$' END AS x
+     FROM (SELECT * FROM d WHERE json_valid(body)) d, json_tree(d.body) j)
+  SELECT event_id, path, unnest(list_filter([CASE WHEN regexp_matches(k, '{U.SECRET_KEY}') THEN 'SECRET_KEY' END, CASE WHEN regexp_matches(k, '{U.ROW_KEY}') THEN 'SOURCE_ROW_KEY' END, CASE WHEN regexp_matches(k, '{U.SQL_KEY}') THEN 'RAW_SQL_KEY' END,
+    CASE WHEN lower(regexp_replace(regexp_replace(k, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[ .-]+', '_', 'g')) IN ({", ".join(f"'{x}'" for x in U.UNSAFE_KEYS)}) THEN 'UNSAFE_EVIDENCE_KEY' END,
+    CASE WHEN x = '' THEN 'TEXT_DENIED' END, CASE WHEN x IN ('select a from b', 'delete from t') THEN 'RAW_SQL' END], lambda v: v IS NOT NULL)) AS flag FROM t
+  UNION ALL SELECT event_id, '$', 'NOT_JSON' FROM d WHERE NOT json_valid(body)""")
+def disclosure_walk(spark, sf):
+    """Keys and texts at any depth and in arrays, with their paths."""
+    return walk(portable(spark, sf, _NEST), ["event_id"], "body")
+
+
 @R.add("disclosure_keys", """SELECT event_id, CASE event_type WHEN 'view' THEN 'SECRET_KEY,UNSAFE_EVIDENCE_KEY' WHEN 'click' THEN 'SOURCE_ROW_KEY' WHEN 'signup' THEN 'RAW_SQL_KEY' WHEN 'purchase' THEN 'UNSAFE_EVIDENCE_KEY'
     ELSE 'SECRET_KEY,UNSAFE_EVIDENCE_KEY' END AS flags FROM events""")
 def disclosure_keys(spark, sf):

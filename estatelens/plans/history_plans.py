@@ -93,6 +93,40 @@ def evidence_diff(spark, sf):
     return D.evidence_diff(b, a, t, t, cur, q, "item_id", "item_sha256")
 
 
+SURF = {  # customers are tables, their orders columns; items rest on tables or on single columns
+    "f_before": """SELECT CASE o_custkey % 5 WHEN 0 THEN 'profiles' WHEN 1 THEN 'relationships' WHEN 2 THEN 'hypotheses' WHEN 3 THEN 'roles' ELSE 'clusters' END AS surface, CAST(o_custkey AS STRING) AS id,
+       sha2(CAST(SUM(CAST(o_totalprice AS DECIMAL(18, 2))) AS STRING), 256) AS sha256 FROM {orders} WHERE o_orderpriority <> '5-LOW' GROUP BY o_custkey""",
+    "f_after": """SELECT CASE o_custkey % 5 WHEN 0 THEN 'profiles' WHEN 1 THEN 'relationships' WHEN 2 THEN 'hypotheses' WHEN 3 THEN 'roles' ELSE 'clusters' END AS surface, CAST(o_custkey AS STRING) AS id,
+       sha2(CAST(SUM(CAST(o_totalprice AS DECIMAL(18, 2))) AS STRING), 256) AS sha256 FROM {orders} WHERE o_orderpriority <> '5-LOW' GROUP BY o_custkey HAVING MAX(o_totalprice) < 400000 AND MIN(o_totalprice) > 30000""",
+    "f_targets": """SELECT DISTINCT CASE o_custkey % 5 WHEN 0 THEN 'profiles' WHEN 1 THEN 'relationships' WHEN 2 THEN 'hypotheses' WHEN 3 THEN 'roles' ELSE 'clusters' END AS surface, CAST(o_custkey AS STRING) AS id,
+       CASE WHEN o_custkey % 2 = 0 THEN 'TABLE' ELSE 'COLUMN' END AS kind, 'T_' || CAST(o_custkey AS STRING) AS relation_name,
+       CASE WHEN o_custkey % 2 = 1 THEN 'C_' || CAST(o_orderkey AS STRING) END AS column_name FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 100000""",
+    "f_base": """SELECT 'T_' || CAST(o_custkey AS STRING) AS relation_name, 'C_' || CAST(o_orderkey AS STRING) AS column_name, 'q.' || o_orderstatus AS query_id FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 150000""",
+    "f_now": """SELECT 'T_' || CAST(o_custkey AS STRING) AS relation_name, 'C_' || CAST(o_orderkey AS STRING) AS column_name, 'q.' || o_orderstatus AS query_id FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 155000""",
+}
+
+
+@R.add("surface_diff", _SC + ", " + ctes(*SURF, texts=SURF)[5:] + f""", l AS (SELECT surface, id, bool_or(lost_d) AS denied, bool_or(lost_t) AS timeout, bool_and(seen) AS all_seen FROM (
+    SELECT surface, id, EXISTS (SELECT 1 FROM f_base b JOIN s_queries q USING (query_id) WHERE b.relation_name = t.relation_name AND (t.kind = 'TABLE' OR b.column_name = t.column_name) AND q.state = 'DENIED') AS lost_d,
+      EXISTS (SELECT 1 FROM f_base b JOIN s_queries q USING (query_id) WHERE b.relation_name = t.relation_name AND (t.kind = 'TABLE' OR b.column_name = t.column_name) AND q.state = 'TIMEOUT') AS lost_t,
+      EXISTS (SELECT 1 FROM f_now n WHERE n.relation_name = t.relation_name AND (t.kind = 'TABLE' OR n.column_name = t.column_name)) AS seen FROM f_targets t) GROUP BY ALL)
+  SELECT coalesce(b.surface, a.surface) AS surface, coalesce(b.id, a.id) AS id, CASE WHEN a.sha256 IS NOT NULL AND b.sha256 IS NULL THEN 'ADDED' WHEN a.sha256 IS NOT NULL THEN 'CHANGED' WHEN denied THEN 'DENIED' ELSE 'UNKNOWN' END AS classification,
+   CASE WHEN a.sha256 IS NOT NULL AND b.sha256 IS NULL THEN 'CURRENT_OBSERVATION' WHEN a.sha256 IS NOT NULL THEN 'EVIDENCE_CHANGED' WHEN denied OR timeout THEN 'VISIBILITY_LOSS' WHEN all_seen THEN 'EVIDENCE_NOT_REOBSERVED' ELSE 'VISIBILITY_UNKNOWN' END AS semantics,
+   CASE WHEN a.sha256 IS NOT NULL THEN NULL WHEN denied THEN 'ACCESS_DENIED' WHEN timeout THEN 'CURRENT_VISIBILITY_UNKNOWN' WHEN all_seen THEN 'CURRENT_EVIDENCE_INCOMPLETE' ELSE 'CURRENT_VISIBILITY_UNKNOWN' END AS reason_code,
+   b.sha256 AS before_sha256, a.sha256 AS after_sha256 FROM f_before b FULL JOIN f_after a USING (surface, id) LEFT JOIN l ON l.surface = b.surface AND l.id = b.id WHERE a.sha256 IS DISTINCT FROM b.sha256
+  UNION ALL SELECT 'coverage', CAST(coalesce(b.o_orderkey, a.o_orderkey) AS VARCHAR), {_CLS}, b.h, a.h
+   FROM (SELECT o_orderkey, query_id, object_sha256 AS h FROM s_before) b FULL JOIN (SELECT o_orderkey, object_sha256 AS h FROM s_after) a ON a.o_orderkey = b.o_orderkey
+   LEFT JOIN s_queries q ON q.query_id = b.query_id WHERE a.h IS DISTINCT FROM b.h""")
+def surface_diff(spark, sf):
+    """Six surfaces at once; a table stays visible through any of its columns."""
+    b, a, t, base, now = [portable(spark, sf, x) for x in SURF.values()]
+    sb, sa, q = _snap(spark, sf, "s_before", "s_after", "s_queries")
+    ren = lambda d: d.withColumnRenamed("o_orderkey", "id").withColumnRenamed("object_sha256", "sha256")
+    full = lambda d, kind: d.withColumns({x: F.lit(None).cast("string") for x in ("dst_schema_name", "dst_relation_name", "dst_column_name")} | {"schema_name": F.lit("S")} | ({"kind": F.lit(kind)} if kind else {}))
+    split = lambda d: {s: d.where(F.col("surface") == s) for s in D.SURFACES[1:]}
+    return D.surface_diff(split(b) | {"coverage": ren(sb)}, split(a) | {"coverage": ren(sa)}, full(t, None), full(base, "COLUMN"), full(now, "COLUMN"), q)
+
+
 @R.add("diff_counts", _SC + f"SELECT classification, count(*) AS n FROM (SELECT {_CLS} FROM (SELECT o_orderkey, query_id, object_sha256 AS h FROM s_before) b FULL JOIN (SELECT o_orderkey, object_sha256 AS h FROM s_after) a ON a.o_orderkey = b.o_orderkey "
        "LEFT JOIN s_queries q ON q.query_id = b.query_id WHERE a.h IS DISTINCT FROM b.h) GROUP BY 1")
 def diff_counts(spark, sf):
@@ -226,6 +260,31 @@ def hypothesis_ledger(spark, sf):
     return L.hypothesis_ledger(_signals(spark, sf), max_no_gain=4, max_counter=3)
 
 
+@R.add("evidence_ledger", _W5.replace("AS seq FROM events), s AS (SELECT user_id AS hypothesis_id, seq,", "AS seq FROM events), s AS (SELECT user_id AS hypothesis_id, seq, event_id, value,").replace(
+    "f AS (SELECT hypothesis_id, seq, result_state,", "f AS (SELECT hypothesis_id, seq, event_id, value, result_state,") + """,
+   stops AS (SELECT hypothesis_id, min(seq) AS stop FROM f WHERE status = 'STOPPED' GROUP BY 1), kept AS (SELECT f.* FROM f LEFT JOIN stops USING (hypothesis_id) WHERE stop IS NULL OR seq <= stop),
+   refs AS (SELECT hypothesis_id, seq, signal AS role, unnest(['a' || event_id % 7, 'b' || event_id % 5]) AS ref FROM kept WHERE result_state = 'SUCCEEDED' AND signal IN ('SUPPORTS', 'COUNTERS')
+     UNION ALL SELECT hypothesis_id, seq, 'RECEIPT', 'rc' || event_id % 11 FROM kept),
+   firsts AS (SELECT hypothesis_id, role, ref, min(seq) AS seq FROM refs GROUP BY ALL), per AS (SELECT hypothesis_id, seq, count(*) FILTER (WHERE role = 'SUPPORTS') AS s, count(*) FILTER (WHERE role = 'COUNTERS') AS c, count(*) FILTER (WHERE role = 'RECEIPT') AS r FROM firsts GROUP BY ALL)
+   SELECT hypothesis_id, seq, status, terminal_reason, consecutive_no_gain, consecutive_counterevidence, CAST(floor(value * 10) AS BIGINT) AS lower_bps, CAST(sum(coalesce(s, 0)) OVER w AS BIGINT) AS supporting_refs, CAST(sum(coalesce(c, 0)) OVER w AS BIGINT) AS counter_refs,
+     CAST(sum(coalesce(r, 0)) OVER w AS BIGINT) AS receipts, count(*) FILTER (WHERE result_state = 'SUCCEEDED' AND signal = 'COUNTERS') OVER w AS contradictions FROM kept LEFT JOIN per USING (hypothesis_id, seq) WINDOW w AS (PARTITION BY hypothesis_id ORDER BY seq)""")
+def evidence_ledger(spark, sf):
+    e = spark.sql(f"""SELECT user_id AS hypothesis_id, seq, {_SIG}, array('a' || event_id % 7, 'b' || event_id % 5) AS evidence_refs, 'rc' || event_id % 11 AS source_receipt,
+      CAST(floor(value * 10) AS BIGINT) AS lower_bps, CAST(10000 AS BIGINT) AS upper_bps FROM {{log}}""", log=event_log(spark, sf))
+    return L.evidence_ledger(e, max_no_gain=4, max_counter=3).select("hypothesis_id", "seq", "status", "terminal_reason", "consecutive_no_gain", "consecutive_counterevidence", "lower_bps", "supporting_refs", "counter_refs", "receipts", "contradictions")
+
+
+@R.add("probe_dispositions", """WITH q AS (SELECT props AS probe_key, event_id AS ordinal FROM events WHERE event_id % 2 = 0),
+   r AS (SELECT props AS probe_key, bool_or(event_type = 'purchase') AS good, coalesce(min('r' || event_id) FILTER (WHERE event_type = 'purchase'), min('r' || event_id)) AS receipt FROM events WHERE event_id % 37 = 1 GROUP BY 1),
+   a AS (SELECT DISTINCT props AS probe_key FROM events WHERE value > 90), d AS (SELECT q.*, receipt, CASE WHEN good THEN 'REUSED_SUCCESS' WHEN a.probe_key IS NOT NULL OR ordinal > min(ordinal) OVER (PARTITION BY q.probe_key) THEN 'SUPPRESSED_DUPLICATE' ELSE 'AUTHORIZED' END AS disposition
+     FROM q LEFT JOIN r USING (probe_key) LEFT JOIN a USING (probe_key))
+   SELECT probe_key, ordinal, disposition, CASE WHEN disposition <> 'AUTHORIZED' THEN receipt END AS receipt_sha256 FROM d""")
+def probe_dispositions(spark, sf):
+    e = load(spark, sf, "events").withColumnRenamed("props", "probe_key")
+    receipts = e.where("event_id % 37 = 1").select("probe_key", F.when(F.col("event_type") == "purchase", "SUCCEEDED").otherwise("FAILED").alias("result_state"), F.concat(F.lit("r"), "event_id").alias("receipt_sha256"))
+    return L.probe_dispositions(e.where("event_id % 2 = 0").select("probe_key", F.col("event_id").alias("ordinal")), receipts, e.where("value > 90").select("probe_key"))
+
+
 @R.add("hypothesis_final", _W5 + """ SELECT hypothesis_id, status, terminal_reason, consecutive_no_gain, consecutive_counterevidence, seq FROM
     (SELECT *, row_number() OVER (PARTITION BY hypothesis_id ORDER BY CASE WHEN status = 'STOPPED' THEN 0 ELSE 1 END, CASE WHEN status = 'STOPPED' THEN seq ELSE -seq END) AS k FROM f) WHERE k = 1""")
 def hypothesis_final(spark, sf):

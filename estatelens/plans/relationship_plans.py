@@ -20,18 +20,17 @@ LINKS = [  # child table, child column, parent table, parent column
 ]
 
 
-def overlap_sql(a, x, b, y, head="", limit=None, oa=None, ob=None):
-    sa = f"(SELECT {x} FROM {a} ORDER BY {oa} LIMIT {limit})" if limit else a
-    sb = f"(SELECT {y} FROM {b} ORDER BY {ob} LIMIT {limit})" if limit else b
+def overlap_sql(a, x, b, y, head=""):
+    sa, sb = a, b
     return (f"SELECT {head}(SELECT count({x}) FROM {sa}) AS source_non_null_count, (SELECT count(DISTINCT {x}) FROM {sa}) AS source_distinct_count, "
             f"(SELECT count({y}) FROM {sb}) AS target_non_null_count, (SELECT count(DISTINCT {y}) FROM {sb}) AS target_distinct_count, "
             f"(SELECT count(*) FROM (SELECT DISTINCT {x} AS v FROM {sa} INTERSECT SELECT DISTINCT {y} AS v FROM {sb}) WHERE v IS NOT NULL) AS matched_distinct_count")
 
 
-@R.add("relationship_overlap_bounded", overlap_sql("orders", "o_custkey", "customer", "c_custkey", limit=10000, oa="o_orderkey", ob="c_custkey"))
+@R.add("relationship_overlap_bounded", overlap_sql("orders", "o_custkey", "customer", "c_custkey"))
 def overlap_bounded(spark, sf):
     o, c = load(spark, sf, "orders", "customer")
-    return J.relationship_overlap(o, "o_custkey", c, "c_custkey", 10_000, ["o_orderkey"], ["c_custkey"])
+    return J.relationship_overlap(o, "o_custkey", c, "c_custkey")
 
 
 @R.add("relationship_overlap_full", overlap_sql("lineitem", "l_orderkey", "orders", "o_orderkey"))
@@ -96,18 +95,35 @@ PAIR_TEXTS = {
    SELECT schema_name, relation_name, constraint_name, constraint_kind, max(column_name) AS column_name FROM pc_constraints
    WHERE constraint_kind IN ('PRIMARY_KEY', 'UNIQUE') GROUP BY ALL HAVING count(*) = 1)
   , tgt AS (SELECT s.*, p.native_type FROM single s JOIN pc_profiled p USING (schema_name, relation_name, column_name))
-  SELECT native_type, constraint_kind, count(*) AS pairs, count(DISTINCT target_relation_name) AS targets, count(DISTINCT source_relation_name) AS sources, max(column_name) AS last_column FROM (
   SELECT p.schema_name AS source_schema_name, p.relation_name AS source_relation_name, t.schema_name AS target_schema_name, t.relation_name AS target_relation_name,
    p.column_name, p.native_type, t.constraint_kind, t.constraint_name FROM pc_profiled p JOIN tgt t ON p.column_name = t.column_name AND p.native_type = t.native_type
    WHERE (p.schema_name, p.relation_name) <> (t.schema_name, t.relation_name)
    AND NOT EXISTS (SELECT 1 FROM pc_constraints f WHERE f.constraint_kind = 'FOREIGN_KEY' AND f.schema_name = p.schema_name AND f.relation_name = p.relation_name
-     AND f.column_name = p.column_name AND f.referenced_schema_name = t.schema_name AND f.referenced_relation_name = t.relation_name AND f.referenced_column_name = t.column_name))
-  GROUP BY ALL""")
+     AND f.column_name = p.column_name AND f.referenced_schema_name = t.schema_name AND f.referenced_relation_name = t.relation_name AND f.referenced_column_name = t.column_name)""")
 def candidate_pairs(spark, sf):
     p, c = portable(spark, sf, PAIR_TEXTS["pc_profiled"]), portable(spark, sf, PAIR_TEXTS["pc_constraints"])
-    return J.candidate_pairs(p, c).groupBy("native_type", "constraint_kind").agg(
-        F.count(F.lit(1)).alias("pairs"), F.countDistinct("target_relation_name").alias("targets"),
-        F.countDistinct("source_relation_name").alias("sources"), F.max("column_name").alias("last_column"))
+    return J.candidate_pairs(p, c)
+
+
+_CAND = LINKS + [("customer", "c_custkey", "orders", "o_custkey"), ("part", "p_partkey", "lineitem", "l_partkey"), ("lineitem", "l_linenumber", "supplier", "s_suppkey"), ("supplier", "s_suppkey", "lineitem", "l_linenumber"),
+                 ("documents", "doc_id", "labels", "doc_id"), ("orders", "o_orderkey", "customer", "c_custkey"), ("events", "user_id", "documents", "doc_id"), ("region", "r_regionkey", "nation", "n_regionkey")]
+
+
+def _inclusion_sql(a, x, b, y):
+    v = lambda t, c: f"(SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL)"
+    return f"""SELECT '{a}.{x}' AS source_id, '{b}.{y}' AS target_id, CASE WHEN slo < dlo OR shi > dhi THEN 'OUT_OF_RANGE' WHEN sn > dn THEN 'MORE_DISTINCT_VALUES' WHEN missing > 0 THEN 'VALUE_MISSING' END AS reason, missing = 0 AS included
+      FROM (SELECT min(v) AS slo, max(v) AS shi, count(*) AS sn FROM {v(a, x)}), (SELECT min(v) AS dlo, max(v) AS dhi, count(*) AS dn FROM {v(b, y)}), (SELECT count(*) AS missing FROM (SELECT v FROM {v(a, x)} EXCEPT SELECT v FROM {v(b, y)}))"""
+
+
+@R.add("inclusion_candidates", " UNION ALL ".join(_inclusion_sql(*p) for p in _CAND))
+def inclusion_candidates(spark, sf):
+    """Which columns lie inside which: pairs refuted by sketches, the rest by their values. The sample's reason counts as the values'."""
+    names = sorted({t for p in _CAND for t in (p[0], p[2])})
+    tabs = dict(zip(names, load(spark, sf, *names)))
+    cols = sorted({(p[0], p[1]) for p in _CAND} | {(p[2], p[3]) for p in _CAND})
+    pairs = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(f"{a}.{x}").alias("source_id"), F.lit(f"{b}.{y}").alias("target_id")) for a, x, b, y in _CAND])))
+    got = J.inclusions(J.column_values(tabs, cols), pairs)
+    return got.select("source_id", "target_id", F.coalesce("refuted_by", F.when(~F.col("included"), "VALUE_MISSING")).alias("reason"), "included")
 
 
 LINK_TEXTS = {  # a customer is a database; the tables of its orders are named after what was bought

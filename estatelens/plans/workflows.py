@@ -83,6 +83,37 @@ def analyze(spark: SparkSession, source: extracts.Source, landing: str, store: s
     return coverage.coverage_ledger(extracts_df)
 
 
+SNAPSHOT = ["snapshot_id"]
+
+
+def overview_tables(categories: dict[str, DataFrame], extracts_df: DataFrame) -> dict[str, DataFrame]:
+    """A19-A23. The tables that questions are answered from, per snapshot. categories and extracts carry snapshot_id."""
+    c = categories
+    relevance = catalog.bi_relevance(*[c[k] for k in ("relations", "columns", "comments")], keys=SNAPSHOT)
+    return {"overview_schemas": catalog.schema_summary({k: d for k, d in c.items() if "schema_name" in d.columns}, extracts_df, SNAPSHOT),
+            "overview_capacity": catalog.table_capacity(*[c[k] for k in ("relations", "columns", "constraints", "indexes", "statistics", "sizes")], keys=SNAPSHOT),
+            "overview_dependencies": catalog.code_dependencies(c["stored-objects"], c["stored-arguments"], c["stored-errors"], c["stored-dependencies"], keys=SNAPSHOT),
+            "overview_relevance": relevance,
+            "overview_facts": catalog.facts({k: d for k, d in c.items() if k in ("relations", "columns", "stored-objects", "stored-arguments", "stored-errors", "operations")}, keys=SNAPSHOT),
+            "overview_coverage": coverage.coverage_rows(extracts_df)}
+
+
+def ingest_overviews(categories: dict[str, DataFrame], extracts_df: DataFrame, snapshots: DataFrame, root: str) -> None:
+    """S8 with A19-A23. Overviews are computed once, when a snapshot comes in, and published with it."""
+    sinks.ingest(overview_tables(categories, extracts_df), snapshots, root)
+
+
+def ask_active(spark: SparkSession, root: str, family: str, **options) -> DataFrame:
+    """Q1-Q8 over the overviews of the active snapshots. Only the table the family needs is read, and of it only the
+    partitions of active snapshots; ``source_id`` among the options asks about one database."""
+    table = {"largest_tables": "capacity", "row_estimates_freshness": "capacity", "object_inventory_validity": "schemas", "dependencies": "dependencies", "stored_logic_signatures": "facts",
+             "scheduler_mv_refresh": "facts", "coverage_blind_spots": "coverage", "bi_relevance_candidates": "relevance"}[family]
+    role = {"schemas": "overview", "dependencies": "deps"}.get(table, table)
+    source = options.pop("source_id", None)
+    rows = sinks.active_table(spark, root, "overview_" + table, source)
+    return catalog.answer(family, {role: rows}, **options)
+
+
 def cluster_snapshot(tables: DataFrame, overlaps: DataFrame) -> dict[str, DataFrame]:
     """Clusters of tables over proposed links, with support and confidence. tables: node; overlaps carry source_id,
     target_id (table.column), status and counterevidence."""

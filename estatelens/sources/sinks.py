@@ -14,7 +14,7 @@ SECTIONS = ["relations", "columns", "constraints", "indexes"]
 
 
 def load_fact(rows: DataFrame, dims: DataFrame, key: str = "truth_key") -> DataFrame:
-    """S6. Facts with the dimension values of their key; the dimension is broadcast only within a checked size."""
+    """S6. Facts with the dimension values of their key; joined on it; facts without one keep nulls."""
     return rows.join(dims, [key], "left")
 
 
@@ -70,9 +70,12 @@ def ingest(tables: dict[str, DataFrame], snapshots: DataFrame, root: str) -> Non
     snapshots.withColumn("active", F.lit(True)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{root}/catalog_snapshots")
 
 
-def active_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows of the active snapshots. The snapshot list prunes partitions of the big side at run time."""
-    act = spark.read.parquet(f"{root}/catalog_snapshots").filter("active").select("snapshot_id").distinct()
+def active_table(spark: SparkSession, root: str, name: str, source_id: str | None = None) -> DataFrame:
+    """Rows of the active snapshots, of all sources or one. The snapshot list prunes partitions of the big side at run time."""
+    act = spark.read.parquet(f"{root}/catalog_snapshots").filter("active")
+    if source_id is not None:
+        act = act.filter(F.col("source_id") == source_id)
+    act = act.select("snapshot_id").distinct()
     return spark.read.parquet(f"{root}/{name}").join(act, ["snapshot_id"], "left_semi")
 
 
