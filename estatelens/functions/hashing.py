@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..contracts import OBSERVATION_FIELDS
 
-SCHEME = "v1"
+SCHEME = "v2"  # v2: escaped separators, nested texts folded and composed, maps by key; no v1 hash is comparable
 SEP = "\u001f"
 NULL = "\u0000null"
 
@@ -23,11 +23,31 @@ def _nfc_batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
+def composed(txt: Column) -> Column:
+    """NFC. Spark runs a Python function on every row, whatever CASE it stands in, so values that are plain ASCII are
+    sent to it as nulls and kept as they are."""
+    return F.coalesce(_nfc_batch(F.when(txt.rlike("[^\\x00-\\x7F]"), txt)), txt)
+
+
 def normal_text(col: Column) -> Column:
-    """LF line ends, NFC. Spark runs a Python function on every row, whatever CASE it stands in, so values that are
-    plain ASCII are sent to it as nulls and kept as they are."""
-    folded = F.regexp_replace(col, "\r\n?", "\n")
-    return F.coalesce(_nfc_batch(F.when(folded.rlike("[^\\x00-\\x7F]"), folded)), folded)
+    """LF line ends, NFC."""
+    return composed(F.regexp_replace(col, "\r\n?", "\n"))
+
+
+def folded(col: Column, dtype: T.DataType) -> Column:
+    """A nested value in one form: LF line ends in all its texts, one zero, maps as entries in order of their keys."""
+    if isinstance(dtype, T.StringType):
+        return F.regexp_replace(col, "\r\n?", "\n")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(col == 0, F.lit(0.0)).otherwise(col)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: folded(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[folded(col[f.name], f.dataType).alias(f.name) for f in dtype.fields]))
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(F.map_entries(col), lambda e: F.struct(folded(e["key"], dtype.keyType).alias("key"), folded(e["value"], dtype.valueType).alias("value")))
+        return F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    return col
 
 
 def field_text(name: str, dtype: T.DataType, nfc: bool = True) -> Column:
@@ -40,7 +60,8 @@ def field_text(name: str, dtype: T.DataType, nfc: bool = True) -> Column:
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         txt = F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     elif isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        txt = F.to_json(col, {"ignoreNullFields": "false"})
+        txt = F.to_json(folded(col, dtype), {"ignoreNullFields": "false"})
+        txt = composed(txt) if nfc else txt
     else:
         txt = col.cast("string")
     return F.coalesce(escaped(txt), F.lit(NULL))

@@ -24,7 +24,7 @@ def order_text_sql(cols=_ORD, prio="o_orderpriority"):
     def one(x):
         v = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f')" if x == "o_orderdate" else prio if x == "o_orderpriority" else f"CAST({x} AS VARCHAR)"
         return f"'{x}=' || coalesce({v}, chr(0) || 'null')"
-    return "concat_ws(chr(31), 'v1', " + ", ".join(one(x) for x in sorted(cols)) + ")"
+    return "concat_ws(chr(31), 'v2', " + ", ".join(one(x) for x in sorted(cols)) + ")"
 
 
 @R.add("canonical_text", "SELECT o_orderkey, " + order_text_sql(prio="nullif(o_orderpriority, '4-NOT SPECIFIED')") + " AS canonical_text FROM orders")
@@ -38,7 +38,7 @@ def content_hash(spark, sf):
     return H.with_hash(load(spark, sf, "orders").select(*_ORD)).select("o_orderkey", "object_sha256")
 
 
-@R.add("text_hash", "SELECT doc_id, sha256('v1' || chr(31) || 'text=' || nfc_normalize(regexp_replace(text, '\\r\\n?', chr(10), 'g'))) AS object_sha256 FROM documents")
+@R.add("text_hash", "SELECT doc_id, sha256('v2' || chr(31) || 'text=' || nfc_normalize(regexp_replace(text, '\\r\\n?', chr(10), 'g'))) AS object_sha256 FROM documents")
 def text_hash(spark, sf):
     """Whole document texts, NFC and LF folded."""
     return H.with_hash(load(spark, sf, "documents"), ["text"]).select("doc_id", "object_sha256")

@@ -197,7 +197,7 @@ _PROF = "(" + " UNION ALL ".join(
 
 def _hash_sql(**fields):
     parts = ", ".join(f"'{k}=' || coalesce(CAST({v} AS VARCHAR), chr(0) || 'null')" for k, v in sorted(fields.items()))
-    return f"sha256(concat_ws(chr(31), 'v1', {parts}))"
+    return f"sha256(concat_ws(chr(31), 'v2', {parts}))"
 
 
 _STORE = f"""(WITH m AS (SELECT *, {_hash_sql(source_id='source_id', target_id='target_id', source_non_null_count='source_non_null_count',

@@ -11,6 +11,7 @@ from ..session import shared_folder
 from ..sources import sinks as K
 from .base import Registry, load
 from .estate import ctes, estate
+from . import workflows as W
 from .relationship_plans import _METRICS, _PROF, _all_pairs, _profiles
 
 R = Registry()
@@ -62,3 +63,37 @@ def ingest_readback(spark, sf):
     K.ingest(tables | {"catalog_relations": tables["catalog_relations"].unionByName(gone)}, snaps, root)
     K.ingest(tables, snaps, root)
     return K.readback(spark, tables, root, snaps)
+
+
+_CATEGORIES = {"relations": "relations", "columns": "columns", "comments": "comments", "constraints": "constraints", "indexes": "indexes", "stored": "stored-objects", "arguments": "stored-arguments",
+               "errors": "stored-errors", "dependencies": "stored-dependencies", "statistics": "statistics", "sizes": "sizes"}
+
+
+def _published(spark, sf):
+    """Two snapshots of the estate with their overviews; the second, which is active, lacks a third of the tables."""
+    root = shared_folder(spark)
+    for snapshot, kept in (("one", F.lit(True)), ("two", F.col("schema_name") < "SCH_5")):
+        cats = {v: estate(spark, sf, k) for k, v in _CATEGORIES.items()}
+        cats = {k: (d.where(kept) if "schema_name" in d.columns else d.where("source_schema_name < 'SCH_5'") if snapshot == "two" else d).withColumn("snapshot_id", F.lit(snapshot)) for k, d in cats.items()}
+        runs = estate(spark, sf, "extracts").where(F.lit(snapshot == "one") | (F.col("state") != "DENIED")).withColumn("snapshot_id", F.lit(snapshot))
+        snaps = spark.range(1).select(F.lit("estate").alias("source_id"), F.lit(snapshot).alias("snapshot_id"), F.lit("2024-01-0" + str(len(snapshot))).alias("analyzed_at"))
+        W.ingest_overviews(cats, runs, snaps, root)
+    return root
+
+
+_HELD = "WHERE schema_name < 'SCH_5'"
+
+
+@R.add("q_active_inventory", ctes("e_relations", "e_columns", "e_stored", "e_errors", "e_comments", "e_arguments", "e_constraints", "e_indexes", "e_statistics", "e_sizes", "e_extracts") + f"""SELECT 'two' AS snapshot_id, schema_name, CAST(sum(r) AS BIGINT) AS relation_count,
+   CAST(sum(c) AS BIGINT) AS column_count, CAST(sum(s) AS BIGINT) AS stored_object_count, CAST(sum(i) AS BIGINT) AS invalid_object_count, CAST(sum(e) AS BIGINT) AS compile_issue_count,
+   (SELECT count(*) FROM e_extracts WHERE state IN ('TIMEOUT', 'ERROR', 'PARTIAL')) AS denied_unknown_count, (SELECT bool_and(state = 'SUCCEEDED') FROM e_extracts WHERE state <> 'DENIED') AS all_complete FROM (
+   SELECT schema_name, 1 AS r, 0 AS c, 0 AS s, 0 AS i, 0 AS e FROM e_relations UNION ALL SELECT schema_name, 0, 1, 0, 0, 0 FROM e_columns UNION ALL SELECT schema_name, 0, 0, 1, CASE WHEN status <> 'VALID' THEN 1 ELSE 0 END, 0 FROM e_stored
+   UNION ALL SELECT schema_name, 0, 0, 0, 0, 1 FROM e_errors {" ".join(f"UNION ALL SELECT schema_name, 0, 0, 0, 0, 0 FROM {t}" for t in ("e_comments", "e_arguments", "e_constraints", "e_indexes", "e_statistics", "e_sizes"))}) {_HELD} GROUP BY schema_name""")
+def q_active_inventory(spark, sf):
+    """Overviews are made at ingest; the question reads the active snapshot's alone."""
+    return W.ask_active(spark, _published(spark, sf), "object_inventory_validity", source_id="estate")
+
+
+@R.add("q_active_blind_spots", ctes("e_extracts") + "SELECT 'two' AS snapshot_id, query_id, category, state, reason_code, row_count FROM e_extracts WHERE state <> 'DENIED'")
+def q_active_blind_spots(spark, sf):
+    return W.ask_active(spark, _published(spark, sf), "coverage_blind_spots").select("snapshot_id", "query_id", "category", "state", "reason_code", "row_count")
