@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import flags
 from ..session import Scratch
-from .rules import CONTROL, RAW_SQL, ROW_KEY, SECRET_KEY, SECRET_VALUE, SQL_KEY, UNSAFE_KEYS, snake_key
+from .rules import CONNECTION, CONTROL, RAW_SQL, ROW_KEY, SECRET_KEY, SECRET_VALUE, SQL_KEY, UNSAFE_KEYS, snake_key
 
 LONGEST_TEXT, LONGEST_ARRAY = 100_000, 500  # fixed values: what a released document may hold in one place
 
@@ -19,7 +19,7 @@ def _findings(nodes: DataFrame, ids: list[str]) -> DataFrame:
     found = flags(
         (k.rlike(SECRET_KEY), "SECRET_KEY"), (k.rlike(ROW_KEY), "SOURCE_ROW_KEY"), (k.rlike(SQL_KEY), "RAW_SQL_KEY"), (snake_key("key").isin(UNSAFE_KEYS), "UNSAFE_EVIDENCE_KEY"),
         (is_text & ((F.length("text") < 1) | (F.length("text") > LONGEST_TEXT) | F.col("text").rlike(CONTROL)), "TEXT_DENIED"),
-        (is_text & F.col("text").rlike(SECRET_VALUE), "SECRET_VALUE"), (is_text & F.col("text").rlike(RAW_SQL), "RAW_SQL"), ((first == "[") & (F.col("size") > LONGEST_ARRAY), "ARRAY_OVERSIZED"))
+        (is_text & F.col("text").rlike(SECRET_VALUE), "SECRET_VALUE"), (is_text & F.col("text").rlike(CONNECTION), "CONNECTION_STRING"), (is_text & F.col("text").rlike(RAW_SQL), "RAW_SQL"), ((first == "[") & (F.col("size") > LONGEST_ARRAY), "ARRAY_OVERSIZED"))
     shown = nodes.withColumn("text", F.when(is_text, text)).withColumn("size", F.when(first == "[", F.json_array_length("body")))
     return shown.select(*ids, "path", F.explode(found).alias("flag"))
 

@@ -107,23 +107,18 @@ def object_ref(df: DataFrame, category: str) -> DataFrame:
     return df.select(*ref_columns(df, category))
 
 
-# --- disclosure: fixed patterns ---------------------------------------------------------------------
-SECRET_VALUE = (
-    r"(?i)(ghp_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|Bearer\s+[A-Za-z0-9._~+/-]{16,}"
-    r"|Basic\s+[A-Za-z0-9+/=]{16,}|BEGIN (RSA |EC )?PRIVATE KEY)")
-CONNECTION = r"(?i)(jdbc:|oracle:|mssql:|postgres(ql)?://)\S+"
-RAW_SQL = (
-    r"(?i)\b(select\s+[\s\S]{0,160}\sfrom|insert\s+into|update\s+[A-Za-z0-9_.]+\s+set|delete\s+from|drop\s+(table|view)"
-    r"|alter\s+(table|view)|create\s+(table|view)|merge\s+into)\b")
+# --- disclosure: fixed patterns, as published; the connection part of the secret values is a rule of its own, so that a
+# finding says which of the two it is ------------------------------------------------------------------
+SECRET_VALUE = r"(?i)(?:ghp_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|Bearer\s+[A-Za-z0-9._~+/-]{16,}|Basic\s+[A-Za-z0-9+/=]{16,}|BEGIN (?:RSA |EC )?PRIVATE KEY)"
+CONNECTION = r"(?i)(?:jdbc:|oracle:|mssql:|postgres(?:ql)?:\/\/)[^\s]+"
+RAW_SQL = r"(?i)\b(?:select\s+[\s\S]{0,160}\sfrom|insert\s+into|update\s+[A-Za-z0-9_.]+\s+set|delete\s+from|drop\s+(?:table|view)|alter\s+(?:table|view)|create\s+(?:table|view)|merge\s+into)\b"
 DENIED_TEXT = (
     r"(?i)(\b(insert|update|delete|merge|drop|alter|create|truncate|grant|revoke|exec(ute)?|dbcc|backup|restore)\b"
     r"|\braw\s+sql\b|password|credential|api[_ -]?key|ignore\s+(all\s+)?previous|system\s+prompt)")
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
-SECRET_KEY = (
-    r"(?i)^(authorization|cookie|set-cookie|password|passwd|secret|token|api[_-]?key|credential|credentials|client[_-]?secret"
-    r"|connection_uri|sqlalchemy_uri)$")
-ROW_KEY = r"(?i)^(rows?|records?|sample_data|row_values|result_set|raw_data)$"
-SQL_KEY = r"(?i)^(sql|raw_sql|query_text|statement|sqla_query)$"
+SECRET_KEY = r"(?i)^(?:authorization|cookie|set-cookie|password|passwd|secret|token|api[_-]?key|credential|credentials|client[_-]?secret|connection_uri|sqlalchemy_uri)$"
+ROW_KEY = r"(?i)^(?:rows?|records?|sample_data|row_values|result_set|raw_data)$"
+SQL_KEY = r"(?i)^(?:sql|raw_sql|query_text|statement|sqla_query)$"
 UNSAFE_KEYS = [
     "password", "passwd", "credential", "credentials", "secret", "token", "api_key", "connection_string", "dsn",
     "sql", "query", "raw_value", "raw_row", "source_row", "sample_value", "example_value"]
@@ -165,6 +160,7 @@ INTENT_RULES = [
     ("coverage_blind_spots", "(?i)(coverage|blind|denied|timeout|partial|caveat|abdeckung|lücke)"),
     ("bi_relevance_candidates", "(?i)(candidate|kandidat|bi[- ]?relev|dimension|measure|kennzahl)"),
 ]
+# fixed patterns
 TASK_RULES = [
     ("persistent_apply", "delete|drop|publish|apply|persist"),
     ("visualization", "dashboard|visual|chart|layout"),
@@ -174,6 +170,7 @@ TASK_RULES = [
     ("repair", "repair|correct|retry|critique"),
     ("synthesis", "summary|recommend|executive|synthesi"),
 ]
+# fixed pattern
 OBJECT_MENTION = (
     r"(?i)\b(?:object|objekt|table|tabelle|uses|verwendet|nutzt|impact|dependencies|abhängigkeiten|signatures?|signaturen?)"
     r"\s+([A-Za-z][A-Za-z0-9_$#]*(?:\.[A-Za-z][A-Za-z0-9_$#]*)?)")
@@ -196,6 +193,7 @@ def route_intent(df: DataFrame, text_col: str) -> DataFrame:
         "task_class": first_rule(F.lower(text_col), TASK_RULES, "extraction")})
 
 
+# fixed patterns: words of names that hint at a role
 TIME_HINT = "(?i)(date|time|period|month|year|created|updated)"
 MEASURE_HINT = "(?i)(amount|total|qty|quantity|count|price|cost|value|measure)"
 DIMENSION_HINT = "(?i)(id|key|code|type|status|category|name)"
@@ -210,6 +208,7 @@ def name_hints(columns: DataFrame, col: str = "column_name") -> DataFrame:
         "time_hint": F.col(col).rlike(TIME_HINT), "measure_hint": F.col(col).rlike(MEASURE_HINT), "dimension_hint": F.col(col).rlike(DIMENSION_HINT)})
 
 
+# fixed pattern: actions that write
 WRITE_LIKE = "(?i)(write|import|export|promot|publish|materialize|dataset|chart|dashboard|zip)"
 
 
