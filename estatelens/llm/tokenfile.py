@@ -18,7 +18,9 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +32,26 @@ from estatelens.llm.common import file_system, put_file
 from estatelens.session import shared_folder
 
 DOC = np.dtype([("doc_id", "<i8"), ("valid", "u1")])
+# the normalizer and pieces for which runs of letters, digits and marks are known to be encoded alone
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIMPLE = re.compile(r"[!-&(-;=-{}~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch  # no apostrophe, < or |
+RUNS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+").findall
 
 
 class CachedTokenizer:
     """A tokenizers-library file whose pre-tokenizer drops or never crosses a blank.
 
-    Between blanks and newlines a text's pieces are encoded alone, each distinct one once, by the library; a worker
-    keeps at most ``kept`` of them. Only for tokenizers where white space ends a word (``drops_space``); any other
-    file is used on whole texts.
+    Between blanks and newlines a text's pieces are encoded alone, each distinct one once. Their ids lie in one flat array,
+    and the ids of a batch of texts are gathered from it at once. A new piece of plain letters, digits and marks is put
+    together from its runs, which the pre-tokenizer would encode alone as well, so "Word," costs no call if "word" is known.
+    What is kept is bounded by ``most`` bytes, beyond one batch. Only for tokenizers where white space ends a word
+    (``drops_space``); any other file is used on whole texts.
     """
 
-    def __init__(self, path: str, kept: int = 1_000_000):
+    BATCH_CHARS = 4_000_000
+
+    def __init__(self, path: str, most: int = 320 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,8 +61,38 @@ class CachedTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.drops_space = self._drops_space(spec)
-        self.kept, self.pieces = kept, {}
-        self.blank = re.compile("[ \n]+").split
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.runs_alone = self.drops_space and spec.get("normalizer") == NORMALIZER and steps[0].get("pattern", {}).get("Regex") == PIECES
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids, self.ends, self.held = array("I"), array("q", [0]), 0
+
+    def _put(self, pieces: list[str], ids: list[list[int]]) -> None:
+        n = len(self.ends) - 1
+        self.index.update(zip(pieces, range(n, n + len(pieces))))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ends.frombytes((len(self.ids) + np.cumsum(sizes)).tobytes())
+        self.ids.extend(chain.from_iterable(ids))
+        self.held += 160 * len(pieces) + sum(map(len, pieces)) + 4 * int(sizes.sum())
+
+    def _learn(self, pieces: list[str]) -> None:
+        split = {p: RUNS(p.lower()) for p in pieces if SIMPLE(p)} if self.runs_alone else {}
+        alone = set(chain.from_iterable(split.values()))
+        alone.update(p for p in pieces if p not in split)
+        todo = [p for p in alone if p not in self.index]
+        self._put(todo, [e.ids for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)])
+        index, ids, ends = self.index, self.ids, self.ends
+        made = [p for p in split if p not in index]
+        joined = []
+        for p in made:
+            out = []
+            for i in map(index.__getitem__, split[p]):
+                out += ids[ends[i]:ends[i + 1]]
+            joined.append(out)
+        self._put(made, joined)
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -61,22 +102,36 @@ class CachedTokenizer:
         plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "\n" in t["content"] for t in spec["added_tokens"])
         return first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and "(?" not in pattern and r"[^\s" in pattern and " " not in pattern and plain
 
-    def encode(self, texts: list[str], dtype: np.dtype) -> list[bytes]:
+    def encode(self, texts: list[str], dtype: np.dtype) -> Iterator[bytes]:
+        """Ids of each text, as bytes."""
         if not self.drops_space:
-            return [np.array(e.ids, dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        out = []
-        for lo in range(0, len(texts), 256):
-            split = [self.blank(t) for t in texts[lo:lo + 256]]
-            wanted = set().union(*split)
-            missing = list(wanted.difference(self.pieces))
-            if missing:
-                if len(self.pieces) + len(missing) > self.kept:
-                    self.pieces.clear()
-                    missing = list(wanted)
-                for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                    self.pieces[p] = np.array(e.ids, dtype).tobytes()
-            out += [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
-        return out
+            for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+                yield np.array(e.ids, dtype).tobytes()
+            return
+        lo = 0
+        while lo < len(texts):
+            hi, chars = lo, 0
+            while hi < len(texts) and (hi == lo or chars < self.BATCH_CHARS):
+                chars += len(texts[hi])
+                hi += 1
+            split = [(t.lower() if self.runs_alone and t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts[lo:hi]]
+            yield from self._gather(list(chain.from_iterable(split)), np.cumsum([0, *map(len, split)]), dtype)
+            lo = hi
+
+    def _gather(self, pieces: list[str], bounds: np.ndarray, dtype: np.dtype) -> list[bytes]:
+        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn(list({pieces[i] for i in new.tolist()}))
+            at[new] = [self.index[pieces[i]] for i in new.tolist()]
+        ends, ids = np.frombuffer(self.ends, np.int64), np.frombuffer(self.ids, np.uint32)
+        size = ends[at + 1] - ends[at]
+        stop = np.cumsum(size)
+        flat = ids[np.repeat(ends[at + 1] - stop, size) + np.arange(int(stop[-1]) if len(stop) else 0)].astype(dtype)
+        cuts = np.r_[0, stop][bounds].tolist()
+        if self.held > self.most:
+            self._forget()
+        return [flat[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]
 
 
 _LOADED: dict[str, CachedTokenizer] = {}
