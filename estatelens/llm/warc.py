@@ -13,6 +13,7 @@ of the ranges per file. Tasks then read their range from the verified entry on.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -87,6 +88,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
     return saved(ready.mapInArrow(write, "file string, bytes long, records long"))
 
 
+LENGTH = re.compile("[0-9]{1,18}").fullmatch  # of a body; anything else in a payload is no record
+
+
 def _parse(head: bytes) -> tuple[int, dict[str, str]] | None:
     """(bytes up to the body, fields) of a record's start, or None if no whole header with a length is there."""
     end = head.find(b"\r\n\r\n")
@@ -98,7 +102,7 @@ def _parse(head: bytes) -> tuple[int, dict[str, str]] | None:
         if not colon:
             return None
         fields[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    return (end + 4, fields) if fields.get("content-length", "").isdigit() else None
+    return (end + 4, fields) if LENGTH(fields.get("content-length", "")) else None
 
 
 def _head_end(f, data: bytes, at: int, left: int) -> tuple[bytes, int]:

@@ -190,3 +190,17 @@ def test_license_notices(spark):
 
 def test_license_report_of_nothing(spark):
     assert licenses.license_report(spark.createDataFrame([], DOCS)).count() == 0
+
+
+# --- payloads that look like records ----------------------------------------------------------------------------------
+
+
+def test_lengths_in_payloads_are_no_records(spark, tmp_path):
+    from estatelens.llm import warc
+    heads = ["WARC/1.1\r\nContent-Length: %s\r\n\r\n" % n for n in ("²", "9" * 5000, "-3", "12", "0x10", " 7 ", "", "9" * 18)]
+    rows = [(i, f"http://a/{i}", h * 3 + "x" * 200) for i, h in enumerate(heads)]
+    folder = str(tmp_path / "w")
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    for block in (1 << 10, 1 << 22):
+        got = warc.read_records(archives, folder, block).select("page_id", "url", F.decode("payload", "utf-8")).collect()
+        assert sorted(map(tuple, got)) == rows
