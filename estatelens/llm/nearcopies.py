@@ -1,13 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-Two sets whose similarity is at least s share a shingle among the first n - ceil(s n) + 1 of each (n its size), in any
-order of shingles that is the same everywhere. So every pair meets under a shingle of these prefixes, and none is left to
-chance. The order puts shingles that are frequent in a sample last, which keeps hot passages out of most prefixes; the
-sample has no say in the result.
-
-Equal sets are one node. Under each shingle the nodes are first compared with one of them, and pairs of nodes that are
-still in different groups are compared after that, so a large group of near copies costs no pairs of its members. Every comparison
-is of whole sets.
+"""Near copies by exact Jaccard similarity of word shingles, found through SimHash tiles and a complete search.
+
+Equal shingle sets are one node. Candidates come from two searches. SimHash tiles (``simhash.links``) meet fingerprints of
+the same shingles within a few bits, which connects most copies at once. A radius that would hold every pair of the wanted
+similarity would meet most of the corpus, so prefixes find the rest: two sets of similarity s share a shingle among the
+first n - ceil(s n) + 1 of each (n its size), in any order of shingles that is the same everywhere. The order puts
+shingles that are frequent in a sample last, which keeps hot passages out of most prefixes; the sample has no say in the
+result. So no pair is left to chance.
+
+Under a shingle the nodes are first compared with one of them; nodes that are still in different groups are compared in tiles
+of bounded size, so neither a hot shingle nor a large family is gathered. A tile takes the exclusive-or of bitmaps in which each shingle
+flips one bit: its bits are at most as many as the sets differ by, so a pair with more is refuted for certain and never
+a row. What is left is compared by whole sets: the members of a hub travel to it, each with its text once, in parts.
 """
 
 from __future__ import annotations
@@ -20,10 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import components, saved
+from estatelens.llm import simhash
+from estatelens.llm.common import components
 from estatelens.llm.simhash import _LOWER, _SEED, one_per_group, text_hash
+from estatelens.session import Scratch
 
 _ROUND = 1e-9
+BITS = 1024  # of a bitmap
+TILE = 512  # nodes of one side of a tile
+MEMBERS = 1000  # nodes that meet one hub in one part
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -77,73 +85,166 @@ def stars(rows: DataFrame) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(run, "h long, hub long, sid long")
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, bodies: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of the pairs that are similar enough. nodes: (sid, n); bodies: (sid, text)."""
-    def run(batches):
-        known = (None, None)
-        for b in batches:
-            keep = []
-            for a, x, y in zip(b.column("a").to_pylist(), b.column("x"), b.column("y")):
-                if known[0] != a:
-                    known = a, shingle_set(x.as_py(), words)
-                s, t = known[1], shingle_set(y.as_py(), words)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both >= similarity * (len(s) + len(t) - both) - _ROUND)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (b.column("a"), b.column("b"))], names=["a", "b"])
-
-    side = lambda name: nodes.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - _ROUND).select("a", "b")
-    texts = close.join(bodies.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b")
-    return texts.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def cross_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of nodes with different labels. groups: (members), distinct arrays of (label, sid)."""
+def bitmap(s: np.ndarray) -> bytes:
+    """Each shingle flips one bit."""
+    return np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
+def may_be_near(n_a, n_b, differ, similarity: float):
+    """Whether sets of these sizes that differ in at least so many shingles can be similar enough."""
+    return (np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) - _ROUND) & (differ <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + _ROUND)
+
+
+def _bitmaps(column) -> np.ndarray:
+    """Binary column as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The rows of pairs (a, b, ...) that sizes and bitmaps do not refute. nodes: (sid, n, bits)."""
+    names = pairs.columns
+
     def run(batches):
         for b in batches:
-            for row in b.column("members").to_pylist():
-                label, sid = (np.array([x[c] for x in row], np.int64) for c in ("label", "sid"))
-                for i in range(len(sid) - 1):
-                    other = sid[i + 1:][label[i + 1:] != label[i]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, sid[i])), pa.array(np.maximum(other, sid[i]))], names=["a", "b"])
+            if not b.num_rows:
+                continue
+            n_a, n_b = (b.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+            differ = np.bitwise_count(_bitmaps(b.column("x")) ^ _bitmaps(b.column("y"))).sum(axis=1)
+            yield b.select(names).filter(pa.array(may_be_near(n_a, n_b, differ, similarity)))
+
+    side = lambda c, bits: nodes.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(bits))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema))
 
-    return groups.mapInArrow(run, "a long, b long")
 
+def verified(pairs: DataFrame, bodies: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of distinct pairs that are similar enough by their whole sets. bodies: (sid, text).
 
-def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    A hub's text goes once to each of its parts of some ``MEMBERS`` pairs, a member's text once per pair.
+    """
+    def run(batches):
+        known = np.zeros(0, np.uint64)
+        for b in batches:
+            keep = []
+            for other, text in zip(b.column("b").to_pylist(), b.column("text")):
+                s = shingle_set(text.as_py(), words)
+                if other is None:
+                    known = s
+                    keep.append(False)
+                else:
+                    both = len(np.intersect1d(known, s, assume_unique=True))
+                    keep.append(both >= similarity * (len(s) + len(known) - both) - _ROUND)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    keyed = pairs.select("a", "b").join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    text = lambda c: bodies.withColumnRenamed("sid", c)
+    heads = keyed.select("a", "part").distinct().join(text("a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    rows = heads.unionByName(keyed.join(text("b"), "b"))
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+
+
+def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of pairs (a, b, ...) whose nodes no link connects yet. label: (node, label) of connected nodes."""
+    side = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    j = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return j.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(pairs.columns)
+
+
+def tile_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, distinct: nodes under one shingle, of different labels, that bitmaps do not refute.
+
+    members: (h, sid, label, n, bits). The members of a shingle are dealt into tiles of some ``TILE`` nodes, and every two
+    tiles of a shingle meet in one row; pairs that fail are never rows. Shingles with the same members count once.
+    """
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                x, y = (b.column(c)[i].values for c in ("left", "right"))
+                one = b.column("same")[i].as_py()
+                (sx, lx, nx), (sy, ly, ny) = ([t.field(c).to_numpy(zero_copy_only=False) for c in ("sid", "label", "n")] for t in (x, y))
+                bx, by = _bitmaps(x.field("bits")), _bitmaps(y.field("bits"))
+                out = ([], [])
+                for k in range(0, len(sx), 16):
+                    differ = np.bitwise_count(bx[k:k + 16, None] ^ by[None]).sum(axis=2)
+                    ok = may_be_near(nx[k:k + 16, None].astype(np.int64), ny[None].astype(np.int64), differ, similarity) & (lx[k:k + 16, None] != ly[None])
+                    r, c = np.nonzero(ok)
+                    u, v = sx[k + r], sy[c]
+                    if one:
+                        u, v = u[u < v], v[u < v]
+                    out[0].append(np.minimum(u, v))
+                    out[1].append(np.maximum(u, v))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["a", "b"])
+
+    same = members.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("x2"))
+    first = same.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("m") / TILE).alias("tiles"))
+    dealt = members.join(first, "h").withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")))
+    tiles = dealt.groupBy("h", "t", "tiles").agg(F.collect_list(F.struct("sid", "label", "n", "bits")).alias("tile"))
+    left = tiles.select("h", F.col("t").alias("i"), F.col("tile").alias("left"), F.explode(F.sequence(F.col("t"), F.col("tiles") - 1)).alias("j"))
+    right = tiles.select("h", F.col("t").alias("j"), F.col("tile").alias("right"))
+    met = left.join(right, ["h", "j"]).select("left", "right", (F.col("i") == F.col("j")).alias("same"))
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """doc_id, th (hash of the text) and label of every row; rows that links of at least ``similarity`` connect share a label.
 
-    Null and empty texts are equal. Null or repeated doc_ids make no difference.
+    Null and empty texts are equal. Null or repeated doc_ids make no difference. ``radius`` (bits) says how many of the links the
+    SimHash tiles bring before the complete search, never which links there are. Tables of the search are removed.
     """
     hot, weight = hot_shingles(docs, text, words)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            found = [shingle_set(x.as_py(), words) for x in b.column(1)]
-            sid = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-            first = [prefix(s, similarity, hot, weight).view(np.int64) for s in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sid), pa.array([len(s) for s in found], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "th", "sid", "n", "first"])
-
-    wide = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("th"))
-    sets = saved(wide.mapInArrow(run, f"doc_id {kind}, th long, sid long, n int, first array<long>"))
-    nodes = sets.groupBy("sid").agg(F.first("n").alias("n"), F.min("th").alias("th"))
-    star = saved(stars(sets.groupBy("sid").agg(F.first("first").alias("first")).select(F.explode("first").alias("h"), "sid")))
-    met = star.select("hub").union(star.select("sid")).distinct().withColumnRenamed("hub", "sid")
-    nodes = saved(nodes.join(met, "sid"))
-    bodies = saved(wide.select("th", "text").join(nodes.select("sid", "th"), "th").groupBy("sid").agg(F.first("text").alias("text")))
-    tested = saved(star.select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct())
-    near = saved(linked(tested, nodes, bodies, words, similarity))
-    label = components(near)
-    rest = star.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("h", "sid", F.coalesce("label", "sid").alias("label"))
-    open_ = rest.groupBy("h").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("h")
-    groups = rest.join(open_, "h").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("label", "sid"))).alias("members")).select("members").distinct()
-    more = saved(cross_pairs(groups).distinct().join(tested, ["a", "b"], "left_anti"))
-    near = near.unionAll(linked(more, nodes, bodies, words, similarity))
-    label = components(near)
-    return sets.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "th", F.coalesce("label", "sid").alias("label"))
+            out = [[] for _ in range(5)]
+            for x in b.column(1):
+                s = shingle_set(x.as_py(), words)
+                row = (xxhash.xxh3_64_intdigest(s.tobytes()), len(s), prefix(s, similarity, hot, weight).view(np.int64), simhash.fingerprint_of(x.as_py(), words), bitmap(s))
+                for o, v in zip(out, row):
+                    o.append(v)
+            sid, fp = (np.array(out[c], np.uint64).view(np.int64) for c in (0, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sid), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(fp), pa.array(out[4], pa.binary())], names=["doc_id", "th", "sid", "n", "first", "fp", "bits"])
+
+    with Scratch(docs.sparkSession) as scratch:
+        wide = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("th"))
+        full = scratch.keep(wide.mapInArrow(run, f"doc_id {kind}, th long, sid long, n int, first array<long>, fp long, bits binary"))
+        sets = full.select("doc_id", "th", "sid")
+        nodes = full.groupBy("sid").agg(F.min("th").alias("th"), F.first(F.struct("n", "first", "fp", "bits")).alias("x"))
+        nodes = scratch.keep(nodes.select("sid", "th", "x.*"))
+        size = nodes.select("sid", "n", "bits")
+        # fingerprints in tiles
+        hubs = scratch.keep(nodes.groupBy("fp").agg(F.min("sid").alias("hub")))
+        met = simhash.links(hubs.select("fp"), radius)
+        hub = lambda c: hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"s_{c}"))
+        close = met.join(hub("a"), "a").join(hub("b"), "b").select(F.col("s_a").alias("a"), F.col("s_b").alias("b"))
+        close = close.unionByName(nodes.join(hubs, "fp").where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")))
+        close = scratch.keep(possible(close.distinct(), size, similarity))
+        # prefixes: under each shingle the least node with every other
+        star = scratch.keep(stars(nodes.select(F.explode("first").alias("h"), "sid")))
+        met = close.select(F.col("a").alias("sid")).union(close.select("b")).union(star.select("hub")).union(star.select("sid")).distinct()
+        bodies = scratch.keep(wide.select("th", "text").join(nodes.join(met, "sid").select("sid", "th"), "th").groupBy("sid").agg(F.first("text").alias("text")))
+        near = scratch.keep(verified(close, bodies, words, similarity))
+        label = components(near)
+        under = star.groupBy(F.col("hub").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("shared"))
+        under = scratch.keep(possible(apart(under, label), size, similarity))
+        first = under.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")  # its likeliest hub
+        more = scratch.keep(verified(first, bodies, words, similarity))
+        label = components(near.unionByName(more))
+        rest = apart(under.select("a", "b").join(first, ["a", "b"], "left_anti"), label)
+        again = scratch.keep(verified(rest, bodies, words, similarity))
+        near = scratch.keep(near.unionByName(more).unionByName(again))
+        label = components(near)
+        # members of a shingle that are still in different groups
+        left = star.select("h", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        open_ = left.groupBy("h").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("h")
+        pairs = tile_pairs(left.join(open_, "h").join(size, "sid"), similarity)
+        pairs = scratch.keep(pairs.join(under.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        last = scratch.keep(verified(pairs, bodies, words, similarity))
+        label = components(near.unionByName(last))
+        out = sets.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "th", F.coalesce("label", "sid").alias("label"))
+        return scratch.keep(out, outlives=True)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row per group of near copies: that of the smallest doc_id."""
+    """docs with one row per group of near copies: that of the smallest doc_id. Columns may have any names."""
     return one_per_group(docs, labelled(docs, id_col, text, words, similarity), id_col, text)

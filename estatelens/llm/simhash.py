@@ -163,11 +163,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def one_per_group(docs: DataFrame, rows: DataFrame, id_col: str, text: str) -> DataFrame:
     """docs with one row per label: that of the smallest doc_id, null ids last (of equal ids, the text least by hash). rows: (doc_id, th, label) of every row."""
     from pyspark.sql import Window
-    stay = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.th").alias("_stay"))
-    keyed = docs.withColumn("_th", text_hash(text))
-    kept = keyed.join(stay, keyed[id_col].eqNullSafe(stay["_id"]) & (keyed["_th"] == stay["_stay"]))
-    order = Window.partitionBy("_id", "_th").orderBy("_th")  # of rows that repeat id and text, one
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_id", "_th", "_stay")
+    stay = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.th").alias("stay"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), text_hash(text).alias("th"))  # names of docs cannot clash
+    kept = packed.join(stay, F.col("own").eqNullSafe(F.col("id")) & (F.col("th") == F.col("stay")))
+    order = Window.partitionBy("own", "th").orderBy(F.lit(0))  # of rows that repeat id and text, one
+    return kept.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, tile: int = 2048) -> DataFrame:
