@@ -21,6 +21,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from estatelens.llm.common import saved
 
@@ -154,7 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["uid", "doc_id", "text_key", "lo", "words", "hits"])
 
     doc_type = docs.schema[id_col].dataType.simpleString()
-    types = (pa.int64(), {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[doc_type], pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("mask", pa.int32()), ("h", pa.int64()), ("p", pa.int32())])))
+    types = (pa.int64(), to_arrow_type(docs.schema[id_col].dataType), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("mask", pa.int32()), ("h", pa.int64()), ("p", pa.int32())])))
     near = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).mapInArrow(segments, f"uid long, doc_id {doc_type}, text_key long, lo int, words binary, hits array<struct<mask:int,h:bigint,p:int>>"))
     met = near.select("uid", F.inline("hits")).join(seeds, ["mask", "h"]).select("uid", "item", (F.col("p") - F.col("i")).alias("shift")).distinct()
     pairs = met.join(near.drop("hits"), "uid").join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
@@ -173,12 +174,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the documents that leak a benchmark item; all columns and all other rows stay."""
+    """docs without the documents that leak a benchmark item; all columns, whatever their names, and all other rows stay.
+
+    Null and empty texts leak nothing and stay; repeated rows go or stay together; an empty benchmark keeps all.
+    """
     bad = contaminated(docs, benchmark, id_col, text, **options).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
 
     @F.pandas_udf("long")
     def key(s):
         return s.map(lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63))
 
-    marked = docs.withColumn("_t", key(F.coalesce(F.col(text), F.lit(""))))
-    return marked.join(bad, marked[id_col].eqNullSafe(bad["_doc"]) & (marked["_t"] == bad["_key"]), "left_anti").drop("_t")
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), key(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))  # names of docs cannot clash
+    return marked.join(bad, F.col("own").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left_anti").select("row.*")

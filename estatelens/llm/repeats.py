@@ -214,10 +214,10 @@ def merged(stretches) -> list[tuple[int, int]]:
 
 
 def _with_stretches(docs: DataFrame, id_col: str, text: str, length: int, budget: int) -> DataFrame:
-    """docs with _raw (bytes) in place of the text and _cuts (repeated stretches, null for none)."""
-    other = [c for c in docs.columns if c != text]
+    """row (a struct of docs' other columns, whose names cannot clash), _raw (bytes of the text) and _cuts (repeated stretches, null for none)."""
+    other = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]
     th = (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) - (1 << 31)).cast("int")
-    keyed = docs.select(*other, F.col(text).cast("binary").alias("_raw"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_doc"), th.alias("_th"))
+    keyed = docs.select(F.struct(*other).alias("row"), F.col(text).cast("binary").alias("_raw"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_doc"), th.alias("_th"))
     cuts = repeated_stretches(keyed, length, budget).groupBy("_doc", "_th").agg(F.collect_set(F.struct("a", "z")).alias("_cuts"))
     return keyed.join(cuts, ["_doc", "_th"], "left").drop("_doc", "_th")
 
@@ -247,11 +247,12 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
     wide = _with_stretches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", length, budget)
-    return wide.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    return wide.select("row.doc_id", "_raw", "_cuts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 100, budget: int = 1 << 22) -> DataFrame:
-    """docs with repeated stretches cut out of the text. A character that a stretch holds in part stays whole. Null texts stay null."""
+    """docs with repeated stretches cut out of the text. A character that a stretch holds in part stays whole. Null texts stay null,
+    all rows and columns stay, whatever the columns' names; an empty table stays empty."""
     @F.pandas_udf("string")
     def cut(raw, cuts):
         import pandas as pd
@@ -270,4 +271,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pd.Series(out)
 
     wide = _with_stretches(docs, id_col, text, length, budget)
-    return wide.withColumn(text, F.when(F.col("_cuts").isNull(), F.col("_raw").cast("string")).otherwise(cut(F.coalesce("_raw", F.lit(b"")), "_cuts"))).select(docs.columns)
+    whole = F.when(F.col("_cuts").isNull(), F.col("_raw").cast("string")).otherwise(cut(F.coalesce("_raw", F.lit(b"")), "_cuts"))
+    return wide.withColumn("_whole", whole).select(*[F.col("_whole").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

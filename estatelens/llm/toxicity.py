@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LETTERS = re.compile(r"[^\W\d_]+").findall
 LANE = 256
@@ -254,11 +255,20 @@ def score_documents(docs: DataFrame, model: SpanField, id_col: str = "doc_id", t
                 names = [name for name in b.schema.names if name != "_text"]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= least) for g in got], pa.int32()), pa.array([g[1] for g in got], span)], names=[*names, "_score", "_predicted", "_spans"])
 
+    # the columns that are added to docs' own
     added = "_score double, _predicted int, _spans array<struct<start:int,end:int,marginal:double>>"
     if carry:
         source = docs.withColumn("_text", F.col(text))
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return source.mapInArrow(run, f"{ddl}, {added}")
+        return source.mapInArrow(run, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(added).fields]))
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, {added}")
     return out.select("doc_id", F.col("_score").alias("score"), F.col("_predicted").alias("predicted"), F.col("_spans").alias("spans"))
+
+
+def without_toxic(docs: DataFrame, model: SpanField, id_col: str = "doc_id", text: str = "text", least: float = 0.3) -> DataFrame:
+    """docs without the documents whose score is at least ``least``; all columns, whatever their names, and all other rows stay.
+
+    Null and empty texts are scored like a text without a toxic token. Repeated rows go or stay together.
+    """
+    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return score_documents(packed, model, text="text", least=least, carry=True).where("_predicted = 0").select("row.*")
