@@ -2,6 +2,10 @@
 
 A stage is (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents; what a stage decides
 takes effect: rejected documents go, repeated text is cut out. The last returns token counts and digests.
+
+In every stage null and empty texts count as texts without a word and stay (of several, near copies leave one); null doc_ids pass by;
+rows that repeat id and text are judged alike; ties go to the smaller doc_id, then the text's hash; texts are read whole, however
+long; an empty table stays empty; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,16 +18,19 @@ from estatelens.llm.common import id_remainder, read, saved
 from estatelens.llm.plans import tokenizer_path
 
 
+def names(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxic score is below 0.3, the bound of op3. The field learns from the same labels."""
     labels = read(spark, sf_dir, "labels").where(id_remainder(F.col("doc_id"), 4) != 2)
-    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels), carry=True)
-    return scored.where("_predicted = 0").select(docs.columns)
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels)).select(names(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id: links are a similarity of 0.8 of five-word shingles."""
-    return nearcopies.deduplicated(docs, words=5, similarity=0.8).select(docs.columns)
+    return nearcopies.deduplicated(docs, words=5, similarity=0.8).select(names(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +38,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = repeats.without_repeats(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+    return cut.select(names(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark")).select(names(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
