@@ -250,13 +250,15 @@ def answer_provenance(family: str, coverage: DataFrame) -> DataFrame:
     return coverage if cats is None else coverage.filter(F.col("category").isin(cats))
 
 
-def guidance(snapshot_id: str, columns: DataFrame, relevance: DataFrame, scan: int | None = None, most: dict[str, int] | None = None) -> DataFrame:
+def guidance(snapshot_id: str | None, columns: DataFrame, relevance: DataFrame, scan: int | None = None, most: dict[str, int] | None = None, keys: list[str] = ()) -> DataFrame:
     """Q9. Measure, dimension, time and drill-down suggestions with stable ids, from all columns and relations.
 
-    On request only from the first ``scan`` columns, and with at most ``most[type]`` suggestions of a type (kpi, dim, time, drill).
+    The ids name the snapshot: ``snapshot_id`` where the frames hold one, else the frames' ``keys`` (such as source_id,
+    snapshot_id), which then lead every row. On request only from the first ``scan`` columns, and with at most ``most[type]`` suggestions of a type (kpi, dim, time, drill).
     """
-    order = [F.col("schema_name"), F.col("relation_name"), F.col("ordinal_position"), F.col("column_name")]
-    first = columns.select("schema_name", "relation_name", "column_name", "data_type", "ordinal_position")
+    own = [F.lit(snapshot_id)] if snapshot_id is not None else [F.col(k) for k in keys]
+    order = [*map(F.col, keys), F.col("schema_name"), F.col("relation_name"), F.col("ordinal_position"), F.col("column_name")]
+    first = columns.select(*keys, "schema_name", "relation_name", "column_name", "data_type", "ordinal_position")
     if scan is not None:
         first = first.orderBy(*order).limit(scan)
     most = most or {}
@@ -266,14 +268,14 @@ def guidance(snapshot_id: str, columns: DataFrame, relevance: DataFrame, scan: i
 
     def from_columns(kind, pattern, why):
         hit = capped(first.filter(F.col("column_name").rlike(pattern)), kind, order)
-        key = F.concat_ws(":", F.lit(snapshot_id), F.lit(kind), "schema_name", "relation_name", "column_name")
-        return hit.select(
+        key = F.concat_ws(":", *own, F.lit(kind), "schema_name", "relation_name", "column_name")
+        return hit.select(*keys,
             F.lit(kind).alias("suggestion_type"), F.concat(F.lit(kind + "_"), F.substring(F.sha2(key, 256), 1, 16)).alias("suggestion_id"),
             F.concat_ws(".", "schema_name", "relation_name", "column_name").alias("label"),
             F.concat(F.lit(f"Technical {why} hint from column name and type "), "data_type", F.lit(".")).alias("rationale"))
     top = capped(relevance, "drill", [F.col("deterministic_score").desc(), "schema_name", "relation_name"])
-    dkey = F.concat_ws(":", F.lit(snapshot_id), F.lit("drill"), "schema_name", "relation_name")
-    drill = top.select(
+    dkey = F.concat_ws(":", *own, F.lit("drill"), "schema_name", "relation_name")
+    drill = top.select(*keys,
         F.lit("drill").alias("suggestion_type"), F.concat(F.lit("drill_"), F.substring(F.sha2(dkey, 256), 1, 16)).alias("suggestion_id"),
         F.concat_ws(".", "schema_name", "relation_name").alias("label"),
         F.concat(F.lit("Catalog BI relevance signals: "), "signal_summary", F.lit(".")).alias("rationale"))

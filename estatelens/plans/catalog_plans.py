@@ -108,11 +108,11 @@ def allowed_targets(spark, sf):
     return U.allowed_targets(cols.select(*U.TARGET_KEYS), com, con.filter("constraint_kind = 'FOREIGN_KEY'"))
 
 
-@R.add("type_family", ctes("e_columns") + """SELECT data_type, CASE WHEN data_type IN ('int4', 'numeric') THEN 'NUMERIC' WHEN data_type = 'varchar' THEN 'TEXT' WHEN data_type = 'timestamp' THEN 'TEMPORAL' END AS family,
-   CASE WHEN data_type IN ('int4', 'numeric') THEN 'numeric' WHEN data_type = 'timestamp' THEN 'temporal' WHEN data_type = 'varchar' THEN 'text' END AS declared_family, count(*) AS n FROM e_columns GROUP BY ALL""")
+@R.add("type_family", ctes("e_columns") + """SELECT schema_name, relation_name, column_name, data_type, CASE WHEN data_type IN ('int4', 'numeric') THEN 'NUMERIC' WHEN data_type = 'varchar' THEN 'TEXT' WHEN data_type = 'timestamp' THEN 'TEMPORAL' END AS family,
+   CASE WHEN data_type IN ('int4', 'numeric') THEN 'numeric' WHEN data_type = 'timestamp' THEN 'temporal' WHEN data_type = 'varchar' THEN 'text' END AS declared_family FROM e_columns""")
 def type_family(spark, sf):
-    return estate(spark, sf, "columns").groupBy("data_type").agg(F.count(F.lit(1)).alias("n")).select(
-        "data_type", U.type_family("data_type").alias("family"), U.declared_family("data_type").alias("declared_family"), "n")
+    return estate(spark, sf, "columns").select(
+        "schema_name", "relation_name", "column_name", "data_type", U.type_family("data_type").alias("family"), U.declared_family("data_type").alias("declared_family"))
 
 
 @R.add("budget_check", ctes("e_extracts") + """SELECT snapshot_id, queries, largest_query, total_rows, concat_ws(',', CASE WHEN queries > 70 THEN 'QUERIES' END, CASE WHEN largest_query > 88 THEN 'ROWS_PER_QUERY' END,
@@ -239,12 +239,11 @@ def table_capacity(spark, sf):
     return _capacity(spark, sf)
 
 
-@R.add("capacity_enrichment", _CAPC + f"SELECT count(*) AS relations, count(bytes) AS sized, count(num_rows_estimate) AS estimated, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM {_CAP}")
+@R.add("capacity_enrichment", _CAPC + f"SELECT * FROM {_CAP}")
 def capacity_enrichment(spark, sf):
     """J9 where sources repeat: doubling the right sides must change nothing."""
     r, c, k, i, st, sz = estate(spark, sf, "relations", "columns", "constraints", "indexes", "statistics", "sizes")
-    cap = C.table_capacity(r, c, k, i, st.unionByName(st), sz.unionByName(sz))
-    return cap.agg(F.count(F.lit(1)).alias("relations"), F.count("bytes").alias("sized"), F.count("num_rows_estimate").alias("estimated"), F.sum("bytes").alias("total_bytes"))
+    return C.table_capacity(r, c, k, i, st.unionByName(st), sz.unionByName(sz))
 
 
 _COD = """SELECT o.schema_name, o.object_name, o.object_kind, o.status, coalesce(a.n, 0) AS signature_count, coalesce(e.n, 0) AS compile_issue_count, coalesce(d.n, 0) AS depends_on_count, coalesce(u.n, 0) AS used_by_count,
@@ -278,11 +277,11 @@ def bi_relevance(spark, sf):
     return _relevance(spark, sf)
 
 
-@R.add("name_hints", ctes("e_columns") + """SELECT data_type, regexp_matches(column_name, '(?i)(date|time|period|month|year|created|updated)') AS time_hint,
-    regexp_matches(column_name, '(?i)(amount|total|qty|quantity|count|price|cost|value|measure)') AS measure_hint, regexp_matches(column_name, '(?i)(id|key|code|type|status|category|name)') AS dimension_hint,
-    count(*) AS n FROM e_columns GROUP BY ALL""")
+@R.add("name_hints", ctes("e_columns") + """SELECT schema_name, relation_name, column_name, regexp_matches(column_name, '(?i)(date|time|period|month|year|created|updated)') AS time_hint,
+    regexp_matches(column_name, '(?i)(amount|total|qty|quantity|count|price|cost|value|measure)') AS measure_hint, regexp_matches(column_name, '(?i)(id|key|code|type|status|category|name)') AS dimension_hint
+    FROM e_columns""")
 def name_hints(spark, sf):
-    return U.name_hints(estate(spark, sf, "columns")).groupBy("data_type", "time_hint", "measure_hint", "dimension_hint").agg(F.count(F.lit(1)).alias("n"))
+    return U.name_hints(estate(spark, sf, "columns")).select("schema_name", "relation_name", "column_name", "time_hint", "measure_hint", "dimension_hint")
 
 
 @R.add("column_detail", ctes("e_columns", "e_relations") + """SELECT schema_name, relation_name, column_name, ordinal_position, data_type, is_nullable,
@@ -497,6 +496,22 @@ def sources_code_dependencies(spark, sf):
     return C.code_dependencies(*sources(spark, sf, "stored", "arguments", "errors", "dependencies"), keys=_BY)
 
 
+def _source_sug(source):
+    def one(kind, pattern, why):
+        return f"""SELECT '{kind}' AS suggestion_type, '{kind}_' || substr(sha256('{source}:{kind}:' || schema_name || ':' || relation_name || ':' || column_name), 1, 16) AS suggestion_id,
+          schema_name || '.' || relation_name || '.' || column_name AS label, 'Technical {why} hint from column name and type ' || data_type || '.' AS rationale FROM e_columns WHERE regexp_matches(column_name, '{pattern}')"""
+    drill = f"""SELECT 'drill', 'drill_' || substr(sha256('{source}:drill:' || schema_name || ':' || relation_name), 1, 16), schema_name || '.' || relation_name, 'Catalog BI relevance signals: ' || signal_summary || '.' FROM {_REL}"""
+    parts = [one("kpi", U.GUIDE_KPI, "measure"), one("dim", U.GUIDE_DIMENSION, "dimension"), one("time", U.GUIDE_TIME, "time"), drill]
+    return f"SELECT '{source}' AS source_id, * FROM ({one_source(source, 'e_relations', 'e_columns', 'e_comments')}" + " UNION ALL ".join(parts) + ")"
+
+
+@R.add("sources_guidance", " UNION ALL ".join(_source_sug(s) for s in SOURCES))
+def sources_guidance(spark, sf):
+    """Suggestions of two databases at once, each with ids of its own."""
+    r, c, k = sources(spark, sf, "relations", "columns", "comments")
+    return C.guidance(None, c, C.bi_relevance(r, c, k, keys=_BY), keys=_BY)
+
+
 @R.add("sources_bi_relevance", each_source("SELECT * FROM " + _REL, "e_relations", "e_columns", "e_comments"))
 def sources_bi_relevance(spark, sf):
     return C.bi_relevance(*sources(spark, sf, "relations", "columns", "comments"), keys=_BY)

@@ -46,9 +46,14 @@ def budgeted_selection(spark, sf):
 OBJ = """SELECT 'c' || CAST(o_orderkey AS STRING) AS candidate_id, CAST(FLOOR(o_totalprice) AS BIGINT) AS expected_gain_bps, 'x' || CAST(o_custkey AS STRING) AS a, 'y' || CAST(o_orderkey % 400 AS STRING) AS b FROM {orders}"""
 
 
-@R.add("object_capped_selection")
+@R.add("object_capped_selection", "WITH RECURSIVE c AS (" + OBJ.format(orders="orders").replace("STRING", "VARCHAR") + """), t AS (
+   SELECT candidate_id, expected_gain_bps, unnest([a, b]) AS object, CAST(5 AS BIGINT) AS room, false AS taken FROM c
+   UNION ALL SELECT candidate_id, expected_gain_bps, object, room - wins, win FROM (SELECT *, count(*) FILTER (WHERE win) OVER (PARTITION BY object) AS wins FROM (
+     SELECT *, bool_and(rn <= room) OVER (PARTITION BY candidate_id) AS win FROM (SELECT *, row_number() OVER (PARTITION BY object ORDER BY expected_gain_bps DESC, candidate_id) AS rn FROM t WHERE NOT taken)))
+     QUALIFY win OR min(room - wins) OVER (PARTITION BY candidate_id) > 0)
+   SELECT DISTINCT candidate_id, expected_gain_bps FROM t WHERE taken""")
 def object_capped_selection(spark, sf):
-    """A greedy walk over shared caps has no set form in SQL; a fixture test checks it against brute force."""
+    """A candidate that fits in all its objects whatever happens is taken; a test also holds it against the greedy walk."""
     return K.object_capped_selection(portable(spark, sf, OBJ).select("candidate_id", "expected_gain_bps", F.array("a", "b").alias("objects")), 5).select("candidate_id", "expected_gain_bps")
 
 

@@ -141,9 +141,9 @@ _TR = "WITH t AS (" + TRIPLE.format(lineitem="lineitem") + """), r AS (SELECT *,
    WHEN read_error_code IS NOT NULL THEN 'missing' WHEN observed_hash IS NOT DISTINCT FROM after_hash THEN 'after' WHEN observed_hash IS NOT DISTINCT FROM before_hash THEN 'before' ELSE 'diverged' END AS relation FROM t)"""
 
 
-@R.add("reconcile_actions", _TR + " SELECT plan_id, relation, count(*) AS n FROM r GROUP BY 1, 2")
+@R.add("reconcile_actions", _TR + " SELECT plan_id, action_id, relation FROM r")
 def reconcile_actions(spark, sf):
-    return D.reconcile_actions(portable(spark, sf, TRIPLE)).groupBy("plan_id", "relation").agg(F.count(F.lit(1)).alias("n"))
+    return D.reconcile_actions(portable(spark, sf, TRIPLE)).select("plan_id", "action_id", "relation")
 
 
 @R.add("reconcile_plans", _TR + """ SELECT *, classification = 'unchanged_safe_to_retry' AS retry_allowed, classification = 'partial' AS compensation_allowed, classification IN ('manual_review', 'diverged') AS manual_review_required FROM (
