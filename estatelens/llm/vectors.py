@@ -22,6 +22,11 @@ from pyspark.sql import functions as F
 from estatelens.llm.common import saved
 
 
+def matrix(lists) -> np.ndarray:
+    """An Arrow list column of equally long vectors as one array."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
 class CentroidGraph:
     """Centroids and a neighbour graph over them; at most as many as the sample has rows."""
 
@@ -104,14 +109,15 @@ def nearest(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: st
     of the id) fit the centroids, about one for ``list_rows`` vectors and at most one for two of the sample. ``width`` is
     the search beam and the most lists a query reads, ``replicas`` the most lists a vector is entered in; both bound the work
     of a query, not which vectors are indexed: every vector is in at least one list. Recall is measured in tests.
-    A repeated vec_id is a separate candidate, but never its own neighbour; as a query it counts once per distinct vector.
+    A query that finds fewer than k rows in its lists, though there are more, is compared with all vectors in blocks.
+    A repeated vec_id is a separate candidate, but never its own neighbour; as a query its distinct vectors share one list.
     """
     rows = usable(vectors, id_col, vec_col)
     order = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)  # pruned before the shuffle
     index = saved(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("key", F.xxhash64("v")))
     asked = rows.where(query(F.col("vec_id")) if query else F.lit(True)).select(F.col("vec_id").alias("query_id"), "v").distinct()
-    stats = index.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
+    stats = index.agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     if not stats.n:
@@ -131,7 +137,7 @@ def nearest(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: st
             for whole in batches:
                 for lo in range(0, whole.num_rows, 1024):
                     b = whole.slice(lo, 1024)
-                    x = longer(np.array(b.column("v").to_pylist()), is_query)
+                    x = longer(matrix(b.column("v")), is_query)
                     if is_query:  # an inner product ranks alike for any length of the query; the usual one makes distances comparable
                         x *= np.sqrt(top) / np.linalg.norm(x, axis=1, keepdims=True)
                     c, d = g.search(x, max(limit, 16))
@@ -151,20 +157,35 @@ def nearest(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: st
     def compare(batches):
         for b in batches:
             out = [[], [], []]
-            for queries, entries in zip(b.column("queries").to_pylist(), b.column("rows").to_pylist()):
-                q, e = np.array([x["v"] for x in queries]), np.array([x["v"] for x in entries])
+            for n in range(b.num_rows):
+                queries, entries = b.column("queries")[n].values, b.column("rows")[n].values
+                q, e, names, ids_of = matrix(queries.field("v")), matrix(entries.field("v")), queries.field("query_id").to_pylist(), entries.field("ids")
                 s = np.einsum("id,jd->ij", q, e)
                 keep = min(k + 1, len(e))
                 best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                for i, x in enumerate(queries):
+                for i, own in enumerate(names):
                     least = s[i, best[i]].min()
-                    for j in np.flatnonzero(s[i] >= least):  # ties at the edge too
-                        ids = [v for v in entries[j]["ids"] if v != x["query_id"]][:k]
-                        out[0] += [x["query_id"]] * len(ids)
+                    for j in np.flatnonzero(s[i] >= least).tolist():  # ties at the edge too
+                        ids = [v for v in ids_of[j].as_py() if v != own][:k]
+                        out[0] += [own] * len(ids)
                         out[1] += ids
                         out[2] += [float(s[i, j])] * len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    pairs = groups.join(blocks, "list").repartition("list", "q", "part").select("queries", "rows").mapInArrow(compare, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def ranked(pairs: DataFrame) -> DataFrame:
+        got = pairs.mapInArrow(compare, "query_id long, vec_id long, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    found = saved(ranked(groups.join(blocks, "list").repartition("list", "q", "part").select("queries", "rows")))
+    counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = saved(asked.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(k, stats.ids - 1)).select("query_id", "v"))
+    n_short = short.count()
+    if not n_short:
+        return found
+    n_blocks = -(-stats.n // block)
+    every = index.groupBy(F.pmod("key", F.lit(n_blocks)).alias("part")).agg(F.collect_list(F.struct("v", "ids")).alias("rows"))
+    some = short.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(-(-n_short // 256))).alias("q")).agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
+    some = some.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    whole = ranked(some.join(every, "part").repartition("q", "part").select("queries", "rows"))
+    return found.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(whole)

@@ -74,3 +74,17 @@ def test_nearest_recall(spark, scale):
     assert set(got) == set(range(0, 3000, 20)) and hits >= 0.9 * 20 * len(got)
     assert vectors.nearest(table.limit(0)).count() == 0
     assert vectors.nearest(table.where("vec_id < 3"), k=20).count() == 6
+
+
+def test_queries_whose_lists_are_thin_are_completed(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 8)) * rng.uniform(0.2, 3, (700, 1))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.nearest(table, k=20, query=lambda v: v % 20 == 0, list_rows=8, width=2, replicas=1).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert set(got) == set(range(0, 700, 20)) and all(sorted(r for r, _ in v) == list(range(1, 21)) for v in got.values())
+    hits = sum(len({i for _, i in got[q]} & set(np.argsort(-s[q])[:20].tolist())) for q in got)
+    assert hits == 20 * len(got)  # all of them were compared with every vector
