@@ -204,3 +204,37 @@ def test_lengths_in_payloads_are_no_records(spark, tmp_path):
     for block in (1 << 10, 1 << 22):
         got = warc.read_records(archives, folder, block).select("page_id", "url", F.decode("payload", "utf-8")).collect()
         assert sorted(map(tuple, got)) == rows
+
+
+# --- language identification ---------------------------------------------------------------------------------------------
+
+
+def test_language_scores_equal_kernels_of_sets():
+    """Kernel, Nyström map and ridge solution written down with Python sets and dense algebra."""
+    from estatelens.llm.langid import KernelModel
+    rnd = random.Random(6)
+    bags = {"aa": "die und der ein nicht über".split(), "bb": "les une être où déjà que".split(), "cc": "the and of with from that".split()}
+    make = lambda lang: " ".join(rnd.choice(bags[lang]) for _ in range(rnd.randint(1, 25)))
+    labels = [lang for lang in bags for _ in range(20)]
+    texts = [make(lang) for lang in labels]
+    model = KernelModel(texts, labels, landmarks=4, ridge=0.1)
+
+    def grams(t):
+        b = t.lower().encode()
+        return {b[i:i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    marks = [t for lang in bags for t in [x for x, y in zip(texts, labels) if y == lang][:4]]
+    known = set().union(*map(grams, marks))
+    sets = lambda ts: [grams(t) & known for t in ts]
+    k = lambda a, b: np.array([[len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1)) for y in b] for x in a])
+    m = sets(marks)
+    asked = [make(rnd.choice(list(bags))) for _ in range(40)] + ["", "xyz", "日本"]
+    assert np.allclose(model.kernel(asked), k(sets(asked), m), atol=1e-5)
+    w, v = np.linalg.eigh(k(m, m))
+    ok = w > 1e-6 * w.max()
+    nystroem = lambda ts: np.hstack([k(sets(ts), m) @ v[:, ok] / np.sqrt(w[ok]), np.ones((len(ts), 1))])
+    phi, y = nystroem(texts), np.array([[1.0 if lang == c else -1.0 for c in sorted(bags)] for lang in labels])
+    f = nystroem(asked) @ np.linalg.solve(phi.T @ phi + 0.1 * np.eye(phi.shape[1]), phi.T @ y)
+    best, score = model.predict(asked)
+    clear = np.sort(f, axis=1)[:, -1] - np.sort(f, axis=1)[:, -2]
+    assert (best == f.argmax(axis=1))[clear > 1e-3].all() and np.allclose(score, 1 / (1 + np.exp(-3 * np.minimum(clear, 10))), atol=1e-3)
