@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import count
 from sys import intern
 
 import numpy as np
@@ -112,7 +113,7 @@ def forward_backward(odds: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -
 class SpanField:
     """Feature weights, transition scores and the document calibration. ``weights`` is empty if nothing was learned."""
 
-    def __init__(self, texts: list[str], labels: list[int], base_rate: float, rounds: int = 40, ridge: float = 1e-2, lift: float = 0.9, least: int = 5):
+    def __init__(self, texts: list[str], labels: list[int], base_rate: float, settled: float = 1e-3, ridge: float = 1e-2, lift: float = 0.9, least: int = 5):
         self.weights: dict[str, float] = {}
         self.bias, self.trans, self.calibration = -4.0, np.ones((2, 2)), np.array([-6.0, 0.0, 0.0])
         if len(set(labels)) < 2:
@@ -152,10 +153,15 @@ class SpanField:
         inner = np.flatnonzero(inner)
         gold_pairs = np.array([[np.sum((gold[inner - 1] == a) & (gold[inner] == b)) for b in (0, 1)] for a in (0, 1)], float)
         m1, m2, beta = 0.0, 0.0, (0.9, 0.99)
-        for r in range(1, rounds + 1):
+        before, still = np.zeros(len(stream)), 0
+        for r in count(1):  # until the toxic marginals have settled: three rounds that move less than a share of their sum; steps shrink, so they do
             odds = np.exp(np.clip(np.bincount(rows, w[cols], len(vocab)) + bias, -30, 30))[stream]
             trans = np.exp(lt)
             fwd, bwd, mark = forward_backward(odds, lengths, trans)
+            still = still + 1 if np.abs(mark - before).sum() <= settled * max(1.0, mark.sum()) else 0
+            if still == 3:
+                break
+            before = mark
             miss = gold - mark
             pairs = np.zeros((2, 2))
             for lo in range(0, len(inner), 1 << 17):
@@ -164,7 +170,8 @@ class SpanField:
                 pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             g = np.concatenate([np.bincount(cols, np.bincount(stream, miss, len(vocab))[rows], len(names)) - ridge * w, [miss.sum()], (gold_pairs - pairs).ravel() - lt.ravel()])
             m1, m2 = beta[0] * m1 + (1 - beta[0]) * g, beta[1] * m2 + (1 - beta[1]) * g * g
-            move = 0.3 * (m1 / (1 - beta[0] ** r)) / (np.sqrt(m2 / (1 - beta[1] ** r)) + 1e-8)
+            move = 0.3 / (1 + r / 40) * (m1 / (1 - beta[0] ** r)) / (np.sqrt(m2 / (1 - beta[1] ** r)) + 1e-8)
+            self.rounds = r
             w, bias, lt = w + move[:len(names)], bias + move[len(names)], lt + move[-4:].reshape(2, 2)
         self.weights, self.bias, self.trans = {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, float(bias), np.exp(lt)
         x = np.array([self._summary(m) for m in self.marginals(docs)])
