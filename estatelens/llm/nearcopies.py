@@ -69,9 +69,9 @@ def hot_shingles(docs: DataFrame, text: str, words: int, sample: int = 4000, mos
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """(h, hub, sid): under each shingle the least node and every other one. rows: (h, sid), distinct."""
+    """(h, hub, sid): under each shingle the least node and every other one, once. rows: (h, sid), repeated for equal texts."""
     def run(batches):
-        last = None  # shingle and hub that the batch before ended in
+        last = None  # shingle, hub and node that the batch before ended in
         for b in batches:
             h, sid = np.asarray(b.column("h")), np.asarray(b.column("sid"))
             if not len(h):
@@ -79,8 +79,10 @@ def stars(rows: DataFrame) -> DataFrame:
             first = np.r_[last is None or h[0] != last[0], h[1:] != h[:-1]]
             at = np.maximum.accumulate(np.where(first, np.arange(len(h)), -1))
             hub = np.where(at >= 0, sid[np.maximum(at, 0)], 0 if last is None else last[1])
-            last = h[-1], hub[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in (h, hub, sid)], names=["h", "hub", "sid"])
+            again = np.r_[not first[0] and sid[0] == last[2], sid[1:] == sid[:-1]]
+            last = h[-1], hub[-1], sid[-1]
+            keep = ~first & ~again & (hub != sid)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, hub, sid)], names=["h", "hub", "sid"])
 
     return rows.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(run, "h long, hub long, sid long")
 
@@ -116,11 +118,16 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema))
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of distinct pairs that are similar enough by their whole sets. bodies: (sid, text).
+def verified(scratch: Scratch, pairs: DataFrame, wide: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of distinct pairs that are similar enough by their whole sets. wide: (th, text); nodes: (sid, th).
 
-    A hub's text goes once to each of its parts of some ``MEMBERS`` pairs, a member's text once per pair.
+    Only texts of nodes in these pairs are read out. A hub's text goes once to each of its parts of some ``MEMBERS`` pairs, a
+    member's text once per pair.
     """
+    pairs = scratch.keep(pairs)
+    need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(nodes.select("sid", "th"), "sid")
+    bodies = scratch.keep(wide.select("th", "text").join(need, "th").groupBy("sid").agg(F.first("text").alias("text")))
+
     def run(batches):
         known = np.zeros(0, np.uint64)
         for b in batches:
@@ -140,7 +147,9 @@ def verified(pairs: DataFrame, bodies: DataFrame, words: int, similarity: float)
     text = lambda c: bodies.withColumnRenamed("sid", c)
     heads = keyed.select("a", "part").distinct().join(text("a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     rows = heads.unionByName(keyed.join(text("b"), "b"))
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    out = scratch.keep(rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long"))
+    scratch.drop(pairs, bodies)
+    return out
 
 
 def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -208,9 +217,11 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     with Scratch(docs.sparkSession) as scratch:
         wide = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("th"))
         full = scratch.keep(wide.mapInArrow(run, f"doc_id {kind}, th long, sid long, n int, first array<long>, fp long, bits binary"))
-        sets = full.select("doc_id", "th", "sid")
-        nodes = full.groupBy("sid").agg(F.min("th").alias("th"), F.first(F.struct("n", "first", "fp", "bits")).alias("x"))
-        nodes = scratch.keep(nodes.select("sid", "th", "x.*"))
+        sets = scratch.keep(full.select("doc_id", "th", "sid"))
+        nodes = scratch.keep(full.groupBy("sid").agg(F.min("th").alias("th"), F.first(F.struct("n", "fp", "bits")).alias("x")).select("sid", "th", "x.*"))
+        # prefixes: under each shingle the least node with every other
+        star = scratch.keep(stars(full.select(F.explode("first").alias("h"), "sid")))
+        scratch.drop(full)
         size = nodes.select("sid", "n", "bits")
         # fingerprints in tiles
         hubs = scratch.keep(nodes.groupBy("fp").agg(F.min("sid").alias("hub")))
@@ -218,28 +229,23 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
         hub = lambda c: hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"s_{c}"))
         close = met.join(hub("a"), "a").join(hub("b"), "b").select(F.col("s_a").alias("a"), F.col("s_b").alias("b"))
         close = close.unionByName(nodes.join(hubs, "fp").where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")))
-        close = scratch.keep(possible(close.distinct(), size, similarity))
-        # prefixes: under each shingle the least node with every other
-        star = scratch.keep(stars(nodes.select(F.explode("first").alias("h"), "sid")))
-        met = close.select(F.col("a").alias("sid")).union(close.select("b")).union(star.select("hub")).union(star.select("sid")).distinct()
-        bodies = scratch.keep(wide.select("th", "text").join(nodes.join(met, "sid").select("sid", "th"), "th").groupBy("sid").agg(F.first("text").alias("text")))
-        near = scratch.keep(verified(close, bodies, words, similarity))
+        near = verified(scratch, possible(close.distinct(), size, similarity), wide, nodes, words, similarity)
         label = components(near)
         under = star.groupBy(F.col("hub").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("shared"))
         under = scratch.keep(possible(apart(under, label), size, similarity))
         first = under.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")  # its likeliest hub
-        more = scratch.keep(verified(first, bodies, words, similarity))
+        more = verified(scratch, first, wide, nodes, words, similarity)
         label = components(near.unionByName(more))
         rest = apart(under.select("a", "b").join(first, ["a", "b"], "left_anti"), label)
-        again = scratch.keep(verified(rest, bodies, words, similarity))
+        again = verified(scratch, rest, wide, nodes, words, similarity)
         near = scratch.keep(near.unionByName(more).unionByName(again))
         label = components(near)
         # members of a shingle that are still in different groups
         left = star.select("h", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         open_ = left.groupBy("h").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("h")
         pairs = tile_pairs(left.join(open_, "h").join(size, "sid"), similarity)
-        pairs = scratch.keep(pairs.join(under.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        last = scratch.keep(verified(pairs, bodies, words, similarity))
+        pairs = pairs.join(under.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        last = verified(scratch, pairs, wide, nodes, words, similarity)
         label = components(near.unionByName(last))
         out = sets.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "th", F.coalesce("label", "sid").alias("label"))
         return scratch.keep(out, outlives=True)
