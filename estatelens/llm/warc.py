@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.llm.common import file_system, put_file, saved
-from estatelens.session import shared_folder
+from estatelens.session import Scratch, shared_folder
 
 MAGIC = b"WARC/1.1\r\n"
 #: Fixed by the format: the profile of a revisit whose payload is the same.
@@ -154,25 +154,33 @@ def boundaries(archives: DataFrame, folder: str, block: int = 4 << 20) -> DataFr
                 for at, nxt in reversed(found):
                     to, n = leave.get(nxt, (nxt, 0)) if nxt < hi else (nxt, 0)
                     leave[at] = to, n + 1
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([k] * len(found), pa.int64()), pa.array([a for a, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array([leave[a][0] for a, _ in found], pa.int64()), pa.array([leave[a][1] for a, _ in found], pa.int64())], names=["file", "block", "at", "successor", "leave", "steps"])
-
-    found = saved(parts.mapInArrow(candidates, "file string, block long, at long, successor long, leave long, steps long"))
-    jump = found.select("file", "at", F.col("leave").alias("to"))
-    reached = found.where("at = 0").select("file", "at")
-    n = -1
-    while True:  # reached doubles its steps each round
-        ahead = reached.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
-        reached = saved(reached.unionAll(ahead).distinct())
-        now = reached.count()
-        if now == n:
-            break
-        n = now
-        jump = saved(jump.join(jump.select("file", F.col("at").alias("to"), F.col("to").alias("far")), ["file", "to"]).select("file", "at", F.col("far").alias("to")))
-    ends = archives.where("bytes > 0").select("file", F.col("bytes").alias("at"))
-    broken = ends.join(reached, ["file", "at"], "left_anti").first()
-    if broken:
-        raise ValueError(f"{broken['file']}: the chain of records does not end at {broken['at']}")
-    entry = saved(reached.join(found.select("file", "at", "block", "steps"), ["file", "at"]).groupBy("file", "block").agg(F.min(F.struct("at", "steps")).alias("e")).select("file", "block", F.col("e.at").alias("entry"), F.col("e.steps").alias("steps")))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([k] * len(found), pa.int64()), pa.array([a for a, _ in found], pa.int64()), pa.array([leave[a][0] for a, _ in found], pa.int64()), pa.array([leave[a][1] for a, _ in found], pa.int64())], names=["file", "block", "at", "leave", "steps"])
+
+    with Scratch(archives.sparkSession) as scratch:
+        found = scratch.keep(parts.mapInArrow(candidates, "file string, block long, at long, leave long, steps long"))
+        # only where a range is entered is a place to jump from
+        doors = found.select("file", F.col("leave").alias("at")).union(found.where("at = 0").select("file", "at")).distinct()
+        entries = scratch.keep(found.join(doors, ["file", "at"], "left_semi"))
+        scratch.drop(found)
+        jump = entries.select("file", "at", F.col("leave").alias("to"))
+        reached = entries.where("at = 0").select("file", "at")
+        n = -1
+        while True:  # reached doubles its steps each round
+            ahead = reached.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
+            old, reached = reached, scratch.keep(reached.unionAll(ahead).distinct())
+            scratch.drop(old)
+            now = reached.count()
+            if now == n:
+                break
+            n = now
+            old, jump = jump, scratch.keep(jump.join(jump.select("file", F.col("at").alias("to"), F.col("to").alias("far")), ["file", "to"]).select("file", "at", F.col("far").alias("to")))
+            scratch.drop(old)
+        ends = archives.where("bytes > 0").select("file", F.col("bytes").alias("at"))
+        broken = ends.join(reached, ["file", "at"], "left_anti").first()
+        if broken:
+            raise ValueError(f"{broken['file']}: the chain of records does not end at {broken['at']}")
+        entry = reached.join(entries, ["file", "at"]).groupBy("file", "block").agg(F.min(F.struct("at", "steps")).alias("e"))
+        entry = scratch.keep(entry.select("file", "block", F.col("e.at").alias("entry"), F.col("e.steps").alias("steps")), outlives=True)
     if "records" in archives.columns:
         counts = entry.groupBy("file").agg(F.sum("steps").alias("found"))
         broken = archives.join(counts, "file", "left").where("records <> coalesce(found, 0)").first()
