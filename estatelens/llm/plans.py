@@ -159,9 +159,31 @@ def op12_sql() -> str:
     SELECT f.word, f.form, up.last AS root, f.n, f.n_near, f.form_n FROM f JOIN up USING (word) JOIN f g ON g.word = up.last WHERE g.form IS NULL"""
 
 
+def op13_sql(slack: int = 3, least: float = 0.75) -> str:
+    rows = [(i, exact, label, text) for i, (exact, (label, text)) in enumerate([(True, p) for p in licenses.PHRASES] + [(False, n) for n in licenses.NOTICES])]
+    values = ", ".join(f"({i}, {str(exact).lower()}, '{label}', string_split('{text}', ' '))" for i, exact, label, text in rows)
+    return f"""
+    WITH t(template, exact, label, words) AS (VALUES {values}), tk AS (SELECT *, len(words) AS length, least(len(words), {licenses.GRAM}) AS k FROM t),
+    tg AS (SELECT template, exact, label, length, k, t, array_to_string(words[t + 1:t + k], ' ') AS gram FROM tk, unnest(range(0, length - k + 1)) u(t)),
+    d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+    w AS (SELECT r, unnest(words) AS word, unnest(range(0, len(words))) AS pos FROM d),
+    g AS (SELECT r, pos, word || ' ' || lead(word) OVER o AS two, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three FROM w WINDOW o AS (PARTITION BY r ORDER BY pos)),
+    hits AS (SELECT r, pos, tg.* FROM g JOIN tg ON tg.k = 2 AND tg.gram = g.two UNION ALL SELECT r, pos, tg.* FROM g JOIN tg ON tg.k = 3 AND tg.gram = g.three),
+    lines AS (SELECT r, template, exact, label, length, k, pos - t AS diagonal, count(*) AS votes, min(pos) AS lo, max(pos) AS hi, list(t) AS ts FROM hits GROUP BY ALL),
+    places AS (SELECT r, label, diagonal AS first FROM lines WHERE exact AND votes = length - k + 1),
+    cut AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) > {slack} OR lo > lag(hi) OVER o + k + {slack} OR lag(lo) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM lines WHERE NOT exact WINDOW o AS (PARTITION BY r, template ORDER BY lo, diagonal)),
+    isl AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY lo, diagonal ROWS UNBOUNDED PRECEDING) AS island FROM cut),
+    m AS (SELECT r, label, length, k, max(hi) + k - min(lo) AS span, list_distinct(flatten(list(ts))) AS ts FROM isl GROUP BY r, template, label, length, k, island),
+    n AS (SELECT r, label, len(list_distinct(flatten(list_transform(ts, lambda t: range(t, t + k))))) / length AS covered, span <= length * 1.25 + {slack} AS dense FROM m),
+    found AS (SELECT r, label, first, 1.0::DOUBLE AS covered, true AS base, true AS named FROM places UNION ALL SELECT r, label, NULL, covered, false, covered >= {least} AND dense FROM n)
+    SELECT doc_id, len(any_value(words)) AS n_words, count(*) FILTER (WHERE base) AS n_base, min(first) AS first_word, max(first) AS last_word,
+      coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE named))), ','), '') AS labels,
+      coalesce(max(covered), 0)::DOUBLE AS score FROM d LEFT JOIN found USING (r) GROUP BY r, doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and not name.endswith("_sql")}
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op10_url_reputation": op10_sql(), "op11_prefix_trie": op11_sql(), "op12_spelling": op12_sql()}
+    return {"op6_warc": OP6_SQL, "op10_url_reputation": op10_sql(), "op11_prefix_trie": op11_sql(), "op12_spelling": op12_sql(), "op13_licenses": op13_sql()}
