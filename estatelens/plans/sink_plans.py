@@ -8,6 +8,7 @@ from ..operators import catalog as C
 from ..operators import evidence as E
 from ..operators import relationships as J
 from ..session import shared_folder
+from ..sources import inventory as I
 from ..sources import sinks as K
 from .base import Registry, load
 from .estate import ctes, estate
@@ -97,3 +98,51 @@ def q_active_inventory(spark, sf):
 @R.add("q_active_blind_spots", ctes("e_extracts") + "SELECT 'two' AS snapshot_id, query_id, category, state, reason_code, row_count FROM e_extracts WHERE state <> 'DENIED'")
 def q_active_blind_spots(spark, sf):
     return W.ask_active(spark, _published(spark, sf), "coverage_blind_spots").select("snapshot_id", "query_id", "category", "state", "reason_code", "row_count")
+
+
+_TABLES = ["nation", "customer", "orders", "lineitem", "events", "documents", "labels"]
+
+
+@R.add("source_inventory", " UNION ALL ".join(f"""SELECT '{t}' AS table_name, column_name, CAST(column_index AS INTEGER) AS ordinal_position,
+   CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'SMALLINT', 'FLOAT') OR data_type LIKE 'DECIMAL%' THEN 'NUMERIC' WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'TEMPORAL' WHEN data_type = 'BOOLEAN' THEN 'BOOLEAN' ELSE 'TEXT' END AS family,
+   (SELECT count(*) FROM {t}) AS n_rows FROM duckdb_columns() WHERE table_name = '{t}'""" for t in _TABLES))
+def source_inventory(spark, sf):
+    """S5 of the given tables, with the rows of each."""
+    tabs = dict(zip(_TABLES, load(spark, sf, *_TABLES)))
+    sizes = None
+    for t, df in tabs.items():
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+        sizes = one if sizes is None else sizes.unionByName(one)
+    return I.inventory(spark, tabs).join(sizes, "table_name").select("table_name", "column_name", "ordinal_position", "family", "n_rows")
+
+
+def _counts(name, table, col):
+    return f"SELECT '{name}' AS method, count(*) AS row_count, count(*) - count({col}) AS null_count, count(DISTINCT {col}) AS distinct_count FROM {table}"
+
+
+@R.add("method_runs", " UNION ALL ".join([_counts("COLUMN_PROFILE", "lineitem", "l_quantity"), _counts("COLUMN_SUMMARY", "orders", "o_orderpriority"), _counts("TEMPORAL_COVERAGE", "orders", "o_orderdate"), _counts("QUALITY_INDICATORS", "customer", "c_mktsegment"),
+   *[_counts("TABLE_PROFILE", "nation", x) for x in ("n_nationkey", "n_regionkey")],
+   """SELECT 'RELATIONSHIP_OVERLAP', (SELECT count(l_orderkey) FROM lineitem), (SELECT count(DISTINCT l_orderkey) FROM lineitem), (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem INTERSECT SELECT o_orderkey FROM orders))"""]))
+def method_runs(spark, sf):
+    """R1. Every allowlisted method by its name, over whole tables; an overlap's counts stand in the same columns."""
+    l, o, c, n = load(spark, sf, "lineitem", "orders", "customer", "nation")
+    runs = [("COLUMN_PROFILE", [l], {"column": "l_quantity", "family": "NUMERIC"}), ("COLUMN_SUMMARY", [o], {"column": "o_orderpriority", "max_rows": None}), ("TEMPORAL_COVERAGE", [o], {"column": "o_orderdate", "max_rows": None}),
+            ("QUALITY_INDICATORS", [c], {"column": "c_mktsegment", "max_rows": None}), ("TABLE_PROFILE", [n], {"columns": ["n_nationkey", "n_regionkey"]})]
+    out = I.run_method("RELATIONSHIP_OVERLAP", l, o, source_column="l_orderkey", target_column="o_orderkey").select(
+        F.lit("RELATIONSHIP_OVERLAP").alias("method"), F.col("source_non_null_count").alias("row_count"), F.col("source_distinct_count").alias("null_count"), F.col("matched_distinct_count").alias("distinct_count"))
+    for name, frames, arguments in runs:
+        out = out.unionByName(I.run_method(name, *frames, **arguments).select(F.lit(name).alias("method"), "row_count", "null_count", "distinct_count"))
+    return out
+
+
+@R.add("structure_map", ctes("e_relations", "e_constraints", "e_extracts") + """SELECT 'inventory' AS part, schema_name AS a, relation_name AS b, relation_kind AS c FROM e_relations
+   UNION ALL SELECT 'relationships', relation_name, column_name, referenced_relation_name FROM e_constraints WHERE constraint_kind = 'FOREIGN_KEY' UNION ALL SELECT 'coverage', snapshot_id, query_id, state FROM e_extracts""")
+def structure_map(spark, sf):
+    """S10. The map as JSON files, and what they hold."""
+    r, k, x = estate(spark, sf, "relations", "constraints", "extracts")
+    links = J.declared_links(k)
+    root = shared_folder(spark)
+    K.write_structure_map(r, links, x, root)
+    back = lambda name, schema, *cols: spark.read.schema(schema).json(f"{root}/{name}").select(F.lit(name).alias("part"), *[F.col(c).alias(n) for c, n in zip(cols, "abc")])
+    return back("inventory", r.schema, "schema_name", "relation_name", "relation_kind").unionByName(back("relationships", links.schema, "from_table", "from_column", "to_table")).unionByName(
+        back("coverage", x.schema, "snapshot_id", "query_id", "state"))
