@@ -20,7 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.llm import simhash
@@ -162,36 +162,72 @@ def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 def tile_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b, distinct: nodes under one shingle, of different labels, that bitmaps do not refute.
 
-    members: (h, sid, label, n, bits). The members of a shingle are dealt into tiles of some ``TILE`` nodes, and every two
-    tiles of a shingle meet in one row; pairs that fail are never rows. Shingles with the same members count once.
+    members: (h, sid, label, n, bits). The members of a shingle are dealt into tiles of some ``TILE`` nodes; a label with many
+    members has tiles of its own, which need not meet each other. A tile goes to one task, where the members of the tiles that it
+    meets stream past it; pairs that fail are never rows. Shingles with the same members count once.
     """
     def run(batches):
+        at, left, whole = None, [], False  # (h, tile), rows of the tile, whether its own pairs were compared
+
+        def compare(x, y, own: bool):
+            out = ([], [])
+            for k in range(0, len(x[0]), 16):
+                differ = np.bitwise_count(x[3][k:k + 16, None] ^ y[3][None]).sum(axis=2)
+                r, c = np.nonzero(may_be_near(x[2][k:k + 16, None], y[2][None], differ, similarity) & (x[1][k:k + 16, None] != y[1][None]))
+                u, v = x[0][k + r], y[0][c]
+                if own:
+                    u, v = u[u < v], v[u < v]
+                out[0].append(np.minimum(u, v))
+                out[1].append(np.maximum(u, v))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["a", "b"])
+
+        def tile():
+            nonlocal left
+            left = [tuple(map(np.concatenate, zip(*left)))]
+            return left[0]
+
         for b in batches:
-            for i in range(b.num_rows):
-                x, y = (b.column(c)[i].values for c in ("left", "right"))
-                one = b.column("same")[i].as_py()
-                (sx, lx, nx), (sy, ly, ny) = ([t.field(c).to_numpy(zero_copy_only=False) for c in ("sid", "label", "n")] for t in (x, y))
-                bx, by = _bitmaps(x.field("bits")), _bitmaps(y.field("bits"))
-                out = ([], [])
-                for k in range(0, len(sx), 16):
-                    differ = np.bitwise_count(bx[k:k + 16, None] ^ by[None]).sum(axis=2)
-                    ok = may_be_near(nx[k:k + 16, None].astype(np.int64), ny[None].astype(np.int64), differ, similarity) & (lx[k:k + 16, None] != ly[None])
-                    r, c = np.nonzero(ok)
-                    u, v = sx[k + r], sy[c]
-                    if one:
-                        u, v = u[u < v], v[u < v]
-                    out[0].append(np.minimum(u, v))
-                    out[1].append(np.maximum(u, v))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["a", "b"])
+            if not b.num_rows:
+                continue
+            h, i, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "i", "own"))
+            sid, label, n, bits = b.column("sid").to_numpy(), b.column("label").to_numpy(), b.column("n").to_numpy().astype(np.int64), _bitmaps(b.column("bits"))
+            cuts = np.r_[0, np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (own[1:] != own[:-1])) + 1, len(h)].tolist()
+            for lo, hi in zip(cuts, cuts[1:]):
+                rows = sid[lo:hi], label[lo:hi], n[lo:hi], bits[lo:hi]
+                if own[lo]:
+                    if at != (h[lo], i[lo]):
+                        if left and not whole:
+                            t = tile()
+                            yield compare(t, t, True)
+                        at, left, whole = (h[lo], i[lo]), [], False
+                    left.append(rows)
+                else:
+                    t = tile()
+                    if not whole:
+                        whole = True
+                        yield compare(t, t, True)
+                    for k in range(0, hi - lo, 4 * TILE):
+                        yield compare(t, tuple(x[k:k + 4 * TILE] for x in rows), False)
+        if left and not whole:
+            t = tile()
+            yield compare(t, t, True)
 
     same = members.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("x2"))
-    first = same.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("m") / TILE).alias("tiles"))
-    dealt = members.join(first, "h").withColumn("t", F.pmod(F.xxhash64("sid"), F.col("tiles")))
-    tiles = dealt.groupBy("h", "t", "tiles").agg(F.collect_list(F.struct("sid", "label", "n", "bits")).alias("tile"))
-    left = tiles.select("h", F.col("t").alias("i"), F.col("tile").alias("left"), F.explode(F.sequence(F.col("t"), F.col("tiles") - 1)).alias("j"))
-    right = tiles.select("h", F.col("t").alias("j"), F.col("tile").alias("right"))
-    met = left.join(right, ["h", "j"]).select("left", "right", (F.col("i") == F.col("j")).alias("same"))
-    return met.mapInArrow(run, "a long, b long").distinct()
+    first = same.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select("h")
+    some = members.join(first, "h")
+    sizes = some.groupBy("h", "label").agg(F.count("*").alias("c"))
+    big = F.col("c") >= max(1, TILE // 4)
+    sizes = sizes.select("h", "label", F.when(big, F.col("label")).alias("pure"), F.when(big, F.ceil(F.col("c") / TILE)).alias("own_parts"))
+    small = some.join(sizes.where("pure is null"), ["h", "label"], "left_semi").groupBy("h").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    dealt = some.join(sizes, ["h", "label"]).join(small, "h", "left").withColumn("part", F.pmod(F.xxhash64("sid"), F.coalesce("own_parts", "parts"))).select("h", "sid", "label", "n", "bits", "pure", "part")
+    order = Window.partitionBy("h").orderBy(F.col("pure").isNull(), "pure", "part")  # over tiles, not members; pure ones first
+    tiles = dealt.select("h", "pure", "part").distinct().withColumn("t", F.row_number().over(order))
+    named = tiles.select(F.col("h").alias("h2"), F.col("pure").alias("pure2"), F.col("part").alias("part2"), "t")
+    numbered = dealt.join(named, (F.col("h") == F.col("h2")) & F.col("pure").eqNullSafe(F.col("pure2")) & (F.col("part") == F.col("part2"))).select("h", "sid", "label", "n", "bits", "pure", "t")
+    other = tiles.select("h", F.col("t").alias("i"), F.col("pure").alias("other"))
+    met = numbered.join(other, "h").where((F.col("i") == F.col("t")) | ((F.col("i") < F.col("t")) & (F.col("pure").isNull() | F.col("other").isNull() | (F.col("pure") != F.col("other")))))
+    rows = met.select("h", "i", (F.col("i") == F.col("t")).alias("own"), "sid", "label", "n", "bits").repartition("h", "i").sortWithinPartitions("h", "i", F.col("own").desc())
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
