@@ -168,18 +168,21 @@ def tile_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """
     def run(batches):
         at, left, whole = None, [], False  # (h, tile), rows of the tile, whether its own pairs were compared
+        out: tuple[list, list] = ([], [])
 
-        def compare(x, y, own: bool):
-            out = ([], [])
+        def compare(x, y, own: bool) -> None:
             for k in range(0, len(x[0]), 16):
                 differ = np.bitwise_count(x[3][k:k + 16, None] ^ y[3][None]).sum(axis=2)
                 r, c = np.nonzero(may_be_near(x[2][k:k + 16, None], y[2][None], differ, similarity) & (x[1][k:k + 16, None] != y[1][None]))
                 u, v = x[0][k + r], y[0][c]
                 if own:
                     u, v = u[u < v], v[u < v]
-                out[0].append(np.minimum(u, v))
-                out[1].append(np.maximum(u, v))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["a", "b"])
+                if len(u):
+                    out[0].append(np.minimum(u, v))
+                    out[1].append(np.maximum(u, v))
+
+        def found():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *o])) for o in out], names=["a", "b"])
 
         def tile():
             nonlocal left
@@ -187,6 +190,7 @@ def tile_pairs(members: DataFrame, similarity: float) -> DataFrame:
             return left[0]
 
         for b in batches:
+            out = ([], [])
             if not b.num_rows:
                 continue
             h, i, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "i", "own"))
@@ -198,19 +202,22 @@ def tile_pairs(members: DataFrame, similarity: float) -> DataFrame:
                     if at != (h[lo], i[lo]):
                         if left and not whole:
                             t = tile()
-                            yield compare(t, t, True)
+                            compare(t, t, True)
                         at, left, whole = (h[lo], i[lo]), [], False
                     left.append(rows)
                 else:
                     t = tile()
                     if not whole:
                         whole = True
-                        yield compare(t, t, True)
+                        compare(t, t, True)
                     for k in range(0, hi - lo, 4 * TILE):
-                        yield compare(t, tuple(x[k:k + 4 * TILE] for x in rows), False)
+                        compare(t, tuple(x[k:k + 4 * TILE] for x in rows), False)
+            yield found()
+        out = ([], [])
         if left and not whole:
             t = tile()
-            yield compare(t, t, True)
+            compare(t, t, True)
+        yield found()
 
     same = members.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("x2"))
     first = same.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select("h")

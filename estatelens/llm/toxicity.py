@@ -277,5 +277,5 @@ def without_toxic(docs: DataFrame, model: SpanField, id_col: str = "doc_id", tex
 
     Null and empty texts are scored like a text without a toxic token. Repeated rows go or stay together.
     """
-    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    return score_documents(packed, model, text="text", least=least, carry=True).where("_predicted = 0").select("row.*")
+    packed = docs.select(F.struct("*").alias("row"))
+    return score_documents(packed, model, text=f"row.`{text}`", least=least, carry=True).where("_predicted = 0").select("row.*")
