@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import with_hash
 from ..functions.scalars import lit_null
+from ..session import measured
 from .rules import ref_columns
 
 
@@ -39,7 +40,7 @@ def bind_queries(rows: DataFrame, bindings: DataFrame) -> DataFrame:
     """J14. Query hash and provenance by query id; of a doubled binding the least, so no row doubles (see ``binding_violations``)."""
     rest = [x for x in bindings.columns if x != "query_id"]
     one = bindings.groupBy("query_id").agg(F.min(F.struct(*rest)).alias("_b")).select("query_id", "_b.*")
-    return rows.join(one, ["query_id"], "left")
+    return rows.join(measured(one), ["query_id"], "left")
 
 
 def binding_violations(rows: DataFrame, bindings: DataFrame) -> DataFrame:

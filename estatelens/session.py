@@ -90,3 +90,12 @@ class Scratch:
 
     def __exit__(self, *error) -> None:
         self.drop(*[d for d, _ in self.kept])
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """``df`` written down, so that the planner knows how small it is before it deals any rows to meet it.
+
+    At run time a small side with few keys is not broadcast, as most of its partitions are empty, and the rows of a hot key
+    then meet in one task. A table that is large is still shuffled.
+    """
+    return Scratch(df.sparkSession).keep(df, outlives=True)

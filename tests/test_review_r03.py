@@ -45,3 +45,11 @@ def test_candidate_pairs_are_not_shuffled_to_find_declared_ones(spark):
     want = [(s, r, ts, tr, "id", "int", k, n) for s, r, _, ty in prof if ty for ts, tr, k, n in targets if (differ(s, ts) or differ(r, tr)) and (s, r, ts, tr) not in fks]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert "LeftAnti" not in plan(got)
+
+
+def test_rows_of_a_hot_query_id_do_not_meet_in_one_task(spark, small_broadcasts):
+    rows = spark.range(50_000).select(F.when(F.col("id") > 0, "q").alias("query_id"), "id")
+    bound = spark.range(50_000).select(F.lit("q").alias("query_id"), (F.col("id") % 3 + 1).cast("string").alias("query_sha256"))
+    got = E.bind_queries(rows, bound)
+    assert got.columns == ["query_id", "id", "query_sha256"] and "SortMergeJoin" not in plan(got)
+    assert got.agg(F.count("*"), F.count_if(F.col("query_sha256") == "1")).first()[:] == (50_000, 49_999)
