@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import table_digest, with_hash
 from ..operators.evidence import one_row
+from ..session import measured
 
 SECTIONS = ["relations", "columns", "constraints", "indexes"]
 
@@ -91,12 +92,12 @@ def readback(spark: SparkSession, expected: dict[str, DataFrame], root: str, sna
     """
     def one(name, df):
         cols = df.columns
-        e = digest_of(df).select("snapshot_id", F.col("row_count").alias("expected_rows"), F.col("digest_sha256").alias("expected_digest"))
+        e = measured(digest_of(df).select("snapshot_id", F.col("row_count").alias("expected_rows"), F.col("digest_sha256").alias("expected_digest")))
         scope = e.select("snapshot_id")
         if snapshots is not None:
             scope = scope.unionAll(snapshots.select(F.col("snapshot_id").cast(df.schema["snapshot_id"].dataType))).distinct()
         stored = spark.read.schema(df.schema).parquet(f"{root}/{name}") if _path(spark, root, name)[0] else df.limit(0)
-        stored = stored.select(*cols).join(scope, "snapshot_id", "left_semi")
+        stored = stored.select(*cols).join(measured(scope), "snapshot_id", "left_semi")
         s = digest_of(stored.select(*cols)).select("snapshot_id", F.col("row_count").alias("stored_rows"), F.col("digest_sha256").alias("stored_digest"))
         return e.join(s, "snapshot_id", "full_outer").select(
             F.lit(name).alias("table_name"), "snapshot_id", F.coalesce("expected_rows", F.lit(0)).cast("long").alias("expected_rows"), F.coalesce("stored_rows", F.lit(0)).cast("long").alias("stored_rows"),

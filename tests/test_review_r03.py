@@ -53,3 +53,12 @@ def test_rows_of_a_hot_query_id_do_not_meet_in_one_task(spark, small_broadcasts)
     got = E.bind_queries(rows, bound)
     assert got.columns == ["query_id", "id", "query_sha256"] and "SortMergeJoin" not in plan(got)
     assert got.agg(F.count("*"), F.count_if(F.col("query_sha256") == "1")).first()[:] == (50_000, 49_999)
+
+
+def test_stored_rows_of_a_snapshot_are_not_dealt_by_it(spark, tmp_path, small_broadcasts):
+    df = spark.range(30_000).select(F.lit("s").alias("snapshot_id"), "id", F.col("id").cast("string").alias("t"))
+    snaps = spark.createDataFrame([("a", "s", "2024"), ("a", "none", "2024")], "source_id string, snapshot_id string, analyzed_at string")
+    K.ingest({"t": df}, snaps, str(tmp_path))
+    got = K.readback(spark, {"t": df}, str(tmp_path), snaps)
+    assert not re.search(r"SortMergeJoin[^\n]*LeftSemi", plan(got))
+    assert [tuple(r) for r in got.collect()] == [("t", "s", 30_000, 30_000, True)]
