@@ -52,8 +52,9 @@ def _path(spark: SparkSession, root: str, name: str, snapshot=None):
 def ingest(tables: dict[str, DataFrame], snapshots: DataFrame, root: str) -> None:
     """S8. Replace all rows of the given snapshots in every table, then publish.
 
-    tables carry snapshot_id; each write replaces only the partitions it brings. Rows are rebalanced by snapshot, which
-    keeps files few and lets adaptive execution split a snapshot that holds most of them. ``snapshots`` (source_id,
+    tables carry snapshot_id; each write replaces only the partitions it brings. Rows of several snapshots are rebalanced by
+    snapshot, which keeps files few and lets adaptive execution split a snapshot that holds most of them; one snapshot's
+    rows are written where they are. ``snapshots`` (source_id,
     snapshot_id, analyzed_at, ...) is written last, one partition per source, and is the flag readers follow: a run
     that fails earlier leaves the previous snapshot active, and running it again is harmless. A given snapshot without
     rows in a table loses the rows it had there.
@@ -63,7 +64,8 @@ def ingest(tables: dict[str, DataFrame], snapshots: DataFrame, root: str) -> Non
     for name, df in tables.items():
         held = [i for i in given if i is not None and _path(spark, root, name, i)[0]]
         kept = {r.snapshot_id for r in df.where(F.col("snapshot_id").isin(held)).select("snapshot_id").distinct().collect()} if held else set()
-        df.hint("rebalance", F.col("snapshot_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{root}/{name}")
+        rows = df.hint("rebalance", F.col("snapshot_id")) if len(given) > 1 else df
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{root}/{name}")
         for i in held:
             if i not in kept:
                 _, system, path = _path(spark, root, name, i)

@@ -62,3 +62,17 @@ def test_stored_rows_of_a_snapshot_are_not_dealt_by_it(spark, tmp_path, small_br
     got = K.readback(spark, {"t": df}, str(tmp_path), snaps)
     assert not re.search(r"SortMergeJoin[^\n]*LeftSemi", plan(got))
     assert [tuple(r) for r in got.collect()] == [("t", "s", 30_000, 30_000, True)]
+
+
+def test_rows_of_one_snapshot_are_written_where_they_are(spark, tmp_path, monkeypatch):
+    df = spark.range(100).select(F.lit("s").alias("snapshot_id"), "id")
+    snaps = spark.createDataFrame([("a", "s", "2024")], "source_id string, snapshot_id string, analyzed_at string")
+    hints = []
+    plain = type(df).hint
+    monkeypatch.setattr(type(df), "hint", lambda self, name, *a: hints.append(name) or plain(self, name, *a))
+    K.ingest({"t": df}, snaps, str(tmp_path))
+    assert hints == [] and spark.read.parquet(f"{tmp_path}/t").count() == 100
+    two = df.withColumn("snapshot_id", F.when(F.col("id") < 50, "s").otherwise("z"))
+    K.ingest({"t": two}, snaps.unionByName(snaps.withColumn("snapshot_id", F.lit("z"))), str(tmp_path))
+    assert hints == ["rebalance"]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").groupBy("snapshot_id").count().collect())) == [("s", 50), ("z", 50)]
