@@ -53,8 +53,8 @@ def _with_ids(deps: DataFrame) -> DataFrame:
 
 def object_edges(deps: DataFrame) -> DataFrame:
     """G4. Resolved native references between objects; repeats count once."""
-    d = _with_ids(deps.filter("resolution_state = 'RESOLVED'")).select("source_object_id", "target_object_id", *EDGE, "native_dependency_kind")
-    return d.distinct().withColumn("edge_sha256", text_id(*EDGE, "native_dependency_kind"))
+    d = _with_ids(deps.filter("resolution_state = 'RESOLVED'").select(*EDGE, "native_dependency_kind").distinct())  # ids follow from the names
+    return d.select("source_object_id", "target_object_id", *EDGE, "native_dependency_kind").withColumn("edge_sha256", text_id(*EDGE, "native_dependency_kind"))
 
 
 def column_edges(deps: DataFrame) -> DataFrame:
@@ -108,8 +108,7 @@ def impact(changes: DataFrame, before: DataFrame, after: DataFrame, approved: Da
     """
     ch = changes.select(F.col("object_id").alias("source_object_id")).distinct()
     rel = before.unionByName(after).filter(F.col("relationship_class").isin("PROVEN_OBJECT_NATIVE", "PROVEN_COLUMN_NATIVE"))
-    rel = rel.join(ch, "source_object_id", "left_semi").select(
-        "relationship_class", "source_object_id", "target_schema_name", "target_object_name", "target_column_name", "evidence_sha256").distinct()
+    rel = rel.join(ch, "source_object_id", "left_semi")  # an edge of both snapshots counts twice, which no least value minds
     # per target only the best edge can win, so edges shrink to one row per target before they meet the candidates
     order = F.struct("source_object_id", "evidence_sha256")
     col_best = rel.filter("relationship_class = 'PROVEN_COLUMN_NATIVE'").groupBy("target_schema_name", "target_object_name", "target_column_name").agg(F.min(order).alias("k"))

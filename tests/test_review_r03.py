@@ -76,3 +76,25 @@ def test_rows_of_one_snapshot_are_written_where_they_are(spark, tmp_path, monkey
     K.ingest({"t": two}, snaps.unionByName(snaps.withColumn("snapshot_id", F.lit("z"))), str(tmp_path))
     assert hints == ["rebalance"]
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").groupBy("snapshot_id").count().collect())) == [("s", 50), ("z", 50)]
+
+
+def _deps(spark):
+    rows = [("s", "p", "PROCEDURE", "s", "t", "TABLE", "c", "PROVEN", "RESOLVED", "REF"), ("s", "p", "PROCEDURE", "s", "t", "TABLE", "d", "PROVEN", "RESOLVED", "REF"), ("s", "q", "VIEW", "s", "t", "TABLE", None, "NOT_PROVEN", "RESOLVED", "REF"),
+            ("s", "q", "VIEW", None, "u", "TABLE", None, "NOT_PROVEN", "RESOLVED", "REF"), ("s", "q", "VIEW", "s", "t", "TABLE", None, "NOT_PROVEN", "UNRESOLVED", "REF")]
+    return spark.createDataFrame(rows, ", ".join(f"{x} string" for x in [*N.EDGE, "target_column_name", "column_resolution_state", "resolution_state", "native_dependency_kind"]))
+
+
+def test_edges_are_made_distinct_before_their_ids_are_made(spark):
+    e = N.object_edges(_deps(spark))
+    assert e.count() == 3 and e.columns == ["source_object_id", "target_object_id", *N.EDGE, "native_dependency_kind", "edge_sha256"]
+    assert not any("object_id" in line for line in keys(e))
+
+
+def test_edges_of_both_snapshots_are_not_shuffled_whole_to_be_counted_once(spark):
+    d = _deps(spark)
+    lin = N.lineage(N.object_edges(d), N.column_edges(d))
+    changes = lin.select(F.col("source_object_id").alias("object_id"))
+    app = spark.createDataFrame([("1", "s", "t", "c"), ("2", "s", "t", "x"), ("3", "s", "u", "c")], "candidate_id string, schema_name string, relation_name string, column_name string")
+    got = N.impact(changes, lin, lin, app)
+    assert sorted((r.candidate_id, r.impact_class) for r in got.collect()) == [("1", "AFFECTED_NATIVE_COLUMN"), ("2", "POTENTIALLY_AFFECTED_NATIVE_OBJECT")]
+    assert not any("evidence_sha256" in line for line in keys(got))
