@@ -49,7 +49,7 @@ def test_candidate_pairs_are_not_shuffled_to_find_declared_ones(spark):
 
 def test_rows_of_a_hot_query_id_do_not_meet_in_one_task(spark, small_broadcasts):
     rows = spark.range(50_000).select(F.when(F.col("id") > 0, "q").alias("query_id"), "id")
-    bound = spark.range(50_000).select(F.lit("q").alias("query_id"), (F.col("id") % 3 + 1).cast("string").alias("query_sha256"))
+    bound = spark.range(50_000).select(F.when(F.col("id") >= 0, "q").alias("query_id"), (F.col("id") % 3 + 1).cast("string").alias("query_sha256"))
     got = E.bind_queries(rows, bound)
     assert got.columns == ["query_id", "id", "query_sha256"] and "SortMergeJoin" not in plan(got)
     assert got.agg(F.count("*"), F.count_if(F.col("query_sha256") == "1")).first()[:] == (50_000, 49_999)
