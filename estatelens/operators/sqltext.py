@@ -145,16 +145,18 @@ def sql_table_refs(df: DataFrame, sql_col: str, id_cols: list[str]) -> DataFrame
     Dynamic SQL and anything but a single SELECT with a table are gaps, never edges; edges stay inferred. So are quoted
     tables that are no plain words, FROM inside a call, a call in place of a table, and lists by comma that hold anything but plain names.
     """
-    m = masked(sql_col)
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, _PLAIN, " $1$2 "), _QUOTED, " ? "), r'["\[\]`]', " ")
+    # each step is a column of its own: functions of arrays are not compiled and would work out again all that stands in them
+    bare, refs = F.col("_b"), F.col("_r")
+    d = df.withColumn("_b", F.regexp_replace(F.regexp_replace(F.regexp_replace(masked(sql_col), _PLAIN, " $1$2 "), _QUOTED, " ? "), r'["\[\]`]', " "))
     lists = F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(_TABLES), F.lit(1)), lambda x: F.split(x, r"\s*,\s*")))
-    refs = F.array_distinct(F.transform(lists, lambda x: F.regexp_replace(F.regexp_extract(x, f"^{_NAME}", 0), r"\s", "")))
+    d = d.withColumn("_r", F.array_distinct(F.transform(lists, lambda x: F.regexp_replace(F.regexp_extract(x, f"^{_NAME}", 0), r"\s", ""))))
     parts = F.size(F.filter(F.split(bare, ";"), lambda x: F.length(F.trim(x)) > 0))
-    unread = (bare.rlike(_ODD_SOURCE) | bare.rlike(_FROM_IN_CALL) | bare.rlike(_CALL_AS_SOURCE)
-              | F.regexp_replace(bare, _TABLES, "FROM x").rlike(_COMMA_SOURCES))
+    holds = lambda mark: F.contains(bare, F.lit(mark))  # noqa: E731  what a pattern cannot do without is looked for first
+    unread = ((holds("?") & bare.rlike(_ODD_SOURCE)) | (holds("(") & (bare.rlike(_FROM_IN_CALL) | bare.rlike(_CALL_AS_SOURCE)))
+              | (holds(",") & F.regexp_replace(bare, _TABLES, "FROM x").rlike(_COMMA_SOURCES)))
     gap = F.when(F.col(sql_col).rlike(DYNAMIC), "DYNAMIC_SQL_BLIND_SPOT").when(
         ~F.col(sql_col).rlike(r"(?i)^\s*SELECT\b") | (parts != 1) | (F.size(refs) == 0) | bare.rlike(r"'|/\*") | unread, "UNSUPPORTED_SYNTAX_BLIND_SPOT")
-    d = df.select(*id_cols, gap.alias("gap_state"), refs.alias("_r"))
+    d = d.select(*id_cols, gap.alias("gap_state"), "_r")
     rows = F.when(F.col("gap_state").isNull(), F.col("_r")).otherwise(F.array(F.lit(None).cast("string")))
     d = d.select(*id_cols, "gap_state", F.explode(rows).alias("ref"))
     p = F.split("ref", r"\.")
