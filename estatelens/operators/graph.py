@@ -69,19 +69,23 @@ def with_confidence(df: DataFrame, support: str = "support", counter: str = "cou
 
 def _shortcuts(scratch: Scratch, p: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pointers (node, t, a, b), level(node) = max(a, level(t) + b), followed to where no pointer starts; and the nodes of
-    pointers that never end, which lead into a cycle. Pointers are doubled, so rounds are the logarithm of the longest run."""
-    size, span, moved = p.count(), 1, 1
-    while moved and span <= size:
-        n = p.select(F.col("node").alias("t"), F.col("t").alias("t2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        j = p.join(n, "t", "left")
+    pointers that never end, which lead into a cycle. Pointers are doubled, so rounds are the logarithm of the longest run that
+    ends. A pointer at its end is set aside and only looked up. Where runs remain that end, some end in every round, as each
+    holds all shorter ones; so once none does, the pointers left never end."""
+    ended, going = [], p.select("node", "t", "a", "b")
+    while True:
+        n = reduce(DataFrame.unionByName, ended, going)
+        if ended:
+            n = n.join(going.select(F.col("t").alias("node")).distinct(), "node", "left_semi")
+        j = going.join(n.select(F.col("node").alias("t"), F.col("t").alias("t2"), F.col("a").alias("a2"), F.col("b").alias("b2")), "t", "left")
         on = F.col("t2").isNotNull()
-        q = scratch.keep(j.select("node", F.coalesce("t2", "t").alias("t"), F.when(on, F.greatest("a", F.col("a2") + F.col("b"))).otherwise(F.col("a")).alias("a"), F.when(on, F.col("b") + F.col("b2")).otherwise(F.col("b")).alias("b"), on.alias("_on")))
-        moved = q.where("_on").limit(1).count()
-        scratch.drop(p)
-        p, span = q, span * 2
-    p = p.select("node", "t", "a", "b")
-    starts = p.select(F.col("node").alias("t"))
-    return p.join(starts, "t", "left_anti"), p.join(starts, "t", "left_semi").select("node")
+        step = scratch.keep(j.select("node", F.coalesce("t2", "t").alias("t"), F.when(on, F.greatest("a", F.col("a2") + F.col("b"))).otherwise(F.col("a")).alias("a"), F.when(on, F.col("b") + F.col("b2")).otherwise(F.col("b")).alias("b"), on.alias("_on")))
+        done, left = step.agg(F.count_if(~F.col("_on")), F.count_if(F.col("_on"))).first()
+        going = step.where("_on").select("node", "t", "a", "b")
+        if done:
+            ended.append(step.where("not _on").select("node", "t", "a", "b"))
+        if not done or not left:
+            return reduce(DataFrame.unionByName, ended) if ended else going.limit(0), going.select("node")
 
 
 def dependency_levels(nodes: DataFrame, depends: DataFrame) -> DataFrame:
