@@ -69,9 +69,9 @@ def _tables(text: str) -> set[str]:
     return set(re.findall(r"\{(\w+)\}", text))
 
 
-def portable(spark: SparkSession, sf: str, text: str) -> DataFrame:
-    """Run a portable text over the given tables."""
-    return spark.sql(text, **{t: spark.read.parquet(os.path.join(sf, t + ".parquet")) for t in _tables(text)})
+def portable(spark: SparkSession, sf: str, text: str, **made: DataFrame) -> DataFrame:
+    """Run a portable text over the given tables, and over tables made before."""
+    return spark.sql(text, **made, **{t: spark.read.parquet(os.path.join(sf, t + ".parquet")) for t in _tables(text) - set(made)})
 
 
 def estate(spark: SparkSession, sf: str, *names: str):

@@ -96,7 +96,10 @@ def constraints(k):
     rc = k.t("all_constraints", r_owner="owner", r_name="constraint_name", referenced_schema_name="owner", referenced_relation_name="table_name")
     rcc = k.t("all_cons_columns", r_owner="owner", r_name="constraint_name", referenced_relation_name="table_name", referenced_column_name="column_name", ordinal_position="position")
     x = k.join(x, cc, ["schema_name", "relation_name", "constraint_name"], "left")
-    x = k.join(k.join(x, rc, ["r_owner", "r_name"], "left"), rcc, ["r_owner", "r_name", "referenced_relation_name", "ordinal_position"], "left")
+    refers = F.col("r_owner").isNotNull() & F.col("r_name").isNotNull()  # the others meet no key
+    none = {n: F.lit(None).cast("string") for n in ("referenced_schema_name", "referenced_relation_name", "referenced_column_name")}
+    r = k.join(k.join(x.filter(refers), rc, ["r_owner", "r_name"], "left"), rcc, ["r_owner", "r_name", "referenced_relation_name", "ordinal_position"], "left")
+    x = r.unionByName(x.filter(~refers).withColumns(none))
     return k.out(x.withColumns({"constraint_kind": case("t", CONSTRAINT), "check_expression": F.when(ct == "C", F.col("cond")), "delete_rule": F.when(ct == "R", F.col("rule"))}), CONSTRAINTS)
 
 
@@ -109,8 +112,9 @@ def indexes(k):
     pk = k.t("all_part_key_columns", owner="owner", index_name="name", column_name="column_name", partition_ordinal="column_position", ot="object_type").filter("ot = 'INDEX'").drop("ot")
     cn = k.t("all_constraints", schema_name="owner", relation_name="table_name", owner="index_owner", index_name="index_name", ct="constraint_type").filter(F.col("ct").isin("P", "U"))
     on = ["owner", "index_name", "schema_name", "relation_name"]
-    x = k.join(k.join(k.join(i, ic, on), ie, on + ["ordinal_position"], "left"), pi, ["owner", "index_name"], "left")
-    x = k.join(k.join(x, pk, ["owner", "index_name", "column_name"], "left"), cn, on, "left").fillna({"partitioning_kind": "NONE", "partition_count": 1})
+    # constraints meet on the key that the rows are already dealt by
+    x = k.join(k.join(k.join(k.join(i, ic, on), cn, on, "left"), ie, on + ["ordinal_position"], "left"), pi, ["owner", "index_name"], "left")
+    x = k.join(x, pk, ["owner", "index_name", "column_name"], "left").fillna({"partitioning_kind": "NONE", "partition_count": 1})
     return k.out(x.withColumns({"is_included": F.lit(False), "is_partition_key": F.col("partition_ordinal").isNotNull(), "is_primary_key": is_("ct", "P"), "is_unique_constraint": is_("ct", "U")}), INDEXES)
 
 
