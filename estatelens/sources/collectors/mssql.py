@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...session import measured
 from .base import COLUMNS, CONSTRAINTS, IDENTITY, INDEXES, SEQUENCES, SYNONYMS, Catalog, Collector, case, millis
 
 # fixed values: object type codes
@@ -73,7 +74,8 @@ def columns(k):
     d = k.t("sys.default_constraints", default_id="object_id", default_expression="definition")
     g = k.t("sys.computed_columns", object_id="object_id", column_id="column_id", generation_expression="definition")
     i = k.t("sys.identity_columns", object_id="object_id", column_id="column_id", identity_seed="seed_value", identity_increment="increment_value")
-    x = k.join(k.join(k.join(c, o, ["object_id"]), ty, ["user_type_id"]), ts, ["type_schema"])
+    ty = measured(k.join(ty, ts, ["type_schema"]))  # few rows as a rule: columns need not be dealt by their type
+    x = k.join(k.join(c, o, ["object_id"]), ty, ["user_type_id"])
     x = k.join(k.join(k.join(x, d, ["default_id"], "left"), g, ["object_id", "column_id"], "left"), i, ["object_id", "column_id"], "left")
     x = x.withColumn("generation_kind", F.when(F.col("is_computed"), "COMPUTED").when(F.col("is_identity"), "IDENTITY").otherwise("NONE"))
     return k.out(x, COLUMNS)
@@ -166,7 +168,10 @@ def stored_dependencies(k):
     d = k.t("sys.sql_expression_dependencies", src_id="referencing_id", src_minor="referencing_minor_id", ref_id="referenced_id", minor="referenced_minor_id", r_schema="referenced_schema_name", r_name="referenced_entity_name",
             target_database_name="referenced_database_name", target_server_or_link_name="referenced_server_name", native_dependency_kind="referenced_class_desc",
             is_schema_bound="is_schema_bound_reference", is_caller_dependent="is_caller_dependent").filter("src_minor = 0")
-    x = k.join(k.join(k.join(d, src, ["src_id"]), tgt, ["ref_id"], "left"), tc, ["ref_id", "minor"], "left")
+    d = k.join(d, src, ["src_id"])
+    refers = F.col("ref_id").isNotNull()  # the others meet no object, and would all meet in one task
+    none = {n: F.lit(None).cast("string") for n in ("t_schema", "t_name", "target_object_kind", "target_column_name")}
+    x = k.join(k.join(d.filter(refers), tgt, ["ref_id"], "left"), tc, ["ref_id", "minor"], "left").unionByName(d.filter(~refers).withColumns(none))
     here = F.col("ref_id").isNotNull() & F.col("target_database_name").isNull() & F.col("target_server_or_link_name").isNull()
     x = x.withColumns({
         "target_schema_name": F.coalesce("r_schema", "t_schema"), "target_object_name": F.coalesce("r_name", "t_name"),

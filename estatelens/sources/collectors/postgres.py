@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...session import measured
 from .base import Catalog, Collector, case
 
 # fixed values: relation kinds, constraint kinds and referential actions
@@ -45,6 +46,7 @@ def columns(k):
     a = k.t("pg_attribute", rel="attrelid", column_name="attname", ordinal_position="attnum", type="atttypid", is_nullable=~F.col("attnotnull"), has_default="atthasdef", identity_kind="attidentity",
             generated_kind="attgenerated", dropped="attisdropped").filter("ordinal_position > 0 and not dropped")
     ty = k.join(k.t("pg_type", type="oid", data_type="typname", ns="typnamespace"), _namespaces(k), ["ns"]).withColumnRenamed("schema_name", "type_schema_name").drop("ns")
+    ty = measured(ty)  # few rows as a rule: columns need not be dealt by their type
     r = _relations(k).filter(F.col("relkind").isin(list(KINDS))).withColumn("relation_kind", case("relkind", KINDS))
     x = k.join(k.join(a, r, ["rel"]), ty, ["type"]).withColumn("native_type_oid", F.col("type"))
     return k.out(x, "schema_name string, relation_name string, relation_kind string, column_name string, ordinal_position bigint, type_schema_name string, data_type string, native_type_oid bigint, "
