@@ -10,7 +10,8 @@ result. So no pair is left to chance.
 Under a shingle the nodes are first compared with one of them; nodes that are still in different groups are compared in tiles
 of bounded size, so neither a hot shingle nor a large family is gathered. A tile takes the exclusive-or of bitmaps in which each shingle
 flips one bit: its bits are at most as many as the sets differ by, so a pair with more is refuted for certain and never
-a row. What is left is compared by whole sets: the members of a hub travel to it, each with its text once, in parts.
+a row. A long text fills such a bitmap, so pairs of long texts meet once more by bitmaps as wide as their sets ask for.
+What is left is compared by whole sets: the members of a hub travel to it, each with its text once, in parts.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from estatelens.llm.simhash import _LOWER, _SEED, one_per_group, text_hash
 from estatelens.session import Scratch
 
 _ROUND = 1e-9
-BITS = 1024  # of a bitmap
+BITS = 1024  # of a bitmap that goes through the tiles
 TILE = 512  # nodes of one side of a tile
 MEMBERS = 1000  # nodes that meet one hub in one part
 
@@ -87,9 +88,21 @@ def stars(rows: DataFrame) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(run, "h long, hub long, sid long")
 
 
-def bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray, bits: int = BITS) -> bytes:
     """Each shingle flips one bit."""
-    return np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+    return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def wide_bitmap(s: np.ndarray) -> bytes | None:
+    """A bitmap of two bits a shingle and more, by doubling; none where ``BITS`` are as many."""
+    return bitmap(s, 1 << (2 * len(s) - 1).bit_length()) if 2 * len(s) > BITS else None
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ; the halves of the wider one are folded into one until both are as wide."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    n = min(len(a), len(b))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, n)) ^ np.bitwise_xor.reduce(b.reshape(-1, n))).sum())
 
 
 def may_be_near(n_a, n_b, differ, similarity: float):
@@ -118,13 +131,28 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema))
 
 
+def sharper(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The rows of pairs (a, b) that wide bitmaps do not refute. nodes: (sid, n, more); more is null for short texts, whose pairs stay."""
+    def run(batches):
+        for b in batches:
+            both = [(x, y) if x and y else None for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            known = np.fromiter((v is not None for v in both), bool, b.num_rows)
+            differ = np.fromiter((differing(*v) if v else 0 for v in both), np.int64, b.num_rows)
+            n_a, n_b = (np.asarray(b.column(c)).astype(np.int64) for c in ("n_a", "n_b"))
+            yield b.select(["a", "b"]).filter(pa.array(~known | may_be_near(n_a, n_b, differ, similarity), pa.bool_()))
+
+    side = lambda c, bits: nodes.where("more is not null").select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("more").alias(bits))
+    met = pairs.select("a", "b").join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left")
+    return met.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_a", "n_b")}).mapInArrow(run, "a long, b long")
+
+
 def verified(scratch: Scratch, pairs: DataFrame, wide: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of distinct pairs that are similar enough by their whole sets. wide: (th, text); nodes: (sid, th).
+    """(a, b) of distinct pairs that are similar enough by their whole sets. wide: (th, text); nodes: (sid, th, n, more).
 
     Only texts of nodes in these pairs are read out. A hub's text goes once to each of its parts of some ``MEMBERS`` pairs, a
     member's text once per pair.
     """
-    pairs = scratch.keep(pairs)
+    pairs = scratch.keep(sharper(pairs, nodes, similarity))
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(nodes.select("sid", "th"), "sid")
     bodies = scratch.keep(wide.select("th", "text").join(need, "th").groupBy("sid").agg(F.first("text").alias("text")))
 
@@ -248,20 +276,20 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for x in b.column(1):
                 s = shingle_set(x.as_py(), words)
-                row = (xxhash.xxh3_64_intdigest(s.tobytes()), len(s), prefix(s, similarity, hot, weight).view(np.int64), simhash.fingerprint_of(x.as_py(), words), bitmap(s))
+                row = (xxhash.xxh3_64_intdigest(s.tobytes()), len(s), prefix(s, similarity, hot, weight).view(np.int64), simhash.fingerprint_of(x.as_py(), words), bitmap(s), wide_bitmap(s))
                 for o, v in zip(out, row):
                     o.append(v)
             sid, fp = (np.array(out[c], np.uint64).view(np.int64) for c in (0, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sid), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(fp), pa.array(out[4], pa.binary())], names=["doc_id", "th", "sid", "n", "first", "fp", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sid), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(fp), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary())], names=["doc_id", "th", "sid", "n", "first", "fp", "bits", "more"])
 
     with Scratch(docs.sparkSession) as scratch:
         wide = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("th"))
-        full = scratch.keep(wide.mapInArrow(run, f"doc_id {kind}, th long, sid long, n int, first array<long>, fp long, bits binary"))
+        full = scratch.keep(wide.mapInArrow(run, f"doc_id {kind}, th long, sid long, n int, first array<long>, fp long, bits binary, more binary"))
         sets = scratch.keep(full.select("doc_id", "th", "sid"))
-        nodes = scratch.keep(full.groupBy("sid").agg(F.min("th").alias("th"), F.first(F.struct("n", "fp", "bits")).alias("x")).select("sid", "th", "x.*"))
+        nodes = scratch.keep(full.groupBy("sid").agg(F.min("th").alias("th"), F.first(F.struct("n", "fp", "bits", "more")).alias("x")).select("sid", "th", "x.*"))
         # prefixes: under each shingle the least node with every other
         star = scratch.keep(stars(full.select(F.explode("first").alias("h"), "sid")))
         scratch.drop(full)
