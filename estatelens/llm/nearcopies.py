@@ -10,7 +10,8 @@ result. So no pair is left to chance.
 Under a shingle the nodes are first compared with one of them; nodes that are still in different groups are compared in tiles
 of bounded size, so neither a hot shingle nor a large family is gathered. A tile takes the exclusive-or of bitmaps in which each shingle
 flips one bit: its bits are at most as many as the sets differ by, so a pair with more is refuted for certain and never
-a row. A long text fills such a bitmap, so pairs of long texts meet once more by bitmaps as wide as their sets ask for.
+a row. A long text fills such a bitmap, so a long text takes a wider one along, by which its pairs are refuted in the same tile;
+pairs of long texts meet once more by bitmaps as wide as their sets ask for.
 What is left is compared by whole sets: the members of a hub travel to it, each with its text once, in parts.
 """
 
@@ -31,6 +32,7 @@ from estatelens.session import Scratch
 
 _ROUND = 1e-9
 BITS = 1024  # of a bitmap that goes through the tiles
+TILE_BITS = 1 << 15  # at most, of the wider bitmap that a long text takes through the tiles
 TILE = 512  # nodes of one side of a tile
 MEMBERS = 1000  # nodes that meet one hub in one part
 
@@ -98,6 +100,12 @@ def wide_bitmap(s: np.ndarray) -> bytes | None:
     return bitmap(s, 1 << (2 * len(s) - 1).bit_length()) if 2 * len(s) > BITS else None
 
 
+def tile_bitmap(s: np.ndarray) -> bytes | None:
+    """A bitmap of half a bit to one bit a shingle, up to ``TILE_BITS``; none where ``BITS`` are as many. It goes through the tiles."""
+    width = min(TILE_BITS, (1 << (len(s) - 1).bit_length()) // 2 if len(s) else 0)
+    return bitmap(s, width) if width > BITS else None
+
+
 def differing(x: bytes, y: bytes) -> int:
     """In how many bits two bitmaps differ; the halves of the wider one are folded into one until both are as wide."""
     a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
@@ -115,6 +123,27 @@ def _bitmaps(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
+def _folded(column: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the distinct rows, folded to width bytes, and where each of rows is among them."""
+    used, at = np.unique(rows, return_inverse=True)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(column[i], np.uint64).reshape(-1, width // 8)) for i in used.tolist()]), at
+
+
+def stay_near(x: tuple, y: tuple, r: np.ndarray, c: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (row of x, row of y) the wider bitmaps of two long texts do not refute. x, y: (.., n, wide) as their last columns."""
+    out = np.ones(len(r), bool)
+    size = lambda column: np.array([len(v or b"") for v in column], np.int64)
+    width = np.minimum(size(x[-1])[r], size(y[-1])[c])
+    for w in np.unique(width[width > 0]).tolist():
+        at = np.flatnonzero(width == w)
+        (a, i), (b, j) = _folded(x[-1], r[at], w), _folded(y[-1], c[at], w)
+        for lo in range(0, len(at), step := max(1, (1 << 22) // w)):
+            some = at[lo:lo + step]
+            differ = np.bitwise_count(a[i[lo:lo + step]] ^ b[j[lo:lo + step]]).sum(axis=1)
+            out[some] = may_be_near(x[-2][r[some]], y[-2][c[some]], differ, similarity)
+    return out
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The rows of pairs (a, b, ...) that sizes and bitmaps do not refute. nodes: (sid, n, bits)."""
     names = pairs.columns
@@ -190,7 +219,7 @@ def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 def tile_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b, distinct: nodes under one shingle, of different labels, that bitmaps do not refute.
 
-    members: (h, sid, label, n, bits). The members of a shingle are dealt into tiles of some ``TILE`` nodes; a label with many
+    members: (h, sid, label, n, bits, wide); wide, if there, is null for short texts. The members of a shingle are dealt into tiles of some ``TILE`` nodes; a label with many
     members has tiles of its own, which need not meet each other. A tile goes to one task, where the members of the tiles that it
     meets stream past it; pairs that fail are never rows. Shingles with the same members count once.
     """
@@ -199,15 +228,19 @@ def tile_pairs(members: DataFrame, similarity: float) -> DataFrame:
         out: tuple[list, list] = ([], [])
 
         def compare(x, y, own: bool) -> None:
+            at = []
             for k in range(0, len(x[0]), 16):
-                differ = np.bitwise_count(x[3][k:k + 16, None] ^ y[3][None]).sum(axis=2)
-                r, c = np.nonzero(may_be_near(x[2][k:k + 16, None], y[2][None], differ, similarity) & (x[1][k:k + 16, None] != y[1][None]))
-                u, v = x[0][k + r], y[0][c]
+                differ = np.bitwise_count(x[2][k:k + 16, None] ^ y[2][None]).sum(axis=2)
+                r, c = np.nonzero(may_be_near(x[3][k:k + 16, None], y[3][None], differ, similarity) & (x[1][k:k + 16, None] != y[1][None]))
                 if own:
-                    u, v = u[u < v], v[u < v]
-                if len(u):
-                    out[0].append(np.minimum(u, v))
-                    out[1].append(np.maximum(u, v))
+                    r, c = r[once := x[0][k + r] < y[0][c]], c[once]
+                at.append((k + r, c))
+            r, c = map(np.concatenate, zip(*at))
+            if len(r):
+                keep = stay_near(x, y, r, c, similarity)
+                u, v = x[0][r[keep]], y[0][c[keep]]
+                out[0].append(np.minimum(u, v))
+                out[1].append(np.maximum(u, v))
 
         def found():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *o])) for o in out], names=["a", "b"])
@@ -223,9 +256,11 @@ def tile_pairs(members: DataFrame, similarity: float) -> DataFrame:
                 continue
             h, i, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "i", "own"))
             sid, label, n, bits = b.column("sid").to_numpy(), b.column("label").to_numpy(), b.column("n").to_numpy().astype(np.int64), _bitmaps(b.column("bits"))
+            wide = np.empty(len(h), object)
+            wide[:] = b.column("wide").to_pylist()
             cuts = np.r_[0, np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (own[1:] != own[:-1])) + 1, len(h)].tolist()
             for lo, hi in zip(cuts, cuts[1:]):
-                rows = sid[lo:hi], label[lo:hi], n[lo:hi], bits[lo:hi]
+                rows = sid[lo:hi], label[lo:hi], bits[lo:hi], n[lo:hi], wide[lo:hi]
                 if own[lo]:
                     if at != (h[lo], i[lo]):
                         if left and not whole:
@@ -247,6 +282,8 @@ def tile_pairs(members: DataFrame, similarity: float) -> DataFrame:
             compare(t, t, True)
         yield found()
 
+    if "wide" not in members.columns:
+        members = members.withColumn("wide", F.lit(None).cast("binary"))
     same = members.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("x2"))
     first = same.groupBy("m", "x1", "x2").agg(F.min("h").alias("h")).select("h")
     some = members.join(first, "h")
@@ -254,14 +291,14 @@ def tile_pairs(members: DataFrame, similarity: float) -> DataFrame:
     big = F.col("c") >= max(1, TILE // 4)
     sizes = sizes.select("h", "label", F.when(big, F.col("label")).alias("pure"), F.when(big, F.ceil(F.col("c") / TILE)).alias("own_parts"))
     small = some.join(sizes.where("pure is null"), ["h", "label"], "left_semi").groupBy("h").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    dealt = some.join(sizes, ["h", "label"]).join(small, "h", "left").withColumn("part", F.pmod(F.xxhash64("sid"), F.coalesce("own_parts", "parts"))).select("h", "sid", "label", "n", "bits", "pure", "part")
+    dealt = some.join(sizes, ["h", "label"]).join(small, "h", "left").withColumn("part", F.pmod(F.xxhash64("sid"), F.coalesce("own_parts", "parts"))).select("h", "sid", "label", "n", "bits", "wide", "pure", "part")
     order = Window.partitionBy("h").orderBy(F.col("pure").isNull(), "pure", "part")  # over tiles, not members; pure ones first
     tiles = dealt.select("h", "pure", "part").distinct().withColumn("t", F.row_number().over(order))
     named = tiles.select(F.col("h").alias("h2"), F.col("pure").alias("pure2"), F.col("part").alias("part2"), "t")
-    numbered = dealt.join(named, (F.col("h") == F.col("h2")) & F.col("pure").eqNullSafe(F.col("pure2")) & (F.col("part") == F.col("part2"))).select("h", "sid", "label", "n", "bits", "pure", "t")
+    numbered = dealt.join(named, (F.col("h") == F.col("h2")) & F.col("pure").eqNullSafe(F.col("pure2")) & (F.col("part") == F.col("part2"))).select("h", "sid", "label", "n", "bits", "wide", "pure", "t")
     other = tiles.select("h", F.col("t").alias("i"), F.col("pure").alias("other"))
     met = numbered.join(other, "h").where((F.col("i") == F.col("t")) | ((F.col("i") < F.col("t")) & (F.col("pure").isNull() | F.col("other").isNull() | (F.col("pure") != F.col("other")))))
-    rows = met.select("h", "i", (F.col("i") == F.col("t")).alias("own"), "sid", "label", "n", "bits").repartition("h", "i").sortWithinPartitions("h", "i", F.col("own").desc())
+    rows = met.select("h", "i", (F.col("i") == F.col("t")).alias("own"), "sid", "label", "n", "bits", "wide").repartition("h", "i").sortWithinPartitions("h", "i", F.col("own").desc())
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -276,20 +313,24 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for x in b.column(1):
                 s = shingle_set(x.as_py(), words)
-                row = (xxhash.xxh3_64_intdigest(s.tobytes()), len(s), prefix(s, similarity, hot, weight).view(np.int64), simhash.fingerprint_of(x.as_py(), words), bitmap(s), wide_bitmap(s))
+                row = (xxhash.xxh3_64_intdigest(s.tobytes()), len(s), prefix(s, similarity, hot, weight).view(np.int64), simhash.fingerprint_of(x.as_py(), words), bitmap(s), wide_bitmap(s), tile_bitmap(s))
                 for o, v in zip(out, row):
                     o.append(v)
             sid, fp = (np.array(out[c], np.uint64).view(np.int64) for c in (0, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sid), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(fp), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary())], names=["doc_id", "th", "sid", "n", "first", "fp", "bits", "more"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sid), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(fp), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary()), pa.array(out[6], pa.binary())], names=["doc_id", "th", "sid", "n", "first", "fp", "bits", "more", "wide"])
+
+    def joined(label: DataFrame) -> DataFrame:
+        """The links so far, as one to each node's label."""
+        return label.select(F.col("node").alias("a"), F.col("label").alias("b"))
 
     with Scratch(docs.sparkSession) as scratch:
         wide = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("th"))
-        full = scratch.keep(wide.mapInArrow(run, f"doc_id {kind}, th long, sid long, n int, first array<long>, fp long, bits binary, more binary"))
+        full = scratch.keep(wide.mapInArrow(run, f"doc_id {kind}, th long, sid long, n int, first array<long>, fp long, bits binary, more binary, wide binary"))
         sets = scratch.keep(full.select("doc_id", "th", "sid"))
-        nodes = scratch.keep(full.groupBy("sid").agg(F.min("th").alias("th"), F.first(F.struct("n", "fp", "bits", "more")).alias("x")).select("sid", "th", "x.*"))
+        nodes = scratch.keep(full.groupBy("sid").agg(F.min("th").alias("th"), F.first(F.struct("n", "fp", "bits", "more", "wide")).alias("x")).select("sid", "th", "x.*"))
         # prefixes: under each shingle the least node with every other
         star = scratch.keep(stars(full.select(F.explode("first").alias("h"), "sid")))
         scratch.drop(full)
@@ -306,18 +347,17 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
         under = scratch.keep(possible(apart(under, label), size, similarity))
         first = under.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")  # its likeliest hub
         more = verified(scratch, first, wide, nodes, words, similarity)
-        label = components(near.unionByName(more))
+        label = components(joined(label).unionByName(more))
         rest = apart(under.select("a", "b").join(first, ["a", "b"], "left_anti"), label)
         again = verified(scratch, rest, wide, nodes, words, similarity)
-        near = scratch.keep(near.unionByName(more).unionByName(again))
-        label = components(near)
+        label = components(joined(label).unionByName(again))
         # members of a shingle that are still in different groups
         left = star.select("h", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         open_ = left.groupBy("h").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("h")
-        pairs = tile_pairs(left.join(open_, "h").join(size, "sid"), similarity)
+        pairs = tile_pairs(left.join(open_, "h").join(nodes.select("sid", "n", "bits", "wide"), "sid"), similarity)
         pairs = pairs.join(under.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         last = verified(scratch, pairs, wide, nodes, words, similarity)
-        label = components(near.unionByName(last))
+        label = components(joined(label).unionByName(last))
         out = sets.join(label.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "th", F.coalesce("label", "sid").alias("label"))
         return scratch.keep(out, outlives=True)
 
