@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import c, lit_null
+from ..session import measured
 from .rules import DIMENSION_HINT, GUIDE_DIMENSION, GUIDE_KPI, GUIDE_TIME, MEASURE_HINT, TIME_HINT, ref_columns
 
 KEY = ["_schema", "_object"]
+PART_ROWS = 1_000_000  # of a result that outgrows its input, in one partition
 
 
 def upper_key(df: DataFrame, schema="schema_name", name="relation_name") -> DataFrame:
@@ -286,7 +288,8 @@ def guidance(snapshot_id: str | None, columns: DataFrame, relevance: DataFrame,
 def prioritize_tables(columns: DataFrame, objectives: DataFrame) -> DataFrame:
     """Q10. Score of each table for each objective: 3 per word in its name, 1 per column whose name holds a word.
 
-    objectives: objective_id, objective. Every word counts each time it is said, as each is a separate token.
+    objectives: objective_id, objective. Every word counts each time it is said, as each is a separate token. Results are far more
+    than objectives, so they are dealt by their own number, not by the size of what they are made of.
     """
     words = objectives.select("objective_id", F.explode(F.split(F.lower("objective"), "[^a-z0-9]+")).alias("w")).filter(
         F.length("w") > 3).groupBy("objective_id", "w").agg(F.count(F.lit(1)).alias("said"))
@@ -300,12 +303,15 @@ def prioritize_tables(columns: DataFrame, objectives: DataFrame) -> DataFrame:
         spots = names.select("name", F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda k: F.transform(
             F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name") - k + 1)), lambda i: F.expr("name").substr(i, k)))))).alias("w"))
         return spots.join(vocab, "w", "left_semi").distinct()
-    tables = columns.select("table_name").distinct()
-    t = tables.withColumn("name", F.lower("table_name")).join(hits(tnames), "name").join(words, "w").groupBy("objective_id", "table_name").agg(
-        F.sum(F.col("said") * 3).alias("s"))
+    t = columns.select("table_name").distinct().withColumn("name", F.lower("table_name")).join(hits(tnames), "name").select("table_name", "w", F.lit(3).cast("long").alias("n"))
     k = columns.select("table_name", F.lower("column_name").alias("name")).groupBy("table_name", "name").agg(F.count(F.lit(1)).alias("n")).join(
-        hits(cnames), "name").join(words, "w").groupBy("objective_id", "table_name").agg(F.sum(F.col("said") * F.col("n")).alias("s"))
-    return t.unionByName(k).groupBy("objective_id", "table_name").agg(F.sum("s").cast("long").alias("score"))
+        hits(cnames), "name").select("table_name", "w", "n")
+    # what a word is worth to a table is summed before any objective that says it, and results are counted before they are dealt
+    worth = measured(t.unionByName(k).groupBy("w", "table_name").agg(F.sum("n").alias("s")))
+    met = words.groupBy("w").agg(F.count(F.lit(1)).alias("a")).join(worth.groupBy("w").agg(F.count(F.lit(1)).alias("b")), "w")
+    parts = -(-(met.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 1) // PART_ROWS)
+    return words.join(worth, "w").select("objective_id", "table_name", (F.col("said") * F.col("s")).alias("s")).repartition(
+        parts, "objective_id", "table_name").groupBy("objective_id", "table_name").agg(F.sum("s").cast("long").alias("score"))
 
 
 def rank_tables(columns: DataFrame, objective: str) -> DataFrame:
