@@ -1,6 +1,7 @@
 """Faults found by the review of round 3, fourth part: a task's memory that grows with its input, and work that is done twice."""
 
 from estatelens.operators import catalog as C
+from estatelens.plans import estate as S
 
 
 def test_results_are_dealt_by_their_number(spark, monkeypatch):
@@ -12,3 +13,15 @@ def test_results_are_dealt_by_their_number(spark, monkeypatch):
     want[7, "Sales_Order"] += 3
     assert {tuple(r)[:2]: r.score for r in got.collect()} == want
     assert got.rdd.getNumPartitions() >= len(want) // 10
+
+
+def test_large_tables_are_dealt_by_order(spark, monkeypatch, tmp_path):
+    spark.sql("SELECT id AS o_orderkey, id % 7 AS o_custkey, 'F' AS o_orderstatus FROM range(200)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id DIV 3 AS l_orderkey, id % 11 AS l_partkey, id % 5 AS l_suppkey, id % 3 AS l_linenumber, 'A' AS l_returnflag FROM range(620)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain, both = S.estate(spark, str(tmp_path), "columns"), S.sources(spark, str(tmp_path), "columns", "relations")
+    want = rows(plain), *map(rows, both)
+    assert len(want[0]) == 600 and S.dealt(spark, str(tmp_path)) == {}  # orders 200 to 206 are not there
+    monkeypatch.setattr(S, "PART_ROWS", 40)
+    assert {t: d.rdd.getNumPartitions() for t, d in S.dealt(spark, str(tmp_path)).items()} == {"orders": 21, "lineitem": 21}
+    assert (rows(S.estate(spark, str(tmp_path), "columns")), *map(rows, S.sources(spark, str(tmp_path), "columns", "relations"))) == want
