@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
-from ..session import Scratch, cut_lineage
+from ..session import Scratch, cut_lineage, measured
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def clusters(tables: DataFrame, links: DataFrame) -> DataFrame:
 
     tables: node. links: src, dst, status.
     """
-    known = tables.select("node").distinct()
+    known = measured(tables.select("node").distinct())
     e = links.filter("status = 'PROPOSAL_ONLY'").select("src", "dst").distinct()
     e = e.join(known.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst")), "dst", "left_semi")
     return connected_components(known, e)
@@ -49,11 +49,17 @@ def clusters(tables: DataFrame, links: DataFrame) -> DataFrame:
 def cluster_summary(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members, and the support and counterevidence among links that lie inside a cluster, with confidence bounds.
 
-    links: src, dst, status, counter_count (number of counterevidence items), link_id.
+    links: src, dst, status, counter_count (number of counterevidence items), link_id. Members are worked out once. A link of two
+    nodes lies inside a cluster of several members, so only those nodes meet such links.
     """
-    m = members.select(F.col("node"), "component")
-    l = links.join(m.select(F.col("node").alias("src"), F.col("component").alias("c1")), "src").join(
-        m.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").filter("c1 = c2")
+    m = measured(members.select(F.col("node"), "component"))
+    several = m.join(m.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "component", "left_semi")
+
+    def inside(l, of):
+        return l.join(of.select(F.col("node").alias("src"), F.col("component").alias("c1")), "src").join(
+            of.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").filter("c1 = c2").select("c1", "status", "counter_count")
+
+    l = inside(links.where("src <> dst"), several).unionByName(inside(links.where("src = dst"), m))
     s = l.groupBy(F.col("c1").alias("component")).agg(
         F.count_if(F.col("status") == "PROPOSAL_ONLY").alias("support"), F.sum("counter_count").alias("counter"))
     g = m.groupBy("component").agg(F.count(F.lit(1)).alias("member_count")).join(s, "component", "left")

@@ -1,6 +1,10 @@
 """Faults found by the review of round 3, fourth part: a task's memory that grows with its input, and work that is done twice."""
 
+import os
+import uuid
+
 from estatelens.operators import catalog as C
+from estatelens.operators import graph as G
 from estatelens.plans import estate as S
 
 
@@ -25,3 +29,17 @@ def test_large_tables_are_dealt_by_order(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(S, "PART_ROWS", 40)
     assert {t: d.rdd.getNumPartitions() for t, d in S.dealt(spark, str(tmp_path)).items()} == {"orders": 21, "lineitem": 21}
     assert (rows(S.estate(spark, str(tmp_path), "columns")), *map(rows, S.sources(spark, str(tmp_path), "columns", "relations"))) == want
+
+
+def test_members_of_clusters_are_worked_out_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def seen(batches):
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        yield from batches
+
+    members = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "d"), ("e", "d"), (None, None)], "node string, component string").coalesce(1).mapInArrow(seen, "node string, component string")
+    links = spark.createDataFrame([("a", "b", "PROPOSAL_ONLY", 0), ("b", "a", "COUNTEREVIDENCE_ONLY", 2), ("c", "c", "PROPOSAL_ONLY", 1), ("a", "c", "PROPOSAL_ONLY", 5), ("b", "d", "PROPOSAL_ONLY", 5), (None, "a", "PROPOSAL_ONLY", 1), ("a", "z", "PROPOSAL_ONLY", 1)], "src string, dst string, status string, counter_count int")
+    got = G.cluster_summary(members, links).select("component", "member_count", "support", "counter")
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 1, 2), ("c", 1, 1, 1), ("d", 2, 0, 0), (None, 1, 0, 0)}
+    assert len(os.listdir(folder)) == 1
