@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,27 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run here go when each has ended, not when the driver happens to collect its garbage.
+
+    For jobs that write one table after another, whose disk would else hold the shuffles of all of them. A plan that is run again
+    makes its shuffles anew.
+    """
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, old)
+
+
 class Scratch:
     """Tables of one job in a shared folder: lineage cuts that survive a lost executor and go when the job is done.
 
@@ -74,7 +97,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, outlives: bool = False) -> DataFrame:
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         if not outlives:
             self.kept.append((out, path))

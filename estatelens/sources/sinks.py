@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import table_digest, with_hash
 from ..operators.evidence import one_row
-from ..session import measured
+from ..session import measured, shuffles_dropped
 
 SECTIONS = ["relations", "columns", "constraints", "indexes"]
 
@@ -57,15 +57,20 @@ def ingest(tables: dict[str, DataFrame], snapshots: DataFrame, root: str) -> Non
     rows are written where they are. ``snapshots`` (source_id,
     snapshot_id, analyzed_at, ...) is written last, one partition per source, and is the flag readers follow: a run
     that fails earlier leaves the previous snapshot active, and running it again is harmless. A given snapshot without
-    rows in a table loses the rows it had there.
+    rows in a table loses the rows it had there. Each table's shuffles go when it is written.
     """
     spark = snapshots.sparkSession
+    with shuffles_dropped(spark):
+        _ingest(spark, tables, snapshots, root)
+
+
+def _ingest(spark: SparkSession, tables: dict[str, DataFrame], snapshots: DataFrame, root: str) -> None:
     given = [r.snapshot_id for r in snapshots.select("snapshot_id").distinct().collect()]  # one row per snapshot of this run
     for name, df in tables.items():
         held = [i for i in given if i is not None and _path(spark, root, name, i)[0]]
         kept = {r.snapshot_id for r in df.where(F.col("snapshot_id").isin(held)).select("snapshot_id").distinct().collect()} if held else set()
         rows = df.hint("rebalance", F.col("snapshot_id")) if len(given) > 1 else df
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{root}/{name}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("snapshot_id").parquet(f"{root}/{name}")
         for i in held:
             if i not in kept:
                 _, system, path = _path(spark, root, name, i)

@@ -1,10 +1,13 @@
 """Faults found by the review of round 4: results dealt by the bytes of their input, ids that overflow, and rows that are shuffled or written more often than needed."""
 
+import time
 from itertools import product
 
 from pyspark.sql import functions as F
 
 from estatelens.operators import relationships as L
+from estatelens.session import CLEANUP
+from estatelens.sources import sinks as K
 
 NAMES = "schema_name string, relation_name string, "
 
@@ -29,3 +32,23 @@ def test_pairs_of_a_hot_name_meet_in_tiles(spark, monkeypatch):
     assert rows(got) == sorted(want, key=repr)
     assert got.rdd.getNumPartitions() >= 43 * len(targets) // 50
     assert L.candidate_pairs(p.limit(0), c).count() == L.candidate_pairs(p, c.where(F.lit(False))).count() == 0
+
+
+def shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(held.size()) if (name := held.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_a_table_leaves_no_shuffles_behind(spark, tmp_path):
+    was, old = shuffle_files(spark), spark.conf.get(CLEANUP)
+    t = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    snaps = spark.createDataFrame([("a", "s", "2024")], "source_id string, snapshot_id string, analyzed_at string")
+    rows_of = {n: t.withColumn("snapshot_id", F.lit("s")) for n in ("x", "y")}
+    K.ingest(rows_of, snaps, str(tmp_path))
+    for _ in range(50):  # files go in the background
+        if not (left := shuffle_files(spark) - was):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(CLEANUP) == old
+    assert rows(K.active_table(spark, str(tmp_path), "y").select("k", "n")) == rows(t)
