@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contracts import OBSERVATION_FIELDS
+from .scalars import c
 
 SCHEME = "v2"  # v2: escaped separators, nested texts folded and composed, maps by key; no v1 hash is comparable
 SEP = "\u001f"
@@ -85,6 +86,27 @@ def with_hash(df: DataFrame, cols: list[str] | None = None, out: str = "object_s
     return df.withColumn(out, F.sha2(canonical(df, cols, nfc), 256))
 
 
+HASHED, PLAIN = bytearray(b"\x00"), bytearray(b"\x01")  # first byte of a packed id
+
+
+def packed(x) -> Column:
+    """An id on its way through shuffles: a SHA-256 in hex as its 32 bytes, any other text as it is, after a byte that tells which.
+    Ids are equal if they are packed, and of one kind they keep their order."""
+    t = c(x)
+    return F.when(t.rlike("\\A[0-9a-f]{64}\\z"), F.concat(F.lit(HASHED), F.unhex(t))).otherwise(F.concat(F.lit(PLAIN), t.cast("binary")))
+
+
+def is_hash(x) -> Column:
+    """Whether a packed id is a SHA-256; not of null."""
+    return F.coalesce(F.substring(c(x), 1, 1) == F.lit(HASHED), F.lit(False))
+
+
+def unpacked(x) -> Column:
+    """The id again."""
+    rest = F.substring(c(x), 2, 2**31 - 1)
+    return F.when(is_hash(x), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def verify_hash(df: DataFrame, cols: list[str], stored: str = "object_sha256", nfc: bool = True) -> DataFrame:
     """P5. Rows whose stored hash is not the hash of their content."""
     return df.withColumn("recomputed_sha256", F.sha2(canonical(df, cols, nfc), 256)).filter(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import with_hash
+from ..functions.hashing import packed, unpacked, with_hash
 from ..functions.scalars import lit_null
 from ..session import measured
 from .rules import ref_columns
@@ -209,5 +209,7 @@ def impact_rows(changes: DataFrame, affected: DataFrame) -> DataFrame:
 
 def impact_blind_spots(blind: DataFrame, changes: DataFrame) -> DataFrame:
     """U9. Lineage blind spots flagged when their source object changed."""
-    ch = changes.select(F.col("object_id").alias("source_object_id"), F.lit(True).alias("_c")).distinct()
-    return blind.join(ch, "source_object_id", "left").withColumn("impact_relevant", F.col("_c").isNotNull()).drop("_c")
+    ids = [x for x in ("source_object_id", "evidence_sha256") if x in blind.columns]
+    ch = measured(changes.select(packed("object_id").alias("source_object_id"), F.lit(True).alias("_c")).distinct())
+    flagged = blind.withColumns({x: packed(x) for x in ids}).join(ch, "source_object_id", "left").withColumn("impact_relevant", F.col("_c").isNotNull()).drop("_c")
+    return flagged.withColumns({x: unpacked(x) for x in ids})

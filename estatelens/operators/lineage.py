@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import escaped
+from ..functions.hashing import escaped, is_hash, packed, unpacked
 from ..functions.scalars import int_div, lit_null
+from ..session import measured
 
 PART_BLOCK = 4096
 META = ["object_kind", "native_object_id", "parent_schema_name", "parent_object_name", "enablement_state", "definition_visibility", "definition_component_hash_algorithm"]
@@ -88,8 +89,9 @@ def lineage(edges: DataFrame, columns: DataFrame, inferred: DataFrame | None = N
 def lineage_blind_spots(edges: DataFrame, columns: DataFrame, gaps: DataFrame, parser_gaps: DataFrame | None = None) -> DataFrame:
     """J17 and G5. Object edges with no column edge, unresolved references, and what text analysis could not read."""
     pair = ["source_object_id", "target_schema_name", "target_object_name", "target_object_kind"]
-    a = edges.join(columns.select(*pair).distinct(), pair, "left_anti").select(
-        F.lit("COLUMN_RELATIONSHIP_UNKNOWN").alias("blind_spot_class"), "source_object_id", F.col("edge_sha256").alias("evidence_sha256"))
+    known = columns.select(packed(pair[0]).alias(pair[0]), *pair[1:]).distinct()
+    a = edges.select(packed(pair[0]).alias(pair[0]), *pair[1:], packed("edge_sha256").alias("edge_sha256")).join(known, pair, "left_anti").select(
+        F.lit("COLUMN_RELATIONSHIP_UNKNOWN").alias("blind_spot_class"), unpacked("source_object_id").alias("source_object_id"), unpacked("edge_sha256").alias("evidence_sha256"))
     b = gaps.select(F.lit("UNKNOWN_NATIVE_RELATIONSHIP").alias("blind_spot_class"), "source_object_id", F.col("gap_sha256").alias("evidence_sha256"))
     out = a.unionByName(b)
     if parser_gaps is None:
@@ -104,20 +106,33 @@ def impact(changes: DataFrame, before: DataFrame, after: DataFrame, approved: Da
 
     approved: candidate_id, schema_name, relation_name, column_name. A column edge must name the column; an object
     edge touches all of the relation's columns. Each candidate keeps one impact: the column class wins, then the
-    least (source, class, target) order. Best-of is a combinable aggregate, so a hot relation does not gather.
+    least (source, class, target) order. Best-of is a combinable aggregate, so a hot relation does not gather, and it is
+    worked out and written down per snapshot, so that the shuffles of both are never held at once. An edge of both counts
+    twice, which no least value minds.
     """
-    ch = changes.select(F.col("object_id").alias("source_object_id")).distinct()
-    rel = before.unionByName(after).filter(F.col("relationship_class").isin("PROVEN_OBJECT_NATIVE", "PROVEN_COLUMN_NATIVE"))
-    rel = rel.join(ch, "source_object_id", "left_semi")  # an edge of both snapshots counts twice, which no least value minds
+    ch = measured(changes.select(packed("object_id").alias("_s")).distinct())
     # per target only the best edge can win, so edges shrink to one row per target before they meet the candidates
-    order = F.struct("source_object_id", "evidence_sha256")
-    col_best = rel.filter("relationship_class = 'PROVEN_COLUMN_NATIVE'").groupBy("target_schema_name", "target_object_name", "target_column_name").agg(F.min(order).alias("k"))
-    obj_best = rel.filter("relationship_class = 'PROVEN_OBJECT_NATIVE'").groupBy("target_schema_name", "target_object_name").agg(F.min(order).alias("o"))
-    a = approved.select("candidate_id", F.col("schema_name").alias("target_schema_name"), F.col("relation_name").alias("target_object_name"),
-                        F.col("column_name").alias("target_column_name"))
-    j = a.join(col_best, ["target_schema_name", "target_object_name", "target_column_name"], "left").join(obj_best, ["target_schema_name", "target_object_name"], "left")
-    best = F.coalesce("k", "o")
-    return j.filter(best.isNotNull()).select(
-        "candidate_id", "target_schema_name", "target_object_name", "target_column_name",
-        F.when(F.col("k").isNotNull(), "AFFECTED_NATIVE_COLUMN").otherwise("POTENTIALLY_AFFECTED_NATIVE_OBJECT").alias("impact_class"),
-        best["source_object_id"].alias("source_object_id"), best["evidence_sha256"].alias("evidence_sha256"))
+    best = measured(_best_edges(before, ch)).unionByName(measured(_best_edges(after, ch)))
+    at = ["target_schema_name", "target_object_name", "target_column_name"]
+    a = approved.select("candidate_id", *[F.col(x).alias(n) for x, n in zip(("schema_name", "relation_name", "column_name"), at)])
+    least = lambda n: [F.min("_h").alias(n + "h"), F.min("_t").alias(n + "t")]
+    by_column, by_object = best.filter("_column").groupBy(*at).agg(*least("k")), best.filter("not _column").groupBy(*at[:2]).agg(*least("o"))
+    j = a.join(by_column, at, "left").join(by_object, at[:2], "left")
+    text = lambda n: F.least(F.when(F.col(n + "h").isNotNull(), F.struct(unpacked(F.col(n + "h.s")).alias("s"), unpacked(F.col(n + "h.e")).alias("e"))), F.col(n + "t"))
+    j = j.filter("coalesce(kh.s, kt.s, oh.s, ot.s) is not null").withColumns({"k": text("k"), "o": text("o")})
+    return j.select(
+        "candidate_id", *at, F.when(F.col("k").isNotNull(), "AFFECTED_NATIVE_COLUMN").otherwise("POTENTIALLY_AFFECTED_NATIVE_OBJECT").alias("impact_class"),
+        F.coalesce("k", "o")["s"].alias("source_object_id"), F.coalesce("k", "o")["e"].alias("evidence_sha256"))
+
+
+def _best_edges(rel: DataFrame, ch: DataFrame) -> DataFrame:
+    """Per target column of column edges, and per target of object edges, the least (source, evidence) of the changed objects ``ch``
+    (packed ``_s``): ``_h`` of packed hashes, ``_t`` of edges with any other id, in their own order."""
+    of_column = F.col("relationship_class") == "PROVEN_COLUMN_NATIVE"
+    r = rel.filter(F.col("relationship_class").isin("PROVEN_OBJECT_NATIVE", "PROVEN_COLUMN_NATIVE")).select(
+        of_column.alias("_column"), "target_schema_name", "target_object_name", F.when(of_column, F.col("target_column_name")).alias("target_column_name"),
+        packed("source_object_id").alias("_s"), packed("evidence_sha256").alias("_e")).join(ch, "_s", "left_semi")
+    hashed = is_hash("_s") & is_hash("_e")
+    return r.groupBy("_column", "target_schema_name", "target_object_name", "target_column_name").agg(
+        F.min(F.when(hashed, F.struct(F.col("_s").alias("s"), F.col("_e").alias("e")))).alias("_h"),
+        F.min(F.when(~hashed, F.struct(unpacked("_s").alias("s"), unpacked("_e").alias("e")))).alias("_t"))

@@ -10,6 +10,7 @@ from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import lineage as N
 from ..operators import logs as L
+from ..session import measured
 from .base import Registry, load, stringify
 from .estate import ctes, estate, portable
 
@@ -440,12 +441,12 @@ _IMP = f"""(SELECT candidate_id, target_schema_name, target_object_name, target_
    AND (r.target_column_name IS NULL OR r.target_column_name = a.column_name) WHERE source_object_id IN (SELECT object_id FROM {_CHG})) WHERE k = 1)"""
 
 
-def _impact(spark, sf):
+def _impact(spark, sf, changes=None):
     cols = estate(spark, sf, "columns").filter("data_type in ('numeric', 'int4')")
     app = cols.select(F.concat_ws(".", "schema_name", "relation_name", "column_name").alias("candidate_id"), "schema_name", "relation_name", "column_name")
     lin = _lineage(spark, sf)
     before, after = lin.filter("evidence_sha256 not like '0%'"), lin.filter("evidence_sha256 not like '1%'")
-    return N.impact(_changes(spark, sf), before, after, app)
+    return N.impact(_changes(spark, sf) if changes is None else changes, before, after, app)
 
 
 @R.add("impact", _EC + _PC + " SELECT * FROM " + _IMP)
@@ -456,7 +457,8 @@ def impact(spark, sf):
 @R.add("impact_rows", _EC + _PC + f""" SELECT 'CHANGED_STORED_OBJECT' AS record_kind, 'REVIEW_REQUIRED' AS review_state, object_id AS source_object_id, change_type, NULL AS candidate_id, NULL AS target_schema_name, NULL AS target_object_name, NULL AS target_column_name, NULL AS impact_class FROM {_CHG}
    UNION ALL SELECT 'AFFECTED_APPROVED_BI', 'REVIEW_REQUIRED', source_object_id, NULL, candidate_id, target_schema_name, target_object_name, target_column_name, impact_class FROM {_IMP}""")
 def impact_rows(spark, sf):
-    return E.impact_rows(_changes(spark, sf), _impact(spark, sf))
+    changes = measured(_changes(spark, sf))  # reported, and what decides the impact
+    return E.impact_rows(changes, _impact(spark, sf, changes))
 
 
 @R.add("impact_blind_spots", _EC + _PC + f" SELECT *, source_object_id IN (SELECT object_id FROM {_CHG}) AS impact_relevant FROM {_BS}")

@@ -98,7 +98,7 @@ class Scratch:
     def keep(self, df: DataFrame, outlives: bool = False) -> DataFrame:
         path = f"{self.folder}/{uuid.uuid4().hex}"
         with shuffles_dropped(self.spark):
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         if not outlives:
             self.kept.append((out, path))

@@ -1,10 +1,15 @@
 """Faults found by the review of round 4: results dealt by the bytes of their input, ids that overflow, and rows that are shuffled or written more often than needed."""
 
+import hashlib
 import time
 from itertools import product
 
+import pytest
 from pyspark.sql import functions as F
 
+from estatelens.functions import hashing as H
+from estatelens.operators import evidence as E
+from estatelens.operators import lineage as N
 from estatelens.operators import relationships as L
 from estatelens.session import CLEANUP
 from estatelens.sources import sinks as K
@@ -16,6 +21,10 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_of_a_hot_name_meet_in_tiles(spark, monkeypatch):
     prof = [("s", f"r{i}", "id", "int") for i in range(40)] + [("t", "r0", "id", "int"), ("t", "r0", "id", "int"), (None, "x", "id", "int"), ("s", "y", "id", None), ("s", "z", "note", "text")]
     keys = [("s", f"r{i}", "pk", "PRIMARY_KEY", "id", None, None, None) for i in range(12)] + [("t", "r0", "u", "UNIQUE", "id", None, None, None)]
@@ -52,3 +61,72 @@ def test_a_table_leaves_no_shuffles_behind(spark, tmp_path):
     assert not left
     assert spark.conf.get(CLEANUP) == old
     assert rows(K.active_table(spark, str(tmp_path), "y").select("k", "n")) == rows(t)
+
+
+def sha(x):
+    return hashlib.sha256(str(x).encode()).hexdigest()
+
+
+ODD = [None, "", "a", "o1", "\u00e9", sha(1).upper(), sha(1)[:-1], sha(1) + "\n", sha(1) + "0", "0" * 64, "f" * 64, *map(sha, range(30))]
+
+
+def test_packed_ids_are_the_ids(spark):
+    df = spark.createDataFrame([(x,) for x in ODD], "x string").select("x", H.packed("x").alias("p")).select("x", "p", H.unpacked("p").alias("u"), H.is_hash("p").alias("h"))
+    got = df.collect()
+    assert all(r.u == r.x for r in got) and len({bytes(r.p) for r in got if r.x is not None}) == len(ODD) - 1
+    assert sum(r.h and len(r.p) == 33 for r in got) == 32 and not any(r.h for r in got if r.x is None)
+    assert [r.x for r in df.where("h").orderBy("p").collect()] == sorted(r.x for r in got if r.h)
+
+
+LINEAGE = "relationship_class string, granularity string, source_object_id string, target_schema_name string, target_object_name string, target_object_kind string, target_column_name string, evidence_sha256 string"
+
+
+@pytest.fixture
+def edges():
+    out = []
+    for i in range(400):
+        kind, column = ("PROVEN_COLUMN_NATIVE", f"c{i % 3}" if i % 11 else None) if i % 4 else ("PROVEN_OBJECT_NATIVE", None)
+        source, evidence = (sha(i % 40) if i % 7 else f"o{i % 40}"), (sha(("e", i)) if i % 5 else f"e{i}" if i % 10 else None)
+        out.append((kind if i % 13 else "INFERRED_OBJECT_PARSER", "x", source if i % 29 else None, "s" if i % 17 else None, f"t{i % 9}", "TABLE", column, evidence))
+    return out
+
+
+def test_impact_holds_no_edges_of_both_snapshots(spark, edges):
+    before, after = [e for i, e in enumerate(edges) if i % 3], [e for i, e in enumerate(edges) if i % 3 != 1]
+    changed = {*map(sha, range(0, 40, 3)), *(f"o{i}" for i in range(0, 40, 2)), None}
+    app = [(f"{s}.{t}.{c}", s, f"t{t}", f"c{c}" if c < 4 else None) for s in ("s", "z", None) for t in range(10) for c in range(5)]
+    was = shuffle_files(spark)
+    got = N.impact(spark.createDataFrame([(x,) for x in changed] * 2, "object_id string"), spark.createDataFrame(before, LINEAGE), spark.createDataFrame(after, LINEAGE),
+                   spark.createDataFrame(app, "candidate_id string, schema_name string, relation_name string, column_name string"))
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - was):
+            break
+        time.sleep(0.1)
+    assert not left and "LeftSemi" not in plan(got)
+    want = []
+    order = lambda e: (e[2], e[7] is not None, e[7] or "")
+    for i, s, t, c in app:
+        hit = [e for e in before + after if e[2] in changed - {None} and (e[3], e[4]) == (s, t) and s is not None and (e[0] == "PROVEN_OBJECT_NATIVE" or e[0] == "PROVEN_COLUMN_NATIVE" and c is not None and e[6] == c)]
+        if hit:
+            best = min(hit, key=lambda e: (e[0] != "PROVEN_COLUMN_NATIVE", order(e)))
+            want.append((i, s, t, c, "AFFECTED_NATIVE_COLUMN" if best[0] == "PROVEN_COLUMN_NATIVE" else "POTENTIALLY_AFFECTED_NATIVE_OBJECT", best[2], best[7]))
+    assert rows(got) == sorted(want, key=repr) and len(want) > 20
+
+
+def test_blind_spots_travel_with_packed_ids(spark, edges):
+    blind = [("A" if e[6] else "B", e[2], e[7]) for e in edges]
+    changed = [sha(3), sha(3), "o5", None]
+    names = "blind_spot_class string, source_object_id string, evidence_sha256 string"
+    got = E.impact_blind_spots(spark.createDataFrame(blind, names), spark.createDataFrame([(x,) for x in changed], "object_id string"))
+    assert got.columns == ["source_object_id", "blind_spot_class", "evidence_sha256", "impact_relevant"] and "unhex" in plan(got)
+    assert rows(got) == sorted(((b, a, c, b is not None and b in changed) for a, b, c in blind), key=repr)
+
+
+def test_object_edges_without_column_edges(spark):
+    names = ", ".join(f"{x} string" for x in [*N.EDGE, "target_column_name", "column_resolution_state", "resolution_state", "native_dependency_kind"])
+    d = spark.createDataFrame([("s", "p", "PROCEDURE", "s", "t", "TABLE", "c", "PROVEN", "RESOLVED", "REF"), ("s", "q", "VIEW", "s", "t", "TABLE", None, "NOT_PROVEN", "RESOLVED", "REF"),
+                               ("s", "q", "VIEW", None, "u", "TABLE", None, "NOT_PROVEN", "RESOLVED", "REF"), ("s", "r", "VIEW", "s", "t", "TABLE", None, "NOT_PROVEN", "UNRESOLVED", "REF")], names)
+    e, g = N.object_edges(d), N.dependency_gaps(d)
+    got = N.lineage_blind_spots(e, N.column_edges(d), g)
+    want = [("COLUMN_RELATIONSHIP_UNKNOWN", r.source_object_id, r.edge_sha256) for r in e.collect() if r.source_object_name == "q"] + [("UNKNOWN_NATIVE_RELATIONSHIP", r.source_object_id, r.gap_sha256) for r in g.collect()]
+    assert rows(got) == sorted(want, key=repr) and len(want) == 3 and "unhex" in plan(got)
