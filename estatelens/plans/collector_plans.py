@@ -19,7 +19,7 @@ CN = _COL
 SN, RN = "'SCH_' || o_custkey", "'T_' || o_orderkey"
 CID = "l_partkey * 1000000 + l_suppkey * 10 + l_linenumber"
 OID, LOID = "o_orderkey * 4 + 1", "l_orderkey * 4 + 1"
-BIG = f"l_orderkey * 1000000000000 + {CID}"
+BIG = f"CAST(l_orderkey AS DECIMAL(19, 0)) * 10000000000000000000 + {CID}"  # of any order and column, each with an id of its own
 LO = "{lineitem} JOIN {orders} ON l_orderkey = o_orderkey"
 KN = f"'K_' || l_orderkey || '_' || ({CID})"
 IN = f"'I_' || l_orderkey || '_' || ({CID})"
@@ -117,7 +117,7 @@ PG = {
     "pg_constraint": f"""SELECT l_orderkey * 4 AS oid, 'fk_' || l_orderkey AS conname, 'f' AS contype, {LOID} AS conrelid, array_sort(collect_list({CID})) AS conkey, {LOID} AS confrelid, reverse(array_sort(collect_list({CID}))) AS confkey, 'c' AS confdeltype, 'a' AS confupdtype, true AS convalidated, false AS condeferrable, false AS condeferred
        FROM {{lineitem}} WHERE l_discount = 0.03 GROUP BY l_orderkey
        UNION ALL SELECT l_orderkey * 4 + 1, 'pk_' || l_orderkey, 'p', {LOID}, array_sort(collect_list({CID})), 0, NULL, ' ', ' ', true, true, false FROM {{lineitem}} WHERE l_discount = 0.05 GROUP BY l_orderkey
-       UNION ALL SELECT l_orderkey * 1000000000000 + {CID}, 'ck_' || ({CID}), 'c', {LOID}, CASE WHEN l_linenumber > 1 THEN array({CID}) END, 0, NULL, ' ', ' ', l_linestatus = 'F', false, false FROM {{lineitem}} WHERE l_discount = 0.02
+       UNION ALL SELECT {BIG}, 'ck_' || ({CID}), 'c', {LOID}, CASE WHEN l_linenumber > 1 THEN array({CID}) END, 0, NULL, ' ', ' ', l_linestatus = 'F', false, false FROM {{lineitem}} WHERE l_discount = 0.02
        UNION ALL SELECT l_orderkey * 4 + 2, 'xx', 'x', {LOID}, NULL, 0, NULL, ' ', ' ', true, false, false FROM {{lineitem}} WHERE l_discount = 0.09""",
     "pg_rewrite": f"SELECT o_orderkey AS oid, {OID} AS ev_class FROM {{orders}} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')",
     "pg_depend": f"SELECT o_orderkey AS objid, CASE WHEN l_tax = 0.08 THEN 'pg_type' ELSE 'pg_rewrite' END AS classid, 'pg_class' AS refclassid, l_partkey * 4 + 1 AS refobjid, CASE WHEN l_discount = 0.1 THEN 'i' ELSE 'n' END AS deptype FROM {LO} UNION ALL SELECT o_orderkey, 'pg_rewrite', 'pg_class', {OID}, 'n' FROM {{orders}}",

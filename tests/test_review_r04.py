@@ -11,8 +11,10 @@ from estatelens.functions import hashing as H
 from estatelens.operators import evidence as E
 from estatelens.operators import lineage as N
 from estatelens.operators import relationships as L
+from estatelens.plans import all_queries
 from estatelens.session import CLEANUP
 from estatelens.sources import sinks as K
+from estatelens.sources.collectors import collect
 
 NAMES = "schema_name string, relation_name string, "
 
@@ -130,3 +132,42 @@ def test_object_edges_without_column_edges(spark):
     got = N.lineage_blind_spots(e, N.column_edges(d), g)
     want = [("COLUMN_RELATIONSHIP_UNKNOWN", r.source_object_id, r.edge_sha256) for r in e.collect() if r.source_object_name == "q"] + [("UNKNOWN_NATIVE_RELATIONSHIP", r.source_object_id, r.gap_sha256) for r in g.collect()]
     assert rows(got) == sorted(want, key=repr) and len(want) == 3 and "unhex" in plan(got)
+
+
+FAR = 60_000_000_000  # number of an order
+
+
+@pytest.fixture
+def far_tables(spark, tmp_path):
+    """Two line items of orders far apart, whose columns' numbers pass 10**12, with their order, customer and dimensions."""
+    spark.sql(f"""SELECT o.id AS l_orderkey, 5000000L - 1000000L * o.n AS l_partkey, 7L AS l_suppkey, l AS l_linenumber, 10.0D AS l_quantity, d AS l_discount, 0.08D AS l_tax, 'A' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '2024-01-01' AS l_shipdate
+      FROM (VALUES ({FAR}L, 0), ({FAR + 1}L, 1)) AS o(id, n), (VALUES (1, 0.02D), (2, 0.03D), (3, 0.05D)) AS x(l, d)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql(f"SELECT {FAR}L + id AS o_orderkey, 1L AS o_custkey, 'F' AS o_orderstatus, 1.0D AS o_totalprice, TIMESTAMP '2024-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(2)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L AS c_custkey, 'c' AS c_name, 0 AS c_nationkey, 1.0D AS c_acctbal, 'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 1L AS p_partkey, 'p' AS p_name, 'b' AS p_brand, 't' AS p_type, 1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("SELECT 0 AS r_regionkey, 'r' AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name, n", [("mssql_structure_columns", 6), ("mssql_structure_constraints", 6), ("postgresql_structure_constraints", 6)])
+def test_ids_of_late_orders_do_not_overflow(spark, far_tables, name, n):
+    got = all_queries()["collect_" + name](spark, far_tables)
+    assert len(rows(got)) == n
+    if name == "mssql_structure_columns":
+        assert rows(got.select("relation_name", "ordinal_position", "default_expression")) == sorted(
+            [(f"T_{FAR + o}", (5_000_000 - 1_000_000 * o) * 1_000_000 + 70 + i, "((10))") for o in (0, 1) for i in (1, 2, 3)], key=repr)
+
+
+def test_columns_without_a_default_meet_no_default(spark):
+    d = lambda rows, spec: spark.createDataFrame(rows, spec)
+    raw = {
+        "sys.schemas": d([(4, "sys"), (5, "dbo")], "schema_id long, name string"),
+        "sys.objects": d([(1, "t", "U ", 5, False, 0, None, None)], "object_id long, name string, type string, schema_id long, is_ms_shipped boolean, parent_object_id long, create_date timestamp, modify_date timestamp"),
+        "sys.columns": d([(1, i, f"c{i}", 1, 4, 10, 0, True, False, i == 2, x) for i, x in ((1, 0), (2, None), (3, 8), (4, 9), (5, 8))],
+                         "object_id long, column_id long, name string, user_type_id long, max_length int, precision int, scale int, is_nullable boolean, is_computed boolean, is_identity boolean, default_object_id long"),
+        "sys.types": d([(1, "int", 4)], "user_type_id long, name string, schema_id long"), "sys.default_constraints": d([(8, "(1)"), (8, "(2)"), (None, "(3)")], "object_id long, definition string"),
+        "sys.computed_columns": d([], "object_id long, column_id long, definition string"), "sys.identity_columns": d([(1, 2, 1, 5)], "object_id long, column_id long, seed_value long, increment_value long")}
+    got = collect("mssql.structure.columns", raw)
+    assert rows(got.select("column_name", "default_expression", "identity_increment")) == sorted(
+        [("c1", None, None), ("c2", None, "5"), ("c3", "(1)", None), ("c3", "(2)", None), ("c4", None, None), ("c5", "(1)", None), ("c5", "(2)", None)], key=repr)
+    assert "Union" in plan(got)  # the others do not travel to the defaults
