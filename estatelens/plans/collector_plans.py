@@ -157,12 +157,15 @@ def landed(spark, sf, engine):
 
 
 def collected(spark, sf, qid, by=()):
-    """A collector's rows. What more than one of its raw tables makes of the line items is written once: empty tables tell which it reads."""
+    """A collector's rows. What more than one of its raw tables makes of the line items is written once, with the columns that they name:
+    empty tables tell which it reads."""
     texts = RAW[qid.split(".")[0]]
     tried = Landed(spark, sf, texts, empty=True)
     collect(qid, tried, by)
     shared = [b for b in BASES if sum(f"{{{b}}}" in texts[t] for t in tried) > 1]
-    return collect(qid, Landed(spark, sf, texts, {b: measured(portable(spark, sf, BASES[b])) for b in shared}), by)
+    named = set(re.findall(r"\w+", " ".join(texts[t] for t in tried)))
+    made = {b: portable(spark, sf, BASES[b]) for b in shared}
+    return collect(qid, Landed(spark, sf, texts, {b: measured(d.select([x for x in d.columns if x in named])) for b, d in made.items()}), by)
 
 
 _L = f"WITH lo AS (SELECT *, {SN} AS sn, {RN} AS rn, {CN} AS cn, {CID} AS cid, {KN} AS kn, {IN} AS ixn FROM lineitem JOIN orders ON l_orderkey = o_orderkey), own AS (SELECT 'SCH_' || c_custkey AS sn FROM customer) "

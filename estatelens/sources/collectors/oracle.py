@@ -88,17 +88,21 @@ def comments(k):
 
 
 def constraints(k):
-    """C19. A foreign key meets the key it references column by column, on position."""
+    """C19. A foreign key meets the key it references column by column, on position. Constraint columns are dealt once, by the constraint
+    that holds them, for those who have them and those who reference them; position is compared within a constraint."""
     ct = F.col("t")
+    own, ref = ["schema_name", "relation_name", "constraint_name"], ["r_owner", "referenced_relation_name", "r_name"]
     x = k.t("all_constraints", schema_name="owner", relation_name="table_name", constraint_name="constraint_name", t="constraint_type", r_owner="r_owner", r_name="r_constraint_name", cond="search_condition_vc", rule="delete_rule",
             is_enabled=is_("status", "ENABLED"), is_validated=is_("validated", "VALIDATED"), is_deferrable=is_("deferrable", "DEFERRABLE"), is_initially_deferred=is_("deferred", "DEFERRED")).filter(ct.isin(list(CONSTRAINT)))
-    cc = k.t("all_cons_columns", schema_name="owner", relation_name="table_name", constraint_name="constraint_name", column_name="column_name", ordinal_position="position")
-    rc = k.t("all_constraints", r_owner="owner", r_name="constraint_name", referenced_schema_name="owner", referenced_relation_name="table_name")
-    rcc = k.t("all_cons_columns", r_owner="owner", r_name="constraint_name", referenced_relation_name="table_name", referenced_column_name="column_name", ordinal_position="position")
-    x = k.join(x, cc, ["schema_name", "relation_name", "constraint_name"], "left")
+    cc = k.t("all_cons_columns", schema_name="owner", relation_name="table_name", constraint_name="constraint_name", at=F.struct("column_name", "position"))
+    rc = k.t("all_constraints", r_owner="owner", r_name="constraint_name", referenced_relation_name="table_name", _met=F.lit(True))
+    rcc = cc.select(*k.by, *[F.col(n).alias(m) for n, m in zip(own, ref)], F.col("at").alias("ref"))
+    x = k.join(x, cc, own, "left").withColumns({"column_name": F.col("at.column_name"), "ordinal_position": F.col("at.position")}).drop("at")
     refers = F.col("r_owner").isNotNull() & F.col("r_name").isNotNull()  # the others meet no key
     none = {n: F.lit(None).cast("string") for n in ("referenced_schema_name", "referenced_relation_name", "referenced_column_name")}
-    r = k.join(k.join(x.filter(refers), rc, ["r_owner", "r_name"], "left"), rcc, ["r_owner", "r_name", "referenced_relation_name", "ordinal_position"], "left")
+    r = k.join(x.filter(refers), rc, ["r_owner", "r_name"], "left").withColumn("referenced_schema_name", F.when(F.col("_met"), F.col("r_owner"))).drop("_met").alias("r")
+    meets = [F.col(f"r.{n}") == F.col(f"c.{n}") for n in k.by + ref] + [F.coalesce(F.col("ordinal_position") == F.col("ref.position"), F.lit(False))]
+    r = r.join(rcc.alias("c"), meets, "left").select("r.*", F.col("ref.column_name").alias("referenced_column_name"))
     x = r.unionByName(x.filter(~refers).withColumns(none))
     return k.out(x.withColumns({"constraint_kind": case("t", CONSTRAINT), "check_expression": F.when(ct == "C", F.col("cond")), "delete_rule": F.when(ct == "R", F.col("rule"))}), CONSTRAINTS)
 

@@ -11,7 +11,7 @@ from estatelens.functions import hashing as H
 from estatelens.operators import evidence as E
 from estatelens.operators import lineage as N
 from estatelens.operators import relationships as L
-from estatelens.plans import all_queries
+from estatelens.plans import all_queries, collector_plans
 from estatelens.session import CLEANUP
 from estatelens.sources import sinks as K
 from estatelens.sources.collectors import collect
@@ -171,3 +171,37 @@ def test_columns_without_a_default_meet_no_default(spark):
     assert rows(got.select("column_name", "default_expression", "identity_increment")) == sorted(
         [("c1", None, None), ("c2", None, "5"), ("c3", "(1)", None), ("c3", "(2)", None), ("c4", None, None), ("c5", "(1)", None), ("c5", "(2)", None)], key=repr)
     assert "Union" in plan(got)  # the others do not travel to the defaults
+
+
+def test_constraint_columns_are_dealt_once(spark):
+    d = lambda rows, spec: spark.createDataFrame(rows, ", ".join(f"{x} {'int' if x == 'position' else 'string'}" for x in spec.split()))
+    con = [("s", "a", "pk", "P", None, None), ("s", "b", "fk", "R", "s", "pk"), ("s", "b", "fk", "R", "s", "pk"), ("s", "c", "half", "R", "s", None), ("s", "d", "gone", "R", "s", "none"), ("s", "e", "bare", "R", "s", "nocols"),
+           ("s", "f", "nocols", "U", None, None), ("s", "g", "pk", "P", None, None), (None, "h", "fk", "R", "s", "pk"), ("s", "b", "odd", "O", "s", "pk"), ("s", "i", "chk", "C", None, None), ("s", None, "pk", "P", None, None)]
+    col = [("s", "a", "pk", "a1", 1), ("s", "a", "pk", "a2", 2), ("s", "a", "pk", "a0", None), ("s", "b", "fk", "b1", 1), ("s", "b", "fk", "b2", 2), ("s", "b", "fk", "b3", 3), ("s", "b", "fk", "b0", None), ("s", "g", "pk", "g2", 2), ("s", "e", "bare", "e1", 1),
+           ("s", "d", "gone", "d1", 1), ("s", "c", "half", "c1", 1), (None, "h", "fk", "h1", 1), ("s", None, "pk", "x", 1)]
+    raw = {"all_constraints": d([(*x, "q", "NO ACTION", "ENABLED", "VALIDATED", "NOT DEFERRABLE", "IMMEDIATE") for x in con], "owner table_name constraint_name constraint_type r_owner r_constraint_name search_condition_vc delete_rule status validated deferrable deferred"),
+           "all_cons_columns": d(col, "owner table_name constraint_name column_name position")}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = collect("oracle.structure.constraints", raw)
+        found = rows(got.select("schema_name", "relation_name", "constraint_name", "column_name", "ordinal_position", "referenced_schema_name", "referenced_relation_name", "referenced_column_name"))
+        assert "ordinal_position" not in "".join(x for x in plan(got).splitlines() if "hashpartitioning" in x)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    eq = lambda a, b: None not in a and a == b
+    want = []
+    for o, t, n, kind, ro, rn in con:
+        for _, _, _, c, p in ([x for x in col if eq(x[:3], (o, t, n))] or [(None,) * 5]) if kind != "O" else []:
+            for ko, kt in [x[:2] for x in con if eq((x[0], x[2]), (ro, rn))] or [(None, None)]:
+                refs = [x[3] for x in col if eq((x[0], x[1], x[2], x[4]), (ro, kt, rn, p))] or [None]
+                want += [(o, t, n, c, p, ko, kt, r) for r in refs]
+    assert found == sorted(want, key=repr) and len(want) > 30
+
+
+def test_line_items_are_written_with_the_columns_that_are_read(spark, far_tables, monkeypatch):
+    seen = []
+    monkeypatch.setattr(collector_plans, "measured", lambda df: seen.append(df.columns) or df)
+    got = all_queries()["collect_oracle_structure_constraints"](spark, far_tables)
+    assert got.count() == 6
+    assert seen == [["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_tax", "l_returnflag", "l_linestatus", "o_orderkey", "o_custkey"]]
