@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import measured
+
 _SCH = "'SCH_' || CAST(o_custkey AS STRING)"
 _REL = "'T_' || CAST(o_orderkey AS STRING)"
 _COL = """CASE l_partkey % 6 WHEN 0 THEN 'created_date_' WHEN 1 THEN 'total_amount_' WHEN 2 THEN 'customer_id_' WHEN 3 THEN 'note_'
@@ -93,11 +95,19 @@ def _joined(spark: SparkSession, sf: str, texts: list[str]) -> list[DataFrame]:
     return [portable(spark, sf, x, **(made if _LO in x else {})) for x in texts]
 
 
-def estate(spark: SparkSession, sf: str, *names: str):
-    out = _joined(spark, sf, [ESTATE["e_" + n] for n in names])
+def estate(spark: SparkSession, sf: str, *names: str, placed: DataFrame | None = None):
+    texts = [ESTATE["e_" + n] for n in names]
+    out = _joined(spark, sf, texts) if placed is None else [portable(spark, sf, x.replace(_LO, "FROM {placed}"), **({"placed": placed} if _LO in x else {})) for x in texts]
     return out[0] if len(out) == 1 else out
 
 
+def placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with their order, written once for a job that makes many tables of them, with the columns that the texts name."""
+    named = set(re.findall(r"\w+", " ".join(x for x in ESTATE.values() if _LO in x)))
+    both = _joined(spark, sf, [f"SELECT * {_LO}"])[0]
+    return measured(both.select([x for x in both.columns if x in named]))
+
+
 def duck(text: str) -> str:
     """The same text for DuckDB."""
     text = re.sub(r"\{(\w+)\}", r"\1", text)

@@ -11,7 +11,7 @@ from ..session import shared_folder
 from ..sources import inventory as I
 from ..sources import sinks as K
 from .base import Registry, load
-from .estate import ctes, estate
+from .estate import ctes, estate, placed
 from . import workflows as W
 from .relationship_plans import _METRICS, _PROF, _all_pairs, _profiles
 
@@ -72,9 +72,9 @@ _CATEGORIES = {"relations": "relations", "columns": "columns", "comments": "comm
 
 def _published(spark, sf):
     """Two snapshots of the estate with their overviews; the second, which is active, lacks a third of the tables."""
-    root = shared_folder(spark)
+    root, lines = shared_folder(spark), placed(spark, sf)
     for snapshot, kept in (("one", F.lit(True)), ("two", F.col("schema_name") < "SCH_5")):
-        cats = {v: estate(spark, sf, k) for k, v in _CATEGORIES.items()}
+        cats = {v: estate(spark, sf, k, placed=lines) for k, v in _CATEGORIES.items()}
         cats = {k: (d.where(kept) if "schema_name" in d.columns else d.where("source_schema_name < 'SCH_5'") if snapshot == "two" else d).withColumn("snapshot_id", F.lit(snapshot)) for k, d in cats.items()}
         runs = estate(spark, sf, "extracts").where(F.lit(snapshot == "one") | (F.col("state") != "DENIED")).withColumn("snapshot_id", F.lit(snapshot))
         snaps = spark.range(1).select(F.lit("estate").alias("source_id"), F.lit(snapshot).alias("snapshot_id"), F.lit("2024-01-0" + str(len(snapshot))).alias("analyzed_at"))

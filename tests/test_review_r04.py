@@ -12,6 +12,7 @@ from estatelens.operators import evidence as E
 from estatelens.operators import lineage as N
 from estatelens.operators import relationships as L
 from estatelens.plans import all_queries, collector_plans
+from estatelens.plans import estate as S
 from estatelens.session import CLEANUP
 from estatelens.sources import sinks as K
 from estatelens.sources.collectors import collect
@@ -205,3 +206,11 @@ def test_line_items_are_written_with_the_columns_that_are_read(spark, far_tables
     got = all_queries()["collect_oracle_structure_constraints"](spark, far_tables)
     assert got.count() == 6
     assert seen == [["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_tax", "l_returnflag", "l_linestatus", "o_orderkey", "o_custkey"]]
+
+
+def test_line_items_meet_their_orders_once(spark, far_tables):
+    names = "columns", "comments", "constraints", "indexes", "dependencies", "relations"
+    lines = S.placed(spark, far_tables)
+    assert lines.columns == ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_returnflag", "l_linestatus", "o_orderkey", "o_custkey"]
+    for plain, shared in zip(S.estate(spark, far_tables, *names), S.estate(spark, far_tables, *names, placed=lines)):
+        assert plain.schema == shared.schema and rows(plain) == rows(shared) and "Join" not in plan(shared)
